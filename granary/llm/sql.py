@@ -2,4 +2,25 @@
 
 from __future__ import annotations
 
-ORACLE: dict[str, str] = {}
+_WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
+
+#: Weights 1, 2, 3 in turn, at most three times a source; whole copies, then the order sample up to the word budget.
+_MIX = """
+sized AS (SELECT {columns}, source, coalesce(CAST(doc_id AS VARCHAR), 'null:' || md5(coalesce(text, ''))) AS row_key, CAST({words} AS BIGINT) AS size FROM {table}),
+totals AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) FILTER (WHERE size > 0) AS n FROM sized GROUP BY source),
+weighted AS (SELECT *, CAST((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS w, source_size * 3.0::DOUBLE AS cap, CAST(sum(source_size) OVER () AS DOUBLE) AS total FROM totals),
+filled AS (SELECT *, cap / w AS ratio, (total - coalesce(sum(cap) OVER (ORDER BY cap / w, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)) / sum(w) OVER (ORDER BY cap / w, source ASC NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighted),
+solved AS (SELECT level FROM filled WHERE level <= ratio ORDER BY ratio, source ASC NULLS LAST LIMIT 1),
+goal AS (SELECT source, source_size, n, least(cap, coalesce((SELECT level FROM solved) * w, cap)) AS target FROM filled),
+plan AS (SELECT *, CASE WHEN source_size > 0 THEN least(CAST(floor(target / source_size) AS BIGINT), 3) ELSE 0 END AS copies, CAST(source_size AS DOUBLE) / greatest(n, 1) AS mean FROM goal),
+budgeted AS (SELECT *, CASE WHEN copies < 3 THEN target - copies * source_size ELSE 0.0 END AS budget FROM plan),
+drawn AS (SELECT s.*, b.source_size, b.target, b.copies, b.budget, (CAST(('0x' || substr(md5('mix:' || row_key), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u,
+  least(CASE WHEN b.source_size > 0 THEN b.budget / b.source_size ELSE 0.0 END * least(greatest(size / b.mean, 0.5::DOUBLE), 2.0::DOUBLE), 0.999::DOUBLE) AS p FROM sized s JOIN budgeted b ON s.source IS NOT DISTINCT FROM b.source),
+ranked AS (SELECT *, CASE WHEN size > 0 AND budget > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS q FROM drawn),
+lined AS (SELECT *, coalesce(sum(CASE WHEN q IS NOT NULL THEN size END) OVER (PARTITION BY source ORDER BY q ASC NULLS LAST, row_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line FROM ranked),
+mixed AS (SELECT *, CASE WHEN size > 0 THEN copies + CASE WHEN q IS NOT NULL AND line + size / 2.0::DOUBLE <= budget THEN 1 ELSE 0 END ELSE 0 END AS taken_copies FROM lined)
+"""
+
+ORACLE: dict[str, str] = {
+    "op6_pareto_mixing": "WITH " + _MIX.format(columns="doc_id", words=_WORDS, table="documents") + "SELECT doc_id, size, source_size, target, CAST(taken_copies * size AS BIGINT) AS taken FROM mixed",
+}
