@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from . import sql
 from .common import read
+from .imatch import edited_likeness
+from .linedup import dedup_lines
 from .mixing import mix
 from .ngram_join import ngram_jaccard_components
 from .quality_fm import quality_scores
@@ -21,6 +23,10 @@ def op2_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", "predicted", written.alias("spans"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(read(spark, sf_dir, "documents")).select("doc_id", F.col("lines_gone").cast("long").alias("lines_gone"), "text_kept", "emptied")
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_components(read(spark, sf_dir, "documents"))
 
@@ -34,6 +40,10 @@ def op8_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_likeness(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
