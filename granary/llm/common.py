@@ -2,20 +2,15 @@
 
 from __future__ import annotations
 
-import sys
 import tempfile
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Executors need no copy of this package: functions sent to them carry their code.
-cloudpickle.register_pickle_by_value(sys.modules["granary"])
-
 #: A word is a run of anything but these characters.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,21 +18,25 @@ WORD = r"[^\x20\x09-\x0D]+"
 _U = np.uint64
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Computes df once and cuts its lineage by a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the one that the session names in spark.checkpoint.dir.
 
-    The folder is the one that the session names in spark.checkpoint.dir; only where that is
-    unset (tests, a single machine) a temporary folder is set.
+    Only where that is unset (tests, a single machine) a temporary folder is made and set.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="granary-checkpoint-"))
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="granary-checkpoint-"))
+    return sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Computes df once and cuts its lineage by a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def read(df_or_spark, sf_dir: str, table: str) -> DataFrame:
-    return df_or_spark.read.parquet(f"{sf_dir}/{table}.parquet")
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def word_array(text: Column) -> Column:

@@ -9,14 +9,22 @@ from pyspark.sql import functions as F
 
 from . import sql
 from .common import read
+from .contamination import contaminated
 from .imatch import edited_likeness
 from .linedup import dedup_lines
 from .mixing import mix
 from .ngram_join import ngram_jaccard_components
+from .pii_bootstrap import personal_data, written
+from .preference import conversations, preference_rows, with_foreign_replies
+from .pseudo_lm import pseudo_likelihood
 from .quality_fm import quality_scores
 from .toxicity_crf import toxicity_scores
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op2_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     written = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["start"], x["end"])), ",")
@@ -31,15 +39,30 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_components(read(spark, sf_dir, "documents"))
 
 
+def op5_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_likelihood(read(spark, sf_dir, "documents"))
+
+
 def op6_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(read(spark, sf_dir, "documents"))
     return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"))
 
 
+def op7_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return preference_rows(with_foreign_replies(conversations(turns)))
+
+
 def op8_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op9_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data(read(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", count("email"), count("ip"), count("card"), count("phone"), F.sha2(written(F.col("base")).cast("binary"), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
 def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_likeness(read(spark, sf_dir, "documents"))
 

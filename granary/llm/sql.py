@@ -39,3 +39,18 @@ gone AS (SELECT DISTINCT l.doc_id, l.idx FROM stop s JOIN l ON l.doc_id = s.doc_
 left_over AS (SELECT r.doc_id, coalesce(string_agg(r.line, chr(10) ORDER BY r.idx) FILTER (WHERE g.idx IS NULL), '') AS text_kept, count(g.idx) AS lines_gone FROM raw r LEFT JOIN gone g ON g.doc_id = r.doc_id AND g.idx = r.idx GROUP BY r.doc_id)
 """
 ORACLE["op3_line_dedup"] = "WITH " + _LINES.format(table="documents") + r"SELECT doc_id, lines_gone, text_kept, lines_gone > 0 AND NOT regexp_matches(text_kept, '[^\x20\x09-\x0D]') AS emptied FROM left_over"
+
+ORACLE["op7_preference_format"] = r"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i FROM conversations WHERE conv_id IS NOT NULL),
+last AS (SELECT conv_id, max(i) AS i FROM t WHERE role = 'assistant' GROUP BY conv_id),
+reply AS (SELECT t.conv_id, t.i, t.text FROM t JOIN last USING (conv_id, i)),
+next AS (SELECT conv_id, i, text, lead(conv_id) OVER (ORDER BY conv_id DESC) AS n, max(conv_id) OVER () AS top FROM reply),
+pair AS (SELECT x.conv_id, x.i, x.text, y.conv_id AS other, y.text AS other_text, CASE WHEN x.text = y.text THEN x.i ELSE x.i - 1 END AS n FROM next x JOIN reply y ON y.conv_id = coalesce(x.n, x.top))
+SELECT p.conv_id AS chosen_id, p.other AS rejected_id, p.n AS n_common,
+  coalesce(string_agg('<|' || t.role || '|>' || chr(10) || t.text || chr(10) || '<|end|>' || chr(10), '' ORDER BY t.i) FILTER (WHERE t.i <= p.n), '') AS prompt,
+  CASE WHEN p.n = p.i THEN '' ELSE '<|assistant|>' || chr(10) || p.text || chr(10) || '<|end|>' || chr(10) END AS chosen,
+  CASE WHEN p.n = p.i THEN '' ELSE '<|assistant|>' || chr(10) || p.other_text || chr(10) || '<|end|>' || chr(10) END AS rejected,
+  CASE WHEN p.n = p.i THEN '' ELSE '14:0,' || (length(p.text) + 9) || ':1' END AS chosen_mask,
+  CASE WHEN p.n = p.i THEN '' ELSE '14:0,' || (length(p.other_text) + 9) || ':1' END AS rejected_mask
+FROM pair p JOIN t ON t.conv_id = p.conv_id GROUP BY p.conv_id, p.other, p.n, p.i, p.text, p.other_text
+"""
