@@ -1 +1,8 @@
 """granary: DataFrame operators for retrieval and operations data on Spark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Executors need no copy of this package: functions sent to them carry their code.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
