@@ -64,12 +64,13 @@ def base_spans(text: Column) -> Column:
         (_PHONE, F.contains(text, F.lit("+")), lambda v: size(v).between(10, 15)),
     )
     none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
-    own = []
-    for i, (pattern, maybe, right) in enumerate(kinds):
-        good = F.filter(matches(text, pattern), lambda m, right=right: right(m["value"]))
-        named = F.transform(good, lambda m, i=i: F.struct(m["start"].alias("start"), F.lit(i).alias("kind"), m["end"].alias("end"), m["value"].alias("value")))
-        # most texts have none: the costly patterns only run where a cheap test lets them
-        own.append(F.when(maybe, named).otherwise(none))
+
+    def of(i: int, pattern: str, right) -> Column:
+        good = F.filter(matches(text, pattern), lambda m: right(m["value"]))
+        return F.transform(good, lambda m: F.struct(m["start"].alias("start"), F.lit(i).alias("kind"), m["end"].alias("end"), m["value"].alias("value")))
+
+    # most texts have none: the costly patterns only run where a cheap test lets them
+    own = [F.when(maybe, of(i, pattern, right)).otherwise(none) for i, (pattern, maybe, right) in enumerate(kinds)]
     return F.array_sort(F.concat(*own))
 
 
