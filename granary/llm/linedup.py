@@ -37,26 +37,25 @@ def _ranked(rows: DataFrame, a: str, b: str, name: str) -> DataFrame:
     return cut(pairs.repartitionByRange(a, b).sortWithinPartitions(a, b).withColumn(name, F.monotonically_increasing_id()))
 
 
-def suffix_ranks(lines: DataFrame) -> tuple[DataFrame, int]:
-    """Suffixes of the line sequences in the order of their first 1, 2, 4, ... lines, as columns r0, r1, ...
+def suffix_ranks(lines: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(positions, levels): suffixes of the line sequences in the order of their first 1, 2, 4, ... lines.
 
-    r_k of a position is the rank of its next 2^k lines among the blocks that occur at least twice, null for
-    others: equal ranks are an interval of the suffix array whose common prefixes have 2^k lines at least. A
-    round doubles the length: it ranks the pairs of a block's rank and that of the block behind it. It ends when no
-    longer block occurs twice. Positions whose line occurs once are left out.
+    levels[k] has (did, th, pos, r): the rank of the 2^k lines from a position on among the blocks that occur at least twice;
+    others have no row. Equal ranks are an interval of the suffix array whose common prefixes have 2^k lines
+    at least. A round doubles the length: it ranks the pairs of a block's rank and that of the block behind it. It ends when no longer block
+    occurs twice. positions has the lines that occur twice, with their index and words.
     """
-    names = _ranked(lines, "h1", "h2", "r0")
-    table = cut(lines.join(names, ["h1", "h2"]).select(*_KEY, "pos", "idx", "w", "r0"))
-    k = 0
+    names = _ranked(lines, "h1", "h2", "r")
+    positions = cut(lines.join(names, ["h1", "h2"]).select(*_KEY, "pos", "idx", "w", "r"))
+    levels = [positions.select(*_KEY, "pos", "r")]
     while True:
-        ahead = Window.partitionBy(*_KEY).orderBy("pos").rangeBetween(1 << k, 1 << k)
-        paired = cut(table.withColumn("next", F.max(f"r{k}").over(ahead)))
-        whole = paired.where(f"r{k} is not null and next is not null")
-        names = _ranked(whole, f"r{k}", "next", f"r{k + 1}")
+        size = 1 << (len(levels) - 1)
+        ahead = Window.partitionBy(*_KEY).orderBy("pos").rangeBetween(size, size)
+        paired = cut(levels[-1].withColumn("next", F.max("r").over(ahead)).where("next is not null"))
+        names = _ranked(paired, "r", "next", "rank")
         if names.isEmpty():
-            return table, k
-        table = paired.join(names, [f"r{k}", "next"], "left").select(*_KEY, "pos", "idx", "w", *[f"r{i}" for i in range(k + 2)])
-        k += 1
+            return positions.drop("r"), levels
+        levels.append(cut(paired.join(names, ["r", "next"]).select(*_KEY, "pos", F.col("rank").alias("r"))))
 
 
 def repeated_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
@@ -68,25 +67,25 @@ def repeated_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     loses its longest common prefix with the first, so runs are deleted to their full length.
     """
     lines = cut(line_table(docs).distinct())
-    table, top = suffix_ranks(lines)
-    ranks = [f"r{i}" for i in range(top + 1)]
+    table, levels = suffix_ranks(lines)
+    top = len(levels) - 1
     doc = Window.partitionBy(*_KEY).orderBy("pos")
     island = F.col("pos") - F.row_number().over(doc)
-    table = cut(table.withColumn("island", island))
     run = Window.partitionBy(*_KEY, "island")
-    table = table.withColumn("before", F.sum("w").over(run.orderBy("pos")) - F.col("w"))
+    rows = table.withColumn("island", island).withColumn("before", F.sum("w").over(run.orderBy("pos")) - F.col("w"))
     near = run.orderBy("before").rangeBetween(0, min_words - 1)
-    seeds = table.withColumn("last", F.max("pos").over(near)).withColumn("words", F.max(F.col("before") + F.col("w")).over(near) - F.col("before")).where(F.col("words") >= min_words)
+    seeds = rows.withColumn("last", F.max("pos").over(near)).withColumn("words", F.max(F.col("before") + F.col("w")).over(near) - F.col("before")).where(F.col("words") >= min_words)
     size = F.col("last") - F.col("pos") + 1
-    # the largest k with 2^k <= size, of the ranks that there are
+    # the largest k with 2^k <= size; a run twice as long as the longest repeated block is not repeated
     level = F.least(F.floor(F.log2(size.cast("double")) + F.lit(1e-9)).cast("int"), F.lit(top))
-    seeds = seeds.withColumn("size", size).withColumn("k", level)
-    # longer runs than twice the longest block that is repeated cannot be repeated
-    seeds = seeds.where(F.col("size") < F.lit(1 << (top + 1)))
-    at_k = F.element_at(F.array(*ranks), F.col("k") + 1)
-    ends = table.select(*_KEY, F.col("pos").alias("tail"), F.array(*ranks).alias("tail_ranks"))
-    seeds = seeds.withColumn("a", at_k).where("a is not null").withColumn("tail", (F.col("last") + 1 - F.expr("cast(shiftleft(1, k) as bigint)")).cast("int"))
-    seeds = seeds.select(*_KEY, "pos", "size", "k", "a", "tail").join(ends, [*_KEY, "tail"]).withColumn("b", F.element_at("tail_ranks", F.col("k") + 1)).where("b is not null").select(*_KEY, "pos", "size", "a", "b")
+    seeds = seeds.select(*_KEY, "pos", "last", size.alias("size"), level.alias("k")).where(F.col("size") < F.lit(2 << top))
+    seeds = seeds.withColumn("tail", (F.col("last") + 1 - F.expr("cast(shiftleft(1, k) as int)")).cast("int"))
+    every = None
+    for k, one in enumerate(levels):
+        one = one.withColumn("k", F.lit(k))
+        every = one if every is None else every.unionByName(one)
+    ends = every.select(*_KEY, F.col("pos").alias("tail"), "k", F.col("r").alias("b"))
+    seeds = seeds.join(every.withColumnRenamed("r", "a"), [*_KEY, "pos", "k"]).join(ends, [*_KEY, "tail", "k"]).select(*_KEY, "pos", "size", "a", "b")
     seeds = cut(seeds)
     firsts = seeds.groupBy("size", "a", "b").agg(F.min(F.struct(*_KEY, "pos")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("size", "a", "b", "f")
     later = seeds.join(firsts, ["size", "a", "b"]).where(F.struct(*_KEY, "pos") != F.col("f")).select(*_KEY, "pos", "size", F.col("f.did").alias("fd"), F.col("f.th").alias("ft"), F.col("f.pos").alias("fp"))
@@ -95,10 +94,9 @@ def repeated_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     goes_on = F.coalesce((after["pos"] == F.col("pos") + 1) & (after["fd"] == F.col("fd")) & (after["ft"] == F.col("ft")) & (after["fp"] == F.col("fp") + 1), F.lit(False))
     later = cut(later.withColumn("goes_on", goes_on))
     reach = later.where(~F.col("goes_on")).select(*_KEY, "pos", "fd", "ft", "fp", F.col("size").cast("int").alias("lcp"))
-    block = table.select(*_KEY, "pos", F.array(*ranks).alias("ranks"))
     for k in range(top, -1, -1):
-        mine = block.select(*_KEY, F.col("pos").alias("p"), F.col("ranks")[k].alias("x"))
-        its = block.select(F.col("did").alias("fd"), F.col("th").alias("ft"), F.col("pos").alias("fq"), F.col("ranks")[k].alias("y"))
+        mine = levels[k].select(*_KEY, F.col("pos").alias("p"), F.col("r").alias("x"))
+        its = levels[k].select(F.col("did").alias("fd"), F.col("th").alias("ft"), F.col("pos").alias("fq"), F.col("r").alias("y"))
         reach = reach.withColumn("p", F.col("pos") + F.col("lcp")).withColumn("fq", F.col("fp") + F.col("lcp")).join(mine, [*_KEY, "p"], "left").join(its, ["fd", "ft", "fq"], "left")
         reach = reach.select(*_KEY, "pos", "fd", "ft", "fp", (F.col("lcp") + F.when(F.col("x") == F.col("y"), 1 << k).otherwise(0)).alias("lcp"))
     spans = later.where("goes_on").select(*_KEY, "pos", (F.col("pos") + F.col("size")).cast("int").alias("end")).unionByName(reach.select(*_KEY, "pos", (F.col("pos") + F.col("lcp")).cast("int").alias("end")))
@@ -106,18 +104,20 @@ def repeated_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     return covered.where("reach > pos").groupBy(*_KEY).agg(F.collect_set("idx").alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = 50, small: int = 1_000_000) -> DataFrame:
     """docs with text_kept, lines_gone and emptied added: the text without lines that repeat an earlier run.
 
     A run counts if it has min_words words at least and lies in one document; it may overlap its source.
     Lines without a word are not compared and stay. emptied: the text had words and has none left (an exact copy).
     Null texts stay null; rows with one id and one text are one document and are treated alike; of rows with one id and
     different texts the one with the smaller text hash is the earlier; null ids are the earliest; no row is dropped.
+    The table of deletions is broadcast only if it has at most `small` lines; else texts are shuffled once to meet it.
     """
     gone = cut(repeated_lines(docs.select("doc_id", "text"), min_words))
+    few = (gone.agg(F.sum(F.size("gone") + 2).alias("n")).first().n or 0) <= small
     docs = docs.drop("text_kept", "lines_gone", "emptied")
     names = docs.columns
-    joined = _key(docs.select(F.struct(*names).alias("_row"), "doc_id", "text")).join(gone, list(_KEY), "left")
+    joined = _key(docs.select(F.struct(*names).alias("_row"), "doc_id", "text")).join(F.broadcast(gone) if few else gone, list(_KEY), "left")
     kept = F.array_join(F.transform(F.filter(F.transform(_lines(F.col("text")), lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: ~F.array_contains("gone", s["i"])), lambda s: s["x"]), "\n")
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept)
     out = joined.select("_row", text.alias("text_kept"), F.coalesce(F.size("gone"), F.lit(0)).alias("lines_gone"))
