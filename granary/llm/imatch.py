@@ -46,23 +46,29 @@ def fingerprint(text: Column, band: Column) -> Column:
     them holds the terms whose random number modulo m is g. Two levels follow from the number of terms, so that a
     sub-lexicon has a few terms of a text of any length; texts of similar length share a level.
     """
-    every = F.array_sort(terms(text))
-    kept = F.filter(every, lambda t: _in_band(band, t))
+    def hashes(own: Column, m: Column, up: int) -> Column:
+        numbered = F.filter(F.transform(own, lambda t: F.struct(F.pmod(F.xxhash64(t, F.lit(up)), m).cast("int").alias("g"), t.alias("t"))), lambda x: x["g"] < GROUPS)
+        # one array for each sub-lexicon, in the order of the terms
+        return let(numbered, lambda n: F.transform(F.sequence(F.lit(0), F.lit(GROUPS - 1)), lambda g: _hash(F.filter(n, lambda x: x["g"] == g))))
 
     def of(own: Column) -> Column:
         level = F.greatest(F.floor(F.ln(F.greatest(F.size(own), F.lit(1)) / F.lit(float(GROUPS))) / F.ln(F.lit(float(STEP))) + F.lit(1e-9)), F.lit(0)).cast("int")
+        both = lambda n: F.concat(let(_groups(n), lambda m: hashes(own, m, 0)), let(_groups(n + 1), lambda m: hashes(own, m, 1)))
+        return let(level, lambda n: F.struct(n.alias("level"), both(n).alias("hashes")))
 
-        def hashes(up: int) -> Column:
-            m = (F.lit(GROUPS) * F.pow(F.lit(float(STEP)), level + up)).cast("long")
-            numbered = F.filter(F.transform(own, lambda t: F.struct(F.pmod(F.xxhash64(t, F.lit(up)), m).alias("g"), t.alias("t"))), lambda x: x["g"] < GROUPS)
-            # one array for each sub-lexicon, in the order of the terms
-            return F.transform(F.sequence(F.lit(0), F.lit(GROUPS - 1)), lambda g: _hash(F.filter(numbered, lambda x: x["g"] == g)))
+    def chosen(every: Column) -> Column:
+        return let(F.filter(every, lambda t: _in_band(band, t)), lambda kept: of(F.when(F.size(kept) > 0, kept).otherwise(every)))
 
-        return F.struct(level.alias("level"), F.concat(hashes(0), hashes(1)).alias("hashes"))
+    return let(F.array_sort(terms(text)), chosen)
 
-    picked = F.when(F.size(kept) > 0, kept).otherwise(every)
-    # a one-element transform names the array, so that it is made once
-    return F.element_at(F.transform(F.array(picked), of), 1)
+
+def let(value: Column, f) -> Column:
+    """f of a value that is worked out once: the only element of an array that a lambda names."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _groups(level: Column) -> Column:
+    return (F.lit(GROUPS) * F.pow(F.lit(float(STEP)), level)).cast("long")
 
 
 def _hash(x: Column) -> Column:
@@ -151,10 +157,14 @@ def edited_likeness(docs: DataFrame, low: float = 0.0005, high: float = 0.08) ->
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text"))
     band = lexicon(rows, "text", low, high).scalar()
-    own = rows.withColumn("_band", band).withColumn("fingerprint", fingerprint(F.col("text"), F.col("_band"))).drop("_band")
+    own = rows.withColumn("_band", band).select("doc_id", "text", F.explode(F.array(fingerprint(F.col("text"), F.col("_band")))).alias("fingerprint"))
     both = with_next(own, ["text", "fingerprint"])
     n = F.length("text")
     part = F.floor(n / 3).cast("int")
-    both = both.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - part), F.substring(F.col("next_text"), F.lit(1), part))).withColumn("_band", band)
-    both = both.select("doc_id", n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", fingerprint(F.col("edited"), F.col("_band")).alias("ef"), "next_fingerprint")
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - part), F.substring(F.col("next_text"), F.lit(1), part))
+    both = both.withColumn("_band", band)
+    of_edited = let(edited, lambda e: F.struct(F.sha2(e.cast("binary"), 256).alias("sha"), fingerprint(e, F.col("_band")).alias("fp")))
+    # one row of an array, so that the parts of the struct are not worked out again for each use
+    both = both.select("doc_id", n.cast("long").alias("n_chars"), "fingerprint", "next_fingerprint", F.explode(F.array(of_edited)).alias("e"))
+    both = both.select("doc_id", "n_chars", F.col("e.sha").alias("edited_sha256"), "fingerprint", F.col("e.fp").alias("ef"), "next_fingerprint")
     return both.select("doc_id", "n_chars", "edited_sha256", written(F.col("fingerprint")).alias("fingerprint"), written(F.col("ef")).alias("edited_fingerprint"), likeness(F.col("fingerprint"), F.col("ef")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))
