@@ -28,13 +28,13 @@ def answer_quality(rows: DataFrame, enabled: bool = True) -> DataFrame:
 def score_of(reply: Column) -> Column:
     """The first number of a reply without its sign, between 0 and 1; 0.5 without one."""
     n = F.regexp_extract(F.coalesce(reply, F.lit("")), r"\d+(\.\d+)?", 0).try_cast("double")
-    return F.coalesce(F.least(F.greatest(n, F.lit(0.0)), F.lit(1.0)), F.lit(0.5))
+    return F.when(n.isNull(), 0.5).otherwise(F.least(n, F.lit(1.0)))
 
 
 def hallucination_of(reply: Column) -> Column:
     """The number after the label of the hallucinated share, else as score_of; 0 without a reply."""
     n = F.regexp_extract(F.coalesce(reply, F.lit("")), r"幻觉比例[:：]\s*(\d+(?:\.\d+)?)", 1).try_cast("double")
-    return F.when(reply.isNull(), 0.0).otherwise(F.coalesce(F.least(n, F.lit(1.0)), score_of(reply)))
+    return F.when(reply.isNull(), 0.0).otherwise(F.when(n.isNotNull(), F.least(n, F.lit(1.0))).otherwise(score_of(reply)))
 
 
 def guarded(call: Callable[[], str | None], tries: int = 3, most: int = 500, delay: float = 0.5, sleep: Callable[[float], None] = time.sleep) -> str | None:

@@ -99,9 +99,9 @@ def distinct_tenants(spark, sf_dir):
     return relational.distinct_scopes(table(spark, sf_dir, "orders"), "o_custkey", "o_orderstatus")
 
 
-@query("scope_prefix", "SELECT page_id, url FROM pages WHERE starts_with(url, 'https://site1')")
+@query("scope_prefix", "SELECT page_id, url FROM pages WHERE starts_with(url, 'https://th')")
 def scope_prefix(spark, sf_dir):
-    return relational.scope_prefix(table(spark, sf_dir, "pages"), "url", "https://site1").select("page_id", "url")
+    return relational.scope_prefix(table(spark, sf_dir, "pages"), "url", "https://th").select("page_id", "url")
 
 
 @query("scoped_recent", "SELECT o_orderkey, o_orderdate FROM orders WHERE o_custkey = 7 AND o_orderstatus = 'O' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 20")
@@ -137,7 +137,7 @@ def _vector(spark, sf_dir, metric):
 
 _IDS = ", ".join(map(str, QUERY_IDS))
 _VEC = f"""q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IN ({_IDS})),
-l2 AS (SELECT * FROM (SELECT query_id, vec_id AS id, round(sqrt(list_sum(list_transform(list_zip(v, embedding::DOUBLE[]), x -> (x[1] - x[2]) * (x[1] - x[2])))), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(sqrt(list_sum(list_transform(list_zip(v, embedding::DOUBLE[]), x -> (x[1] - x[2]) * (x[1] - x[2])))), 6), vec_id) - 1 AS rank FROM q, embeddings WHERE vec_id <> query_id) WHERE rank < {K}),
+l2 AS (SELECT * FROM (SELECT query_id, vec_id AS id, round(sqrt(list_sum(list_transform(list_zip(v, embedding::DOUBLE[]), lambda x: (x[1] - x[2]) * (x[1] - x[2])))), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(sqrt(list_sum(list_transform(list_zip(v, embedding::DOUBLE[]), lambda x: (x[1] - x[2]) * (x[1] - x[2])))), 6), vec_id) - 1 AS rank FROM q, embeddings WHERE vec_id <> query_id) WHERE rank < {K}),
 cos AS (SELECT * FROM (SELECT query_id, vec_id AS id, round(list_cosine_similarity(v, embedding::DOUBLE[]), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(v, embedding::DOUBLE[]), 6) DESC, vec_id) - 1 AS rank FROM q, embeddings WHERE vec_id <> query_id) WHERE rank < {K})"""
 
 
@@ -226,7 +226,7 @@ def weighted_reorder(spark, sf_dir):
     return fuse.weighted_order(_vector(spark, sf_dir, "l2"), 0.4, 0.3).select("query_id", "id", "rank", "position")
 
 
-_SENT = r"list_filter(list_transform(regexp_extract_all(coalesce({t}, ''), '[^。！？；.!?;\n]*[。！？；.!?;\n]|[^。！？；.!?;\n]+$'), s -> regexp_replace(s, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g')), s -> s <> '')"
+_SENT = r"list_filter(list_transform(regexp_extract_all(coalesce({t}, ''), '[^。！？；.!?;\n]*[。！？；.!?;\n]|[^。！？；.!?;\n]+$'), lambda s: regexp_replace(s, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g')), lambda s: s <> '')"
 
 
 @query("sentence_split", f"SELECT doc_id, len(s) AS n, array_to_string(s, chr(31)) AS sentences FROM (SELECT doc_id, {_SENT.format(t='text')} AS s FROM documents)")
@@ -258,7 +258,7 @@ query("chunk_contextual")(_chunk_query(lambda t, s, n: chunk.contextual(t, s, n)
 query("chunk_propositions")(_chunk_query(lambda t, s, n: chunk.propositions(t, n)))
 
 
-@query("paragraph_sections", r"""SELECT doc_id, i - 1 AS position, p AS content FROM (SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\n\n+'), x -> regexp_replace(x, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g')), x -> x <> '') AS ps FROM documents))""")
+@query("paragraph_sections", r"""SELECT doc_id, i - 1 AS position, p AS content FROM (SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\n\n+'), lambda x: regexp_replace(x, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g')), lambda x: x <> '') AS ps FROM documents))""")
 def paragraph_sections(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.paragraphs(F.col("text"))).alias("position", "content"))
     return rows.withColumn("position", F.col("position").cast("long"))
@@ -402,9 +402,9 @@ def memory_consolidate(spark, sf_dir):
     return memory.without_duplicates(store).select(F.col("memory_id").alias("doc_id"), "status")
 
 
-@query("memory_near_pairs", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS sim FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) > 0.9")
+@query("memory_near_pairs", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS sim FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) > 0.35")
 def memory_near_pairs(spark, sf_dir):
-    return memory.near_pairs(_store(spark, sf_dir), ["label"], 0.9).select("a", "b", F.round("sim", 6).alias("sim"))
+    return memory.near_pairs(_store(spark, sf_dir), ["label"], 0.35).select("a", "b", F.round("sim", 6).alias("sim"))
 
 
 @query("chunk_context", "SELECT conv_id, turn, coalesce(substr(lag(text) OVER w, 1, 200), '') || CASE WHEN lead(text) OVER w IS NOT NULL THEN ' ... ' || substr(lead(text) OVER w, 1, 200) ELSE '' END AS context FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
