@@ -64,7 +64,8 @@ def repeated_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     Earlier means a smaller (id, text hash, position). From each position the shortest run of lines with min_words
     words is taken. Its name, by suffix_ranks, is the ranks of its first and its last 2^k lines. Positions with one
     name form an interval of the suffix array; the first of them stays, and every other one
-    loses its longest common prefix with the first, so runs are deleted to their full length.
+    loses its longest common prefix with the first, so runs are deleted to their full length. A document with the text of an
+    earlier one (and min_words words) loses all lines.
     """
     lines = cut(line_table(docs).distinct())
     table, levels = suffix_ranks(lines)
@@ -100,6 +101,12 @@ def repeated_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
         reach = reach.withColumn("p", F.col("pos") + F.col("lcp")).withColumn("fq", F.col("fp") + F.col("lcp")).join(mine, [*_KEY, "p"], "left").join(its, ["fd", "ft", "fq"], "left")
         reach = reach.select(*_KEY, "pos", "fd", "ft", "fp", (F.col("lcp") + F.when(F.col("x") == F.col("y"), 1 << k).otherwise(0)).alias("lcp"))
     spans = later.where("goes_on").select(*_KEY, "pos", (F.col("pos") + F.col("size")).cast("int").alias("end")).unionByName(reach.select(*_KEY, "pos", (F.col("pos") + F.col("lcp")).cast("int").alias("end")))
+    # a document with the text of an earlier one repeats it to its end, wherever its parts occurred first
+    whole = lines.groupBy(*_KEY).agg(F.sum("w").alias("words"), F.count(F.lit(1)).cast("int").alias("n")).where(F.col("words") >= min_words)
+    earliest = whole.groupBy("th", "words", "n").agg(F.min("did").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    copies = whole.join(earliest, ["th", "words", "n"]).where("did <> first")
+    spans = spans.unionByName(copies.select(*_KEY, F.lit(0).alias("pos"), F.col("n").alias("end")))
+    spans = spans.groupBy(*_KEY, "pos").agg(F.max("end").alias("end"))
     covered = table.select(*_KEY, "pos", "idx").join(spans, [*_KEY, "pos"], "left").withColumn("reach", F.max("end").over(doc.rowsBetween(Window.unboundedPreceding, 0)))
     return covered.where("reach > pos").groupBy(*_KEY).agg(F.collect_set("idx").alias("gone"))
 

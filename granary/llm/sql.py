@@ -35,7 +35,8 @@ f AS (SELECT doc_id, pos, first_value(doc_id) OVER w AS fd, first_value(pos) OVE
 later AS (SELECT * FROM f WHERE doc_id <> fd OR pos <> fp),
 step AS (SELECT t.doc_id, t.pos, a.pos AS place, b.line IS DISTINCT FROM a.line AS differs FROM later t JOIN l a ON a.doc_id = t.doc_id AND a.pos >= t.pos LEFT JOIN l b ON b.doc_id = t.fd AND b.pos = a.pos - t.pos + t.fp),
 stop AS (SELECT doc_id, pos, coalesce(min(place) FILTER (WHERE differs), max(place) + 1) AS stop FROM step GROUP BY ALL),
-gone AS (SELECT DISTINCT l.doc_id, l.idx FROM stop s JOIN l ON l.doc_id = s.doc_id AND l.pos >= s.pos AND l.pos < s.stop),
+copy AS (SELECT doc_id FROM (SELECT d.doc_id, min(d.doc_id) OVER (PARTITION BY d.text) AS first, n.n FROM {table} d JOIN (SELECT doc_id, sum(w) AS n FROM l GROUP BY doc_id) n USING (doc_id)) WHERE doc_id <> first AND n >= 50),
+gone AS (SELECT DISTINCT l.doc_id, l.idx FROM stop s JOIN l ON l.doc_id = s.doc_id AND l.pos >= s.pos AND l.pos < s.stop UNION SELECT l.doc_id, l.idx FROM copy JOIN l USING (doc_id)),
 left_over AS (SELECT r.doc_id, coalesce(string_agg(r.line, chr(10) ORDER BY r.idx) FILTER (WHERE g.idx IS NULL), '') AS text_kept, count(g.idx) AS lines_gone FROM raw r LEFT JOIN gone g ON g.doc_id = r.doc_id AND g.idx = r.idx GROUP BY r.doc_id)
 """
 ORACLE["op3_line_dedup"] = "WITH " + _LINES.format(table="documents") + r"SELECT doc_id, lines_gone, text_kept, lines_gone > 0 AND NOT regexp_matches(text_kept, '[^\x20\x09-\x0D]') AS emptied FROM left_over"
