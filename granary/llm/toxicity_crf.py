@@ -136,7 +136,7 @@ class Tagger:
         Sequences are the surroundings of toxic tokens and, of the other text, as many pieces again
         and more, so training time depends on the sample's size only.
         """
-        seen = Parts()
+        seen = Parts(full=100_000)
         marks = token_labels(docs, y, seen)
         rng, shift = np.random.default_rng(seed), 64 - self.bits
         pieces: list[tuple[list[bytes], np.ndarray]] = []
@@ -181,7 +181,8 @@ class Tagger:
             self.w -= rate * (dw * n / 50) / np.sqrt(g_w)
             self.edge -= rate * (de * n / 50) / np.sqrt(g_e)
             self.start -= rate * (ds * n / 50) / np.sqrt(g_s)
-        x = np.array([self.summary(p) for p in self.marginals(docs)])
+        own = Parts(self.emission(), full=100_000)
+        x = np.array([self.summary(p) for i in range(0, len(docs), 200) for p in self.marginals(docs[i : i + 200], own)])
         self.calibrate(x, y.astype(float))
         return self
 
@@ -245,14 +246,14 @@ def spans(text: bytes, p: np.ndarray, least: float = 0.5) -> list[tuple[int, int
     return [(s, e) for s, e, _ in out]
 
 
-def fit_tagger(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 6000, bits: int = 16) -> Tagger:
+def fit_tagger(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 4000, bits: int = 16) -> Tagger:
     """A tagger fitted on at most `most` labelled documents; without any it scores by its starting weights."""
     rows = labelled(docs, labels, label, most).orderBy("doc_id").toPandas()
     texts = [t.encode().split() for t in rows.text]
     return Tagger(bits).fit(texts, rows.y.to_numpy().astype(int)) if len(rows) else Tagger(bits)
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 6000, threshold: float = 0.7, bits: int = 16) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 4000, threshold: float = 0.7, bits: int = 16) -> DataFrame:
     """(doc_id, held_out, score, predicted, spans) of every row of docs.
 
     spans: [(start, end)] in code points, of the tokens that the field marks. Labels are learnt from at
@@ -268,7 +269,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", mo
         seen = Parts(tagger.emission())
         for b in batches:
             texts = texts_of(b.column(2))
-            for i, j in slices(texts):
+            for i, j in slices(texts, 2_000_000):
                 found = tagger.marginals([t.split() for t in texts[i:j]], seen)
                 where = [[{"start": s, "end": e} for s, e in spans(t, p)] for t, p in zip(texts[i:j], found, strict=True)]
                 yield batch(schema, [b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), [tagger.score(p) for p in found], where])
