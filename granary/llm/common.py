@@ -41,7 +41,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def word_array(text: Column) -> Column:
     """The words of a text, null as empty, by Spark's own functions."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
 def word_count(text: Column) -> Column:

@@ -32,7 +32,7 @@ def lexicon(docs: DataFrame, text_col: str = "text", low: float = 0.0005, high:
     inside = (F.col("c") > 0) & (F.col("c") >= F.col("n") * F.lit(low)) & (F.col("c") <= F.col("n") * F.lit(high))
     bits = known.select((F.col("slot") / 64).cast("int").alias("at"), F.when(inside, F.expr("shiftleft(1L, slot % 64)")).otherwise(F.lit(0)).alias("bit"))
     words = bits.groupBy("at").agg(F.bit_or("bit").alias("bits"))
-    return cut(words.groupBy().agg(F.array_sort(F.collect_list(F.struct("at", "bits"))).alias("w")).select(F.transform("w", lambda x: x["bits"]).alias("lexicon")))
+    return cut(words.groupBy().agg(F.sort_array(F.collect_list(F.struct("at", "bits"))).alias("w")).select(F.transform("w", lambda x: x["bits"]).alias("lexicon")))
 
 
 def _in_band(band: Column, slot: Column) -> Column:
@@ -59,7 +59,7 @@ def fingerprint(text: Column, band: Column) -> Column:
     def chosen(every: Column) -> Column:
         return let(F.filter(every, lambda t: _in_band(band, t)), lambda kept: of(F.when(F.size(kept) > 0, kept).otherwise(every)))
 
-    return let(F.array_sort(terms(text)), chosen)
+    return let(F.sort_array(terms(text)), chosen)
 
 
 def let(value: Column, f) -> Column:
