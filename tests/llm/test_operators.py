@@ -433,6 +433,50 @@ def test_contamination_recall_and_precision(spark):
     assert {r.doc_id for r in kept.collect()} == set(range(300)) - {i for i, _ in got} and kept.columns == DOCS.replace(" long", "").replace(" string", "").split(", ")
 
 
+def brute_contamination(items, texts):
+    """Every pair that passes the verification, over all windows of all texts."""
+    out = set()
+    for j, it in enumerate(items):
+        x, last = contamination.plain(it.encode()).split(), contamination.answer(it.encode())
+        for i, t in enumerate(texts):
+            own = contamination.plain(t.encode()).split()
+            for a in range(0, max(1, len(own) - len(x)), 8):
+                w = own[a : a + len(x) + 24]
+                share = contamination.lcs(x, w) / len(x)
+                if share >= 0.75 or (share >= 0.55 and contamination.contains(w, last)):
+                    out.add((i, j))
+                    break
+    return out
+
+
+def test_contamination_finds_all_paraphrases(spark):
+    rng = random.Random(11)
+    common = [f"c{i}" for i in range(60)]
+    say = lambda n: [rng.choice(common) if rng.random() < 0.6 else f"r{rng.randrange(3000)}" for _ in range(n)]
+    items = [" ".join(say(rng.randrange(14, 60))) + ". " + " ".join(say(4)) + "." for _ in range(20)]
+    texts = []
+    for i in range(240):
+        own = items[i % 20].split()
+        for at in rng.sample(range(len(own) - 4), int((len(own) - 4) * (i % 6) * 0.08)):
+            own[at] = rng.choice(common)
+        w = say(rng.randrange(20, 200))
+        at = rng.randrange(len(w))
+        texts.append(" ".join(w[:at] + own + w[at:]))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in contamination.contaminated(frame(spark, texts), bench).collect()}
+    want = brute_contamination(items, texts)
+    assert len(want) >= 200 and got == want
+
+
+def test_rare_words_in_halves(spark, monkeypatch):
+    items = [(i, f"same words in all of these items number {i} of many".encode()) for i in range(9)]
+    texts = [b"before " + t + b" after" for _, t in items] + [b"", b"nothing of this"]
+    find = lambda: {(d, j): (g, n) for d, j, g, n, _ in contamination.Searcher(items, np.zeros((1 << 8, 4), np.float32), np.ones(1 << 8), 8, 0.55, 0.75, 0.55).search(texts, tokens.Tokeniser())}
+    whole = find()
+    monkeypatch.setattr(contamination, "PAIRS", 10)
+    assert find() == whole and all(whole[i, i] == (11, 11) for i in range(9))
+
+
 def test_contamination_edges(spark):
     bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten"), (2, None), (3, "")], "item_id long, text string")
     got = contamination.contaminated(frame(spark, [*EDGES, "say One, two THREE four five six seven eight nine ten!"]), bench).collect()
