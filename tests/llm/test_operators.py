@@ -468,6 +468,16 @@ def test_contamination_finds_all_paraphrases(spark):
     assert len(want) >= 200 and got == want
 
 
+def test_contamination_of_long_items():
+    rng = random.Random(17)
+    items = [" ".join(words(rng, n, 3000)).encode() for n in (100, 200, 400, 900)]
+    texts = [" ".join(words(rng, 300, 3000)).encode() + b" " + t + b" " + " ".join(words(rng, 77, 3000)).encode() for t in items]
+    find = contamination.Searcher(list(enumerate(items)), np.random.default_rng(2).normal(size=(1 << 10, 48)), np.ones(1 << 10), 10, 0.55, 0.75, 0.55)
+    # passages grow with the items, and a copy is found and counted whole
+    assert {size: own.tolist() for size, own, _ in find.scales if len(own)} == {16: [0], 32: [1], 64: [2], 128: [3]}
+    assert [(d, j, g) for d, j, g, _, _ in sorted(find.search(texts, tokens.Tokeniser()))] == [(i, i, n) for i, n in enumerate((100, 200, 400, 900))]
+
+
 def test_rare_words_in_halves(spark, monkeypatch):
     items = [(i, f"same words in all of these items number {i} of many".encode()) for i in range(9)]
     texts = [b"before " + t + b" after" for _, t in items] + [b"", b"nothing of this"]
