@@ -22,8 +22,8 @@ class Vocabulary:
 
     codes, counts: the most frequent words (as codes of tokens.Tokeniser) with their counts, the first `own` of them
     have a class of their own; other words share a class by their first three bytes. rest[c] = (tokens, distinct words) of
-    class c among the words that are not listed: such a word gets an equal share of the class's rest, a word that the
-    corpus has not seen the share of one more word.
+    class c among the words that are not listed: such a word gets an equal share of the class's rest here, which rare_gains
+    turns into its own share from the table of all counts; a word that the corpus has not seen keeps the share of one more word.
     """
 
     def __init__(self, codes: np.ndarray, counts: np.ndarray, shared: np.ndarray, own: int, rest: np.ndarray, classes: int):
@@ -35,7 +35,8 @@ class Vocabulary:
         order = np.argsort(codes)
         self.codes, self.where = codes[order], where[order]
         self.log = np.log(counts / total[where])[order]
-        self.other = np.log((rest[:, 0] + 1.0) / (rest[:, 1] + 1.0) / total)
+        self.equal = np.log((rest[:, 0] + 1.0) / (rest[:, 1] + 1.0))
+        self.other = self.equal - np.log(total)
         self.unigram = np.log(total / total.sum())
 
     def entries(self, texts: list[bytes], tokens: Tokeniser, own: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -113,13 +114,14 @@ class Network:
             z[np.arange(n), t] -= 1
             z /= np.float32(np.sqrt(n))
             dh = (z @ self.w.T) * (1 - h * h)
-            hot = np.zeros((n, self.classes + 1), np.float32)
-            grads = []
+            grads = np.zeros_like(self.e)
             for p in range(len(WINDOW)):
-                hot[:] = 0
-                hot[np.arange(n), a[:, p]] = 1
-                grads.append(hot.T @ dh)
-            for name, g, s in zip(("e", "b", "w", "u"), (np.stack(grads), dh.sum(0), h.T @ z, z.sum(0)), state, strict=True):
+                # the rows of dh are summed by the class at this place
+                order = np.argsort(a[:, p], kind="stable")
+                own = a[order, p]
+                first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+                grads[p, own[first]] = np.add.reduceat(dh[order], first, axis=0)
+            for name, g, s in zip(("e", "b", "w", "u"), (grads, dh.sum(0), h.T @ z, z.sum(0)), state, strict=True):
                 s += g * g
                 getattr(self, name)[...] -= rate * g / np.sqrt(s)
 
@@ -145,7 +147,11 @@ def count_words(docs: DataFrame, own: int, classes: int) -> DataFrame:
 
 def fit_vocabulary(docs: DataFrame, classes: int, own: int, listed: int) -> Vocabulary:
     """From the counts of all words of the corpus; what comes to the driver is `listed` words and `classes` sums."""
-    counts = cut(count_words(docs, own, classes))
+    return vocabulary_of(cut(count_words(docs, own, classes)), classes, own, listed)
+
+
+def vocabulary_of(counts: DataFrame, classes: int, own: int, listed: int) -> Vocabulary:
+    """fit_vocabulary from the table of all counts."""
     top = counts.orderBy(F.desc("n"), "code").limit(listed).toPandas()
     rest = np.zeros((classes, 2))
     if len(top):
@@ -156,8 +162,34 @@ def fit_vocabulary(docs: DataFrame, classes: int, own: int, listed: int) -> Voca
     return Vocabulary(top.code.to_numpy(np.int64).view(np.uint64), top.n.to_numpy(float), top.shared.to_numpy(np.int64), own, rest, classes)
 
 
+def rare_gains(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(key, gain) by the hash of a text: what its words that are not listed have over equal shares, by their own counts.
+
+    The counts stay a table that is joined by the word's code; words that would be hot keys are listed.
+    """
+    schema = pa.schema([("key", pa.int64()), ("code", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = Tokeniser()
+        for b in batches:
+            keys, texts = b.column(0).to_numpy(zero_copy_only=False), texts_of(b.column(1))
+            for i, j in slices(texts, 1_000_000):
+                codes, bounds, _ = tokens.codes(texts[i:j])
+                rare = np.ones(len(codes), bool)
+                if len(vocabulary.codes) and len(codes):
+                    rare = vocabulary.codes[np.minimum(np.searchsorted(vocabulary.codes, codes), len(vocabulary.codes) - 1)] != codes
+                yield batch(schema, [np.repeat(keys[i:j], np.diff(bounds))[rare], codes[rare].view(np.int64)])
+
+    keyed = docs.where("text is not null").select(F.xxhash64("text").alias("key"), "text")
+    equal = F.array(*[F.lit(float(x)) for x in vocabulary.equal])
+    gain = counts.select("code", (F.log("n") - F.get(equal, F.col("shared"))).alias("gain"))
+    summed = keyed.mapInArrow(run, "key long, code long").join(gain, "code").groupBy("key").agg(F.sum("gain").alias("gain"))
+    # copies of a text have summed theirs into one row
+    return summed.join(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("copies")), "key").select("key", (F.col("gain") / F.col("copies")).alias("gain"))
+
+
 def fit_network(docs: DataFrame, vocabulary: Vocabulary, own: int, hidden: int, stride: int, warm: int, seed: int = 13) -> Network:
-    """A network trained on every document: every `stride`-th token of each is a training target.
+    """A network trained on every document: every `stride`-th token of each is a training target (1: all tokens).
 
     It starts from a network trained on about `warm` documents. Each task then trains a copy on its own
     documents, and the copies' weights are averaged by their numbers of targets, in two steps, so that
@@ -210,25 +242,27 @@ def score_texts(texts: list[bytes], network: Network, vocabulary: Vocabulary, to
     return np.diff(bounds), p[bounds[1:]] - p[bounds[:-1]]
 
 
-def pseudo_likelihood(docs: DataFrame, classes: int = 128, own: int = 96, listed: int = 20_000, hidden: int = 32, stride: int = 4, warm: int = 800) -> DataFrame:
+def pseudo_likelihood(docs: DataFrame, classes: int = 128, own: int = 96, listed: int = 20_000, hidden: int = 32, stride: int = 1, warm: int = 800) -> DataFrame:
     """(doc_id, n_tokens, pll, pll_mean) of every row of docs.
 
     pll is the sum over all tokens of ln P(class | two tokens on either side) + ln P(token | class): the first by
-    a network trained here on the corpus, the second from counts over all of it. pll_mean is per token.
+    a network trained here on all tokens of the corpus, the second from the counts of all words over all of it. pll_mean is per token.
     Null or empty texts have no tokens: pll 0 and a null mean. Repeated rows are scored alike; a null id is
     returned as it is; other columns are ignored. Words are compared in lower case (A-Z).
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    vocabulary = fit_vocabulary(rows, classes, own, listed)
+    counts = cut(count_words(rows, own, classes))
+    vocabulary = vocabulary_of(counts, classes, own, listed)
     network = fit_network(rows, vocabulary, own, hidden, stride, warm)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("pll", pa.float64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n_tokens", pa.int64()), ("pll", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokeniser()
         for b in batches:
-            texts = texts_of(b.column(1))
+            texts = texts_of(b.column(2))
             for i, j in slices(texts, 1_000_000):
-                yield batch(schema, [b.column(0).slice(i, j - i), *score_texts(texts[i:j], network, vocabulary, tokens, own)])
+                yield batch(schema, [b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), *score_texts(texts[i:j], network, vocabulary, tokens, own)])
 
-    scored = rows.mapInArrow(run, "doc_id long, n_tokens long, pll double")
+    scored = rows.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(run, "doc_id long, key long, n_tokens long, pll double")
+    scored = scored.join(rare_gains(rows, counts, vocabulary), "key", "left").select("doc_id", "n_tokens", (F.col("pll") + F.coalesce("gain", F.lit(0.0))).alias("pll"))
     return scored.withColumn("pll_mean", F.when(F.col("n_tokens") > 0, F.col("pll") / F.col("n_tokens")))

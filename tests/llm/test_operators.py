@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import inspect
 import random
 import re
 from collections import Counter, defaultdict
@@ -388,6 +389,18 @@ def test_pseudo_likelihood_by_hand(spark):
     assert pseudo_lm.pseudo_likelihood(docs.limit(0)).count() == 0
 
 
+def test_words_that_are_not_listed_have_their_own_counts(spark):
+    rng = random.Random(8)
+    texts = [" ".join(f"x{int(60 * rng.random() ** 2)}" for _ in range(rng.randrange(5, 40))) for _ in range(80)]
+    docs = frame(spark, [*texts, *texts[:10], *EDGES])
+    few, all_ = ({r.doc_id: r.pll for r in pseudo_lm.pseudo_likelihood(docs, 16, 8, listed, 8, warm=50).collect()} for listed in (10, 10_000))
+    assert len(few) == 98 and few == pytest.approx(all_, abs=1e-3)
+
+
+def test_every_token_is_a_target():
+    assert inspect.signature(pseudo_lm.pseudo_likelihood).parameters["stride"].default == 1
+
+
 def test_word_shares_sum_to_one(spark):
     texts = ["a a b c", "a d"]
     voc = pseudo_lm.fit_vocabulary(frame(spark, texts), 6, 2, 3)
