@@ -7,36 +7,40 @@ from pyspark.sql import functions as F
 
 from .common import cut, word_array
 
-#: Terms are hashed to so many slots, so the lexicon has a fixed size whatever the corpus.
-SLOTS = 1 << 16
+#: The lexicon's terms are looked up in so many buckets.
+BUCKETS = 1 << 13
 #: Sub-lexicons of a level, and the factor by which the next level has more.
 GROUPS, STEP = 16, 4
 
 
 def terms(text: Column) -> Column:
-    """The distinct terms of a text: slots of its lower-cased words."""
-    return F.array_distinct(F.transform(word_array(F.lower(text)), lambda w: F.pmod(F.xxhash64(w), F.lit(SLOTS)).cast("int")))
+    """The distinct terms of a text: 64-bit hashes of its lower-cased words."""
+    return F.array_distinct(F.transform(word_array(F.lower(text)), lambda w: F.xxhash64(w)))
 
 
 def lexicon(docs: DataFrame, text_col: str = "text", low: float = 0.0005, high: float = 0.08) -> DataFrame:
-    """One row with one array of 64-bit words: a bit for each slot, set if its document frequency lies in the band.
+    """One row with the terms whose document frequency lies in the band, in an array of BUCKETS arrays.
 
     low and high are shares of all documents (idf from ln(1/high) to ln(1/low)); frequencies are counted
-    over all documents, empty ones included. At least one document must have the term.
+    for each term over all documents, empty ones included. At least one document must have the term. Texts with t distinct
+    terms on average have at most t / low terms in the band, so the row's size does not grow with the corpus.
     """
-    count = docs.select(F.explode(terms(F.col(text_col))).alias("slot")).groupBy("slot").count()
+    count = docs.select(F.explode(terms(F.col(text_col))).alias("term")).groupBy("term").count()
     total = docs.select(F.count(F.lit(1)).alias("n"))
-    slots = docs.sparkSession.range(SLOTS).select(F.col("id").cast("int").alias("slot"))
-    # two tables of at most SLOTS rows and one row
-    known = slots.join(count, "slot", "left").select("slot", F.coalesce("count", F.lit(0)).alias("c"), total.scalar().alias("n"))
-    inside = (F.col("c") > 0) & (F.col("c") >= F.col("n") * F.lit(low)) & (F.col("c") <= F.col("n") * F.lit(high))
-    bits = known.select((F.col("slot") / 64).cast("int").alias("at"), F.when(inside, F.expr("shiftleft(1L, slot % 64)")).otherwise(F.lit(0)).alias("bit"))
-    words = bits.groupBy("at").agg(F.bit_or("bit").alias("bits"))
-    return cut(words.groupBy().agg(F.sort_array(F.collect_list(F.struct("at", "bits"))).alias("w")).select(F.transform("w", lambda x: x["bits"]).alias("lexicon")))
+    known = count.withColumn("n", total.scalar())
+    inside = known.where((F.col("count") >= F.col("n") * F.lit(low)) & (F.col("count") <= F.col("n") * F.lit(high)))
+    own = inside.groupBy(_bucket(F.col("term")).alias("at")).agg(F.sort_array(F.collect_list("term")).alias("terms"))
+    every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("at"))
+    rows = every.join(own, "at", "left").select("at", F.coalesce("terms", F.array().cast("array<long>")).alias("terms"))
+    return cut(rows.groupBy().agg(F.sort_array(F.collect_list(F.struct("at", "terms"))).alias("w")).select(F.transform("w", lambda x: x["terms"]).alias("lexicon")))
 
 
-def _in_band(band: Column, slot: Column) -> Column:
-    return F.call_function("shiftright", F.get(band, F.call_function("shiftright", slot, F.lit(6))), slot.bitwiseAND(63)).bitwiseAND(F.lit(1)) == 1
+def _bucket(term: Column) -> Column:
+    return F.pmod(term, F.lit(BUCKETS)).cast("int")
+
+
+def _in_band(band: Column, term: Column) -> Column:
+    return F.array_contains(F.get(band, _bucket(term)), term)
 
 
 def fingerprint(text: Column, band: Column) -> Column:

@@ -222,6 +222,13 @@ def test_fingerprints_tell_edits_from_strangers(spark):
     assert imatch.imatch(frame(spark, [])).count() == 0
 
 
+def test_terms_outside_the_band_do_not_count(spark):
+    # 160,000 words that one document of 20 has each, and ten that eight or all documents have
+    texts = [" ".join([f"r{i}x{j}" for j in range(8000)] + [f"b{j}" for j in range(10) if i < 8 or j < 3]) for i in range(20)]
+    got = {r.doc_id: r.fingerprint for r in imatch.imatch(frame(spark, texts), low=0.1, high=0.5).collect()}
+    assert all(got[i] == got[0] for i in range(8)) and got[0].level == 0 and any(h is not None for h in got[0].hashes)
+
+
 KINDS = ("email", "ip", "card", "phone")
 
 
