@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .retrieve import beside
+
 
 def chunk_context(chunks: DataFrame, doc: str, order: str, text: str, n: int = 200) -> DataFrame:
     """chunks with context: n characters of the chunk before, and after ' ... ' n of the one behind."""
@@ -83,9 +85,10 @@ def by_type(entities: DataFrame, kind: str, limit: int) -> DataFrame:
 def text_matches(entities: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, entity_id, rank): entities whose name contains the whole query, then those that contain a word of it longer than one letter.
 
-    An entity stands at its first match; words in order, then ids.
+    An entity stands at its first match; words in order, then ids. More queries than retrieve.MOST_QUERIES are an error (see
+    retrieve.in_blocks).
     """
-    q = F.broadcast(queries.limit(4096))
+    q = beside(queries)
     words = F.filter(F.split(F.col("text"), r"\s+"), lambda w: F.length(w) > 1)
     asked = q.select("query_id", F.posexplode(F.concat(F.array("text"), words)).alias("at", "word")).where("word <> ''")
     hits = entities.select("entity_id", "name").join(F.broadcast(asked), F.contains(F.col("name"), F.col("word")))

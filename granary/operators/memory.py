@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import digest, unfenced
-from .retrieve import cosine
+from .retrieve import beside, cosine
 
 # Kinds of memories.
 TYPES = ("FACT", "PREFERENCE", "DECISION", "EPISODE", "KNOWLEDGE")
@@ -70,8 +70,9 @@ def recall(store: DataFrame, queries: DataFrame, now: Column, limit: int = 10, s
     """(query_id, memory_id, semantic, recency, composite, rank): what queries (query_id, query_vec) recall from active rows.
 
     The `limit * overfetch` most similar rows are scored; those under either limit go, whatever the other says.
+    More queries than retrieve.MOST_QUERIES are an error; retrieve.in_blocks takes any number.
     """
-    rows = store.where("status = 1").join(F.broadcast(queries.limit(4096))).withColumn("semantic", cosine(F.col("embedding"), F.col("query_vec")))
+    rows = store.where("status = 1").join(beside(queries)).withColumn("semantic", cosine(F.col("embedding"), F.col("query_vec")))
     w = Window.partitionBy("query_id").orderBy(F.desc("semantic"), "memory_id")
     near = rows.withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= limit * overfetch)
     near = near.withColumn("recency", recency(F.col("created_at"), now, half_life))

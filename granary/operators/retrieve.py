@@ -26,7 +26,8 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(same, F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))))
 
 
-def _beside(queries: DataFrame) -> DataFrame:
+def beside(queries: DataFrame) -> DataFrame:
+    """queries, broadcast; over MOST_QUERIES of them are an error."""
     n = queries.limit(MOST_QUERIES + 1).count()
     if n > MOST_QUERIES:
         raise ValueError(f"over {MOST_QUERIES} queries: search them in blocks (see in_blocks)")
@@ -57,7 +58,7 @@ def vector_search(corpus: DataFrame, queries: DataFrame, k: int = 10, metric: st
     The score is the distance for l2 (smaller is better), the similarity for cosine; rows whose vector is null have none.
     The query set is bounded and goes to every task; scope filters belong on corpus and are pushed to its scan.
     """
-    pairs = corpus.select(F.col(id_col).alias("id"), F.col(vec_col).alias("_v")).where("_v is not null").join(_beside(queries.select("query_id", "query_vec")))
+    pairs = corpus.select(F.col(id_col).alias("id"), F.col(vec_col).alias("_v")).where("_v is not null").join(beside(queries.select("query_id", "query_vec")))
     if skip_self:
         pairs = pairs.where("id <> query_id")
     score = l2(F.col("_v"), F.col("query_vec")) if metric == "l2" else cosine(F.col("_v"), F.col("query_vec"))
@@ -79,7 +80,7 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float =
     stats = own.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("words")).alias("mean"))
     terms = queries.select("query_id", F.explode(F.array_distinct(analysed(F.col("text")))).alias("term"))
     wanted = terms.select("term").distinct()
-    postings = own.select("id", F.size("words").alias("dl"), F.explode("words").alias("term")).join(_beside(wanted) if _few(wanted) else wanted, "term")
+    postings = own.select("id", F.size("words").alias("dl"), F.explode("words").alias("term")).join(beside(wanted) if _few(wanted) else wanted, "term")
     tf = postings.groupBy("id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))

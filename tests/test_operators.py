@@ -353,3 +353,16 @@ def test_stream_equals_batch(spark, tmp_path):
     spark.createDataFrame([(4, "Three."), (5, "Four.")], "doc_id long, text string").repartition(1).write.mode("append").parquet(src)
     start_ingest(document_stream(spark, src, "doc_id long, text string"), str(tmp_path / "store"), str(tmp_path / "cp"), lambda t, s, n: chunk.semantic(t, s, n, 100, 0)).awaitTermination(60)
     assert sorted(r.doc_id for r in spark.read.parquet(str(tmp_path / "store" / "documents")).collect()) == [1, 3, 5]
+
+
+def test_too_many_queries_are_an_error(spark):
+    many = spark.range(4097).select(F.col("id").alias("query_id"), F.lit("alpha").alias("text"), F.array(F.lit(1.0)).alias("query_vec"))
+    ents = spark.createDataFrame([(1, "alpha")], "entity_id long, name string")
+    store = spark.createDataFrame([(1, 1, [1.0], dt.datetime(2024, 2, 1), 0.5)], "memory_id long, status int, embedding array<double>, created_at timestamp_ntz, importance double")
+    now = F.lit("2024-02-01 01:00:00").cast("timestamp_ntz")
+    recall = lambda q: memory.recall(store, q, now)
+    matches = lambda q: graph.text_matches(ents, q, 5)
+    for search in (recall, matches):
+        with pytest.raises(ValueError, match="in blocks"):
+            search(many)
+        assert retrieve.in_blocks(many, search).count() == 4097
