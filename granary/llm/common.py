@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterable, Iterator
 
@@ -21,11 +22,15 @@ _U = np.uint64
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: the one that the session names in spark.checkpoint.dir.
 
-    Only where that is unset (tests, a single machine) a temporary folder is made and set.
+    Where that is unset and driver and executors are one process (local mode) a temporary folder is made and set; on a
+    cluster without it this is an error, as no folder of one machine would do.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="granary-checkpoint-"))
+        own = sc.getConf().get("spark.checkpoint.dir")
+        if own is None and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(own or tempfile.mkdtemp(prefix="granary-checkpoint-"))
     return sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
 
 
@@ -35,6 +40,50 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def checkpoints(spark: SparkSession) -> set[str]:
+    """The checkpoints that this application has written and not deleted."""
+    folder = spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        return set()
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return {f.getPath().toString() for f in fs.listStatus(path)} if fs.exists(path) else set()
+
+
+def delete(spark: SparkSession, paths) -> None:
+    """Deletes folders of the shared folder that nothing reads any more."""
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def beside(df: DataFrame, small: int = 100_000) -> DataFrame:
+    """df, marked for a broadcast if it has at most `small` rows; else Spark shuffles it."""
+    return F.broadcast(df) if df.limit(small + 1).count() <= small else df
+
+
+def join_unique(rows: DataFrame, keyed: DataFrame, on: list[str], how: str = "inner", small: int = 100_000, share: int = 1000, least: int = 10_000) -> DataFrame:
+    """rows joined to keyed, which has one row a key, whatever share of rows one key holds.
+
+    A small table is broadcast. Else keys with a `share`-th of all rows (`least` rows at any rate) are told apart: they are at most `share`
+    keys, so their part of keyed is broadcast, and only keys with fewer rows meet in a shuffle. No row is lost. rows is read several times.
+    """
+    if keyed.limit(small + 1).count() <= small:
+        return rows.join(F.broadcast(keyed), on, how)
+    total = rows.count()
+    hot = cut(rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= max(least, total // share)).select(*on))
+    if hot.isEmpty():
+        return rows.join(keyed, on, how)
+    few = F.broadcast(hot)
+    apart = rows.join(few, on, "left_semi").join(F.broadcast(keyed.join(few, on, "left_semi")), on, how)
+    return rows.join(few, on, "left_anti").join(keyed, on, how).unionByName(apart)
+
+
+def let(value: Column, f) -> Column:
+    """f of a value that is worked out once: the only element of an array that a lambda names."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

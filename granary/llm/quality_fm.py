@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch, slices, texts_of
-from .sample import held_out, labelled
+from .sample import fitted, held_out, labelled
 
 _EDGE = b".,;:!?\"'()[]{}*#$%&|<>=-_"
 _NAMES = ("upper", "lower", "digit", "blank", "line", "bar", "symbol", "bang", "point", "other")
@@ -150,12 +150,12 @@ class FactorisationMachine:
         return self
 
 
-_FEATURES = "doc_id long, y int, bucket array<int>, value array<double>, dense array<double>"
+_FEATURES = "doc_id long, y int, bucket array<int>, value array<float>, dense array<double>"
 _SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64())])
 
 
 def _featurise(bits: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("bucket", pa.list_(pa.int32())), ("value", pa.list_(pa.float64())), ("dense", pa.list_(pa.float64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("bucket", pa.list_(pa.int32())), ("value", pa.list_(pa.float32())), ("dense", pa.list_(pa.float64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets = _Buckets(bits)
@@ -172,14 +172,21 @@ def _featurise(bits: int):
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = 6000, bits: int = 13, rank: int = 8) -> FactorisationMachine:
     """A machine fitted on at most `most` labelled documents; without labelled documents it scores 0.5."""
     sample = labelled(docs, labels, label, most).select("doc_id", "y", "text", F.length("text").cast("long").alias("said"))
-    rows = sample.mapInArrow(_featurise(bits), _FEATURES).orderBy("doc_id").toPandas()
-    width = len(rows.dense.iloc[0]) if len(rows) else features([b""], [0], bits, _Buckets(bits))[3].shape[1]
+    width = features([b""], [0], bits, _Buckets(bits))[3].shape[1]
+
+    def fit(rows: pa.Table) -> dict[str, np.ndarray]:
+        list_of = lambda c: rows.column(c).combine_chunks()
+        size = np.diff(list_of("bucket").offsets.to_numpy())
+        flat = lambda c: list_of(c).flatten().to_numpy().astype(float)
+        machine = FactorisationMachine(1 << bits, width, rank)
+        machine.fit(np.repeat(np.arange(len(size)), size), flat("bucket").astype(np.int64), flat("value"), flat("dense").reshape(-1, width), rows.column("y").to_numpy().astype(float))
+        return {"w0": np.array(machine.w0)} | {k: getattr(machine, k) for k in ("w", "v", "mean", "scale")}
+
     machine = FactorisationMachine(1 << bits, width, rank)
-    if not len(rows):
-        return machine
-    size = rows.bucket.map(len).to_numpy()
-    row = np.repeat(np.arange(len(rows)), size)
-    return machine.fit(row, np.concatenate(rows.bucket.to_numpy()).astype(np.int64), np.concatenate(rows.value.to_numpy()).astype(float), np.stack(rows.dense.to_numpy()).astype(float), rows.y.to_numpy().astype(float))
+    learnt = fitted(sample.mapInArrow(_featurise(bits), _FEATURES), fit)
+    for k, x in (learnt or {}).items():
+        setattr(machine, k, float(x) if k == "w0" else x)
+    return machine
 
 
 def _score(machine: FactorisationMachine, bits: int):

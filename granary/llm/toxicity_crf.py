@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch, slices, texts_of
-from .sample import held_out, labelled
+from .sample import fitted, held_out, labelled
 
 _EDGE = b".,;:!?\"'()[]{}*#$%&|<>=-_/\\~^+"
 _TOKEN = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -247,10 +247,16 @@ def spans(text: bytes, p: np.ndarray, least: float = 0.5) -> list[tuple[int, int
 
 
 def fit_tagger(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 4000, bits: int = 16) -> Tagger:
-    """A tagger fitted on at most `most` labelled documents; without any it scores by its starting weights."""
-    rows = labelled(docs, labels, label, most).orderBy("doc_id").toPandas()
-    texts = [t.encode().split() for t in rows.text]
-    return Tagger(bits).fit(texts, rows.y.to_numpy().astype(int)) if len(rows) else Tagger(bits)
+    """A tagger fitted on at most `most` labelled documents (see sample.labelled); without any it scores by its starting weights."""
+
+    def fit(rows: pa.Table) -> dict[str, np.ndarray]:
+        tagger = Tagger(bits).fit([t.split() for t in texts_of(rows.column("text"))], rows.column("y").to_numpy().astype(int))
+        return {"bias": np.array(tagger.bias)} | {k: getattr(tagger, k) for k in ("w", "edge", "start", "doc")}
+
+    tagger = Tagger(bits)
+    for k, x in (fitted(labelled(docs, labels, label, most), fit) or {}).items():
+        setattr(tagger, k, float(x) if k == "bias" else x)
+    return tagger
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 4000, threshold: float = 0.7, bits: int = 16) -> DataFrame:
