@@ -25,18 +25,14 @@ ORACLE: dict[str, str] = {
     "op6_pareto_mixing": "WITH " + _MIX.format(columns="doc_id", words=_WORDS, table="documents") + "SELECT doc_id, size, source_size, target, CAST(taken_copies * size AS BIGINT) AS taken FROM mixed",
 }
 
-#: Runs of lines of 50 words at least that an earlier position has too; the first stays, others lose all that they share with it.
+#: Every two places with one line, along their diagonals: stretches of such pairs of 50 words at least; the later place of each pair goes.
 _LINES = r"""
 raw AS (SELECT doc_id, text, unnest(str_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(str_split(coalesce(text, ''), chr(10)), 1) AS idx FROM {table}),
-l AS (SELECT doc_id, idx, line, w, row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS pos, sum(w) OVER (PARTITION BY doc_id ORDER BY idx) AS c FROM (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w FROM raw) WHERE w > 0),
-e AS (SELECT a.doc_id, a.pos, min(b.pos) AS last FROM l a JOIN l b ON a.doc_id = b.doc_id AND b.pos >= a.pos AND b.c >= a.c - a.w + 50 GROUP BY ALL),
-run AS (SELECT e.doc_id, e.pos, string_agg(l.line, chr(10) ORDER BY l.pos) AS k FROM e JOIN l ON l.doc_id = e.doc_id AND l.pos BETWEEN e.pos AND e.last GROUP BY ALL),
-f AS (SELECT doc_id, pos, first_value(doc_id) OVER w AS fd, first_value(pos) OVER w AS fp FROM run WINDOW w AS (PARTITION BY k ORDER BY doc_id, pos)),
-later AS (SELECT * FROM f WHERE doc_id <> fd OR pos <> fp),
-step AS (SELECT t.doc_id, t.pos, a.pos AS place, b.line IS DISTINCT FROM a.line AS differs FROM later t JOIN l a ON a.doc_id = t.doc_id AND a.pos >= t.pos LEFT JOIN l b ON b.doc_id = t.fd AND b.pos = a.pos - t.pos + t.fp),
-stop AS (SELECT doc_id, pos, coalesce(min(place) FILTER (WHERE differs), max(place) + 1) AS stop FROM step GROUP BY ALL),
-copy AS (SELECT doc_id FROM (SELECT d.doc_id, min(d.doc_id) OVER (PARTITION BY d.text) AS first, n.n FROM {table} d JOIN (SELECT doc_id, sum(w) AS n FROM l GROUP BY doc_id) n USING (doc_id)) WHERE doc_id <> first AND n >= 50),
-gone AS (SELECT DISTINCT l.doc_id, l.idx FROM stop s JOIN l ON l.doc_id = s.doc_id AND l.pos >= s.pos AND l.pos < s.stop UNION SELECT l.doc_id, l.idx FROM copy JOIN l USING (doc_id)),
+l AS MATERIALIZED (SELECT doc_id, idx, line, w, row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS pos FROM (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w FROM raw) WHERE w > 0),
+pair AS (SELECT a.doc_id AS d, a.pos AS p, b.doc_id AS e, a.pos - b.pos AS diagonal, a.w FROM l a JOIN l b ON a.line = b.line AND (b.doc_id < a.doc_id OR (b.doc_id = a.doc_id AND b.pos < a.pos))),
+stretch AS (SELECT *, p - row_number() OVER (PARTITION BY d, e, diagonal ORDER BY p) AS island FROM pair),
+span AS (SELECT DISTINCT d, lo, hi FROM (SELECT d, e, diagonal, island, min(p) AS lo, max(p) AS hi FROM stretch GROUP BY ALL HAVING sum(w) >= 50)),
+gone AS (SELECT DISTINCT l.doc_id, l.idx FROM span JOIN l ON l.doc_id = span.d AND l.pos BETWEEN span.lo AND span.hi),
 left_over AS (SELECT r.doc_id, coalesce(string_agg(r.line, chr(10) ORDER BY r.idx) FILTER (WHERE g.idx IS NULL), '') AS text_kept, count(g.idx) AS lines_gone FROM raw r LEFT JOIN gone g ON g.doc_id = r.doc_id AND g.idx = r.idx GROUP BY r.doc_id)
 """
 ORACLE["op3_line_dedup"] = "WITH " + _LINES.format(table="documents") + r"SELECT doc_id, lines_gone, text_kept, lines_gone > 0 AND NOT regexp_matches(text_kept, '[^\x20\x09-\x0D]') AS emptied FROM left_over"

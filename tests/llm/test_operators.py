@@ -131,6 +131,52 @@ def test_line_dedup_by_hand(spark):
     assert got[(5, None)] == (None, 0, False) and got[(6, "")] == ("", 0, False)
 
 
+def test_line_dedup_takes_the_longest_earlier_run(spark):
+    a = "one two three four five"
+    got = run_lines(spark, [(1, f"{a}\nb"), (2, f"{a}\nc\nd"), (3, f"{a}\nc\nd\nz z2")])
+    assert [v[0] for _, v in sorted(got.items())] == [f"{a}\nb", "c\nd", "z z2"]
+    x, y = " ".join(f"x{i}" for i in range(60)), " ".join(f"y{i}" for i in range(10))
+    df = spark.createDataFrame([(1, x), (2, f"{x}\n{y}"), (3, f"{x}\n{y}")], "doc_id long, text string")
+    assert [(r.text_kept, r.emptied) for r in linedup.dedup_lines(df).orderBy("doc_id").collect()] == [(x, False), (y, False), ("", True)]
+
+
+def brute_lines(texts, min_words):
+    """The indexes of lines to delete by comparing all places with each other."""
+    lines = [[(i, x, len(x.split())) for i, x in enumerate(t.split("\n")) if x.split()] for t in texts]
+    gone = [set() for _ in texts]
+    for d, mine in enumerate(lines):
+        for p in range(len(mine)):
+            for e in range(d + 1):
+                for q in range(len(lines[e]) if e < d else p):
+                    n = 0
+                    while p + n < len(mine) and q + n < len(lines[e]) and mine[p + n][1] == lines[e][q + n][1]:
+                        n += 1
+                    if sum(x[2] for x in mine[p : p + n]) >= min_words:
+                        gone[d] |= {x[0] for x in mine[p : p + n]}
+    return gone
+
+
+@pytest.mark.parametrize("min_words", [1, 4, 9])
+def test_line_dedup_equals_brute_force(spark, min_words):
+    rng = random.Random(min_words)
+    # few different lines, so runs nest, overlap their source and share prefixes with several documents
+    texts = ["\n".join(" ".join(["ab"[rng.randrange(2)]] * rng.choice((0, 1, 1, 2, 5))) for _ in range(rng.randrange(0, 16))) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    want = brute_lines(texts, min_words)
+    for r in linedup.dedup_lines(df, min_words).collect():
+        assert r.lines_gone == len(want[r.doc_id]) and r.text_kept == "\n".join(x for i, x in enumerate(texts[r.doc_id].split("\n")) if i not in want[r.doc_id]), (r, want[r.doc_id])
+
+
+def test_joins_with_a_frequent_key(spark):
+    from granary.llm.common import join_unique
+
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), "id").cache()
+    keyed = spark.range(0, 3000, 2).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    for how in ("inner", "left"):
+        want = sorted(map(tuple, rows.join(keyed, "k", how).collect()), key=str)
+        assert sorted(map(tuple, join_unique(rows, keyed, ["k"], how, small=10, share=10, least=5).collect()), key=str) == want
+
+
 def test_line_dedup_equals_sql(spark):
     import duckdb
 
