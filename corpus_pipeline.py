@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import read, shared_folder
+from granary.llm.common import checkpoints, delete, read, shared_folder
 from granary.llm.contamination import without_contaminated
 from granary.llm.linedup import without_repeats
 from granary.llm.mixing import mix
@@ -39,9 +39,12 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights: each document with the number of its copies in the mix, those with none left out."""
+    """Sources at their target weights: each document with the number of its copies in the mix, those with none left out.
+
+    The number is the column copies; a column of documents with that name is replaced.
+    """
     mixed = mix(docs).where("mix_copies > 0")
-    return mixed.select(*docs.columns, F.col("mix_copies").alias("copies"))
+    return mixed.select(*[c for c in docs.columns if c != "copies"], F.col("mix_copies").alias("copies"))
 
 
 STAGES = [("quality classifier", quality), ("line dedup", line_dedup), ("n-gram jaccard join", near_duplicates), ("benchmark decontamination", decontaminate), ("mixing to target weights", mixing)]
@@ -51,11 +54,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies STAGES to documents; each result is written and read again."""
+    """Applies STAGES to documents; each result is written and read again.
+
+    What a stage has read and its checkpoints are deleted when its own result is written; the last result stays.
+    """
     docs = read(spark, sf_dir, "documents")
     base = f"{shared_folder(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES):
-        path = f"{base}/{i}"
+        path, before = f"{base}/{i}", checkpoints(spark)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        delete(spark, [*(checkpoints(spark) - before), *([f"{base}/{i - 1}"] if i else [])])
     return docs
