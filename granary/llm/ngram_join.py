@@ -9,10 +9,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch, components, cut, mix, slices, texts_of
+from .common import batch, beside, components, cut, join_unique, mix, slices, texts_of
 from .tokens import Tokeniser
 
 _U = np.uint64
@@ -62,38 +62,72 @@ def layout(size: int, percent: int, ratio: float = 1.4) -> tuple[int, int, int,
     return band, low, h, h + 1 + (h and 1 + (h + 1) // 12)
 
 
+#: Independent ways to cut the universe into segments; one after another for sets whose codes crowd in few segments.
+WAYS = 4
+
+
+def _cut_up(s: np.ndarray, m: int, way: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes in the order of their segments, first place of each segment that is not empty, its number) in one way of cutting the universe."""
+    if way:
+        turned = mix(s + _U(way) * _U(0xD1342543DE82EF95))
+        order = np.argsort(turned)
+        s, turned = s[order], turned[order]
+    else:
+        turned = s
+    seg = ((turned >> _U(32)) * _U(m)) >> _U(32)
+    starts = np.flatnonzero(np.concatenate(([True], seg[1:] != seg[:-1])))
+    return s, starts, seg[starts]
+
+
+def _place(which: np.ndarray, band: int, way: int) -> np.ndarray:
+    return mix(which + _U(band) * _U(1 << 32) + _U(way) * _U(1 << 56) + _U(1 << 60))
+
+
+def _bands(size: int, percent: int) -> list[int]:
+    """Sizes that stand for the bands of a set: its own and, as the larger partner, the one below."""
+    band, low, _, _ = layout(size, percent)
+    return [size] + ([low - 1] if band and -(-percent * size // 100) < low else [])
+
+
+def _crowded(counts: np.ndarray, h: int) -> bool:
+    """Whether a set that differs in at most h tokens may have so few segments that even one-deletion neighbourhoods do not suffice."""
+    gone = int((np.cumsum(np.sort(counts)) <= h).sum())
+    return 2 * (len(counts) - gone) <= h
+
+
 def signatures(s: np.ndarray, percent: int, skip: dict[int, set[int]] | None = None) -> np.ndarray:
     """Signatures of a set: for its own band and, as the larger partner, for the band below.
 
     A segment is a range of the shingle codes, its signature a sum over its tokens. Allocation, by cost:
-    segments that are empty or in skip[band] (found to be too frequent) get -1, not compared; the rest get 0,
+    segments that are empty or in skip[band + 256 * way] (found to be too frequent) get -1, not compared; the rest get 0,
     compared as they are, which suffices if m less the skipped ones is over H. Otherwise one-deletion
-    neighbourhoods are added for all others (+1); where even these cannot make up for it see _where.
+    neighbourhoods are added for all others (+1), which suffices if twice the compared ones are over H. A set that may have a partner
+    for which they do not is also cut up in other ways, and at last has a signature for its whole band; its
+    partner does the same, as the test holds for both. What skipped segments take away, see _where.
     """
-    size = len(s)
-    band, low, _, _ = layout(size, percent)
-    sizes = [size]
-    if band and -(-percent * size // 100) < low:
-        sizes.append(low - 1)
     out = []
-    for at in sizes:
+    for at in _bands(len(s), percent):
         k, _, h, m = layout(at, percent)
-        seg = ((s >> _U(32)) * _U(m)) >> _U(32)
-        starts = np.flatnonzero(np.concatenate(([True], seg[1:] != seg[:-1])))
-        which = seg[starts]
-        mixed = mix(s ^ _U(0x5851F42D4C957F2D))
-        total = np.add.reduceat(mixed, starts)
-        place = mix(which + _U(k) * _U(1 << 32) + _U(1 << 60))
-        keep = np.ones(len(which), bool)
-        if skip and k in skip:
-            keep = ~np.isin(which, np.fromiter(skip[k], _U, len(skip[k])))
-        out.append(mix(total[keep] + place[keep]))
-        skipped = m - int(keep.sum())
-        if m - skipped <= h:
-            owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, size)))
-            near = (total + place * _U(3)) ^ _U(0xA5A5A5A5A5A5A5A5)
-            less = (total[owner] - mixed + place[owner] * _U(3)) ^ _U(0xA5A5A5A5A5A5A5A5)
-            out += [mix(near[keep]), mix(less[keep[owner]])]
+        for way in range(WAYS):
+            codes, starts, which = _cut_up(s, m, way)
+            counts = np.diff(np.append(starts, len(s)))
+            mixed = mix(codes ^ _U(0x5851F42D4C957F2D))
+            total = np.add.reduceat(mixed, starts)
+            place = _place(which, k, way)
+            keep = np.ones(len(which), bool)
+            if skip and k + 256 * way in skip:
+                hot = skip[k + 256 * way]
+                keep = ~np.isin(which, np.fromiter(hot, _U, len(hot)))
+            out.append(mix(total[keep] + place[keep]))
+            if int(keep.sum()) <= h:
+                owner = np.repeat(np.arange(len(starts)), counts)
+                near = (total + place * _U(3)) ^ _U(0xA5A5A5A5A5A5A5A5)
+                less = (total[owner] - mixed + place[owner] * _U(3)) ^ _U(0xA5A5A5A5A5A5A5A5)
+                out += [mix(near[keep]), mix(less[keep[owner]])]
+            if not _crowded(counts, h):
+                break
+        else:
+            out.append(_place(np.zeros(1, _U), k, WAYS))
     return np.concatenate(out)
 
 
@@ -128,8 +162,7 @@ def _sets(k: int, percent: int):
                 sets = shingle_sets(texts[i:j], tokens, k)
                 live, sigs = [], []
                 for s in sets:
-                    seg = ((s >> _U(32)) * _U(layout(len(s), percent)[3] if len(s) else 1)) >> _U(32)
-                    live.append(int((seg[1:] != seg[:-1]).sum()) + bool(len(s)))
+                    live.append(len(_cut_up(s, layout(len(s), percent)[3], 0)[1]) if len(s) else 0)
                     sigs.append(signatures(s, percent) if len(s) else s)
                 key = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 yield batch(_SETS, [b.column(0).slice(i, j - i), [len(s) for s in sets], live, key, _lists(sigs), _lists([parity(s).view(_U) for s in sets])])
@@ -138,7 +171,7 @@ def _sets(k: int, percent: int):
 
 
 def _signatures_without(k: int, percent: int):
-    """Signatures again, with segments to skip (as band << 32 | segment): neighbourhoods make up for them."""
+    """Signatures again, with segments to skip (see _where): neighbourhoods make up for them."""
     schema = pa.schema([("doc_id", pa.int64()), ("sigs", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +189,11 @@ def _signatures_without(k: int, percent: int):
 
 
 def _where(k: int, percent: int):
-    """(sig, doc_id) of too frequent signatures back to (doc_id, band << 32 | segment): input is doc_id, text, its hot signatures."""
+    """Input is doc_id, text, its hot signatures; output the segments that they are of, as (band + 256 * way) << 32 | segment.
+
+    short: those of the document's hot signatures through which alone a partner may be found: of neighbourhoods and of whole bands, and those
+    of segments where neighbourhoods of the other segments do not suffice.
+    """
     schema = pa.schema([("doc_id", pa.int64()), ("skip", pa.list_(pa.int64())), ("short", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,20 +202,23 @@ def _where(k: int, percent: int):
             skips, shorts = [], []
             for s, hot in zip(shingle_sets(texts_of(b.column(1)), tokens, k), b.column(2).to_pylist(), strict=True):
                 wanted = np.array(hot, np.int64).view(_U)
-                skip, short = [], []
-                band, low, _, _ = layout(len(s), percent)
-                for at in [len(s)] + ([low - 1] if band and -(-percent * len(s) // 100) < low else []):
+                skip, short, plain = [], [], set()
+                for at in _bands(len(s), percent) if len(s) else []:
                     kk, _, h, m = layout(at, percent)
-                    seg = ((s >> _U(32)) * _U(m)) >> _U(32)
-                    starts = np.flatnonzero(np.concatenate(([True], seg[1:] != seg[:-1])))
-                    which = seg[starts]
-                    sig = mix(np.add.reduceat(mix(s ^ _U(0x5851F42D4C957F2D)), starts) + mix(which + _U(kk) * _U(1 << 32) + _U(1 << 60)))
-                    bad = np.isin(sig, wanted)
-                    skip += [(kk << 32) | int(x) for x in which[bad]]
-                    if 2 * (len(which) - int(bad.sum())) <= h:
-                        short += sig[bad].view(np.int64).tolist()
+                    for way in range(WAYS):
+                        codes, starts, which = _cut_up(s, m, way)
+                        sig = mix(np.add.reduceat(mix(codes ^ _U(0x5851F42D4C957F2D)), starts) + _place(which, kk, way))
+                        bad = np.isin(sig, wanted)
+                        skip += [((kk + 256 * way) << 32) | int(x) for x in which[bad]]
+                        plain.update(sig[bad].view(np.int64).tolist())
+                        counts = np.diff(np.append(starts, len(s)))
+                        # a partner may have fewer segments still
+                        if _crowded(counts[~bad], h) if bad.any() else False:
+                            short += sig[bad].view(np.int64).tolist()
+                        if not _crowded(counts, h):
+                            break
                 skips.append(skip)
-                shorts.append(short)
+                shorts.append(short + [x for x in hot if x not in plain])
             yield batch(schema, [b.column(0), skips, shorts])
 
     return run
@@ -226,88 +266,132 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     that links reach. Candidates come from equal signatures of universe segments (see signatures); each
     is verified on both whole sets, so the result is exact up to collisions of 64-bit shingle codes
     inside a pair. Groups of near copies are not expanded: every member is first verified against the
-    first member of its buckets, and then only members of different components are compared, if they share
-    enough segments and their parity maps allow it (in the condition of the join, so other pairs are never rows).
+    first member of its buckets, and then only members of different components are compared. Of two components in a bucket first
+    their delegates (the smallest ids): parity maps have a metric, so with the farthest member of each from its delegate known
+    most pairs of components are ruled out by one row; in the others, members are compared if their sizes and parity maps
+    allow it (in the condition of the join, so other pairs are never rows) and they share enough segments.
     A signature that over `hot` different components share is not expanded either; its documents get
-    one-deletion neighbourhoods of their other segments, and where these cannot suffice, the
-    documents concerned are compared with the whole bucket.
+    one-deletion neighbourhoods of their other segments, again while such signatures are left. Where these cannot suffice, the documents
+    concerned are compared with the components of the bucket in the same two steps.
 
-    Null or empty texts have n_shingles 0 and link with nothing; rows with one id are one document, which has the set of the row with
-    most shingles; a null id is returned with a null component; other columns are ignored.
+    Null or empty texts have n_shingles 0 and link with nothing; an empty table gives none; whole texts of any length count; rows with one
+    id are one document, which has the set of the row with most shingles; a null id is returned with a null component; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sets = cut(rows.mapInArrow(_sets(k, percent), "doc_id long, n_shingles long, live long, set_key binary, sigs array<long>, bits array<long>"))
-    info = sets.select("doc_id", "n_shingles", "live", "set_key", "bits")
-    size = info.groupBy("doc_id").agg(F.max("n_shingles").alias("n"), F.min("live").alias("live"), F.max("set_key").alias("key"), F.max_by("bits", "n_shingles").alias("bits"))
+    size = sets.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.max(F.struct(F.col("n_shingles").alias("n"), "live", F.col("set_key").alias("key"), "bits")).alias("x"))
+    size = cut(size.select("doc_id", "x.*"))
 
     # copies: the first document of each set stands for all of them
-    first = size.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"))
-    copies = cut(size.join(first, "key").select("doc_id", "rep"))
-    links_of_copies = copies.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    reps = copies.where("doc_id = rep").select("doc_id")
+    first = cut(size.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "rep"))
+    links_of_copies = cut(join_unique(size.select("doc_id", "key"), first, ["key"], small=small).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
+    spare = beside(links_of_copies.select(F.col("b").alias("doc_id")), small)
+    own = size.join(spare, "doc_id", "left_anti").select("doc_id", "n", "live", "bits")
+
+    def apart(x: str, y: str) -> Column:
+        """Bits in which two parity maps differ; at most the tokens in which the sets do."""
+        return sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(BITS // 64)), F.lit(0))
+
+    def most(n: str, m: str) -> Column:
+        return F.floor((100 - percent) * (F.col(n) + F.col(m)) / (100 + percent))
 
     def buckets_of(sigs: DataFrame) -> DataFrame:
-        """Signatures that two documents at least share, and the first of them; without copies."""
+        """Signatures that two documents at least share, and the first of them."""
         w = Window.partitionBy("sig").orderBy("doc_id")
         near = sigs.select("sig", "doc_id", F.lag("doc_id").over(w).alias("before"), F.lead("doc_id").over(w).alias("after"), F.first("doc_id").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("pivot"))
         fresh = F.col("before").isNull() | (F.col("before") != F.col("doc_id"))
-        return cut(near.where(fresh & (F.col("pivot").isNull() | (F.col("pivot") != F.col("doc_id")) | (F.col("after") != F.col("doc_id")))).select("sig", "doc_id", "pivot").join(reps, "doc_id", "left_semi"))
-
-    def sized(pairs: DataFrame) -> DataFrame:
-        """Pairs whose sizes allow a link."""
-        x, y = size.select(F.col("doc_id").alias("a"), F.col("n").alias("na")), size.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"))
-        return pairs.join(x, "a").join(y, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
+        return cut(near.where(fresh & (F.col("before").isNotNull() | (F.col("after") != F.col("doc_id")))).select("sig", "doc_id", "pivot"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        own = cut(sized(pairs))
-        needed = own.select(F.col("a").alias("doc_id")).unionByName(own.select(F.col("b").alias("doc_id"))).distinct()
-        needed = cut(needed)
+        """Pairs (a, b) whose sizes allow a link and whose sets have it."""
+        x, y = size.select(F.col("doc_id").alias("a"), F.col("n").alias("na")), size.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"))
+        asked = cut(pairs.join(x, "a").join(y, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b"))
+        needed = cut(asked.select(F.col("a").alias("doc_id")).unionByName(asked.select(F.col("b").alias("doc_id"))).distinct())
         # ids only, and only up to a checked number; else Spark shuffles both sides
-        text = rows.join(F.broadcast(needed) if needed.count() <= small else needed, "doc_id", "left_semi")
-        both = own.join(text.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(text.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+        text = rows.join(beside(needed, small), "doc_id", "left_semi")
+        both = asked.join(text.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(text.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
         found = both.select("a", "b", "ta", "tb").mapInArrow(_verify(k, percent), "a long, b long, linked boolean").where("linked").select("a", "b")
         return cut(found.distinct())
 
-    def closed(buckets: DataFrame, links: DataFrame) -> DataFrame:
-        """All links that a bucket's members can add to the components so far."""
+    def placed(some: DataFrame, comp: DataFrame) -> DataFrame:
+        """some (with doc_id) with the component of each document so far."""
+        return some.join(comp.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
+
+    def delegates(member: DataFrame) -> DataFrame:
+        """(comp, dn, bits, far, lo, hi) of the components of member: the delegate's size and map, the largest distance of a member, the sizes."""
+        every = member.select("doc_id", "comp").distinct().join(own, "doc_id")
+        head = own.select(F.col("doc_id").alias("comp"), F.col("n").alias("dn"), F.col("bits").alias("db"))
+        return every.join(head, "comp").groupBy("comp").agg(F.first("db").alias("db"), F.max(apart("bits", "db")).alias("far"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+
+    def crossing(member: DataFrame) -> DataFrame:
+        """(a, b): documents of different components in a bucket of member (sig, doc_id, comp) that may link."""
+        heads = cut(delegates(member))
+        sides = cut(member.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("members")).join(heads, "comp"))
+        p, q = sides.alias("p"), sides.alias("q")
+        able = (F.col("p.comp") < F.col("q.comp")) & (100 * F.least("p.hi", "q.hi") >= percent * F.greatest("p.lo", "q.lo"))
+        reach = apart("p.db", "q.db") - F.col("p.far") - F.col("q.far") <= most("p.hi", "q.hi")
+        open_ = cut(p.join(q, F.col("p.sig") == F.col("q.sig")).where(able & reach).select(F.col("p.sig").alias("sig"), F.col("p.comp").alias("c1"), F.col("q.comp").alias("c2")))
+        full = member.join(own, "doc_id")
+        left = open_.join(full.select("sig", F.col("comp").alias("c1"), F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("need").alias("ma"), F.col("bits").alias("ba")), ["sig", "c1"])
+        both = left.join(full.select("sig", F.col("comp").alias("c2"), F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("need").alias("mb"), F.col("bits").alias("bb")), ["sig", "c2"])
+        fit = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (apart("ba", "bb") <= most("na", "nb"))
+        need = F.when(F.col("na") <= F.col("nb"), F.col("ma")).otherwise(F.col("mb")) - most("na", "nb")
+        pairs = both.where(fit).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first(need).alias("need")).where("c >= need")
+        return pairs.select("a", "b")
+
+    def closed(buckets: DataFrame, links: DataFrame, skipped: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """(links, crowd): all links that a bucket's members can add to the components so far; the signatures that too many components share.
+
+        skipped: (doc_id, skip) of the segments that have no signature in buckets.
+        """
         star = buckets.where("pivot <> doc_id").groupBy(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).agg(F.count("*").alias("c"))
         best = star.groupBy("b").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a")).select("a", "b")
         links = cut(links.unionByName(verified(best)).distinct())
-        comp = components(links)
-        member = buckets.select("sig", "doc_id").join(comp.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("sig", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
+        member = placed(buckets.select("sig", "doc_id"), components(links))
         mixed = member.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-        open_ = cut(member.join(mixed.select("sig"), "sig", "left_semi").join(size.select("doc_id", "n", "live", "bits"), "doc_id"))
-        full = open_.select("sig", "comp").distinct().groupBy("sig").count().where(F.col("count") > hot).select("sig")
-        met = open_.join(full, "sig", "left_semi").groupBy("doc_id").agg(F.count(F.lit(1)).alias("unused"))
+        member = cut(member.join(mixed.select("sig"), "sig", "left_semi"))
+        crowd = cut(member.groupBy("sig", "comp").agg(F.first("comp").alias("one")).groupBy("sig").count().where(F.col("count") > hot).select("sig"))
+        met = member.join(crowd, "sig", "left_semi").groupBy("doc_id").agg(F.count(F.lit(1)).alias("unused"))
         # a linked pair shares all but H of the smaller set's segments, less those that are not compared
-        some = open_.join(full, "sig", "left_anti").join(met, "doc_id", "left").withColumn("live", F.col("live") - F.coalesce("unused", F.lit(0)))
-        x, y = some.alias("x"), some.alias("y")
-        most = F.floor((100 - percent) * (F.col("x.n") + F.col("y.n")) / (100 + percent))
-        apart = sum((F.bit_count(F.col("x.bits")[i].bitwiseXOR(F.col("y.bits")[i])) for i in range(BITS // 64)), F.lit(0))
-        fit = (F.col("x.comp") < F.col("y.comp")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & (apart <= most)
-        need = F.when(F.col("x.n") <= F.col("y.n"), F.col("x.live")).otherwise(F.col("y.live")) - most
-        pairs = x.join(y, F.col("x.sig") == F.col("y.sig")).where(fit).groupBy(F.col("x.doc_id").alias("p"), F.col("y.doc_id").alias("q")).agg(F.count(F.lit(1)).alias("c"), F.first(need).alias("need")).where("c >= need")
-        links = cut(links.unionByName(verified(pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")))).distinct())
-        return links
+        some = member.join(crowd, "sig", "left_anti").join(met, "doc_id", "left").join(own.select("doc_id", "live"), "doc_id")
+        missing = F.coalesce("unused", F.lit(0))
+        if skipped is not None:
+            some = some.join(skipped.select("doc_id", F.size("skip").alias("without")), "doc_id", "left")
+            missing = missing + F.coalesce("without", F.lit(0))
+        some = cut(some.select("sig", "doc_id", "comp", (F.col("live") - missing).alias("need")))
+        if not some.isEmpty():
+            links = cut(links.unionByName(verified(crossing(some))).distinct())
+        return links, crowd
 
     exploded = lambda x: x.where("doc_id is not null").select("doc_id", F.explode("sigs").alias("sig"))
-    buckets = buckets_of(exploded(sets))
-    links = closed(buckets, links_of_copies)
-
-    # Signatures that are shared by many components still: neighbourhoods instead of all pairs.
-    comp = components(links)
-    member = buckets.select("sig", "doc_id").join(comp.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("sig", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
-    crowd = cut(member.select("sig", "comp").distinct().groupBy("sig").count().where(F.col("count") > hot).select("sig"))
-    if not crowd.isEmpty():
-        hit = member.join(crowd, "sig", "left_semi").groupBy("doc_id").agg(F.collect_set("sig").alias("hot"))
+    buckets = buckets_of(exploded(sets.join(spare, "doc_id", "left_anti")))
+    links, crowd = closed(buckets, links_of_copies)
+    # signatures that too many components share still: neighbourhoods instead, until none is new
+    skips = None
+    while not crowd.isEmpty():
+        hit = buckets.join(crowd, "sig", "left_semi").groupBy("doc_id").agg(F.collect_set("sig").alias("hot"))
         where = cut(rows.join(hit, "doc_id").select("doc_id", "text", "hot").mapInArrow(_where(k, percent), "doc_id long, skip array<long>, short array<long>"))
-        again = rows.join(where.where(F.size("skip") > 0).select("doc_id", "skip"), "doc_id").select("doc_id", "text", "skip")
-        links = closed(buckets_of(exploded(again.mapInArrow(_signatures_without(k, percent), "doc_id long, sigs array<long>"))), links)
-        short = where.select(F.col("doc_id").alias("q"), F.explode("short").alias("sig"))
-        rest = short.join(buckets.select("sig", F.col("doc_id").alias("p")), "sig").where("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-        links = cut(links.unionByName(verified(rest)).distinct())
-        comp = components(links)
-    return info.select("doc_id", "n_shingles").join(comp.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+        # documents whose other segments cannot make up for these: against the components of the bucket, by their delegates first
+        short = cut(where.select("doc_id", F.explode("short").alias("sig")).distinct())
+        if not short.isEmpty():
+            comp = components(links)
+            member = cut(placed(buckets.join(short.select("sig").distinct(), "sig", "left_semi").select("sig", "doc_id"), comp))
+            sides = member.select("sig", "comp").distinct().join(cut(delegates(member)), "comp")
+            asked = placed(short, comp).join(own, "doc_id").select("sig", F.col("doc_id").alias("q"), F.col("comp").alias("cq"), F.col("n").alias("nq"), F.col("bits").alias("bq"))
+            able = (F.col("cq") != F.col("comp")) & (100 * F.least("nq", "hi") >= percent * F.greatest("nq", "lo")) & (apart("bq", "db") - F.col("far") <= most("nq", "hi"))
+            open_ = cut(asked.join(sides, "sig").where(able).select("sig", "q", "nq", "bq", "comp"))
+            near = open_.join(member, ["sig", "comp"]).join(own, "doc_id").where((F.col("q") != F.col("doc_id")) & (100 * F.least("nq", "n") >= percent * F.greatest("nq", "n")) & (apart("bq", "bits") <= most("nq", "n")))
+            rest = cut(near.select(F.least("q", "doc_id").alias("a"), F.greatest("q", "doc_id").alias("b")).distinct())
+            links = cut(links.unionByName(verified(rest)).distinct())
+        new = where.where(F.size("skip") > 0).select("doc_id", "skip")
+        if new.isEmpty():
+            break
+        skips = cut(new if skips is None else skips.unionByName(new).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("skip"))).alias("skip")))
+        again = rows.join(skips, "doc_id").select("doc_id", "text", "skip")
+        buckets = buckets_of(exploded(again.mapInArrow(_signatures_without(k, percent), "doc_id long, sigs array<long>")))
+        links, crowd = closed(buckets, links, skips)
+    comp = components(links)
+    return sets.select("doc_id", "n_shingles").join(comp.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, small: int = 100_000) -> DataFrame:

@@ -51,3 +51,16 @@ SELECT p.conv_id AS chosen_id, p.other AS rejected_id, p.n AS n_common,
   CASE WHEN p.n = p.i THEN '' ELSE '14:0,' || (length(p.other_text) + 9) || ':1' END AS rejected_mask
 FROM pair p JOIN t ON t.conv_id = p.conv_id GROUP BY p.conv_id, p.other, p.n, p.i, p.text, p.other_text
 """
+
+#: All pairs of documents that share a shingle, by size of intersection and union; components by the closure of their links.
+ORACLE["op4_ngram_jaccard_join"] = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM w),
+n AS MATERIALIZED (SELECT doc_id, len(s) AS n FROM s),
+t AS MATERIALIZED (SELECT doc_id, hash(x) AS x FROM (SELECT doc_id, unnest(s) AS x FROM s)),
+pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM t a JOIN t b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS MATERIALIZED (SELECT a, b FROM pair JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 85 * (x.n + y.n - common)),
+edge AS MATERIALIZED (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT a AS node, a AS root FROM edge UNION SELECT e.b, r.root FROM reach r JOIN edge e ON e.a = r.node WHERE e.b > r.root)
+SELECT n.doc_id, n.n AS n_shingles, coalesce(least(min(r.root), n.doc_id), n.doc_id) AS component_id FROM n LEFT JOIN reach r ON r.node = n.doc_id GROUP BY n.doc_id, n.n
+"""

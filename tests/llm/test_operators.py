@@ -97,6 +97,32 @@ def test_segments_lose_no_pair():
                         assert np.intersect1d(ngram_join.signatures(a, 85), ngram_join.signatures(b, 85)).size
 
 
+def test_crowded_sets_lose_no_pair():
+    """Pairs all of whose codes lie in one segment of the first cut."""
+    rng = np.random.default_rng(3)
+    for size in (9, 14, 16, 18, 40):
+        for _ in range(40):
+            a = np.unique(rng.integers(0, 2**33, size, dtype=np.uint64))
+            b = np.unique(np.concatenate((a[1:], rng.integers(0, 2**33, 1, dtype=np.uint64))))
+            if 100 * (len(a) - 1) >= 85 * (len(a) + 1):
+                assert np.intersect1d(ngram_join.signatures(a, 85), ngram_join.signatures(b, 85)).size
+
+
+def test_one_bucket_of_many(spark):
+    """A long passage that all documents share and two large groups of near copies, with signatures crowded from the first pass on."""
+    rng = random.Random(11)
+    passage = words(rng, 40, 10_000)
+    heads = [words(rng, 25, 10_000) for _ in range(2)]
+    texts = []
+    for i in range(240):
+        own = list(heads[i % 2]) if i < 160 else words(rng, 25, 10_000)
+        if i < 160:
+            own[rng.randrange(25)] = f"v{i}"
+        texts.append(" ".join(own + passage))
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_jaccard_components(frame(spark, texts).repartition(6), hot=3).collect()}
+    assert [got[i] for i in range(len(texts))] == components_of(sets_of(texts, 4), 85)
+
+
 def test_ngram_null_ids_and_empty_table(spark):
     df = spark.createDataFrame([(None, "a b c d"), (1, "a b c d"), (2, "a b c d"), (2, "a b c d")], "doc_id long, text string")
     got = sorted(((r.doc_id is None, r.doc_id or 0), r.component_id) for r in ngram_join.ngram_jaccard_components(df).collect())
