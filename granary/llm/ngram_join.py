@@ -90,9 +90,8 @@ def _bands(size: int, percent: int) -> list[int]:
 
 
 def _crowded(counts: np.ndarray, h: int) -> bool:
-    """Whether a set that differs in at most h tokens may have so few segments that even one-deletion neighbourhoods do not suffice."""
-    gone = int((np.cumsum(np.sort(counts)) <= h).sum())
-    return 2 * (len(counts) - gone) <= h
+    """Whether a set that differs in at most h tokens may share no neighbourhood: each segment differs in two tokens, or its only one is gone."""
+    return 2 * len(counts) - int((counts == 1).sum()) <= h
 
 
 def signatures(s: np.ndarray, percent: int, skip: dict[int, set[int]] | None = None) -> np.ndarray:
