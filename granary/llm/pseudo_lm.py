@@ -10,102 +10,145 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, cut, slices, texts_of
+from .common import batch, cut, join_unique, mix, slices, texts_of
 from .tokens import Tokeniser
 
+_U = np.uint64
 #: Places of the window, relative to the predicted token.
 WINDOW = (-2, -1, 1, 2)
+#: Bits of a word's code that tell its way down the tree of its class, of which a vocabulary uses the first `depth`.
+BITS = 16
+#: Words that have an own row among the window's words, and rows that all others share.
+CONTEXT = (192, 64)
+
+
+def place_of(codes: np.ndarray, shared: int) -> np.ndarray:
+    """Class (of `shared` ones) << BITS | way down its tree, of words that have no class of their own."""
+    h = mix(codes ^ _U(0xA24BAED4963EE407))
+    return ((((h >> _U(32)) * _U(shared)) >> _U(32)) << _U(BITS) | (h & _U((1 << BITS) - 1))).astype(np.int64)
+
+
+def depth_of(words: int) -> int:
+    """Levels of the trees, so that their leaves grow with the cube root of the number of distinct words."""
+    return min(BITS, max(1, int(np.log2(words + 1) / 3)))
 
 
 class Vocabulary:
-    """Classes of words and the probability of a word in its class, from counts over the whole corpus.
+    """Classes, leaves and shares of words, from counts over the whole corpus.
 
-    codes, counts: the most frequent words (as codes of tokens.Tokeniser) with their counts, the first `own` of them
-    have a class of their own; other words share a class by their first three bytes. rest[c] = (tokens, distinct words) of
-    class c among the words that are not listed: such a word gets an equal share of the class's rest here, which rare_gains
+    codes, counts: the most frequent words (as codes of tokens.Tokeniser) with their counts, in that order. The first `own` of them
+    have a class of their own; every other word shares one of the other classes and stands in a leaf of that class's binary tree. rest: for each
+    leaf (tokens, distinct words) of the words that are not listed: such a word gets an equal share of the leaf's rest here, which rare_gains
     turns into its own share from the table of all counts; a word that the corpus has not seen keeps the share of one more word.
     """
 
-    def __init__(self, codes: np.ndarray, counts: np.ndarray, shared: np.ndarray, own: int, rest: np.ndarray, classes: int):
+    def __init__(self, codes: np.ndarray, counts: np.ndarray, own: int, rest: np.ndarray, classes: int, depth: int):
+        self.first, self.classes, self.depth, self.shared = own, classes, depth, classes - own
         own = min(own, len(codes))
-        where = shared.astype(np.int64).copy()
-        where[:own] = np.arange(own)
-        self.first, self.classes = own, classes
-        total = np.bincount(where, counts, minlength=classes) + rest[:, 0] + 1.0
+        leaf = place_of(codes, self.shared) >> (BITS - depth)
+        total = np.bincount(leaf[own:], counts[own:], minlength=self.shared << depth) + rest[:, 0] + 1.0
+        self.leaf_total = total
         order = np.argsort(codes)
-        self.codes, self.where = codes[order], where[order]
-        self.log = np.log(counts / total[where])[order]
+        rank = np.arange(len(codes))
+        self.codes, self.rank = codes[order], rank[order]
+        self.log = np.where(rank < own, 0.0, np.log(counts / total[leaf]))[order]
         self.equal = np.log((rest[:, 0] + 1.0) / (rest[:, 1] + 1.0))
         self.other = self.equal - np.log(total)
-        self.unigram = np.log(total / total.sum())
-
-    def entries(self, texts: list[bytes], tokens: Tokeniser, own: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(class, ln P(word | class)) of each word of texts, and the texts' bounds."""
-        codes, bounds, (begin,) = tokens.codes(texts, (3,))
-        cls = shared_class(begin, own, self.classes)
-        log = self.other[cls]
+        mass = np.concatenate((counts[:own] + 1.0, np.ones(self.first - own), total.reshape(self.shared, -1).sum(1)))
+        self.unigram = np.log(mass / mass.sum())
+
+    def entries(self, texts: list[bytes], tokens: Tokeniser) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(class, leaf or -1, row as context, ln P(word | class and leaf)) of each word of texts, and the texts' bounds."""
+        codes, bounds, _ = tokens.codes(texts)
+        leaf = place_of(codes, self.shared) >> (BITS - self.depth)
+        log, cls = self.other[leaf], self.first + (leaf >> self.depth)
+        context = CONTEXT[0] + (codes >> _U(20)).astype(np.int64) % CONTEXT[1]
         if len(self.codes) and len(codes):
             at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
-            known = self.codes[at] == codes
-            cls = np.where(known, self.where[at], cls)
-            log = np.where(known, self.log[at], log)
-        return cls, log, bounds
+            known = np.flatnonzero(self.codes[at] == codes)
+            rank = self.rank[at[known]]
+            log[known] = self.log[at[known]]
+            context[known] = np.where(rank < CONTEXT[0], rank, context[known])
+            single = known[rank < self.first]
+            cls[single], leaf[single] = rank[rank < self.first], -1
+        return cls, leaf, context, log, bounds
 
 
-def shared_class(begin: np.ndarray, own: int, classes: int) -> np.ndarray:
-    """The class of words that have none of their own, by the code of their first bytes."""
-    return (own + (begin >> np.uint64(33)) % np.uint64(classes - own)).astype(np.int64)
+class Network:
+    """softmax(tanh(sum_p E_p[word at p] + b) W + u) over classes, then a logistic choice at each node on the way to the word's leaf.
 
+    One hidden layer over the window on both sides serves both: the class and every step down its tree depend on it.
+    """
 
-class Network:
-    """softmax(tanh(sum_p E_p[class at p] + b) W + u): one hidden layer over the window on both sides."""
+    PARTS = ("e", "b", "w", "u", "t", "c")
 
-    def __init__(self, classes: int, hidden: int, unigram: np.ndarray, seed: int = 13):
+    def __init__(self, vocabulary: Vocabulary, hidden: int, seed: int = 13):
         rng = np.random.default_rng(seed)
-        self.classes, self.hidden = classes, hidden
-        self.e = rng.normal(0, 0.1, (len(WINDOW), classes + 1, hidden)).astype(np.float32)
-        self.b, self.u = np.zeros(hidden, np.float32), unigram.astype(np.float32)
-        self.w = rng.normal(0, 0.1, (hidden, classes)).astype(np.float32)
+        v = vocabulary
+        self.vocabulary, self.hidden, self.depth, rows = v, hidden, v.depth, sum(CONTEXT)
+        self.e = rng.normal(0, 0.1, (len(WINDOW), rows + 1, hidden)).astype(np.float32)
+        self.b, self.u = np.zeros(hidden, np.float32), v.unigram.astype(np.float32)
+        self.w = rng.normal(0, 0.1, (hidden, v.classes)).astype(np.float32)
+        self.t = np.zeros((v.shared << v.depth, hidden), np.float32)
+        # a node's bias is the share of tokens below its second branch
+        mass, bias = v.leaf_total.reshape(v.shared, -1), np.zeros((v.shared, 1 << v.depth), np.float32)
+        for j in range(v.depth - 1, -1, -1):
+            pair = mass.reshape(v.shared, 1 << j, 2, -1).sum(3)
+            bias[:, 1 << j : 2 << j] = np.log(pair[:, :, 1] / pair[:, :, 0])
+        self.c = bias.ravel()
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.e, self.b, self.w, self.u)])
+        return np.concatenate([getattr(self, k).ravel() for k in self.PARTS])
 
     def set_flat(self, v: np.ndarray) -> Network:
         at = 0
-        for name in ("e", "b", "w", "u"):
+        for name in self.PARTS:
             x = getattr(self, name)
             setattr(self, name, np.asarray(v[at : at + x.size], np.float32).reshape(x.shape))
             at += x.size
         return self
 
-    def windows(self, classes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """The window's classes for each token; the class after the last one stands beyond a text's ends."""
+    def windows(self, context: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """The window's rows for each token; the row after the last one stands beyond a text's ends."""
         size = np.diff(bounds)
-        at = np.arange(len(classes)) + 2 * (np.repeat(np.arange(len(size)), size) + 1)
-        padded = np.full(len(classes) + 2 * (len(size) + 1), self.classes)
-        padded[at] = classes
+        at = np.arange(len(context)) + 2 * (np.repeat(np.arange(len(size)), size) + 1)
+        padded = np.full(len(context) + 2 * (len(size) + 1), sum(CONTEXT))
+        padded[at] = context
         return np.stack([padded[at + p] for p in WINDOW], 1)
 
-    def log_probabilities(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """ln P(class y | window x) for each row."""
+    def node(self, leaf: np.ndarray, j) -> tuple[np.ndarray, np.ndarray]:
+        """The node of level j on the way to a leaf, and the branch that is taken there."""
+        d = self.depth
+        way = leaf & ((1 << d) - 1)
+        return (leaf >> d << d) + ((1 << j) | (way >> (d - j))), (way >> (d - 1 - j)) & 1
+
+    def log_probabilities(self, x: np.ndarray, y: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+        """ln P(class y and leaf | window x) for each row."""
         out = np.empty(len(y))
-        for i in range(0, len(y), 8192):
-            a, t = x[i : i + 8192], y[i : i + 8192]
+        for i in range(0, len(y), 4096):
+            a, t, f = x[i : i + 4096], y[i : i + 4096], leaf[i : i + 4096]
             h = self.b + self.e[0][a[:, 0]]
             for p in range(1, len(WINDOW)):
                 h += self.e[p][a[:, p]]
-            z = np.tanh(h) @ self.w + self.u
-            top = z.max(1)
-            z -= top[:, None]
+            np.tanh(h, out=h)
+            z = h @ self.w + self.u
+            z -= z.max(1)[:, None]
             picked = z[np.arange(len(t)), t]
             np.exp(z, out=z)
-            out[i : i + 8192] = picked - np.log(z.sum(1))
+            got = (picked - np.log(z.sum(1))).astype(float)
+            below = np.flatnonzero(f >= 0)
+            g, own = h[below], f[below]
+            for j in range(self.depth):
+                node, right = self.node(own, j)
+                s = np.einsum("nh,nh->n", g, self.t[node]) + self.c[node]
+                got[below] -= np.log1p(np.exp(-np.clip(np.where(right, s, -s), -30, 30)))
+            out[i : i + 4096] = got
         return out
 
-    def train(self, x: np.ndarray, y: np.ndarray, state: list[np.ndarray], rate: float = 0.05, size: int = 1024) -> None:
-        """One pass of Adagrad over the rows; state holds the sums of squares."""
+    def train(self, x: np.ndarray, y: np.ndarray, leaf: np.ndarray, state: list[np.ndarray], turn: int, rate: float = 0.05, size: int = 2048) -> int:
+        """One pass of Adagrad over the rows; state holds the sums of squares. Of the trees each step trains one level, in turn; returns the turn."""
         for i in range(0, len(y), size):
-            a, t = x[i : i + size], y[i : i + size]
+            a, t, f = x[i : i + size], y[i : i + size], leaf[i : i + size]
             n = len(t)
             h = np.tanh(self.b + sum(self.e[p][a[:, p]] for p in range(len(WINDOW))))
             z = h @ self.w + self.u
@@ -113,61 +156,85 @@ class Network:
             z /= z.sum(1, keepdims=True)
             z[np.arange(n), t] -= 1
             z /= np.float32(np.sqrt(n))
-            dh = (z @ self.w.T) * (1 - h * h)
-            grads = np.zeros_like(self.e)
+            dh = z @ self.w.T
+            below = np.flatnonzero(f >= 0)
+            node, right = self.node(f[below], turn % self.depth)
+            turn += 1
+            order = np.argsort(node, kind="stable")
+            below, node, right = below[order], node[order], right[order]
+            g = h[below]
+            s = np.einsum("nh,nh->n", g, self.t[node]) + self.c[node]
+            err = ((1 / (1 + np.exp(-np.clip(s, -30, 30))) - right) / np.sqrt(n)).astype(np.float32)
+            dh[below] += err[:, None] * self.t[node]
+            if len(node):
+                first = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
+                used = node[first]
+                for name, d in (("t", np.add.reduceat(g * err[:, None], first, axis=0)), ("c", np.add.reduceat(err, first))):
+                    k = self.PARTS.index(name)
+                    state[k][used] += d * d
+                    getattr(self, name)[used] -= rate * d / np.sqrt(state[k][used])
+            dh *= 1 - h * h
             for p in range(len(WINDOW)):
-                # the rows of dh are summed by the class at this place
+                # the rows of dh are summed by the word at this place
                 order = np.argsort(a[:, p], kind="stable")
                 own = a[order, p]
                 first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-                grads[p, own[first]] = np.add.reduceat(dh[order], first, axis=0)
-            for name, g, s in zip(("e", "b", "w", "u"), (grads, dh.sum(0), h.T @ z, z.sum(0)), state, strict=True):
-                s += g * g
-                getattr(self, name)[...] -= rate * g / np.sqrt(s)
+                d, used = np.add.reduceat(dh[order], first, axis=0), own[first]
+                state[0][p, used] += d * d
+                self.e[p, used] -= rate * d / np.sqrt(state[0][p, used])
+            for k, (name, d) in enumerate((("b", dh.sum(0)), ("w", h.T @ z), ("u", z.sum(0))), 1):
+                state[k] += d * d
+                getattr(self, name)[...] -= rate * d / np.sqrt(state[k])
+        return turn
 
     def fresh_state(self) -> list[np.ndarray]:
-        return [np.full(x.shape, 0.1, np.float32) for x in (self.e, self.b, self.w, self.u)]
+        return [np.full(getattr(self, k).shape, 0.1, np.float32) for k in self.PARTS]
 
 
-def count_words(docs: DataFrame, own: int, classes: int) -> DataFrame:
-    """(code, shared, n) over all texts: counted in each slice first, so a frequent word is one row of it."""
-    schema = pa.schema([("code", pa.int64()), ("shared", pa.int32()), ("n", pa.int64())])
+def count_words(docs: DataFrame, shared: int) -> DataFrame:
+    """(code, place, n) over all texts: counted in each slice first, so a frequent word is one row of it."""
+    schema = pa.schema([("code", pa.int64()), ("place", pa.int32()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokeniser()
         for b in batches:
             texts = texts_of(b.column(0))
             for i, j in slices(texts, 4_000_000):
-                codes, _, (begin,) = tokens.codes(texts[i:j], (3,))
-                code, at, n = np.unique(codes, return_index=True, return_counts=True)
-                yield batch(schema, [pa.array(code.view(np.int64)), shared_class(begin[at], own, classes).astype(np.int32), n])
-
-    return docs.select("text").mapInArrow(run, "code long, shared int, n long").groupBy("code").agg(F.sum("n").alias("n"), F.first("shared").alias("shared"))
-
+                code, n = np.unique(tokens.codes(texts[i:j])[0], return_counts=True)
+                yield batch(schema, [pa.array(code.view(np.int64)), place_of(code, shared).astype(np.int32), n])
 
-def fit_vocabulary(docs: DataFrame, classes: int, own: int, listed: int) -> Vocabulary:
-    """From the counts of all words of the corpus; what comes to the driver is `listed` words and `classes` sums."""
-    return vocabulary_of(cut(count_words(docs, own, classes)), classes, own, listed)
+    return docs.select("text").mapInArrow(run, "code long, place int, n long").groupBy("code").agg(F.sum("n").alias("n"), F.first("place").alias("place"))
 
 
 def vocabulary_of(counts: DataFrame, classes: int, own: int, listed: int) -> Vocabulary:
-    """fit_vocabulary from the table of all counts."""
-    top = counts.orderBy(F.desc("n"), "code").limit(listed).toPandas()
-    rest = np.zeros((classes, 2))
-    if len(top):
-        n, code = int(top.n.iloc[-1]), int(top.code.iloc[-1])
-        others = counts.where((F.col("n") < n) | ((F.col("n") == n) & (F.col("code") > code)))
-        found = others.groupBy("shared").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).toPandas()
-        rest[found.shared.to_numpy(int)] = found[["n", "k"]].to_numpy(float)
-    return Vocabulary(top.code.to_numpy(np.int64).view(np.uint64), top.n.to_numpy(float), top.shared.to_numpy(np.int64), own, rest, classes)
+    """From the table of all counts; what comes to the driver is at most `listed` words, and a row a leaf.
+
+    Words are listed from a count on, which a histogram over sixteenths of powers of two gives, so no order of all words is needed.
+    """
+    step = F.floor(F.log2(F.col("n").cast("double")) * 16).cast("int")
+    steps = sorted(((r.step, r.k) for r in counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("k")).collect()), reverse=True)
+    words, edge, taken = sum(k for _, k in steps), None, 0
+    for s, k in steps:
+        if taken + k > listed:
+            break
+        edge, taken = s, taken + k
+    depth = depth_of(words)
+    top = counts.where(step >= F.lit(edge)).select("code", "n").toPandas() if edge is not None else pd.DataFrame({"code": [], "n": []})
+    top = top.sort_values(["n", "code"], ascending=[False, True])
+    leaf = F.shiftright("place", BITS - depth)
+    others = counts if edge is None else counts.where(step < F.lit(edge))
+    found = others.groupBy(leaf.alias("leaf")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).toPandas()
+    rest = np.zeros(((classes - own) << depth, 2))
+    rest[found.leaf.to_numpy(int)] = found[["n", "k"]].to_numpy(float)
+    return Vocabulary(top.code.to_numpy(np.int64).view(np.uint64), top.n.to_numpy(float), own, rest, classes, depth)
 
 
 def rare_gains(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """(key, gain) by the hash of a text: what its words that are not listed have over equal shares, by their own counts.
 
-    The counts stay a table that is joined by the word's code; words that would be hot keys are listed.
+    The counts stay a table that is joined by the word's code; words that would be hot keys are listed. Of a text with copies only one is looked up.
     """
-    schema = pa.schema([("key", pa.int64()), ("code", pa.int64())])
+    schema = pa.schema([("key", pa.int64()), ("code", pa.int64()), ("times", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokeniser()
@@ -178,82 +245,108 @@ def rare_gains(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary) -> Da
                 rare = np.ones(len(codes), bool)
                 if len(vocabulary.codes) and len(codes):
                     rare = vocabulary.codes[np.minimum(np.searchsorted(vocabulary.codes, codes), len(vocabulary.codes) - 1)] != codes
-                yield batch(schema, [np.repeat(keys[i:j], np.diff(bounds))[rare], codes[rare].view(np.int64)])
+                # a word that is several times in a text is one row
+                owner, codes = np.repeat(np.arange(j - i), np.diff(bounds))[rare], codes[rare]
+                order = np.lexsort((codes, owner))
+                owner, codes = owner[order], codes[order]
+                first = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (codes[1:] != codes[:-1])))) if len(codes) else np.zeros(0, np.int64)
+                yield batch(schema, [keys[i:j][owner[first]], codes[first].view(np.int64), np.diff(np.append(first, len(codes))).astype(np.int32)])
 
     keyed = docs.where("text is not null").select(F.xxhash64("text").alias("key"), "text")
-    equal = F.array(*[F.lit(float(x)) for x in vocabulary.equal])
-    gain = counts.select("code", (F.log("n") - F.get(equal, F.col("shared"))).alias("gain"))
-    summed = keyed.mapInArrow(run, "key long, code long").join(gain, "code").groupBy("key").agg(F.sum("gain").alias("gain"))
+    # a row a leaf: their number grows with the cube root of the vocabulary
+    spark = docs.sparkSession
+    equal = F.broadcast(spark.createDataFrame(pd.DataFrame({"leaf": np.arange(len(vocabulary.equal)), "equal": vocabulary.equal}), "leaf int, equal double"))
+    gain = counts.withColumn("leaf", F.shiftright("place", BITS - vocabulary.depth)).join(equal, "leaf").select("code", (F.log("n") - F.col("equal")).alias("gain"))
+    summed = keyed.mapInArrow(run, "key long, code long, times int").join(gain, "code").groupBy("key").agg(F.sum(F.col("times") * F.col("gain")).alias("gain"))
     # copies of a text have summed theirs into one row
     return summed.join(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("copies")), "key").select("key", (F.col("gain") / F.col("copies")).alias("gain"))
 
 
-def fit_network(docs: DataFrame, vocabulary: Vocabulary, own: int, hidden: int, stride: int, warm: int, seed: int = 13) -> Network:
-    """A network trained on every document: every `stride`-th token of each is a training target (1: all tokens).
+def fit_network(docs: DataFrame, vocabulary: Vocabulary, tokens: int, hidden: int, per: int = 2_000_000, early: int = 16, seed: int = 13) -> Network:
+    """A network trained on every token of every document.
 
-    It starts from a network trained on about `warm` documents. Each task then trains a copy on its own
-    documents, and the copies' weights are averaged by their numbers of targets, in two steps, so that
-    no task gets a row of every other one. How much is learnt from grows with the corpus.
+    Documents are dealt by a hash of id and text into buckets of about `per` tokens (the corpus has `tokens`). In each a copy of the network is trained, on the
+    documents in the order of their hashes, and the copies' weights are averaged by their numbers of tokens, in two steps, so that
+    no task gets a row of every other one. So the result follows from the documents, not from how they lie in files and tasks. First one bucket in
+    `early` (of fewer buckets, one document in `early`) gives the weights that the second round, over all documents, starts from. How much is learnt from grows with the corpus.
     """
-    rows = docs.where("text is not null").select("text")
-    share = min(1.0, warm / max(1, rows.count()))
-    sample = rows.where(F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))).limit(2 * warm)
-    start = Network(vocabulary.classes, hidden, vocabulary.unigram)
-    state = start.fresh_state()
-    texts = sorted(r[0].encode() for r in sample.collect())
-    if texts:
-        c, _, bounds = vocabulary.entries(texts, Tokeniser(), own)
-        order = np.random.default_rng(seed).permutation(len(c))[:400_000]
-        start.train(start.windows(c, bounds)[order], c[order], state)
-    flat, squares, piece = start.flat(), [s.copy() for s in state], 4096
-    schema = pa.schema([("slot", pa.int32()), ("salt", pa.int32()), ("n", pa.int64()), ("v", pa.list_(pa.float64()))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, sums, n = Network(vocabulary.classes, hidden, vocabulary.unigram).set_flat(flat.copy()), [s.copy() for s in squares], 0
-        tokens = Tokeniser()
-        for b in batches:
-            texts = texts_of(b.column(0))
-            for i, j in slices(texts, 1_000_000):
-                c, _, bounds = vocabulary.entries(texts[i:j], tokens, own)
-                # every stride-th token of each text, from a place that depends on its length
-                place = np.arange(len(c)) - np.repeat(bounds[:-1], np.diff(bounds)) + np.repeat(np.diff(bounds), np.diff(bounds))
-                at = np.flatnonzero(place % stride == 0)
-                net.train(net.windows(c, bounds)[at], c[at], sums)
-                n += len(at)
-        if n:
-            v = net.flat().astype(float) * n
-            cuts = range(0, len(v), piece)
-            yield batch(schema, [[k // piece for k in cuts], [n % 61 for _ in cuts], [n for _ in cuts], [v[k : k + piece] for k in cuts]])
+    buckets = max(1, -(-tokens // per))
+    h = F.xxhash64("doc_id", "text", F.lit(seed))
+    rows = docs.where("text is not null").select(F.pmod(h, F.lit(buckets)).cast("int").alias("bucket"), F.xxhash64(h).alias("h"), "text")
+    piece = 4096
+    schema = pa.schema([("slot", pa.int32()), ("bucket", pa.int32()), ("n", pa.int64()), ("v", pa.list_(pa.float32()))])
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"slot": [rows.slot.iloc[0]], "n": [rows.n.sum()], "v": [np.sum(np.stack(rows.v.to_numpy()), axis=0)]})
-
-    total = rows.mapInArrow(run, "slot int, salt int, n long, v array<double>")
-    total = total.groupBy("slot", "salt").applyInPandas(add, "slot int, n long, v array<double>").groupBy("slot").applyInPandas(add, "slot int, n long, v array<double>").toPandas().sort_values("slot")
-    if len(total):
-        flat = np.concatenate(total.v.to_numpy()) / total.n.iloc[0]
-    return Network(vocabulary.classes, hidden, vocabulary.unigram).set_flat(flat)
-
-
-def score_texts(texts: list[bytes], network: Network, vocabulary: Vocabulary, tokens: Tokeniser, own: int) -> tuple[np.ndarray, np.ndarray]:
+        rows = rows.sort_values("bucket")
+        return pd.DataFrame({"slot": [rows.slot.iloc[0]], "bucket": [rows.bucket.iloc[0]], "n": [rows.n.sum()], "v": [np.sum(np.stack(rows.v.to_numpy()).astype(float), axis=0)]})
+
+    def trained(some: DataFrame, start: np.ndarray | None, parts: int) -> np.ndarray | None:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            split = Tokeniser()
+
+            def groups() -> Iterator[tuple[int, list[bytes], bool]]:
+                """Texts of one bucket of about 400,000 bytes at a time, whatever batches they come in, and whether the bucket ends."""
+                own, held, size = None, [], 0
+                for b in batches:
+                    for bucket, text in zip(b.column(0).to_pylist(), texts_of(b.column(1)), strict=True):
+                        if own is not None and (bucket != own or size > 400_000):
+                            yield own, held, bucket != own
+                            held, size = [], 0
+                        own = bucket
+                        held.append(text)
+                        size += len(text)
+                if own is not None:
+                    yield own, held, True
+
+            net = None
+            for bucket, texts, ends in groups():
+                if net is None:
+                    net, n, turn = Network(vocabulary, hidden), 0, 0
+                    net = net if start is None else net.set_flat(start.copy())
+                    state = net.fresh_state()
+                c, leaf, context, _, bounds = vocabulary.entries(texts, split)
+                turn = net.train(net.windows(context, bounds), c, leaf, state, turn)
+                n += len(c)
+                if ends:
+                    v = (net.flat().astype(float) * n).astype(np.float32)
+                    cuts = range(0, len(v), piece)
+                    if n:
+                        yield batch(schema, [[k // piece for k in cuts], [bucket for _ in cuts], [n for _ in cuts], [v[k : k + piece] for k in cuts]])
+                    net = None
+
+        dealt = some.repartition(parts, "bucket").sortWithinPartitions("bucket", "h", "text").select("bucket", "text")
+        total = dealt.mapInArrow(run, "slot int, bucket int, n long, v array<float>")
+        total = total.groupBy("slot", F.pmod("bucket", F.lit(61)).alias("salt")).applyInPandas(add, "slot int, bucket int, n long, v array<double>")
+        total = total.groupBy("slot").applyInPandas(add, "slot int, bucket int, n long, v array<double>").toPandas().sort_values("slot")
+        return np.concatenate(total.v.to_numpy()) / total.n.iloc[0] if len(total) else start
+
+    first = rows.where(F.pmod("h" if buckets < early else "bucket", F.lit(early)) == 0)
+    start = trained(first, None, max(1, min(buckets, 20_000) // early))
+    learnt = trained(rows, start, min(buckets, 20_000))
+    network = Network(vocabulary, hidden)
+    return network if learnt is None else network.set_flat(learnt)
+
+
+def score_texts(texts: list[bytes], network: Network, tokens: Tokeniser) -> tuple[np.ndarray, np.ndarray]:
     """Tokens and summed ln P(token | both sides) of each text."""
-    c, log, bounds = vocabulary.entries(texts, tokens, own)
-    p = np.concatenate(([0.0], np.cumsum(network.log_probabilities(network.windows(c, bounds), c) + log)))
+    c, leaf, context, log, bounds = network.vocabulary.entries(texts, tokens)
+    p = np.concatenate(([0.0], np.cumsum(network.log_probabilities(network.windows(context, bounds), c, leaf) + log)))
     return np.diff(bounds), p[bounds[1:]] - p[bounds[:-1]]
 
 
-def pseudo_likelihood(docs: DataFrame, classes: int = 128, own: int = 96, listed: int = 20_000, hidden: int = 32, stride: int = 1, warm: int = 800) -> DataFrame:
+def pseudo_likelihood(docs: DataFrame, classes: int = 64, own: int = 48, listed: int = 20_000, hidden: int = 24, per: int = 2_000_000) -> DataFrame:
     """(doc_id, n_tokens, pll, pll_mean) of every row of docs.
 
-    pll is the sum over all tokens of ln P(class | two tokens on either side) + ln P(token | class): the first by
-    a network trained here on all tokens of the corpus, the second from the counts of all words over all of it. pll_mean is per token.
-    Null or empty texts have no tokens: pll 0 and a null mean. Repeated rows are scored alike; a null id is
-    returned as it is; other columns are ignored. Words are compared in lower case (A-Z).
+    pll is the sum over all tokens of ln P(class | two tokens on either side) + ln P(way to the word's leaf | class, the same tokens)
+    + ln P(token | leaf): the first two by a network trained here on all tokens of the corpus, the last from the counts of all words over
+    all of it. The leaves grow with the vocabulary (see depth_of). pll_mean is per token.
+    Null or empty texts have no tokens: pll 0 and a null mean; an empty table gives none; texts of any length are scored whole. Repeated rows and copies are
+    scored alike; a null id is returned as it is; other columns are ignored. Words are compared in lower case (A-Z).
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    counts = cut(count_words(rows, own, classes))
+    counts = cut(count_words(rows, classes - own))
     vocabulary = vocabulary_of(counts, classes, own, listed)
-    network = fit_network(rows, vocabulary, own, hidden, stride, warm)
+    network = fit_network(rows, vocabulary, counts.agg(F.sum("n")).first()[0] or 0, hidden, per)
     schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n_tokens", pa.int64()), ("pll", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,8 +354,10 @@ def pseudo_likelihood(docs: DataFrame, classes: int = 128, own: int = 96, listed
         for b in batches:
             texts = texts_of(b.column(2))
             for i, j in slices(texts, 1_000_000):
-                yield batch(schema, [b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), *score_texts(texts[i:j], network, vocabulary, tokens, own)])
+                yield batch(schema, [b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), *score_texts(texts[i:j], network, tokens)])
 
     scored = rows.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(run, "doc_id long, key long, n_tokens long, pll double")
-    scored = scored.join(rare_gains(rows, counts, vocabulary), "key", "left").select("doc_id", "n_tokens", (F.col("pll") + F.coalesce("gain", F.lit(0.0))).alias("pll"))
+    # texts with many copies are keys with many rows
+    gains = cut(rare_gains(rows, counts, vocabulary))
+    scored = join_unique(cut(scored), gains, ["key"], "left").select("doc_id", "n_tokens", (F.col("pll") + F.coalesce("gain", F.lit(0.0))).alias("pll"))
     return scored.withColumn("pll_mean", F.when(F.col("n_tokens") > 0, F.col("pll") / F.col("n_tokens")))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import inspect
 import random
 import re
 from collections import Counter, defaultdict
@@ -445,48 +444,79 @@ def test_held_out_by_checksum(spark):
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 3 == 1) for r in got)
 
 
+def lm(docs, classes, own, listed, hidden, per=2_000_000):
+    rows = docs.select("doc_id", "text")
+    counts = pseudo_lm.count_words(rows, classes - own).cache()
+    voc = pseudo_lm.vocabulary_of(counts, classes, own, listed)
+    return voc, pseudo_lm.fit_network(rows, voc, counts.agg(F.sum("n")).first()[0], hidden, per)
+
+
 def test_pseudo_likelihood_by_hand(spark):
     rng = random.Random(6)
     texts = [" ".join(("left right" if rng.random() < 0.8 else "right left") + f" n{rng.randrange(40)}" for _ in range(30)) for _ in range(120)] + list(EDGES)
     docs = frame(spark, texts)
-    voc = pseudo_lm.fit_vocabulary(docs, 16, 8, 20)
-    net = pseudo_lm.fit_network(docs, voc, 8, 8, 2, 50)
-    n, got = pseudo_lm.score_texts([(t or "").encode() for t in texts], net, voc, tokens.Tokeniser(), 8)
-    # probabilities of all classes sum to one, and a text's score is the sum over its tokens in plain loops
+    voc, net = lm(docs, 16, 8, 20, 8)
+    n, got = pseudo_lm.score_texts([(t or "").encode() for t in texts], net, tokens.Tokeniser())
+    # a text's score is the sum over its tokens in plain loops: the class, each choice on the way to the leaf, the share there
     for k in (0, 3, 120, 124):
-        c, log, _ = voc.entries([(texts[k] or "").encode()], tokens.Tokeniser(), 8)
+        c, leaf, context, log, _ = voc.entries([(texts[k] or "").encode()], tokens.Tokeniser())
         total = 0.0
         for i in range(len(c)):
-            at = [c[i + p] if 0 <= i + p < len(c) else 16 for p in pseudo_lm.WINDOW]
-            z = np.tanh(net.b + sum(net.e[p][x] for p, x in enumerate(at))) @ net.w + net.u
+            at = [context[i + p] if 0 <= i + p < len(c) else sum(pseudo_lm.CONTEXT) for p in pseudo_lm.WINDOW]
+            h = np.tanh(net.b + sum(net.e[p][x] for p, x in enumerate(at)))
+            z = h @ net.w + net.u
             total += float(z[c[i]] - np.log(np.exp(z).sum()) + log[i])
+            if leaf[i] >= 0:
+                at_node, base = 1, (c[i] - voc.first) << voc.depth
+                for j in range(voc.depth):
+                    right = leaf[i] >> (voc.depth - 1 - j) & 1
+                    s = float(h @ net.t[base + at_node] + net.c[base + at_node])
+                    total -= np.log1p(np.exp(-s if right else s))
+                    at_node = 2 * at_node + right
         assert got[k] == pytest.approx(total, abs=1e-3) and n[k] == len((texts[k] or "").split())
-    c, _, bounds = voc.entries([t.encode() for t in texts[:120]], tokens.Tokeniser(), 8)
-    assert net.log_probabilities(net.windows(c, bounds), c).mean() > voc.unigram[c].mean() + 0.2
+    c, leaf, context, _, bounds = voc.entries([t.encode() for t in texts[:120]], tokens.Tokeniser())
+    fresh = pseudo_lm.Network(voc, 8)
+    fresh.w[:] = 0
+    x = net.windows(context, bounds)
+    assert net.log_probabilities(x, c, leaf).mean() > fresh.log_probabilities(x, c, leaf).mean() + 0.2
     rows = {r.doc_id: r for r in pseudo_lm.pseudo_likelihood(docs).collect()}
     assert rows[121].n_tokens == 0 and rows[121].pll == 0.0 and rows[121].pll_mean is None
     assert pseudo_lm.pseudo_likelihood(docs.limit(0)).count() == 0
 
 
-def test_words_that_are_not_listed_have_their_own_counts(spark):
-    rng = random.Random(8)
-    texts = [" ".join(f"x{int(60 * rng.random() ** 2)}" for _ in range(rng.randrange(5, 40))) for _ in range(80)]
-    docs = frame(spark, [*texts, *texts[:10], *EDGES])
-    few, all_ = ({r.doc_id: r.pll for r in pseudo_lm.pseudo_likelihood(docs, 16, 8, listed, 8, warm=50).collect()} for listed in (10, 10_000))
-    assert len(few) == 98 and few == pytest.approx(all_, abs=1e-3)
+def test_probabilities_of_all_words_sum_to_one(spark):
+    rng = random.Random(2)
+    texts = [" ".join(f"x{int(60 * rng.random() ** 2)}" for _ in range(30)) for _ in range(60)]
+    voc, net = lm(frame(spark, texts), 12, 6, 10_000, 4)
+    every = sorted({w for t in texts for w in t.split()})
+    c, leaf, _, log, _ = voc.entries([" ".join(every).encode()], tokens.Tokeniser())
+    x = np.repeat(np.array([[3, 0, 200, 256]]), len(every), axis=0)
+    # a share is kept for words that the corpus has not seen
+    assert 0.75 < np.exp(net.log_probabilities(x, c, leaf) + log).sum() <= 1 + 1e-4
 
 
-def test_every_token_is_a_target():
-    assert inspect.signature(pseudo_lm.pseudo_likelihood).parameters["stride"].default == 1
+def test_pseudo_likelihood_does_not_depend_on_partitions(spark):
+    rng = random.Random(8)
+    docs = frame(spark, [" ".join(f"x{int(60 * rng.random() ** 2)}" for _ in range(rng.randrange(5, 40))) for _ in range(200)])
+    one, many = ({r.doc_id: r.pll for r in pseudo_lm.pseudo_likelihood(docs.repartition(k), 16, 8, 30, 8, 500).collect()} for k in (1, 40))
+    assert len(one) == 200 and one == pytest.approx(many, rel=1e-4)
 
 
-def test_word_shares_sum_to_one(spark):
-    texts = ["a a b c", "a d"]
-    voc = pseudo_lm.fit_vocabulary(frame(spark, texts), 6, 2, 3)
-    counts = Counter(" ".join(texts).split())
-    assert len(voc.codes) == 3 and counts["a"] == 3
-    c, log, _ = voc.entries([b"a"], tokens.Tokeniser(), 2)
-    assert np.exp(log[0]) == pytest.approx(3 / 4) and c[0] == 0
+def test_words_that_are_not_listed_have_their_own_counts(spark):
+    rng = random.Random(8)
+    texts = [" ".join(f"x{int(60 * rng.random() ** 2)}" for _ in range(rng.randrange(5, 40))) for _ in range(80)]
+    docs = frame(spark, [*texts, *texts[:10], *EDGES])
+    voc, net = lm(docs, 16, 0, 10_000, 8)
+    _, want = pseudo_lm.score_texts([t.encode() for t in texts], net, tokens.Tokeniser())
+    counts = pseudo_lm.count_words(docs, 16).cache()
+    bare = pseudo_lm.vocabulary_of(counts, 16, 0, 0)
+    assert len(bare.codes) == 0 and len(voc.codes) > 50
+    gains = {r.key: r.gain for r in pseudo_lm.rare_gains(docs, counts, bare).collect()}
+    keys = {r.doc_id: r.k for r in docs.select("doc_id", F.xxhash64("text").alias("k")).collect()}
+    for i in range(80):
+        _, _, _, a, _ = voc.entries([texts[i].encode()], tokens.Tokeniser())
+        _, _, _, b, _ = bare.entries([texts[i].encode()], tokens.Tokeniser())
+        assert b.sum() + gains[keys[i]] == pytest.approx(a.sum(), abs=1e-6)
 
 
 def benchmark_texts(rng):
