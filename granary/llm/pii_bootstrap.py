@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, cut
+from .common import SPACE, beside, cut, join_unique, let
 
 #: Kinds in the order that breaks ties, then the kind of what contexts add.
 KINDS = ("email", "ip", "card", "phone")
@@ -19,8 +19,11 @@ _CARD = r"(?:(?<![0-9])|\G)[0-9](?:[\x20-]?+[0-9]){13,}+"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _IP_OK = rf"^{_PART}(?:\.{_PART}){{3}}$"
-#: A word with a digit or an at sign may be an identifier.
-_IDENT = r"(?:(?<![^\x20\x09-\x0D]))[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+#: A word with a digit or an at sign may be an identifier; so may several of them with single blanks between (a number in groups).
+_ONE = r"[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+_IDENT = rf"(?:(?<![^\x20\x09-\x0D])){_ONE}(?:\x20{_ONE})*+"
+#: Identifiers that are known beside the base kinds: keys of at least 32 lower-case hexadecimal digits.
+KEY = r"^(?=.*[0-9])(?=.*[a-f])[0-9a-f]{32,}$"
 _EDGE = r"^[^\p{L}\p{N}@+]+|[^\p{L}\p{N}]+$"
 
 
@@ -30,8 +33,8 @@ def matches(text: Column, pattern: str) -> Column:
     Spark returns what a pattern matched but not where; the text between matches comes from a
     split by the same pattern, and running lengths of both give the places.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
+    found, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    between = F.transform(pieces, lambda x: F.length(x))
     zipped = F.arrays_zip(found.alias("m"), F.slice(between, 1, F.size(found)).alias("g"))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
 
@@ -74,73 +77,97 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*own))
 
 
-def _context(piece: Column, last: bool) -> Column:
-    """The word of a piece of text next to a match, without case and punctuation; empty at the text's edge."""
-    near = F.substring(piece, -80, 80) if last else F.substring(piece, 1, 80)
-    words = F.filter(F.split(near, SPACE), lambda w: w != "")
-    word = F.coalesce(F.get(words, F.size(words) - 1 if last else F.lit(0)), F.lit(""))
-    return F.regexp_replace(F.lower(word), _EDGE, "")
+def _plain(word: Column) -> Column:
+    """A word without case and punctuation at its edges; as it is if it has nothing else."""
+    bare = F.regexp_replace(word, _EDGE, "")
+    return F.when(bare == "", word).otherwise(bare)
+
+
+def _words(text: Column) -> Column:
+    return F.transform(F.array_remove(F.split(F.lower(text), SPACE), ""), _plain)
+
+
+def contexts(text: Column, pattern: str) -> Column:
+    """array<struct(left2, left, right)> for the matches of pattern: the two words before each, and the one behind; empty where there is none.
+
+    Words count up to the matches on either side, so each part of a text is looked at twice at most, whatever its length.
+    """
+    # only the edges of a piece matter: its last two words and its first
+    def edge(piece: Column) -> Column:
+        tail = F.reverse(F.regexp_extract(F.reverse(piece), r"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+){0,2}", 0))
+        return F.struct(_words(tail).alias("last"), F.get(_words(F.regexp_extract(piece, r"^[\x20\x09-\x0D]*+[^\x20\x09-\x0D]*+", 0)), F.lit(0)).alias("first"))
+
+    def around(e: Column) -> Column:
+        sides = F.arrays_zip(F.slice(e, 1, F.greatest(F.size(e) - 1, F.lit(0))).alias("b"), F.slice(e, 2, F.greatest(F.size(e) - 1, F.lit(0))).alias("a"))
+        nearest = lambda w, k: F.coalesce(F.get(w, F.size(w) - k), F.lit(""))
+        return F.transform(sides, lambda x: F.struct(F.when(F.size(x["b"]["last"]) > 1, F.concat_ws(" ", x["b"]["last"])).otherwise("").alias("left2"), nearest(x["b"]["last"], 1).alias("left"), F.coalesce(x["a"]["first"], F.lit("")).alias("right")))
+
+    return let(F.transform(F.split(text, pattern, -1), edge), around)
 
 
 def identifiers(rows: DataFrame) -> DataFrame:
-    """(row, start, end, value, seed, left, right) of the words of rows (row, text, base) that look like identifiers.
+    """(row, start, end, value, seed, left2, left, right) of the words of rows (row, text, base) that look like identifiers.
 
-    value has no punctuation at its edges; seed: it overlaps a base span; left and right: the words beside it.
+    value has no punctuation at its edges; seed: it overlaps a base span or has the form of a KEY; the others are its context (see contexts).
     """
     some = rows.where(F.col("text").rlike("[0-9@]"))
-    each = some.select("row", "base", F.col("text"), F.posexplode(matches(F.col("text"), _IDENT)).alias("i", "m"))
-    raw = F.col("m.value")
+    each = some.select("row", "base", F.explode(F.arrays_zip(matches(F.col("text"), _IDENT).alias("m"), contexts(F.col("text"), _IDENT).alias("c"))).alias("x"))
+    raw = F.col("x.m.value")
     lead = F.length(raw) - F.length(F.regexp_replace(raw, r"^[^\p{L}\p{N}@+]+", ""))
     clean = F.regexp_replace(raw, _EDGE, "")
-    start = F.col("m.start") + lead
-    each = each.select("row", "base", "text", start.alias("start"), (start + F.length(clean)).alias("end"), clean.alias("value"), F.col("m.start").alias("s"), F.col("m.end").alias("e")).where("value <> ''")
-    left = _context(F.expr("substring(text, greatest(s - 79, 1), least(s, 80))"), True)
-    right = _context(F.expr("substring(text, e + 1, 80)"), False)
-    seed = F.exists("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))
-    return each.select("row", "start", "end", "value", seed.alias("seed"), left.alias("left"), right.alias("right"))
+    start = F.col("x.m.start") + lead
+    each = each.select("row", "base", start.alias("start"), (start + F.length(clean)).alias("end"), clean.alias("value"), "x.c.*").where("value <> ''")
+    known = F.exists("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))
+    return each.select("row", "start", "end", "value", (known | F.col("value").rlike(KEY)).alias("seed"), "left2", "left", "right")
 
 
-def learnt_instances(found: DataFrame, texts: DataFrame, rounds: int = 2, support: int = 3, sure: float = 0.6) -> DataFrame:
-    """(value): identifiers that contexts of known ones reveal, beyond the seeds.
+def learnt_instances(found: DataFrame, texts: DataFrame, rounds: int = 2, support: int = 3, sure: float = 0.6, small: int = 100_000) -> DataFrame:
+    """(value): identifiers that contexts of known ones reveal, and the known ones beside the base kinds.
 
-    A pattern is a word on the left or the right of identifiers. Its confidence is the share of its
+    A pattern is the word on the left of identifiers, the two words there, or the word on the right. Its confidence is the share of its
     occurrences in all texts at which a known instance stands, weighted by the instances' own; it counts if
     `support` different known instances induce it. An instance's confidence is 1 - prod(1 - confidence) over the patterns
     it stands in. Instances of confidence `sure` or more become known, and the graph is scored again, `rounds` times. Known values
-    are a table that is joined, never a list on the driver.
+    and patterns are tables that are joined, never a list on the driver.
     """
-    edges = found.select("value", "seed", F.explode(F.array(F.struct(F.lit("L").alias("side"), F.col("left").alias("word")), F.struct(F.lit("R").alias("side"), F.col("right").alias("word")))).alias("p"))
-    edges = edges.select("value", "seed", F.col("p.side").alias("side"), F.col("p.word").alias("word")).where("word <> ''")
+    side = lambda kind, c: F.struct(F.lit(kind).alias("side"), F.col(c).alias("word"))
+    edges = found.select("value", "seed", F.explode(F.array(side("L", "left"), side("M", "left2"), side("R", "right"))).alias("p"))
+    edges = edges.select("value", "seed", "p.*").where("word <> ''")
     graph = cut(edges.groupBy("side", "word", "value").agg(F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed")))
-    words = graph.groupBy("side", "word").agg(F.count(F.lit(1)).alias("values")).where(F.col("values") >= support).select("word").distinct()
-    # how often the words occur at all, in all texts; counted before anything is moved
-    every = texts.select(F.explode(F.transform(F.split(F.lower("text"), SPACE), lambda w: F.regexp_replace(w, _EDGE, ""))).alias("word"))
-    total = cut(every.groupBy("word").agg(F.count(F.lit(1)).alias("total")).join(words, "word", "left_semi"))
-    graph = cut(graph.join(total, "word").select("side", "word", "value", "n", "seed", "total"))
+    words = cut(graph.groupBy("side", "word").agg(F.count(F.lit(1)).alias("values")).where(F.col("values") >= support).select("side", "word"))
+    # how often these occur at all, in all texts: of all words and pairs only theirs are counted
+    asked = words.select(F.when(F.col("side") == "M", 2).otherwise(1).alias("k"), "word").distinct()
+    pairs = lambda w: F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.struct(F.lit(2).alias("k"), F.concat_ws(" ", a, b).alias("word")))
+    every = texts.select(F.explode(let(_words(F.col("text")), lambda w: F.concat(F.transform(w, lambda x: F.struct(F.lit(1).alias("k"), x.alias("word"))), pairs(w)))).alias("p")).select("p.*")
+    every = every.join(F.broadcast(asked), ["k", "word"], "left_semi") if asked.limit(small + 1).count() <= small else every
+    total = cut(join_unique(every.groupBy("k", "word").agg(F.count(F.lit(1)).alias("total")), asked, ["k", "word"], small=small))
+    keyed = words.withColumn("k", F.when(F.col("side") == "M", 2).otherwise(1)).join(total, ["k", "word"]).select("side", "word", "total")
+    graph = cut(join_unique(graph, cut(keyed), ["side", "word"], small=small).select("side", "word", "value", "n", "seed", "total"))
     known = cut(graph.where("seed").select("value", F.lit(1.0).alias("conf")).distinct())
     for _ in range(rounds):
-        pattern = graph.join(known, "value").groupBy("side", "word").agg((F.sum(F.col("n") * F.col("conf")) / F.max("total")).alias("p"), F.count(F.lit(1)).alias("k")).where((F.col("k") >= support) & (F.col("p") >= sure / 2))
-        scored = graph.where("not seed").join(pattern, ["side", "word"]).groupBy("value").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("p"), F.lit(1e-9)))))).alias("conf")).where(F.col("conf") >= sure)
+        share = F.least(F.sum(F.col("n") * F.col("conf")) / F.max("total"), F.lit(1.0))
+        pattern = graph.join(known, "value").groupBy("side", "word").agg(share.alias("p"), F.count(F.lit(1)).alias("k")).where((F.col("k") >= support) & (F.col("p") >= sure / 2))
+        scored = graph.where("not seed").join(beside(pattern, small), ["side", "word"]).groupBy("value").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("p"), F.lit(1e-9)))))).alias("conf")).where(F.col("conf") >= sure)
         known = cut(graph.where("seed").select("value", F.lit(1.0).alias("conf")).distinct().unionByName(scored))
-    seeds = graph.where("seed").select("value").distinct()
-    return known.select("value").distinct().join(seeds, "value", "left_anti")
+    return known.select("value").unionByName(found.where("seed").select("value")).distinct()
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2, support: int = 3, sure: float = 0.6) -> DataFrame:
     """(doc_id, base, spans) of every row of docs: arrays of struct(start, kind, end, value), kind as a name.
 
-    base has the four kinds; spans also what contexts add (kind "id"), where it does not overlap base. Null texts count as empty; a null id
-    is returned as it is; repeated rows have equal spans; other columns are ignored; without identifiers nothing is added.
+    base has the four kinds; spans also known keys and what contexts add (kind "id"), where it does not overlap base. Null texts count as empty; a null id
+    is returned as it is; repeated rows and copies have equal spans; whole texts of any length count; an empty table gives none; other columns are ignored; without
+    identifiers nothing is added.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
     own = base_spans(F.col("text"))
     # only texts with a digit or an at sign can hold anything; what is found is small beside the texts
-    looked = rows.where(F.col("text").rlike("[0-9@]")).select("doc_id", F.xxhash64("text").alias("row"), "text", own.alias("base"))
-    found = cut(identifiers(looked.select("row", "text", "base")).distinct())
-    new = learnt_instances(found, rows, rounds, support, sure)
-    added = cut(found.where("not seed").join(new, "value", "left_semi").groupBy("row").agg(F.collect_set(F.struct("start", F.lit(len(KINDS)).alias("kind"), "end", "value")).alias("added")))
-    joined = rows.select("doc_id", F.xxhash64("text").alias("row"), own.alias("base")).join(added, "row", "left")
+    looked = rows.where(F.col("text").rlike("[0-9@]")).select(F.xxhash64("text").alias("row"), "text", own.alias("base"))
+    found = cut(identifiers(looked).distinct())
+    new = cut(learnt_instances(found, rows, rounds, support, sure))
+    added = join_unique(found, new, ["value"]).groupBy("row").agg(F.collect_set(F.struct("start", F.lit(len(KINDS)).alias("kind"), "end", "value")).alias("added"))
+    joined = join_unique(cut(rows.select("doc_id", F.xxhash64("text").alias("row"), own.alias("base"))), cut(added), ["row"], "left")
     free = F.filter(F.coalesce("added", F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")), lambda a: ~F.exists("base", lambda b: (b["start"] < a["end"]) & (b["end"] > a["start"])))
     both = F.array_sort(F.concat("base", free))
     names = F.array(*[F.lit(k) for k in (*KINDS, LEARNT)])
