@@ -62,29 +62,26 @@ def preference_rows(pairs: DataFrame) -> DataFrame:
     return rows.select("chosen_id", "rejected_id", "n_common", "prompt", _joined(F.col("c")).alias("chosen"), _joined(F.col("r")).alias("rejected"), _mask(F.col("c")).alias("chosen_mask"), _mask(F.col("r")).alias("rejected_mask"))
 
 
-def pair_by_opening(convs: DataFrame, width: int = 512) -> DataFrame:
-    """Pairs (chosen, rejected) of conversations with the same first turn, each conversation in one pair at most.
+def pair_by_opening(convs: DataFrame, width: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """(pairs (chosen_id, rejected_id), alone (conv_id)) of conversations with the same first turn, each conversation in one pair at most.
 
-    The conversations of one opening are put in line by id, cut into `width` salts by a hash of the id, so a
-    frequent opening is spread; in each salt the first and second, third and fourth and so on are
-    paired. What a salt leaves over is paired again in the same way with a smaller number of salts, until one is left,
-    so of an opening at most one conversation stays alone. Chosen is the one with more turns, then the smaller id.
+    The conversations of one opening are numbered by id, and the first and second, third and fourth and so on are paired, so
+    of an opening at most one stays alone. Numbers come from those inside ranges of `width` ids and the counts of the ranges before, so a
+    frequent opening is spread over tasks. Chosen is the one with more turns, then the smaller id.
     """
-    opening = F.xxhash64(F.get("turns", F.lit(0))["role"], F.get("turns", F.lit(0))["text"])
-    heads = cut(convs.select("conv_id", opening.alias("opening"), F.size("turns").alias("n")))
-    done, left, salts = None, heads, width
-    while True:
-        w = Window.partitionBy("opening", "salt").orderBy("conv_id")
-        lined = left.withColumn("salt", F.pmod(F.xxhash64("conv_id"), F.lit(salts))).withColumn("i", F.row_number().over(w)).withColumn("mate", F.lead("conv_id").over(w)).withColumn("mate_n", F.lead("n").over(w))
-        lined = cut(lined)
-        pairs = lined.where("i % 2 = 1 and mate is not null").select("conv_id", "n", "mate", "mate_n")
-        done = pairs if done is None else done.unionByName(pairs)
-        if salts == 1:
-            break
-        left = lined.where("i % 2 = 1 and mate is null").select("conv_id", "opening", "n")
-        salts = max(1, salts // 16)
-    first = (F.col("n") > F.col("mate_n")) | ((F.col("n") == F.col("mate_n")) & (F.col("conv_id") < F.col("mate")))
-    return done.select(F.when(first, F.col("conv_id")).otherwise(F.col("mate")).alias("chosen_id"), F.when(first, F.col("mate")).otherwise(F.col("conv_id")).alias("rejected_id"))
+    first = F.get("turns", F.lit(0))
+    opening = F.md5(F.concat(first["role"], F.lit("\x1f"), first["text"]).cast("binary"))
+    heads = cut(convs.select("conv_id", opening.alias("opening"), F.size("turns").alias("n"), F.floor(F.col("conv_id") / width).cast("long").alias("range")))
+    before = Window.partitionBy("opening").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = heads.groupBy("opening", "range").agg(F.count(F.lit(1)).alias("c")).withColumn("before", F.coalesce(F.sum("c").over(before), F.lit(0))).select("opening", "range", "before")
+    lined = heads.withColumn("i", F.row_number().over(Window.partitionBy("opening", "range").orderBy("conv_id"))).join(offsets, ["opening", "range"])
+    member = F.struct("conv_id", "n")
+    couples = lined.groupBy("opening", F.floor((F.col("i") + F.col("before") + 1) / 2).alias("couple")).agg(F.min(member).alias("a"), F.max(member).alias("b"), F.count(F.lit(1)).alias("c"))
+    couples = cut(couples)
+    a, b = F.col("a.conv_id"), F.col("b.conv_id")
+    ahead = F.col("a.n") >= F.col("b.n")
+    pairs = couples.where("c = 2").select(F.when(ahead, a).otherwise(b).alias("chosen_id"), F.when(ahead, b).otherwise(a).alias("rejected_id"))
+    return pairs, couples.where("c = 1").select(a.alias("conv_id"))
 
 
 def with_foreign_replies(convs: DataFrame) -> DataFrame:
@@ -103,14 +100,22 @@ def with_foreign_replies(convs: DataFrame) -> DataFrame:
     return both.select(F.col("conv_id").alias("chosen_id"), F.col("next_of").alias("rejected_id"), F.col("turns").alias("chosen_turns"), rejected.alias("rejected_turns"))
 
 
-def preference_format(turns: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+def preference_format(turns: DataFrame, pairs: DataFrame | None = None, foreign: bool = False) -> DataFrame:
     """Preference rows (see preference_rows) of `pairs` (chosen_id, rejected_id) of conversations.
 
-    Without pairs, those of pair_by_opening. Pairs with an id that has no turns, or a null id, are left out; repeated pairs
-    are returned as often; columns of turns other than conv_id, turn, role and text are ignored.
+    Without pairs, those of pair_by_opening; with foreign also, for each conversation that has no mate, its own last reply against a foreign one
+    (see with_foreign_replies). Pairs with an id that has no turns, or a null id, are left out; repeated pairs
+    are returned as often; null texts and roles count as empty; turns without conv_id are left out; repeated turns are kept; an empty table gives none; texts
+    of any length are written whole; columns of turns other than conv_id, turn, role and text are ignored.
     """
     convs = cut(conversations(turns.select("conv_id", "turn", "role", "text")))
-    pairs = pair_by_opening(convs) if pairs is None else pairs.select("chosen_id", "rejected_id")
+    alone = None
+    if pairs is None:
+        pairs, alone = pair_by_opening(convs)
     a = convs.select(F.col("conv_id").alias("chosen_id"), F.col("turns").alias("chosen_turns"))
     b = convs.select(F.col("conv_id").alias("rejected_id"), F.col("turns").alias("rejected_turns"))
-    return preference_rows(pairs.join(a, "chosen_id").join(b, "rejected_id"))
+    both = pairs.select("chosen_id", "rejected_id").join(a, "chosen_id").join(b, "rejected_id")
+    if foreign and alone is not None:
+        made = with_foreign_replies(convs).join(alone.select(F.col("conv_id").alias("chosen_id")), "chosen_id", "left_semi")
+        both = both.unionByName(made.select(*both.columns))
+    return preference_rows(both)

@@ -15,7 +15,7 @@ from .linedup import dedup_lines
 from .mixing import mix
 from .ngram_join import ngram_jaccard_components
 from .pii_bootstrap import personal_data, written
-from .preference import conversations, preference_rows, with_foreign_replies
+from .preference import preference_format
 from .pseudo_lm import pseudo_likelihood
 from .quality_fm import quality_scores
 from .toxicity_crf import toxicity_scores
@@ -49,8 +49,7 @@ def op6_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    return preference_rows(with_foreign_replies(conversations(turns)))
+    return preference_format(read(spark, sf_dir, "conversations"), foreign=True)
 
 
 def op8_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:

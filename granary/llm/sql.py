@@ -37,19 +37,26 @@ left_over AS (SELECT r.doc_id, coalesce(string_agg(r.line, chr(10) ORDER BY r.id
 """
 ORACLE["op3_line_dedup"] = "WITH " + _LINES.format(table="documents") + r"SELECT doc_id, lines_gone, text_kept, lines_gone > 0 AND NOT regexp_matches(text_kept, '[^\x20\x09-\x0D]') AS emptied FROM left_over"
 
+#: Conversations with one opening in couples, others against a foreign reply; the common prefix is looked for turn by turn.
 ORACLE["op7_preference_format"] = r"""
 WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i FROM conversations WHERE conv_id IS NOT NULL),
-last AS (SELECT conv_id, max(i) AS i FROM t WHERE role = 'assistant' GROUP BY conv_id),
-reply AS (SELECT t.conv_id, t.i, t.text FROM t JOIN last USING (conv_id, i)),
-next AS (SELECT conv_id, i, text, lead(conv_id) OVER (ORDER BY conv_id DESC) AS n, max(conv_id) OVER () AS top FROM reply),
-pair AS (SELECT x.conv_id, x.i, x.text, y.conv_id AS other, y.text AS other_text, CASE WHEN x.text = y.text THEN x.i ELSE x.i - 1 END AS n FROM next x JOIN reply y ON y.conv_id = coalesce(x.n, x.top))
-SELECT p.conv_id AS chosen_id, p.other AS rejected_id, p.n AS n_common,
-  coalesce(string_agg('<|' || t.role || '|>' || chr(10) || t.text || chr(10) || '<|end|>' || chr(10), '' ORDER BY t.i) FILTER (WHERE t.i <= p.n), '') AS prompt,
-  CASE WHEN p.n = p.i THEN '' ELSE '<|assistant|>' || chr(10) || p.text || chr(10) || '<|end|>' || chr(10) END AS chosen,
-  CASE WHEN p.n = p.i THEN '' ELSE '<|assistant|>' || chr(10) || p.other_text || chr(10) || '<|end|>' || chr(10) END AS rejected,
-  CASE WHEN p.n = p.i THEN '' ELSE '14:0,' || (length(p.text) + 9) || ':1' END AS chosen_mask,
-  CASE WHEN p.n = p.i THEN '' ELSE '14:0,' || (length(p.other_text) + 9) || ':1' END AS rejected_mask
-FROM pair p JOIN t ON t.conv_id = p.conv_id GROUP BY p.conv_id, p.other, p.n, p.i, p.text, p.other_text
+head AS (SELECT conv_id, arg_min(role || chr(31) || text, i) AS opening, count(*) AS n FROM t GROUP BY conv_id),
+numbered AS (SELECT *, (row_number() OVER (PARTITION BY opening ORDER BY conv_id) + 1) // 2 AS couple FROM head),
+couples AS (SELECT opening, couple, count(*) AS c, min(conv_id) AS a, max(conv_id) AS b, arg_min(n, conv_id) AS na, arg_max(n, conv_id) AS nb FROM numbered GROUP BY opening, couple),
+reply AS (SELECT conv_id, max(i) AS i, arg_max(text, i) AS text FROM t WHERE role = 'assistant' GROUP BY conv_id),
+foreigner AS (SELECT conv_id, i, coalesce(lead(conv_id) OVER (ORDER BY conv_id DESC), max(conv_id) OVER ()) AS other FROM reply),
+pair AS (SELECT CASE WHEN na >= nb THEN a ELSE b END AS x, CASE WHEN na >= nb THEN b ELSE a END AS y, CAST(NULL AS BIGINT) AS upto FROM couples WHERE c = 2
+  UNION ALL SELECT conv_id, other, i FROM foreigner JOIN couples ON c = 1 AND a = conv_id),
+chosen AS (SELECT x, y, t.i, role, text FROM pair JOIN t ON conv_id = x WHERE upto IS NULL OR t.i <= upto),
+rejected AS (SELECT x, y, t.i, role, text FROM pair JOIN t ON conv_id = y WHERE upto IS NULL
+  UNION ALL SELECT x, y, t.i, role, text FROM pair JOIN t ON conv_id = x WHERE t.i < upto
+  UNION ALL SELECT x, y, upto, 'assistant', reply.text FROM pair JOIN reply ON conv_id = y WHERE upto IS NOT NULL),
+prefix AS (SELECT x, y, coalesce(min(i) FILTER (WHERE c.role IS DISTINCT FROM r.role OR c.text IS DISTINCT FROM r.text) - 1, count(*)) AS n FROM chosen c FULL JOIN rejected r USING (x, y, i) GROUP BY x, y),
+c AS (SELECT x, y, n, coalesce(string_agg(turn, '' ORDER BY i) FILTER (WHERE i <= n), '') AS prompt, coalesce(string_agg(turn, '' ORDER BY i) FILTER (WHERE i > n), '') AS said, coalesce(string_agg(mask, ',' ORDER BY i) FILTER (WHERE i > n), '') AS mask
+  FROM (SELECT *, '<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10) AS turn, (length(role) + 5) || ':0,' || (length(text) + 9) || CASE role WHEN 'assistant' THEN ':1' ELSE ':0' END AS mask FROM chosen) JOIN prefix USING (x, y) GROUP BY x, y, n),
+r AS (SELECT x, y, coalesce(string_agg(turn, '' ORDER BY i) FILTER (WHERE i > n), '') AS said, coalesce(string_agg(mask, ',' ORDER BY i) FILTER (WHERE i > n), '') AS mask
+  FROM (SELECT *, '<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10) AS turn, (length(role) + 5) || ':0,' || (length(text) + 9) || CASE role WHEN 'assistant' THEN ':1' ELSE ':0' END AS mask FROM rejected) JOIN prefix USING (x, y) GROUP BY x, y)
+SELECT x AS chosen_id, y AS rejected_id, n AS n_common, prompt, c.said AS chosen, r.said AS rejected, c.mask AS chosen_mask, r.mask AS rejected_mask FROM c JOIN r USING (x, y)
 """
 
 #: All pairs of documents that share a shingle, by size of intersection and union; components by the closure of their links.
