@@ -137,11 +137,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def slices(texts: list[bytes], most: int = 8_000_000) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about `most` bytes each, so that a batch of long texts stays small in memory."""
+def slices(texts: list[bytes], most: int = 8_000_000, rows: int = 1 << 30) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about `most` bytes and at most `rows` texts each, so that a batch of long texts stays small in memory."""
     start, size = 0, 0
     for i, t in enumerate(texts):
-        if size and size + len(t) > most:
+        if (size and size + len(t) > most) or i - start >= rows:
             yield start, i
             start, size = i, 0
         size += len(t)

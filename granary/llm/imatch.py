@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, word_array
+from .common import beside, cut, let, word_array
 
 #: The lexicon's terms are looked up in so many buckets.
 BUCKETS = 1 << 13
@@ -66,11 +66,6 @@ def fingerprint(text: Column, band: Column) -> Column:
     return let(F.sort_array(terms(text)), chosen)
 
 
-def let(value: Column, f) -> Column:
-    """f of a value that is worked out once: the only element of an array that a lambda names."""
-    return F.element_at(F.transform(F.array(value), f), 1)
-
-
 def _groups(level: Column) -> Column:
     return (F.lit(GROUPS) * F.pow(F.lit(float(STEP)), level)).cast("long")
 
@@ -104,10 +99,12 @@ def imatch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", low:
     """docs with a column `fingerprint` (see fingerprint) from the lexicon of docs itself.
 
     Null texts count as empty; an empty text has no terms, so only null hashes; repeated rows have equal
-    fingerprints; a column named fingerprint is replaced.
+    fingerprints; an empty table gives none; texts of any length are taken whole; a column named fingerprint is replaced, others stay whatever their names.
     """
     band = lexicon(docs, text_col, low, high).scalar()
-    return docs.withColumn("_band", band).withColumn("fingerprint", fingerprint(F.coalesce(F.col(text_col), F.lit("")), F.col("_band"))).drop("_band")
+    rows = docs.drop("fingerprint")
+    carried = rows.select(F.struct(*rows.columns).alias("own"), F.coalesce(F.col(text_col), F.lit("")).alias("said"), band.alias("band"))
+    return carried.select("own.*", fingerprint(F.col("said"), F.col("band")).alias("fingerprint"))
 
 
 def _following(keys: DataFrame, width: int) -> DataFrame:
@@ -127,36 +124,41 @@ def _following(keys: DataFrame, width: int) -> DataFrame:
     return inner.join(after, "range", "left").select("key", F.coalesce("next", "after").alias("next"))
 
 
-def with_next(docs: DataFrame, columns: list[str], id_col: str = "doc_id", width: int = 2048, small: int = 50_000) -> DataFrame:
+def with_next(docs: DataFrame, columns: list[str], id_col: str = "doc_id", width: int = 512, small: int = 50_000, task: int = 32_000_000) -> DataFrame:
     """docs with next_<c> for each column c: the value in the next row by descending id, after the last row the first.
 
-    Texts move once, to the range of ids that they belong to; only the rows at the end of a range get theirs by
-    a join. Rows with one id stand in the order of their text. Rows with a null id are their own next row.
+    Texts move once, to the range of ids that they belong to (`width` values), ranges being dealt to as many tasks as give each about `task` characters; only the
+    rows at the end of a range get theirs by a join. Rows with one id stand in the order of their text. Rows with a null id are
+    their own next row. Columns of docs named next_<c> are replaced, others stay whatever their names.
     """
-    known = docs.where(F.col(id_col).isNotNull())
-    ranged = known.withColumn("_range", F.floor(F.col(id_col) / width).cast("long"))
-    order = [F.desc(id_col)] + [F.asc(c) for c in columns if dict(docs.dtypes)[c] == "string"]
-    w = Window.partitionBy("_range").orderBy(*order)
-    inner = ranged.withColumn("_next", F.lead(F.struct(*columns)).over(w))
-    ids = known.select(F.col(id_col).alias("key"))
-    tops = ids.withColumn("_range", F.floor(F.col("key") / width).cast("long")).groupBy("_range").agg(F.max("key").alias("top"))
+    docs = docs.drop(*[f"next_{c}" for c in columns])
+    names = docs.columns
+    text = [c for c, t in docs.dtypes if t == "string" and c in columns]
+    size = sum((F.coalesce(F.length(F.col(c)), F.lit(0)) for c in text), F.lit(64))
+    carried = docs.select(F.struct(*names).alias("own"), F.col(id_col).cast("long").alias("key"), F.struct(*columns).alias("want"), F.struct(F.lit(0), *text).alias("tie"))
+    known = carried.where("key is not null").withColumn("range", F.floor(F.col("key") / width).cast("long"))
+    tops = docs.where(F.col(id_col).isNotNull()).groupBy(F.floor(F.col(id_col) / width).cast("long").alias("range")).agg(F.max(F.col(id_col).cast("long")).alias("top"), F.sum(size).alias("size"))
     tops = cut(tops)
-    links = _following(tops.select(F.col("_range").alias("key")), width).select(F.col("key").alias("_range"), F.col("next").alias("below"))
+    parts = int(max(1, -(-(tops.agg(F.sum("size")).first()[0] or 0) // task)))
+    w = Window.partitionBy("range").orderBy(F.desc("key"), "tie")
+    inner = known.repartition(parts, "range").withColumn("next", F.lead("want").over(w))
+    links = _following(tops.select(F.col("range").alias("key")), 2048).select(F.col("key").alias("range"), F.col("next").alias("below"))
     first = tops.agg(F.max("top").alias("first"))
-    ends = links.join(tops.select(F.col("_range").alias("below"), F.col("top").alias("after")), "below", "left").select("_range", F.coalesce("after", first.scalar()).alias(id_col))
+    ends = links.join(tops.select(F.col("range").alias("below"), F.col("top").alias("after")), "below", "left").select("range", F.coalesce("after", first.scalar()).alias("key"))
     ends = cut(ends)
-    beside = F.broadcast if ends.count() <= small else (lambda x: x)
-    heads = known.join(beside(ends), id_col).groupBy("_range").agg(F.min(F.struct(*columns)).alias("_head"))
+    heads = known.select("key", "want").join(beside(ends, small), "key").groupBy("range").agg(F.min("want").alias("head"))
     # the heads hold texts: a join that Spark plans by their size
-    out = inner.join(heads, "_range", "left").withColumn("_next", F.coalesce("_next", "_head"))
-    out = out.unionByName(docs.where(F.col(id_col).isNull()).withColumn("_next", F.struct(*columns)), allowMissingColumns=True)
-    return out.select(*docs.columns, *[F.col(f"_next.{c}").alias(f"next_{c}") for c in columns])
+    out = inner.join(heads, "range", "left").select("own", F.coalesce("next", "head").alias("next"))
+    out = out.unionByName(carried.where("key is null").select("own", F.col("want").alias("next")))
+    return out.select("own.*", *[F.col(f"next.{c}").alias(f"next_{c}") for c in columns])
 
 
 def edited_likeness(docs: DataFrame, low: float = 0.0005, high: float = 0.08) -> DataFrame:
     """Fingerprints of documents and of their edited texts, and how like these and the next documents' they are.
 
     The edited text: the last floor(n/3) code points are replaced by the first as many (or all) of the next document.
+    Null texts count as empty; rows with one id stand in the order of their text, and rows with a null id are their own next row; repeated rows are
+    each returned; an empty table gives none; texts of any length are taken whole; other columns are ignored.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text"))
