@@ -300,6 +300,69 @@ def test_terms_outside_the_band_do_not_count(spark):
     assert all(got[i] == got[0] for i in range(8)) and got[0].level == 0 and any(h is not None for h in got[0].hashes)
 
 
+def x64(data, seed=42):
+    import xxhash
+
+    h = xxhash.xxh64_intdigest(data, seed)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def brute_fingerprints(texts, low, high):
+    """Fingerprints by plain loops: the band from document frequencies, sorted terms, sub-lexicons of two levels."""
+    of = lambda t: {x64(w.lower().encode()) for w in re.findall(r"[^\x20\x09-\x0D]+", t)}
+    df = Counter(x for t in texts for x in of(t))
+    band = {x for x, c in df.items() if low * len(texts) <= c <= high * len(texts)}
+    long_ = lambda v: (v & (1 << 64) - 1).to_bytes(8, "little")
+
+    def one(text):
+        every = sorted(of(text))
+        own = [x for x in every if x in band] or every
+        level = 0
+        while 16 * 4 ** (level + 1) <= len(own):
+            level += 1
+        hashes = []
+        for up in (0, 1):
+            m = 16 * 4 ** (level + up)
+            for g in range(16):
+                part = [x for x in own if x64(up.to_bytes(4, "little"), x64(long_(x)) & (1 << 64) - 1) % m == g]
+                h = 42
+                for x in part:
+                    h = x64(long_(x), x64(g.to_bytes(4, "little"), h & (1 << 64) - 1) & (1 << 64) - 1)
+                hashes.append(h if part else None)
+        return level, hashes
+
+    return one
+
+
+def brute_likeness(a, b):
+    (n, x), (m, y) = a, b
+    pairs = {0: (x, y), 1: (x[:16], y[16:]), -1: (x[16:], y[:16])}.get(n - m)
+    if pairs is None:
+        return 0.0
+    known = [(p, q) for p, q in zip(*pairs, strict=True) if p is not None or q is not None]
+    return sum(p == q for p, q in known) / len(known) if known else 1.0
+
+
+def test_fingerprints_equal_brute_force(spark):
+    rng = random.Random(12)
+    base = words(rng, 300, 900)
+    texts = [*(t or "" for t in EDGES), *(" ".join(words(rng, rng.randrange(1, 200), 900)) for _ in range(40)), " ".join(base), " ".join(base[:250]), " ".join(base).upper()]
+    ids = rng.sample(range(5000), len(texts))
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(5)
+    low, high = 0.03, 0.3
+    one = brute_fingerprints(texts, low, high)
+    show = lambda f: f"{f[0]}:" + ".".join("-" if h is None else f"{h & (1 << 64) - 1:016x}"[8:] for h in f[1])
+    order = sorted(range(len(ids)), key=lambda i: -ids[i])
+    got = {r.doc_id: r for r in imatch.edited_likeness(df, low, high).collect()}
+    for at, i in enumerate(order):
+        t, n = texts[i], texts[order[(at + 1) % len(order)]]
+        m = len(t) // 3
+        e = t[: len(t) - m] + n[:m]
+        r = got[ids[i]]
+        assert r.fingerprint == show(one(t)) and r.edited_fingerprint == show(one(e))
+        assert r.near_edited == pytest.approx(brute_likeness(one(t), one(e))) and r.near_next == pytest.approx(brute_likeness(one(t), one(n)))
+
+
 KINDS = ("email", "ip", "card", "phone")
 
 
@@ -348,6 +411,28 @@ def test_contexts_reveal_identifiers(spark):
     assert pii_bootstrap.personal_data(frame(spark, [])).count() == 0
 
 
+def test_keys_reveal_others_by_two_words_of_context(spark):
+    rng = random.Random(4)
+    key = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(39)) + "a7"
+    known = [f"some {rng.choice('xyz')} token = \"{key()}\" here w{i}" for i in range(6)]
+    shouted = 'AND TOKEN = "9233A8ECF7C5B09F"!! THEN'
+    grouped = 'a token = "12 34 56x" end'
+    plain = ["Apache License, Version 2.0.", "x is 5 and y is 7", "version 3 of it"]
+    texts = [*known, shouted, grouped, *plain]
+    got = {r.doc_id: [texts[r.doc_id][s.start : s.end] for s in r.spans] for r in pii_bootstrap.personal_data(frame(spark, texts)).collect()}
+    assert all(len(got[i]) == 1 and len(got[i][0]) == 41 for i in range(6))
+    assert got[6] == ["9233A8ECF7C5B09F"] and got[7] == ["12 34 56x"]
+    assert not any(got[i] for i in (8, 9, 10))
+
+
+def test_contexts_by_plain_loops(spark):
+    texts = ["One, two 3 (four) five 6 7x eight", "9 a b c d 10", "no digits", "x@y", " 5 "]
+    rows = frame(spark, texts).select("doc_id", pii_bootstrap.contexts(F.col("text"), pii_bootstrap._IDENT).alias("c")).collect()
+    got = {r.doc_id: [tuple(c) for c in r.c] for r in rows}
+    assert got[0] == [("one two", "two", "four"), ("four five", "five", "eight")]
+    assert got[1] == [("", "", "a"), ("c d", "d", "")] and got[2] == [] and got[3] == [("", "", "")] and got[4] == [("", "", "")]
+
+
 def brute_marginals(node, edge, start):
     n = len(node)
     p = np.zeros(n)
@@ -644,3 +729,15 @@ def test_preference_by_hand(spark):
     assert preference.preference_format(df.limit(0)).count() == 0
     foreign = preference.preference_rows(preference.with_foreign_replies(preference.conversations(df))).collect()
     assert sorted((r.chosen_id, r.rejected_id) for r in foreign) == [(1, 2), (2, 1)]
+
+
+def test_pairs_of_a_frequent_opening(spark):
+    turns = [(i, 0, "user", "hi" if i % 3 else f"u{i}") for i in range(0, 9000, 7)] + [(i, 1, "assistant", f"a{i}") for i in range(0, 9000, 7)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    pairs, alone = preference.pair_by_opening(preference.conversations(df), width=500)
+    got = sorted((r.chosen_id, r.rejected_id) for r in pairs.collect())
+    same = [i for i in range(0, 9000, 7) if i % 3]
+    assert got == [(a, b) for a, b in zip(same[::2], same[1::2], strict=False)]
+    assert alone.count() == len(range(0, 9000, 7)) - 2 * len(got)
+    both = preference.preference_format(df, foreign=True)
+    assert both.count() == len(got) + alone.count() and both.where("prompt = ''").count() == 0
