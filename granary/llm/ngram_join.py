@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch, beside, components, cut, join_unique, mix, slices, texts_of
+from .common import batch, beside, components, cut, join_unique, lean, mix, slices, texts_of
 from .tokens import Tokeniser
 
 _U = np.uint64
@@ -277,7 +277,7 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     id are one document, which has the set of the row with most shingles; a null id is returned with a null component; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sets = cut(rows.mapInArrow(_sets(k, percent), "doc_id long, n_shingles long, live long, set_key binary, sigs array<long>, bits array<long>"))
+    sets = cut(rows.mapInArrow(lean(_sets(k, percent)), "doc_id long, n_shingles long, live long, set_key binary, sigs array<long>, bits array<long>"))
     size = sets.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.max(F.struct(F.col("n_shingles").alias("n"), "live", F.col("set_key").alias("key"), "bits")).alias("x"))
     size = cut(size.select("doc_id", "x.*"))
 
@@ -309,7 +309,7 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
         # ids only, and only up to a checked number; else Spark shuffles both sides
         text = rows.join(beside(needed, small), "doc_id", "left_semi")
         both = asked.join(text.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(text.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-        found = both.select("a", "b", "ta", "tb").mapInArrow(_verify(k, percent), "a long, b long, linked boolean").where("linked").select("a", "b")
+        found = both.select("a", "b", "ta", "tb").mapInArrow(lean(_verify(k, percent)), "a long, b long, linked boolean").where("linked").select("a", "b")
         return cut(found.distinct())
 
     def placed(some: DataFrame, comp: DataFrame) -> DataFrame:
@@ -369,7 +369,7 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     skips = None
     while not crowd.isEmpty():
         hit = buckets.join(crowd, "sig", "left_semi").groupBy("doc_id").agg(F.collect_set("sig").alias("hot"))
-        where = cut(rows.join(hit, "doc_id").select("doc_id", "text", "hot").mapInArrow(_where(k, percent), "doc_id long, skip array<long>, short array<long>"))
+        where = cut(rows.join(hit, "doc_id").select("doc_id", "text", "hot").mapInArrow(lean(_where(k, percent)), "doc_id long, skip array<long>, short array<long>"))
         # documents whose other segments cannot make up for these: against the components of the bucket, by their delegates first
         short = cut(where.select("doc_id", F.explode("short").alias("sig")).distinct())
         if not short.isEmpty():
@@ -387,7 +387,7 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
             break
         skips = cut(new if skips is None else skips.unionByName(new).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("skip"))).alias("skip")))
         again = rows.join(skips, "doc_id").select("doc_id", "text", "skip")
-        buckets = buckets_of(exploded(again.mapInArrow(_signatures_without(k, percent), "doc_id long, sigs array<long>")))
+        buckets = buckets_of(exploded(again.mapInArrow(lean(_signatures_without(k, percent)), "doc_id long, sigs array<long>")))
         links, crowd = closed(buckets, links, skips)
     comp = components(links)
     return sets.select("doc_id", "n_shingles").join(comp.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, cut, join_unique, mix, slices, texts_of
+from .common import batch, cut, join_unique, lean, mix, slices, texts_of
 from .tokens import Tokeniser
 
 _U = np.uint64
@@ -203,7 +203,7 @@ def count_words(docs: DataFrame, shared: int) -> DataFrame:
                 code, n = np.unique(tokens.codes(texts[i:j])[0], return_counts=True)
                 yield batch(schema, [pa.array(code.view(np.int64)), place_of(code, shared).astype(np.int32), n])
 
-    return docs.select("text").mapInArrow(run, "code long, place int, n long").groupBy("code").agg(F.sum("n").alias("n"), F.first("place").alias("place"))
+    return docs.select("text").mapInArrow(lean(run), "code long, place int, n long").groupBy("code").agg(F.sum("n").alias("n"), F.first("place").alias("place"))
 
 
 def vocabulary_of(counts: DataFrame, classes: int, own: int, listed: int) -> Vocabulary:
@@ -257,12 +257,12 @@ def rare_gains(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary) -> Da
     spark = docs.sparkSession
     equal = F.broadcast(spark.createDataFrame(pd.DataFrame({"leaf": np.arange(len(vocabulary.equal)), "equal": vocabulary.equal}), "leaf int, equal double"))
     gain = counts.withColumn("leaf", F.shiftright("place", BITS - vocabulary.depth)).join(equal, "leaf").select("code", (F.log("n") - F.col("equal")).alias("gain"))
-    summed = keyed.mapInArrow(run, "key long, code long, times int").join(gain, "code").groupBy("key").agg(F.sum(F.col("times") * F.col("gain")).alias("gain"))
+    summed = keyed.mapInArrow(lean(run), "key long, code long, times int").join(gain, "code").groupBy("key").agg(F.sum(F.col("times") * F.col("gain")).alias("gain"))
     # copies of a text have summed theirs into one row
     return summed.join(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("copies")), "key").select("key", (F.col("gain") / F.col("copies")).alias("gain"))
 
 
-def fit_network(docs: DataFrame, vocabulary: Vocabulary, tokens: int, hidden: int, per: int = 2_000_000, early: int = 16, seed: int = 13) -> Network:
+def fit_network(docs: DataFrame, vocabulary: Vocabulary, tokens: int, hidden: int, per: int = 500_000, early: int = 16, seed: int = 13) -> Network:
     """A network trained on every token of every document.
 
     Documents are dealt by a hash of id and text into buckets of about `per` tokens (the corpus has `tokens`). In each a copy of the network is trained, on the
@@ -315,7 +315,7 @@ def fit_network(docs: DataFrame, vocabulary: Vocabulary, tokens: int, hidden: in
                     net = None
 
         dealt = some.repartition(parts, "bucket").sortWithinPartitions("bucket", "h", "text").select("bucket", "text")
-        total = dealt.mapInArrow(run, "slot int, bucket int, n long, v array<float>")
+        total = dealt.mapInArrow(lean(run), "slot int, bucket int, n long, v array<float>")
         total = total.groupBy("slot", F.pmod("bucket", F.lit(61)).alias("salt")).applyInPandas(add, "slot int, bucket int, n long, v array<double>")
         total = total.groupBy("slot").applyInPandas(add, "slot int, bucket int, n long, v array<double>").toPandas().sort_values("slot")
         return np.concatenate(total.v.to_numpy()) / total.n.iloc[0] if len(total) else start
@@ -334,7 +334,7 @@ def score_texts(texts: list[bytes], network: Network, tokens: Tokeniser) -> tupl
     return np.diff(bounds), p[bounds[1:]] - p[bounds[:-1]]
 
 
-def pseudo_likelihood(docs: DataFrame, classes: int = 64, own: int = 48, listed: int = 20_000, hidden: int = 24, per: int = 2_000_000) -> DataFrame:
+def pseudo_likelihood(docs: DataFrame, classes: int = 64, own: int = 48, listed: int = 20_000, hidden: int = 24, per: int = 500_000) -> DataFrame:
     """(doc_id, n_tokens, pll, pll_mean) of every row of docs.
 
     pll is the sum over all tokens of ln P(class | two tokens on either side) + ln P(way to the word's leaf | class, the same tokens)
@@ -356,7 +356,7 @@ def pseudo_likelihood(docs: DataFrame, classes: int = 64, own: int = 48, listed:
             for i, j in slices(texts, 1_000_000):
                 yield batch(schema, [b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), *score_texts(texts[i:j], network, tokens)])
 
-    scored = rows.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(run, "doc_id long, key long, n_tokens long, pll double")
+    scored = rows.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(lean(run), "doc_id long, key long, n_tokens long, pll double")
     # texts with many copies are keys with many rows
     gains = cut(rare_gains(rows, counts, vocabulary))
     scored = join_unique(cut(scored), gains, ["key"], "left").select("doc_id", "n_tokens", (F.col("pll") + F.coalesce("gain", F.lit(0.0))).alias("pll"))

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, slices, texts_of
+from .common import batch, lean, slices, texts_of
 from .sample import fitted, held_out, labelled
 
 _EDGE = b".,;:!?\"'()[]{}*#$%&|<>=-_"
@@ -183,7 +183,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", most
         return {"w0": np.array(machine.w0)} | {k: getattr(machine, k) for k in ("w", "v", "mean", "scale")}
 
     machine = FactorisationMachine(1 << bits, width, rank)
-    learnt = fitted(sample.mapInArrow(_featurise(bits), _FEATURES), fit)
+    learnt = fitted(sample.mapInArrow(lean(_featurise(bits)), _FEATURES), fit)
     for k, x in (learnt or {}).items():
         setattr(machine, k, float(x) if k == "w0" else x)
     return machine
@@ -212,7 +212,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", m
     ids = F.col("doc_id").cast("long")
     said = F.length("text").cast("long")
     rows = docs.select(ids.alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text", said.alias("said"))
-    scored = rows.mapInArrow(_score(machine, bits), "doc_id long, held_out boolean, score double")
+    scored = rows.mapInArrow(lean(_score(machine, bits)), "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
@@ -231,4 +231,4 @@ def keep_quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
             keep = np.concatenate([machine.score(*features(texts[i:j], said[i:j], bits, buckets)) for i, j in slices(texts, 2_000_000)] or [np.zeros(0)]) >= threshold
             yield b.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

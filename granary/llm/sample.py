@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 
 def held_out(doc_id: Column) -> Column:
     """True for the third of the documents that nothing is learnt from; a null id is not held out."""
@@ -44,7 +46,7 @@ def fitted(rows: DataFrame, fit: Callable[[pa.Table], dict[str, np.ndarray]]) ->
             np.savez(out, **fit(pa.Table.from_batches(own)))
             yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], names=["model"])
 
-    found = rows.repartition(1).sortWithinPartitions("doc_id").mapInArrow(run, "model binary").collect()
+    found = rows.repartition(1).sortWithinPartitions("doc_id").mapInArrow(lean(run), "model binary").collect()
     if not found:
         return None
     with np.load(io.BytesIO(bytes(found[0].model))) as z:

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, slices, texts_of
+from .common import batch, lean, slices, texts_of
 from .sample import fitted, held_out, labelled
 
 _EDGE = b".,;:!?\"'()[]{}*#$%&|<>=-_/\\~^+"
@@ -281,5 +281,5 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", mo
                 yield batch(schema, [b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), [tagger.score(p) for p in found], where])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
-    scored = rows.mapInArrow(run, "doc_id long, held_out boolean, score double, spans array<struct<start: long, end: long>>")
+    scored = rows.mapInArrow(lean(run), "doc_id long, held_out boolean, score double, spans array<struct<start: long, end: long>>")
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "spans")
