@@ -265,9 +265,9 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     that links reach. Candidates come from equal signatures of universe segments (see signatures); each
     is verified on both whole sets, so the result is exact up to collisions of 64-bit shingle codes
     inside a pair. Groups of near copies are not expanded: every member is first verified against the
-    first member of its buckets, and then only members of different components are compared. Of two components in a bucket first
-    their delegates (the smallest ids): parity maps have a metric, so with the farthest member of each from its delegate known
-    most pairs of components are ruled out by one row; in the others, members are compared if their sizes and parity maps
+    first member of its buckets, and then only members of different components are compared. Of the components in a bucket first
+    the delegates (the smallest ids) meet: parity maps have a metric, so with the farthest member of each from its delegate known
+    one row a component tells whether it has a partner there; members of those that do are compared if their sizes and parity maps
     allow it (in the condition of the join, so other pairs are never rows) and they share enough segments.
     A signature that over `hot` different components share is not expanded either; its documents get
     one-deletion neighbourhoods of their other segments, again while such signatures are left. Where these cannot suffice, the documents
@@ -323,20 +323,19 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
         return every.join(head, "comp").groupBy("comp").agg(F.first("db").alias("db"), F.max(apart("bits", "db")).alias("far"), F.min("n").alias("lo"), F.max("n").alias("hi"))
 
     def crossing(member: DataFrame) -> DataFrame:
-        """(a, b): documents of different components in a bucket of member (sig, doc_id, comp) that may link."""
-        heads = cut(delegates(member))
-        sides = cut(member.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("members")).join(heads, "comp"))
+        """(a, b): documents of different components in a bucket of member (sig, doc_id, comp, need) that may link."""
+        sides = cut(member.select("sig", "comp").distinct().join(cut(delegates(member)), "comp"))
         p, q = sides.alias("p"), sides.alias("q")
-        able = (F.col("p.comp") < F.col("q.comp")) & (100 * F.least("p.hi", "q.hi") >= percent * F.greatest("p.lo", "q.lo"))
+        able = (F.col("p.comp") != F.col("q.comp")) & (100 * F.least("p.hi", "q.hi") >= percent * F.greatest("p.lo", "q.lo"))
         reach = apart("p.db", "q.db") - F.col("p.far") - F.col("q.far") <= most("p.hi", "q.hi")
-        open_ = cut(p.join(q, F.col("p.sig") == F.col("q.sig")).where(able & reach).select(F.col("p.sig").alias("sig"), F.col("p.comp").alias("c1"), F.col("q.comp").alias("c2")))
-        full = member.join(own, "doc_id")
-        left = open_.join(full.select("sig", F.col("comp").alias("c1"), F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("need").alias("ma"), F.col("bits").alias("ba")), ["sig", "c1"])
-        both = left.join(full.select("sig", F.col("comp").alias("c2"), F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("need").alias("mb"), F.col("bits").alias("bb")), ["sig", "c2"])
-        fit = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (apart("ba", "bb") <= most("na", "nb"))
-        need = F.when(F.col("na") <= F.col("nb"), F.col("ma")).otherwise(F.col("mb")) - most("na", "nb")
-        pairs = both.where(fit).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first(need).alias("need")).where("c >= need")
-        return pairs.select("a", "b")
+        # a row for each component of a bucket that has a partner there, not for each pair
+        open_ = p.join(q, (F.col("p.sig") == F.col("q.sig")) & able & reach, "left_semi").select("sig", "comp")
+        full = cut(member.join(open_, ["sig", "comp"], "left_semi").join(own, "doc_id"))
+        x, y = full.alias("x"), full.alias("y")
+        fit = (F.col("x.comp") < F.col("y.comp")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & (apart("x.bits", "y.bits") <= most("x.n", "y.n"))
+        need = F.when(F.col("x.n") <= F.col("y.n"), F.col("x.need")).otherwise(F.col("y.need")) - most("x.n", "y.n")
+        pairs = x.join(y, (F.col("x.sig") == F.col("y.sig")) & fit).groupBy(F.col("x.doc_id").alias("p"), F.col("y.doc_id").alias("q")).agg(F.count(F.lit(1)).alias("c"), F.first(need).alias("need")).where("c >= need")
+        return pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
 
     def closed(buckets: DataFrame, links: DataFrame, skipped: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
         """(links, crowd): all links that a bucket's members can add to the components so far; the signatures that too many components share.
@@ -375,11 +374,14 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
         if not short.isEmpty():
             comp = components(links)
             member = cut(placed(buckets.join(short.select("sig").distinct(), "sig", "left_semi").select("sig", "doc_id"), comp))
-            sides = member.select("sig", "comp").distinct().join(cut(delegates(member)), "comp")
-            asked = placed(short, comp).join(own, "doc_id").select("sig", F.col("doc_id").alias("q"), F.col("comp").alias("cq"), F.col("n").alias("nq"), F.col("bits").alias("bq"))
-            able = (F.col("cq") != F.col("comp")) & (100 * F.least("nq", "hi") >= percent * F.greatest("nq", "lo")) & (apart("bq", "db") - F.col("far") <= most("nq", "hi"))
-            open_ = cut(asked.join(sides, "sig").where(able).select("sig", "q", "nq", "bq", "comp"))
-            near = open_.join(member, ["sig", "comp"]).join(own, "doc_id").where((F.col("q") != F.col("doc_id")) & (100 * F.least("nq", "n") >= percent * F.greatest("nq", "n")) & (apart("bq", "bits") <= most("nq", "n")))
+            sides = cut(member.select("sig", "comp").distinct().join(cut(delegates(member)), "comp"))
+            asked = cut(placed(short, comp).join(own, "doc_id").select("sig", F.col("doc_id").alias("q"), F.col("comp").alias("cq"), F.col("n").alias("nq"), F.col("bits").alias("bq")))
+            x, y = asked.alias("x"), sides.alias("y")
+            able = (F.col("x.sig") == F.col("y.sig")) & (F.col("cq") != F.col("y.comp")) & (100 * F.least("nq", "hi") >= percent * F.greatest("nq", "lo")) & (apart("bq", "db") - F.col("far") <= most("nq", "hi"))
+            open_ = y.join(x, able, "left_semi").select("sig", "comp")
+            full = member.join(open_, ["sig", "comp"], "left_semi").join(own, "doc_id").alias("y")
+            fit = (F.col("cq") != F.col("y.comp")) & (100 * F.least("nq", "n") >= percent * F.greatest("nq", "n")) & (apart("bq", "bits") <= most("nq", "n"))
+            near = x.join(y, able, "left_semi").alias("x").join(full, (F.col("x.sig") == F.col("y.sig")) & fit)
             rest = cut(near.select(F.least("q", "doc_id").alias("a"), F.greatest("q", "doc_id").alias("b")).distinct())
             links = cut(links.unionByName(verified(rest)).distinct())
         new = where.where(F.size("skip") > 0).select("doc_id", "skip")

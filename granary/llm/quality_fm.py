@@ -27,7 +27,7 @@ def _kinds() -> np.ndarray:
 class _Buckets(dict):
     """Word to hash bucket: lower case, without punctuation at its edges. Emptied when full."""
 
-    def __init__(self, bits: int, full: int = 400_000):
+    def __init__(self, bits: int, full: int = 150_000):
         super().__init__()
         self.bits, self.full = bits, full
 
@@ -161,7 +161,7 @@ def _featurise(bits: int):
         buckets = _Buckets(bits)
         for b in batches:
             texts, said = texts_of(b.column(2)), b.column(3).to_pylist()
-            for i, j in slices(texts, 2_000_000):
+            for i, j in slices(texts, 800_000):
                 row, bucket, value, dense = features(texts[i:j], said[i:j], bits, buckets)
                 at = np.searchsorted(row, np.arange(j - i + 1))
                 yield batch(schema, [b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), [bucket[at[k] : at[k + 1]] for k in range(j - i)], [value[at[k] : at[k + 1]] for k in range(j - i)], list(dense)])
@@ -194,7 +194,7 @@ def _score(machine: FactorisationMachine, bits: int):
         buckets = _Buckets(bits)
         for b in batches:
             texts, said = texts_of(b.column(2)), b.column(3).to_pylist()
-            for i, j in slices(texts, 2_000_000):
+            for i, j in slices(texts, 800_000):
                 scores = machine.score(*features(texts[i:j], said[i:j], bits, buckets))
                 yield batch(_SCORES, [b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), scores])
 
@@ -228,7 +228,7 @@ def keep_quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
         for b in batches:
             texts = texts_of(b.column(at))
             said = [None if t is None else len(t) for t in b.column(at).to_pylist()]
-            keep = np.concatenate([machine.score(*features(texts[i:j], said[i:j], bits, buckets)) for i, j in slices(texts, 2_000_000)] or [np.zeros(0)]) >= threshold
+            keep = np.concatenate([machine.score(*features(texts[i:j], said[i:j], bits, buckets)) for i, j in slices(texts, 800_000)] or [np.zeros(0)]) >= threshold
             yield b.filter(pa.array(keep))
 
     return docs.mapInArrow(lean(run), docs.schema)
