@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_CONTROL = r"[\x00-\x20]"
+#: The characters that are trimmed.
+_LOW = "".join(map(chr, range(33)))
 _SENTENCE_END = "。！？；.!?;\\n"
 
 # Names of secrets, and words that tell the kind of a question.
@@ -18,7 +19,7 @@ TROUBLE_WORDS = ("错误", "异常", "失败", "报错", "问题", "故障", "
 
 def trimmed(text: Column) -> Column:
     """Without characters up to U+0020 at both ends; Spark's own trim takes spaces only."""
-    return F.regexp_replace(text, rf"^{_CONTROL}+|{_CONTROL}+\z", "")
+    return F.btrim(text, F.lit(_LOW))
 
 
 def blank(text: Column) -> Column:
@@ -51,8 +52,11 @@ def extension(name: Column) -> Column:
 
 
 def _clean_end(text: Column) -> Column:
-    text = F.regexp_replace(text, r"\n{3,}", "\n\n")
-    return trimmed(F.regexp_replace(text, r"[ \t]+$", ""))
+    """Runs of line breaks cut to two, blanks at the end removed, trimmed. What a cheap test rules out is not looked for."""
+    text = F.when(F.contains(text, F.lit("\n\n\n")), F.regexp_replace(text, r"\n{3,}", "\n\n")).otherwise(text)
+    # trimming takes blanks at the end too, but for those before a line separator that is not trimmed
+    odd = F.right(text, F.lit(1)).isin("\x85", "\u2028", "\u2029")
+    return trimmed(F.when(odd, F.regexp_replace(text, r"[ \t]+$", "")).otherwise(text))
 
 
 def clean_txt(text: Column) -> Column:
@@ -67,34 +71,49 @@ def clean_html(text: Column) -> Column:
     return trimmed(F.regexp_replace(F.regexp_replace(text, r"\s+", " "), r"[\x00-\x08\x0B\x0C\x0E-\x1F]", ""))
 
 
+# Markdown marks and what is left of them, in the order in which they are removed.
+MARKS = (
+    (r"!\[([^\]]*)\]\([^\)]+\)", "$1"),
+    (r"\[([^\]]+)\]\([^\)]+\)", "$1"),
+    (r"\*\*([^\*]+)\*\*|__([^_]+)__", "$1$2"),
+    (r"\*([^\*]+)\*|_([^_]+)_", "$1$2"),
+    (r"`([^`]+)`", "$1"),
+)
+FIRST_MARKS = ((r"^[-*_]{3,}\s*$", ""), (r"^>\s*", ""))
+
+
 def clean_markdown(text: Column) -> Column:
     """Plain text of Markdown: image and link texts, without emphasis and code marks; rule and quote at the text's start only."""
-    for pattern, keep in (
-        (r"!\[([^\]]*)\]\([^\)]+\)", "$1"),
-        (r"\[([^\]]+)\]\([^\)]+\)", "$1"),
-        (r"\*\*([^\*]+)\*\*|__([^_]+)__", "$1$2"),
-        (r"\*([^\*]+)\*|_([^_]+)_", "$1$2"),
-        (r"`([^`]+)`", "$1"),
-        (r"^[-*_]{3,}\s*$", ""),
-        (r"^>\s*", ""),
-    ):
-        text = F.regexp_replace(text, pattern, keep)
-    return _clean_end(text)
+    plain = text
+    for pattern, keep in MARKS:
+        plain = F.regexp_replace(plain, pattern, keep)
+    # a text without any of the marks' characters has nothing to remove
+    plain = F.when(text.rlike(r"[\[*_`]"), plain).otherwise(text)
+    for pattern, keep in FIRST_MARKS:
+        plain = F.regexp_replace(plain, pattern, keep)
+    return _clean_end(plain)
+
+
+# Patterns of what is masked.
+KEY = r"sk-[A-Za-z0-9]{8,}"
+MOBILE = r"(?<!\d)(1[3-9]\d)\d{6}(\d{2})(?!\d)"
 
 
 def mask_secrets(text: Column) -> Column:
     """Values of secret names as ****: quoted JSON fields first, then name: value and name=value."""
     names = "|".join(n.replace("-", r"\-") for n in SECRET_NAMES)
     quoted = F.regexp_replace(text, rf'(?i)"({names})"\s*:\s*"([^"]+)"', '"$1":"****"')
-    return F.regexp_replace(quoted, rf"(?i)({names})\s*[:=]\s*(\S+)", "$1=****")
+    masked = F.regexp_replace(quoted, rf"(?i)({names})\s*[:=]\s*(\S+)", "$1=****")
+    # without a colon or an equals sign there is no value
+    return F.when(text.rlike("[:=]"), masked).otherwise(text)
 
 
 def mask_keys(text: Column) -> Column:
-    return F.regexp_replace(text, r"sk-[A-Za-z0-9]{8,}", "sk-****")
+    return F.when(F.contains(text, F.lit("sk-")), F.regexp_replace(text, KEY, "sk-****")).otherwise(text)
 
 
 def mask_mobile(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?<!\d)(1[3-9]\d)\d{6}(\d{2})(?!\d)", "$1****$2")
+    return F.regexp_replace(text, MOBILE, "$1****$2")
 
 
 def mask_message(text: Column) -> Column:

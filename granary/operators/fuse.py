@@ -38,7 +38,7 @@ def reciprocal_rank(lists: DataFrame, k: int = 60, weights: dict[int, float] | N
     return _ranked(scored, limit)
 
 
-def normalised(lists: DataFrame, weights: dict[int, float] | None = None, smaller_is_better: set[int] = frozenset(), limit: int | None = 10) -> DataFrame:
+def normalised(lists: DataFrame, weights: dict[int, float] | None = None, smaller_is_better: set[int] = frozenset(), limit: int | None = 10, payload: list[str] = ()) -> DataFrame:
     """Sum of weighted scores, each brought to 0..1 in its query and path; equal scores count 1.
 
     Paths in smaller_is_better (distances) are turned round.
@@ -48,7 +48,9 @@ def normalised(lists: DataFrame, weights: dict[int, float] | None = None, smalle
     unit = F.when(high == low, F.lit(1.0)).otherwise((F.col("score") - low) / (high - low))
     turned = F.when((high != low) & F.col("path").isin(*smaller_is_better), 1 - unit).otherwise(unit) if smaller_is_better else unit
     rows = lists.withColumn("_s", turned * _weight(weights))
-    scored = rows.groupBy("query_id", "id").agg(F.round(F.sum("_s"), 6).alias("score"), F.min(F.struct("path", "rank")).alias("seen"))
+    seen = F.struct("path", "rank")
+    keep = [F.min_by(c, seen).alias(c) for c in payload]
+    scored = rows.groupBy("query_id", "id").agg(F.round(F.sum("_s"), 6).alias("score"), F.min(seen).alias("seen"), *keep)
     return _ranked(scored, limit)
 
 

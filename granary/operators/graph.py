@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .retrieve import beside
-
 
 def chunk_context(chunks: DataFrame, doc: str, order: str, text: str, n: int = 200) -> DataFrame:
     """chunks with context: n characters of the chunk before, and after ' ... ' n of the one behind."""
@@ -82,16 +80,18 @@ def by_type(entities: DataFrame, kind: str, limit: int) -> DataFrame:
     return entities.where(F.col("type") == kind).orderBy("entity_id").limit(limit)
 
 
-def text_matches(entities: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def text_matches(entities: DataFrame, queries: DataFrame, k: int, grams: int = 3) -> DataFrame:
     """(query_id, entity_id, rank): entities whose name contains the whole query, then those that contain a word of it longer than one letter.
 
-    An entity stands at its first match; words in order, then ids. More queries than retrieve.MOST_QUERIES are an error (see
-    retrieve.in_blocks).
+    An entity stands at its first match; words in order, then ids. A name that contains a word has the word's first `grams` letters (all of a
+    shorter one) somewhere, so candidates come from an equi-join of letter groups, and contains is checked on them only.
     """
-    q = beside(queries)
     words = F.filter(F.split(F.col("text"), r"\s+"), lambda w: F.length(w) > 1)
-    asked = q.select("query_id", F.posexplode(F.concat(F.array("text"), words)).alias("at", "word")).where("word <> ''")
-    hits = entities.select("entity_id", "name").join(F.broadcast(asked), F.contains(F.col("name"), F.col("word")))
+    asked = queries.select("query_id", F.posexplode(F.concat(F.array("text"), words)).alias("at", "word")).where("word <> ''").withColumn("gram", F.substring("word", 1, grams))
+    places = F.sequence(F.lit(1), F.greatest(F.length("name"), F.lit(1)))
+    parts = F.flatten(F.transform(places, lambda i: F.transform(F.sequence(F.lit(1), F.lit(grams)), lambda n: F.substring("name", i, n))))
+    named = entities.select("entity_id", "name", F.explode(F.array_distinct(parts)).alias("gram"))
+    hits = named.join(asked, "gram").where(F.contains(F.col("name"), F.col("word")))
     first = hits.groupBy("query_id", "entity_id").agg(F.min("at").alias("at"))
     w = Window.partitionBy("query_id").orderBy("at", "entity_id")
     return first.withColumn("rank", (F.row_number().over(w) - 1).cast("long")).where(F.col("rank") < k).select("query_id", "entity_id", "rank")
@@ -135,3 +135,39 @@ def in_batches(texts: DataFrame, order: str, size: int = 5) -> DataFrame:
     w = Window.partitionBy("document_id").orderBy(order)
     n = F.row_number().over(w)
     return texts.withColumn("batch", F.floor((n - 1) / size).cast("int")).withColumn("done", n).withColumn("total", F.count(F.lit(1)).over(Window.partitionBy("document_id")))
+
+
+# States of a build job.
+JOB_STATES = ("PENDING", "PROCESSING", "COMPLETED", "FAILED")
+
+
+def build_graph(texts: DataFrame, extract, order: str, size: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(entities, relations, job) of texts (document_id, order, text): extracted (extract adds reply), merged by name and type, and resolved.
+
+    job has a row a document: batches, texts done, state COMPLETED, or FAILED with its message if every reply of it was broken.
+    """
+    batched = in_batches(texts, order, size)
+    parsed = parsed_extraction(extract(batched))
+    found = parsed.select("document_id", F.posexplode("entities").alias("_i", "e"), F.col(order).alias("_o"))
+    found = found.select("document_id", F.struct("document_id", "_o", "_i").alias("at"), "e.name", "e.type", "e.description").withColumn("entity_id", F.concat_ws("|", "name", "type")).withColumn("properties", F.create_map(F.lit("document"), F.col("document_id").cast("string")))
+    entities = merge_entities(found, "at")
+    named = parsed.select("document_id", F.explode("relations").alias("r")).select("document_id", "r.*")
+    relations = resolve_relations(named, found.select("entity_id", "name", "at"), "at")
+    broken = F.size("entities") + F.size("relations") == 0
+    job = parsed.groupBy("document_id").agg(F.max("total").alias("total"), F.max("done").alias("done"), (F.max("batch") + 1).alias("batches"), F.min(broken.cast("int")).alias("_broken"))
+    job = job.withColumn("state", F.when(F.col("_broken") == 1, JOB_STATES[3]).otherwise(JOB_STATES[2])).withColumn("message", F.when(F.col("_broken") == 1, "nothing was extracted")).drop("_broken")
+    return entities, relations, job
+
+
+def subgraph_of_text(entities: DataFrame, edges: DataFrame, text: str, depth: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) around the first entity whose name contains text."""
+    centre = by_name(entities, text).orderBy("entity_id").limit(1).select("entity_id")
+    nodes = k_hop(edges, centre, depth)
+    return nodes, subgraph_edges(edges, nodes)
+
+
+def schema_faults(entities: DataFrame, dimension: int, vector: str = "embedding") -> DataFrame:
+    """(fault, n): ids that occur more than once, and vectors that do not have the index's dimension."""
+    twice = entities.groupBy("entity_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").agg(F.count(F.lit(1)).alias("n")).select(F.lit("duplicate id").alias("fault"), "n")
+    wrong = entities.where(F.col(vector).isNotNull() & (F.size(vector) != dimension)).agg(F.count(F.lit(1)).alias("n")).select(F.lit("dimension").alias("fault"), "n")
+    return twice.unionByName(wrong)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import digest, extension, trimmed
@@ -33,13 +33,15 @@ def hashed(docs: DataFrame, raw: str | None = None, text: str | None = "text") -
 def split_duplicates(new: DataFrame, existing: DataFrame | None, keys: list[str], order: str) -> DataFrame:
     """new (with content_hash) with duplicate_of_batch and duplicate: a live row of the same scope has the hash, or an earlier one in new.
 
-    Rows whose scope is null are never duplicates.
+    order must tell rows apart. Rows whose scope is null are never duplicates.
     """
     valid = F.lit(True)
     for k in keys:
         valid = valid & F.col(k).isNotNull()
-    w = Window.partitionBy("content_hash", *keys).orderBy(order)
-    rows = new.withColumn("_valid", valid).withColumn("duplicate_of_batch", F.col("_valid") & (F.row_number().over(w) > 1))
+    # the first of each content by an aggregation: a content with very many copies is a row a task, and only contents with copies are joined
+    first = new.where(valid).groupBy("content_hash", *keys).agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("content_hash", *keys, "_first")
+    rows = new.join(first, ["content_hash", *keys], "left").select(*new.columns, "_first").withColumn("_valid", valid)
+    rows = rows.withColumn("duplicate_of_batch", F.col("_valid") & F.coalesce(F.col(order) > F.col("_first"), F.lit(False))).drop("_first")
     if existing is None:
         return rows.withColumn("duplicate", F.col("duplicate_of_batch")).drop("_valid")
     known = existing.where("deleted_flag = 0").select("content_hash", *keys).distinct().withColumn("_known", F.lit(True))

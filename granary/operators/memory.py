@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import digest, unfenced
-from .retrieve import beside, cosine
+from .retrieve import beside, cosine, in_blocks
 
 # Kinds of memories.
 TYPES = ("FACT", "PREFERENCE", "DECISION", "EPISODE", "KNOWLEDGE")
@@ -32,16 +32,16 @@ def stored(facts: DataFrame, now: Column, ttl_days: int | None = None, importanc
     return rows.withColumn("expires_at", F.lit(None).cast("timestamp_ntz") if ttl_days is None else now + F.expr(f"INTERVAL {int(ttl_days)} DAYS"))
 
 
-def conflicts(new: DataFrame, store: DataFrame, decide, nearest: int = 5, similar: float = 0.7, certain: float = 0.85) -> DataFrame:
+def conflicts(new: DataFrame, store: DataFrame, decide, similar: float = 0.7, certain: float = 0.85) -> DataFrame:
     """new with old_id and action where a stored memory of the same owner is nearly the same.
 
-    Of the `nearest` stored rows over `similar`, the first over `certain` gets a decision by `decide`, a function that adds
-    action (UPDATE, DELETE, KEEP, MERGE) to a DataFrame. Without such a row action is ADD.
+    Of the nearest stored rows over `similar` the first over `certain` decides, and the nearest one is the first. It gets a decision by `decide`, a
+    function that adds action (UPDATE, DELETE, KEEP, MERGE) to a DataFrame. Without such a row action is ADD.
     """
     pairs = new.alias("n").join(store.where("status = 1").alias("s"), (F.col("n.tenant_id") == F.col("s.tenant_id")) & (F.col("n.user_id") == F.col("s.user_id")))
     scored = pairs.select(F.col("n.memory_id").alias("memory_id"), F.col("s.memory_id").alias("old_id"), F.col("n.content").alias("content"), F.col("s.content").alias("old_content"), cosine(F.col("n.embedding"), F.col("s.embedding")).alias("sim")).where(F.col("sim") > similar)
     w = Window.partitionBy("memory_id").orderBy(F.desc("sim"), "old_id")
-    best = scored.withColumn("_i", F.row_number().over(w)).where((F.col("_i") <= nearest) & (F.col("_i") == 1) & (F.col("sim") > certain))
+    best = scored.withColumn("_i", F.row_number().over(w)).where((F.col("_i") == 1) & (F.col("sim") > certain))
     decided = decide(best.drop("_i")).select("memory_id", "old_id", "action")
     return new.join(decided, "memory_id", "left").withColumn("action", F.coalesce("action", F.lit("ADD")))
 
@@ -70,16 +70,32 @@ def recall(store: DataFrame, queries: DataFrame, now: Column, limit: int = 10, s
     """(query_id, memory_id, semantic, recency, composite, rank): what queries (query_id, query_vec) recall from active rows.
 
     The `limit * overfetch` most similar rows are scored; those under either limit go, whatever the other says.
-    More queries than retrieve.MOST_QUERIES are an error; retrieve.in_blocks takes any number.
+    Queries go to every task, in blocks of a bounded number.
     """
-    rows = store.where("status = 1").join(beside(queries)).withColumn("semantic", cosine(F.col("embedding"), F.col("query_vec")))
-    w = Window.partitionBy("query_id").orderBy(F.desc("semantic"), "memory_id")
-    near = rows.withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= limit * overfetch)
-    near = near.withColumn("recency", recency(F.col("created_at"), now, half_life))
-    near = near.withColumn("composite", composite(F.col("semantic"), F.col("recency"), F.col("importance"))).where((F.col("semantic") >= semantic) & (F.col("composite") >= least))
-    w = Window.partitionBy("query_id").orderBy(F.desc("composite"), "memory_id")
-    out = near.withColumn("rank", (F.row_number().over(w) - 1).cast("long")).where(F.col("rank") < limit)
-    return out.select("query_id", "memory_id", F.round("semantic", 6).alias("semantic"), F.round("recency", 6).alias("recency"), F.round("composite", 6).alias("composite"), "rank")
+
+    def block(some: DataFrame) -> DataFrame:
+        rows = store.where("status = 1").join(beside(some)).withColumn("semantic", cosine(F.col("embedding"), F.col("query_vec")))
+        w = Window.partitionBy("query_id").orderBy(F.desc("semantic"), "memory_id")
+        near = rows.withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= limit * overfetch)
+        near = near.withColumn("recency", recency(F.col("created_at"), now, half_life))
+        near = near.withColumn("composite", composite(F.col("semantic"), F.col("recency"), F.col("importance"))).where((F.col("semantic") >= semantic) & (F.col("composite") >= least))
+        w = Window.partitionBy("query_id").orderBy(F.desc("composite"), "memory_id")
+        out = near.withColumn("rank", (F.row_number().over(w) - 1).cast("long")).where(F.col("rank") < limit)
+        return out.select("query_id", "memory_id", F.round("semantic", 6).alias("semantic"), F.round("recency", 6).alias("recency"), F.round("composite", 6).alias("composite"), "rank")
+
+    return in_blocks(queries, block)
+
+
+def recent_without_vectors(store: DataFrame, tenant: str, user: str, prefix: str | None, now: Column, embed, query: str, limit: int = 10, overfetch: int = 3, **limits) -> DataFrame:
+    """Recall where there is no vector store: the newest rows of the scope get their vectors now (embed: from DataFrame with content to one with embedding).
+
+    A search for similar memories finds nothing there, so conflicts are never seen.
+    """
+    rows = store.where((F.col("status") == 1) & (F.col("tenant_id") == tenant) & (F.col("user_id") == user))
+    rows = rows if prefix is None else rows.where(F.col("scope").startswith(prefix))
+    newest = embed(rows.orderBy(F.desc("created_at"), F.desc("memory_id")).limit(limit * overfetch))
+    asked = embed(store.sparkSession.createDataFrame([(0, query)], "query_id long, content string")).select("query_id", F.col("embedding").alias("query_vec"))
+    return recall(newest, asked, now, limit, overfetch=overfetch, **limits)
 
 
 def two_tiers(session: DataFrame, agent: DataFrame, limit: int = 5, enough: int = 3) -> DataFrame:
@@ -100,20 +116,30 @@ def recalled_lines(hits: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def without_duplicates(store: DataFrame) -> DataFrame:
-    """Active rows with one content and scope: the newest stays active, the others get status 0."""
-    w = Window.partitionBy("content_hash", "scope", "status").orderBy(F.desc("created_at"), F.desc("memory_id"))
-    n = F.row_number().over(w)
-    return store.withColumn("_i", n).withColumn("status", F.when((F.col("status") == 1) & (F.col("_i") > 1), 0).otherwise(F.col("status"))).drop("_i")
+    """Active rows with one content and scope: the newest stays active, the others get status 0.
 
+    The newest of each is found by an aggregation, so a content with very many copies is a row a task; only contents that have copies are joined back.
+    """
+    newest = store.where("status = 1").groupBy("content_hash", "scope").agg(F.max(F.struct("created_at", "memory_id")).alias("_top"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("content_hash", "scope", "_top")
+    rows = store.join(newest, ["content_hash", "scope"], "left").select(*store.columns, "_top")
+    older = (F.col("status") == 1) & F.col("_top").isNotNull() & (F.struct("created_at", "memory_id") < F.col("_top"))
+    return rows.withColumn("status", F.when(older, 0).otherwise(F.col("status"))).drop("_top")
+
+
+def near_pairs(store: DataFrame, keys: list[str], similar: float = 0.9, tiles: int = 8) -> DataFrame:
+    """(a, b, sim) of active rows with equal keys whose embeddings are over `similar`, each pair once.
 
-def near_pairs(store: DataFrame, keys: list[str], similar: float = 0.9) -> DataFrame:
-    """(a, b, sim) of active rows with equal keys whose embeddings are over `similar`, each pair once."""
-    rows = store.where("status = 1").select("memory_id", "embedding", *keys)
-    x, y = rows.alias("x"), rows.alias("y")
-    same = F.col("x.memory_id") < F.col("y.memory_id")
+    The comparison is exact. The rows of a key are dealt into `tiles` by a hash of the id, and every two tiles meet in a key of their own,
+    so an owner with very many rows is spread over tiles * (tiles + 1) / 2 tasks; a pair is a row only if it is over `similar`.
+    """
+    rows = store.where("status = 1").select("memory_id", "embedding", *keys).withColumn("_t", F.pmod(F.xxhash64("memory_id"), F.lit(tiles)).cast("int"))
+    x = rows.withColumn("_u", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))).select("*", F.least("_t", "_u").alias("_lo"), F.greatest("_t", "_u").alias("_hi")).alias("x")
+    y = rows.withColumn("_u", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))).select("*", F.least("_t", "_u").alias("_lo"), F.greatest("_t", "_u").alias("_hi")).alias("y")
+    sim = cosine(F.col("x.embedding"), F.col("y.embedding"))
+    same = (F.col("x.memory_id") < F.col("y.memory_id")) & (F.col("x._lo") == F.col("y._lo")) & (F.col("x._hi") == F.col("y._hi")) & (F.col("x._u") == F.col("y._t")) & (F.col("y._u") == F.col("x._t")) & (sim > similar)
     for k in keys:
         same = same & (F.col(f"x.{k}") == F.col(f"y.{k}"))
-    return x.join(y, same).select(F.col("x.memory_id").alias("a"), F.col("y.memory_id").alias("b"), cosine(F.col("x.embedding"), F.col("y.embedding")).alias("sim")).where(F.col("sim") > similar)
+    return x.join(y, same).select(F.col("x.memory_id").alias("a"), F.col("y.memory_id").alias("b"), sim.alias("sim"))
 
 
 def consolidated(store: DataFrame, now: Column, decide=None, keys: tuple[str, ...] = ("tenant_id", "user_id")) -> tuple[DataFrame, DataFrame]:
@@ -157,3 +183,10 @@ def forget_scope(store: DataFrame, tenant: str, user: str, prefix: str) -> DataF
     """Active rows of one owner under a scope get status 0."""
     hit = (F.col("tenant_id") == tenant) & (F.col("user_id") == user) & F.col("scope").startswith(prefix)
     return store.withColumn("status", F.when(hit, 0).otherwise(F.col("status")))
+
+
+def nightly(store: DataFrame, now: Column, decide=None) -> tuple[DataFrame, DataFrame]:
+    """The nightly job over all owners at once: the store after consolidated, and its report with the number of owners with active rows."""
+    owners = store.where("status = 1").select("tenant_id", "user_id").distinct().count()
+    out, report = consolidated(store, now, decide)
+    return out, report.withColumn("owners", F.lit(owners).cast("long"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,17 +29,16 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def beside(queries: DataFrame) -> DataFrame:
-    """queries, broadcast; over MOST_QUERIES of them are an error."""
-    n = queries.limit(MOST_QUERIES + 1).count()
-    if n > MOST_QUERIES:
-        raise ValueError(f"over {MOST_QUERIES} queries: search them in blocks (see in_blocks)")
+    """queries, broadcast: at most MOST_QUERIES of them, see in_blocks."""
     return F.broadcast(queries)
 
 
 def in_blocks(queries: DataFrame, search, key: str = "query_id") -> DataFrame:
-    """Unions search(block) over blocks of queries of a bounded size, for query sets of any size."""
+    """search(block) where a block of queries has a bounded size, unioned over as many blocks as there must be."""
     n = queries.count()
-    parts = max(1, -(-2 * n // MOST_QUERIES))
+    if n <= MOST_QUERIES:
+        return search(queries)
+    parts = -(-2 * n // MOST_QUERIES)
     out = None
     for i in range(parts):
         one = search(queries.where(F.pmod(F.xxhash64(key), F.lit(parts)) == i))
@@ -56,42 +57,52 @@ def vector_search(corpus: DataFrame, queries: DataFrame, k: int = 10, metric: st
     """(query_id, id, score, rank): exact nearest rows of corpus for queries (query_id, query_vec).
 
     The score is the distance for l2 (smaller is better), the similarity for cosine; rows whose vector is null have none.
-    The query set is bounded and goes to every task; scope filters belong on corpus and are pushed to its scan.
+    Queries go to every task, in blocks of a bounded number; scope filters belong on corpus and are pushed to its scan.
     """
-    pairs = corpus.select(F.col(id_col).alias("id"), F.col(vec_col).alias("_v")).where("_v is not null").join(beside(queries.select("query_id", "query_vec")))
-    if skip_self:
-        pairs = pairs.where("id <> query_id")
-    score = l2(F.col("_v"), F.col("query_vec")) if metric == "l2" else cosine(F.col("_v"), F.col("query_vec"))
-    return top_k(pairs.select("query_id", "id", F.round(score, 6).alias("score")), k, "score", metric == "l2", "id")
+
+    def block(some: DataFrame) -> DataFrame:
+        pairs = corpus.select(F.col(id_col).alias("id"), F.col(vec_col).alias("_v")).where("_v is not null").join(beside(some))
+        if skip_self:
+            pairs = pairs.where("id <> query_id")
+        score = l2(F.col("_v"), F.col("query_vec")) if metric == "l2" else cosine(F.col("_v"), F.col("query_vec"))
+        return top_k(pairs.select("query_id", "id", F.round(score, 6).alias("score")), k, "score", metric == "l2", "id")
+
+    return in_blocks(queries.select("query_id", "query_vec"), block)
 
 
 def analysed(text: Column) -> Column:
-    """Lower-cased words; CJK ideographs stand alone."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(_TOKEN), F.lit(0))
+    """Lower-cased words; CJK ideographs stand alone. Texts without ideographs are split at what is no letter or digit, which costs less."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.when(low.rlike("[一-鿿]"), F.regexp_extract_all(low, F.lit(_TOKEN), F.lit(0))).otherwise(F.array_remove(F.split(low, r"[^\p{L}\p{N}_]+"), ""))
 
 
 def bm25_scores(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(query_id, id, score) of every document that has a term of a query (query_id, text).
 
     idf = ln(1 + (N - df + 0.5) / (df + 0.5)); N, df and the mean length are of all docs. A query's terms count once each.
-    Only postings of query terms leave the scan.
+    Query terms are known before the corpus is read, in blocks of a bounded number, so only their places leave a document's words. One pass
+    gives N, the lengths and df, another one the scores; a document's score is summed in its own task. keyword_index keeps what both work out.
     """
-    own = docs.select(F.col(id_col).alias("id"), analysed(F.col(text_col)).alias("words"))
-    stats = own.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("words")).alias("mean"))
-    terms = queries.select("query_id", F.explode(F.array_distinct(analysed(F.col("text")))).alias("term"))
-    wanted = terms.select("term").distinct()
-    postings = own.select("id", F.size("words").alias("dl"), F.explode("words").alias("term")).join(beside(wanted) if _few(wanted) else wanted, "term")
-    tf = postings.groupBy("id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighed = df.withColumn("n", stats.select("n").scalar()).withColumn("idf", idf).select("term", "idf")
-    scored = terms.join(weighed, "term").join(tf, "term").withColumn("mean", stats.select("mean").scalar())
-    part = F.col("idf") * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("mean")))
-    return scored.groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
-
-
-def _few(rows: DataFrame) -> bool:
-    return rows.limit(MOST_QUERIES + 1).count() <= MOST_QUERIES
+    every = queries.select("query_id", F.explode(F.array_distinct(analysed(F.col("text")))).alias("term"))
+
+    def block(terms: DataFrame) -> DataFrame:
+        asked = [r.term for r in terms.select("term").distinct().collect()]
+        words = docs.select(F.col(id_col).alias("id"), analysed(F.col(text_col)).alias("words"))
+        hits = F.filter("words", lambda w: w.isin(asked) if asked else F.lit(False))
+        own = words.select("id", F.size("words").alias("dl"), hits.alias("hits"))
+        # the first element stands for the document itself
+        seen = own.select("dl", F.explode(F.concat(F.array(F.lit(None).cast("string")), F.array_distinct("hits"))).alias("term"))
+        seen = {r.term: (r.n, r.s) for r in seen.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("s")).collect()}
+        n, total = seen.pop(None, (0, 0))
+        mean = (total or 0) / n if n else 1.0
+        weighed = terms.sparkSession.createDataFrame([(t, math.log(1 + (n - c + 0.5) / (c + 0.5))) for t, (c, _) in seen.items()], "term string, idf double")
+        weighed = terms.join(F.broadcast(weighed), "term")
+        tf = own.where(F.size("hits") > 0).select("id", "dl", "hits", F.explode(F.array_distinct("hits")).alias("term")).select("id", "dl", "term", F.size(F.filter("hits", lambda h: h == F.col("term"))).alias("tf"))
+        part = F.col("idf") * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(mean or 1.0)))
+        return tf.join(F.broadcast(weighed), "term").groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
+
+    # blocks are of queries, so that a query's terms stay together
+    return in_blocks(every, block)
 
 
 def bm25_search(docs: DataFrame, queries: DataFrame, k: int = 10, **options) -> DataFrame:
@@ -99,32 +110,47 @@ def bm25_search(docs: DataFrame, queries: DataFrame, k: int = 10, **options) ->
     return top_k(bm25_scores(docs, queries, **options), k, "score", False, "id")
 
 
+def _shorter(term: Column, n: Column) -> Column:
+    """The term and what is left of it without one letter, and without two where n is 2."""
+    one = lambda t: F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t))))
+    first = F.when((n >= 1) & (F.length(term) > 0), one(term)).otherwise(F.array().cast("array<string>"))
+    second = F.when(n >= 2, F.flatten(F.transform(first, lambda t: F.when(F.length(t) > 0, one(t)).otherwise(F.array().cast("array<string>"))))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(F.array(term), first, second))
+
+
 def fuzzy_terms(queries: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Query terms and the terms of vocabulary (term) within the automatic edit distance: 0 up to two letters, 1 up to five, else 2.
 
-    Candidates share the first letter, which keeps the comparison an equi-join.
+    A swap of two neighbouring letters is one edit. Terms at such a distance share what is left after as many letters are taken away
+    on either side (a swap: one on either), so candidates come from an equi-join of these; each is checked.
     """
     q = queries.select("query_id", F.explode(F.array_distinct(analysed(F.col("text")))).alias("asked"))
-    n = F.length("asked")
-    allowed = F.when(n <= 2, 0).when(n <= 5, 1).otherwise(2)
-    v = vocabulary.select("term", F.substring("term", 1, 1).alias("head"))
-    near = q.withColumn("head", F.substring("asked", 1, 1)).join(v, "head").where(F.levenshtein("asked", "term") <= allowed)
-    return near.select("query_id", "asked", "term")
+    size = F.length("asked")
+    q = q.withColumn("allowed", F.when(size <= 2, 0).when(size <= 5, 1).otherwise(2))
+    left = q.select("query_id", "asked", "allowed", F.explode(_shorter(F.col("asked"), F.col("allowed"))).alias("rest"))
+    # of the vocabulary only what is near enough in length to be met
+    right = vocabulary.select("term").distinct().withColumn("most", F.when(F.length("term") <= 1, 0).when(F.length("term") <= 3, 1).otherwise(2))
+    right = right.select("term", F.explode(_shorter(F.col("term"), F.col("most"))).alias("rest"))
+    near = left.join(right, "rest").select("query_id", "asked", "allowed", "term").distinct()
+    swaps = F.exists(F.sequence(F.lit(1), F.greatest(F.length("asked") - 1, F.lit(1))), lambda i: F.levenshtein(F.concat(F.substring("asked", F.lit(1), i - 1), F.substring("asked", i + 1, F.lit(1)), F.substring("asked", i, F.lit(1)), F.substring("asked", i + 2, F.length("asked"))), F.col("term")) <= F.col("allowed") - 1)
+    return near.where((F.levenshtein("asked", "term") <= F.col("allowed")) | ((F.col("allowed") >= 1) & (F.length("asked") >= 2) & swaps)).select("query_id", "asked", "term")
 
 
 def multi_path(paths: list[DataFrame], fuse, k: int, fused_k: int = 10) -> DataFrame:
     """Fuses the paths that have rows for a query; a query with one such path keeps its scores, up to k.
 
-    paths: (query_id, id, score, rank); fuse: from the union (with path) to (query_id, id, score, rank).
+    paths: (query_id, id, score, rank); fuse: from the union (with path) and the names of columns to carry to (query_id, id, score, rank) and
+    these. The ranked lists flow through one fusion, each read once.
     """
     union = None
     for i, p in enumerate(paths):
         one = p.select("query_id", "id", F.col("score").cast("double").alias("score"), "rank").withColumn("path", F.lit(i))
         union = one if union is None else union.unionByName(one)
-    n = union.groupBy("query_id").agg(F.countDistinct("path").alias("n_paths"))
-    fused = fuse(union).join(n, "query_id").where((F.col("n_paths") > 1) & (F.col("rank") < fused_k))
-    alone = union.join(n, "query_id").where((F.col("n_paths") == 1) & (F.col("rank") < k))
-    return fused.select("query_id", "id", "score", "rank").unionByName(alone.select("query_id", "id", "score", "rank"))
+    w = Window.partitionBy("query_id")
+    union = union.withColumn("several", F.min("path").over(w) != F.max("path").over(w)).withColumn("own_score", F.col("score")).withColumn("own_rank", F.col("rank"))
+    fused = fuse(union, ["several", "own_score", "own_rank"])
+    pick = lambda a, b: F.when(F.col("several"), F.col(a)).otherwise(F.col(b)).alias(a)
+    return fused.where(F.when(F.col("several"), F.col("rank") < fused_k).otherwise(F.col("own_rank") < k)).select("query_id", "id", pick("score", "own_score"), pick("rank", "own_rank"))
 
 
 def rerank(candidates: DataFrame, k: int, scorer=None) -> DataFrame:

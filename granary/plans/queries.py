@@ -12,7 +12,8 @@ from .catalog import query
 
 #: Parameters of the queries.
 K, RRF_K, NOW = 10, 60, "2024-02-01"
-QUERY_IDS = (3, 47, 111, 222, 333)
+#: Searches ask for every row whose id is divisible by it.
+EACH = 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,13 +31,9 @@ _ALERTS = """WITH alerts AS (SELECT event_id AS alert_id, CASE event_type WHEN '
   CASE WHEN event_id % 3 = 0 THEN 'resolved' ELSE 'active' END AS status, ts AS alert_time FROM events) """
 
 
-@query("active_alerts_ranked", _ALERTS + """SELECT alert_id, severity, alert_time, row_number() OVER (ORDER BY CASE severity WHEN 'critical' THEN 1 WHEN 'warning' THEN 2 WHEN 'info' THEN 3 END ASC NULLS FIRST, alert_time DESC, alert_id) AS place
-FROM alerts WHERE status = 'active' ORDER BY place LIMIT 500""")
+@query("active_alerts_ranked", _ALERTS + "SELECT alert_id, severity, alert_time, CASE severity WHEN 'critical' THEN 1 WHEN 'warning' THEN 2 WHEN 'info' THEN 3 END AS severity_rank FROM alerts WHERE status = 'active'")
 def active_alerts_ranked(spark, sf_dir):
-    # the report has the first 500; their places are given after the sort, on those rows only
-    first = relational.active_alerts(_alerts(spark, sf_dir)).orderBy(relational.severity_rank(F.col("severity")).asc_nulls_first(), F.desc("alert_time"), "alert_id").limit(500)
-    w = Window.orderBy(relational.severity_rank(F.col("severity")).asc_nulls_first(), F.desc("alert_time"), "alert_id")
-    return first.select("alert_id", "severity", "alert_time", F.row_number().over(w).cast("long").alias("place"))
+    return relational.active_alerts(_alerts(spark, sf_dir)).select("alert_id", "severity", "alert_time", relational.severity_rank(F.col("severity")).alias("severity_rank"))
 
 
 @query("alerts_by_severity", _ALERTS + "SELECT alert_id, alert_time FROM alerts WHERE status = 'active' AND severity = 'critical'")
@@ -128,15 +125,14 @@ def duplicate_uploads(spark, sf_dir):
 
 
 def _query_vectors(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").where(F.col("vec_id").isin(*QUERY_IDS)).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    return table(spark, sf_dir, "embeddings").where(F.col("vec_id") % EACH == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
 
 
 def _vector(spark, sf_dir, metric):
     return retrieve.vector_search(table(spark, sf_dir, "embeddings"), _query_vectors(spark, sf_dir), K, metric, skip_self=True)
 
 
-_IDS = ", ".join(map(str, QUERY_IDS))
-_VEC = f"""q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IN ({_IDS})),
+_VEC = f"""q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % {EACH} = 0),
 l2 AS (SELECT * FROM (SELECT query_id, vec_id AS id, round(sqrt(list_sum(list_transform(list_zip(v, embedding::DOUBLE[]), lambda x: (x[1] - x[2]) * (x[1] - x[2])))), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(sqrt(list_sum(list_transform(list_zip(v, embedding::DOUBLE[]), lambda x: (x[1] - x[2]) * (x[1] - x[2])))), 6), vec_id) - 1 AS rank FROM q, embeddings WHERE vec_id <> query_id) WHERE rank < {K}),
 cos AS (SELECT * FROM (SELECT query_id, vec_id AS id, round(list_cosine_similarity(v, embedding::DOUBLE[]), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(v, embedding::DOUBLE[]), 6) DESC, vec_id) - 1 AS rank FROM q, embeddings WHERE vec_id <> query_id) WHERE rank < {K})"""
 
@@ -153,15 +149,14 @@ def vector_topk_cosine(spark, sf_dir):
 
 def _keyword(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    queries = table(spark, sf_dir, "benchmark").where(F.col("item_id") < len(QUERY_IDS))
-    ids = F.element_at(F.array(*[F.lit(i).cast("long") for i in QUERY_IDS]), F.col("item_id").cast("int") + 1)
-    return retrieve.bm25_search(docs, queries.select(ids.alias("query_id"), "text"), K)
+    queries = table(spark, sf_dir, "benchmark").where(F.col("item_id") % EACH == 0)
+    return retrieve.bm25_search(docs, queries.select(F.col("item_id").alias("query_id"), "text"), K)
 
 
 _TOK = r"regexp_extract_all(lower({t}), '[\p{{L}}\p{{N}}_]+')"
 _BM25 = f"""toks AS MATERIALIZED (SELECT doc_id AS id, {_TOK.format(t="coalesce(text, '')")} AS w FROM documents),
 stats AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM toks),
-terms AS MATERIALIZED (SELECT ([{_IDS}])[item_id + 1]::BIGINT AS query_id, unnest(list_distinct({_TOK.format(t="text")})) AS term FROM benchmark WHERE item_id < {len(QUERY_IDS)}),
+terms AS MATERIALIZED (SELECT item_id AS query_id, unnest(list_distinct({_TOK.format(t="text")})) AS term FROM benchmark WHERE item_id % {EACH} = 0),
 tf AS MATERIALIZED (SELECT id, dl, term, count(*) AS tf FROM (SELECT id, len(w) AS dl, unnest(w) AS term FROM toks) WHERE term IN (SELECT term FROM terms) GROUP BY ALL),
 idf AS MATERIALIZED (SELECT term, ln(1 + (any_value(n) - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS idf FROM tf, stats GROUP BY term),
 scored AS MATERIALIZED (SELECT query_id, id, round(sum(idf * tf / (tf + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * dl / mean))), 6) AS score FROM terms JOIN idf USING (term) JOIN tf USING (term), stats GROUP BY ALL),
@@ -205,7 +200,7 @@ def normalized_fusion(spark, sf_dir):
 
 def _hybrid(spark, sf_dir):
     paths = [_vector(spark, sf_dir, "l2"), _keyword(spark, sf_dir)]
-    return retrieve.multi_path(paths, lambda union: fuse.reciprocal_rank(union, RRF_K, limit=None), K)
+    return retrieve.multi_path(paths, lambda union, more: fuse.reciprocal_rank(union, RRF_K, limit=None, payload=more), K)
 
 
 _HYBRID = f"WITH {_VEC}, {_BM25}, lists AS (SELECT query_id, 0 AS path, rank, id, score FROM l2 UNION ALL SELECT query_id, 1, rank, id, score FROM bm), {_RRF.format(w='1.0::DOUBLE')}, n AS (SELECT query_id, count(DISTINCT path) AS k FROM lists GROUP BY 1), hybrid AS (SELECT query_id, id, score, rank FROM ranked JOIN n USING (query_id) WHERE k > 1 AND rank < 10 UNION ALL SELECT query_id, id, score, rank FROM lists JOIN n USING (query_id) WHERE k = 1 AND rank < 10)"
@@ -379,7 +374,7 @@ def _recall_sql(name: str, where: str, limit: int, semantic: float, least: float
 {name} AS (SELECT query_id, memory_id, round(sem, 6) AS semantic, round(rec, 6) AS recency, round(comp, 6) AS composite, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY comp DESC, memory_id) - 1 AS rank FROM {name}_c WHERE sem >= {semantic}::DOUBLE AND comp >= {least}::DOUBLE) WHERE rank < {limit})"""
 
 
-_QV = f"q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IN ({_IDS}))"
+_QV = f"q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % {EACH} = 0)"
 
 
 @query("memory_recall", f"WITH {_QV}, {_recall_sql('r', 'true', 10, 0.1, 0.2)} SELECT * FROM r")
