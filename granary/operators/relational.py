@@ -65,6 +65,11 @@ def newest_first(df: DataFrame, time: str, *ties: str) -> DataFrame:
     return df.orderBy(F.col(time).desc(), *[F.col(t).desc() for t in ties])
 
 
+def oldest_first(df: DataFrame, time: str, *ties: str) -> DataFrame:
+    """Rows in the order in which they came, as a history is replayed."""
+    return df.orderBy(F.col(time).asc(), *[F.col(t).asc() for t in ties])
+
+
 def severity_rank(severity: Column) -> Column:
     return F.when(severity == "critical", 1).when(severity == "warning", 2).when(severity == "info", 3)
 
