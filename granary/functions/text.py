@@ -166,3 +166,13 @@ def bounded_utf16(text: Column, units: int = 1024) -> Column:
     sized = F.transform(over, lambda c: wide(c).cast("int"))
     fits = F.aggregate(sized, F.struct(F.lit(0).alias("n"), F.lit(0).alias("k")), lambda a, x: F.when(a["n"] + x <= units, F.struct((a["n"] + x).alias("n"), (a["k"] + 1).alias("k"))).otherwise(F.struct((a["n"] + units + 1).alias("n"), a["k"].alias("k"))), lambda a: a["k"])
     return F.when(wide(text) <= units, text).otherwise(F.substring(text, F.lit(1), fits))
+
+
+def now_in(zone: str) -> Column:
+    """The current time in a zone, as yyyy-MM-dd HH:mm:ss."""
+    return F.date_format(F.from_utc_timestamp(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), zone), "yyyy-MM-dd HH:mm:ss")
+
+
+def short_uuid(value: Column) -> Column:
+    """The first 16 characters of an identifier without dashes."""
+    return F.left(F.replace(value, F.lit("-"), F.lit("")), F.lit(16))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import budget, chunk, evaluate, fuse, graph, ingest, logs, memory, relational, retrieve
+from ..operators import budget, evaluate, fuse, graph, ingest, logs, memory, relational, retrieve
 from ..sources import documents as sources
 from .catalog import query
 
@@ -237,22 +237,6 @@ def sentence_window(spark, sf_dir):
     return fuse.sentence_window(hits, 2).select("doc_id", F.col("hit_index").cast("long").alias("hit_index"), "content")
 
 
-def _chunk_query(chunker):
-    def run(spark, sf_dir):
-        return chunk.chunked(table(spark, sf_dir, "documents"), chunker)
-
-    return run
-
-
-query("chunk_semantic")(_chunk_query(lambda t, s, n: chunk.semantic(t, s, n, 500, 50)))
-query("chunk_parent_child")(_chunk_query(lambda t, s, n: chunk.parent_child(t, n, 500, 125, 25)))
-query("chunk_multi")(_chunk_query(lambda t, s, n: chunk.multi(t, s, n)))
-query("chunk_legacy")(_chunk_query(lambda t, s, n: chunk.legacy(t, n)))
-query("chunk_summary")(_chunk_query(lambda t, s, n: chunk.summary_index(t, s, n)))
-query("chunk_contextual")(_chunk_query(lambda t, s, n: chunk.contextual(t, s, n)))
-query("chunk_propositions")(_chunk_query(lambda t, s, n: chunk.propositions(t, n)))
-
-
 @query("paragraph_sections", r"""SELECT doc_id, i - 1 AS position, p AS content FROM (SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\n\n+'), lambda x: regexp_replace(x, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g')), lambda x: x <> '') AS ps FROM documents))""")
 def paragraph_sections(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.paragraphs(F.col("text"))).alias("position", "content"))

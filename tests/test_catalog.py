@@ -6,7 +6,7 @@ import os
 
 import pytest
 
-from granary.plans import catalog, queries, statements  # noqa: F401  register
+from granary.plans import catalog, chunks, operations, queries, statements  # noqa: F401  register
 
 from .oracle import connect, rows_of_duck, rows_of_spark
 
