@@ -11,6 +11,9 @@ from .common import SPACE, beside, cut, join_unique, let
 KINDS = ("email", "ip", "card", "phone")
 LEARNT = "id"
 
+#: Matches whose places are worked out together.
+BLOCK = 256
+
 # Possessive quantifiers keep the matcher from recursing and from going back over long runs; a match can only begin where a run
 # of its characters begins or the match before it ended, so the results are those of the plain patterns.
 _EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -36,14 +39,25 @@ def matches(text: Column, pattern: str) -> Column:
     found, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     between = F.transform(pieces, lambda x: F.length(x))
     zipped = F.arrays_zip(found.alias("m"), F.slice(between, 1, F.size(found)).alias("g"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
+    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + x["g"]
         end = begin + F.length(x["m"])
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["m"].alias("value")))).alias("out"))
 
-    return F.aggregate(zipped, start, step, lambda acc: acc["out"])
+    def placed(z: Column) -> Column:
+        """Running lengths by blocks of BLOCK matches, as each step copies what it has of its block."""
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(z) - 1) / BLOCK).cast("int")), lambda b: F.slice(z, b * BLOCK + 1, F.lit(BLOCK)))
+
+        def joined(parts: Column) -> Column:
+            size = F.transform(parts, lambda x: F.aggregate(x, F.lit(0), lambda a, y: a + y["g"] + F.length(y["m"])))
+            start = F.aggregate(size, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+            return F.flatten(F.zip_with(parts, start, lambda x, at: F.aggregate(x, F.struct(at.alias("at"), none.alias("out")), step, lambda a: a["out"])))
+
+        return F.when(F.size(z) == 0, none).otherwise(let(blocks, joined))
+
+    return let(zipped, placed)
 
 
 def _digits(value: Column) -> Column:
@@ -106,19 +120,29 @@ def contexts(text: Column, pattern: str) -> Column:
 
 
 def identifiers(rows: DataFrame) -> DataFrame:
-    """(row, start, end, value, seed, left2, left, right) of the words of rows (row, text, base) that look like identifiers.
+    """(row, start, end, value, seed, covered, left2, left, right) of the words of rows (row, text, base) that look like identifiers.
 
-    value has no punctuation at its edges; seed: it overlaps a base span or has the form of a KEY; the others are its context (see contexts).
+    value has no punctuation at its edges; covered: it overlaps a base span; seed: that, or it has the form of a KEY; the others are its context (see
+    contexts). Base spans and words meet in one line of each text, by their starts, so a text of many of both is sorted once.
     """
     some = rows.where(F.col("text").rlike("[0-9@]"))
-    each = some.select("row", "base", F.explode(F.arrays_zip(matches(F.col("text"), _IDENT).alias("m"), contexts(F.col("text"), _IDENT).alias("c"))).alias("x"))
+    each = some.select("row", F.explode(F.arrays_zip(matches(F.col("text"), _IDENT).alias("m"), contexts(F.col("text"), _IDENT).alias("c"))).alias("x"))
     raw = F.col("x.m.value")
     lead = F.length(raw) - F.length(F.regexp_replace(raw, r"^[^\p{L}\p{N}@+]+", ""))
     clean = F.regexp_replace(raw, _EDGE, "")
     start = F.col("x.m.start") + lead
-    each = each.select("row", "base", start.alias("start"), (start + F.length(clean)).alias("end"), clean.alias("value"), "x.c.*").where("value <> ''")
-    known = F.exists("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))
-    return each.select("row", "start", "end", "value", (known | F.col("value").rlike(KEY)).alias("seed"), "left2", "left", "right")
+    each = each.select("row", start.alias("start"), (start + F.length(clean)).alias("end"), clean.alias("value"), "x.c.*").where("value <> ''").distinct()
+    spans = some.select("row", F.explode("base").alias("b")).select("row", "b.start", "b.end").distinct()
+    blank = [F.lit(None).cast("string").alias(c) for c in ("value", "left2", "left", "right")]
+    both = each.select("row", "start", "end", F.lit(None).cast("int").alias("base_end"), "value", "left2", "left", "right").unionByName(spans.select("row", "start", "end", F.col("end").alias("base_end"), *blank))
+    line = Window.partitionBy("row").orderBy("start")
+    upto = F.max("base_end").over(line.rangeBetween(Window.unboundedPreceding, 0))
+    # from the end on, as a frame that is open behind would be gone through again for each row
+    back = Window.partitionBy("row").orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, -1)
+    ahead = F.min(F.when(F.col("base_end").isNotNull(), F.col("start"))).over(back)
+    covered = (F.coalesce(upto, F.lit(0)) > F.col("start")) | (F.coalesce(ahead, F.col("end")) < F.col("end"))
+    met = both.withColumn("covered", covered).where("value is not null")
+    return met.select("row", "start", "end", "value", (F.col("covered") | F.col("value").rlike(KEY)).alias("seed"), "covered", "left2", "left", "right")
 
 
 def learnt_instances(found: DataFrame, texts: DataFrame, rounds: int = 2, support: int = 3, sure: float = 0.6, small: int = 100_000) -> DataFrame:
@@ -164,12 +188,11 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     own = base_spans(F.col("text"))
     # only texts with a digit or an at sign can hold anything; what is found is small beside the texts
     looked = rows.where(F.col("text").rlike("[0-9@]")).select(F.xxhash64("text").alias("row"), "text", own.alias("base"))
-    found = cut(identifiers(looked).distinct())
+    found = cut(identifiers(looked))
     new = cut(learnt_instances(found, rows, rounds, support, sure))
-    added = join_unique(found, new, ["value"]).groupBy("row").agg(F.collect_set(F.struct("start", F.lit(len(KINDS)).alias("kind"), "end", "value")).alias("added"))
+    added = join_unique(found.where("not covered"), new, ["value"]).groupBy("row").agg(F.collect_set(F.struct("start", F.lit(len(KINDS)).alias("kind"), "end", "value")).alias("added"))
     joined = join_unique(cut(rows.select("doc_id", F.xxhash64("text").alias("row"), own.alias("base"))), cut(added), ["row"], "left")
-    free = F.filter(F.coalesce("added", F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")), lambda a: ~F.exists("base", lambda b: (b["start"] < a["end"]) & (b["end"] > a["start"])))
-    both = F.array_sort(F.concat("base", free))
+    both = F.array_sort(F.concat("base", F.coalesce("added", F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>"))))
     names = F.array(*[F.lit(k) for k in (*KINDS, LEARNT)])
     named = lambda c: F.transform(c, lambda s: F.struct(s["start"].alias("start"), F.element_at(names, s["kind"] + 1).alias("kind"), s["end"].alias("end"), s["value"].alias("value")))
     return joined.select("doc_id", named(F.col("base")).alias("base"), named(both).alias("spans"))
