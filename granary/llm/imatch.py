@@ -103,8 +103,8 @@ def imatch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", low:
     """
     band = lexicon(docs, text_col, low, high).scalar()
     rows = docs.drop("fingerprint")
-    carried = rows.select(F.struct(*rows.columns).alias("own"), F.coalesce(F.col(text_col), F.lit("")).alias("said"), band.alias("band"))
-    return carried.select("own.*", fingerprint(F.col("said"), F.col("band")).alias("fingerprint"))
+    carried = rows.select(F.struct(*rows.columns).alias("own"), F.coalesce(F.col(text_col), F.lit("")).alias("said")).withColumn("band", band)
+    return carried.withColumn("made", fingerprint(F.col("said"), F.col("band"))).select("own.*", F.col("made").alias("fingerprint"))
 
 
 def _following(keys: DataFrame, width: int) -> DataFrame:

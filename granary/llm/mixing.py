@@ -29,8 +29,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: floa
     # of sources that fill up at the same level the order does not matter
     fill = everything.orderBy("ratio", F.col("source").asc_nulls_last())
     before = fill.rowsBetween(Window.unboundedPreceding, -1)
-    onward = fill.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    x = x.withColumn("level", (F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(onward))
+    x = x.withColumn("level", (F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0.0))))
     # the level is the first whose source does not fill up
     x = x.withColumn("solved", F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", F.col("source").isNull().alias("last"), "source", "level"))).over(everything)["level"])
     target = F.least("cap", F.coalesce(F.col("solved") * F.col("w"), F.col("cap")))
