@@ -41,7 +41,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights: each document with the number of its copies in the mix, those with none left out.
 
-    The number is the column copies; a column of documents with that name is replaced.
+    The number is the column copies; a column of documents with that name is replaced, and one that mix adds (see there) too.
     """
     mixed = mix(docs).where("mix_copies > 0")
     return mixed.select(*[c for c in docs.columns if c != "copies"], F.col("mix_copies").alias("copies"))
