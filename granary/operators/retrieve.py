@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 #: A query set is sent to every task only up to this many rows.
 MOST_QUERIES = 4096
 
@@ -87,17 +89,17 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float =
 
     def block(terms: DataFrame) -> DataFrame:
         asked = [r.term for r in terms.select("term").distinct().collect()]
-        words = docs.select(F.col(id_col).alias("id"), analysed(F.col(text_col)).alias("words"))
-        hits = F.filter("words", lambda w: w.isin(asked) if asked else F.lit(False))
-        own = words.select("id", F.size("words").alias("dl"), hits.alias("hits"))
-        # the first element stands for the document itself
-        seen = own.select("dl", F.explode(F.concat(F.array(F.lit(None).cast("string")), F.array_distinct("hits"))).alias("term"))
-        seen = {r.term: (r.n, r.s) for r in seen.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("s")).collect()}
+        place = lambda w, t, n: F.struct(F.size(w).alias("dl"), t.alias("term"), n.alias("tf"))
+        # the first element stands for the document itself; words and hits are worked out once
+        counted = lambda w: let(F.filter(w, lambda x: x.isin(asked) if asked else F.lit(False)), lambda h: F.transform(F.array_distinct(h), lambda t: place(w, t, F.size(F.filter(h, lambda x: x == t)))))
+        places = let(analysed(F.col(text_col)), lambda w: F.concat(F.array(place(w, F.lit(None).cast("string"), F.lit(0))), counted(w)))
+        own = docs.select(F.col(id_col).alias("id"), F.explode(places).alias("p")).select("id", "p.*")
+        seen = {r.term: (r.n, r.s) for r in own.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("s")).collect()}
         n, total = seen.pop(None, (0, 0))
         mean = (total or 0) / n if n else 1.0
         weighed = terms.sparkSession.createDataFrame([(t, math.log(1 + (n - c + 0.5) / (c + 0.5))) for t, (c, _) in seen.items()], "term string, idf double")
         weighed = terms.join(F.broadcast(weighed), "term")
-        tf = own.where(F.size("hits") > 0).select("id", "dl", "hits", F.explode(F.array_distinct("hits")).alias("term")).select("id", "dl", "term", F.size(F.filter("hits", lambda h: h == F.col("term"))).alias("tf"))
+        tf = own.where("term is not null")
         part = F.col("idf") * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(mean or 1.0)))
         return tf.join(F.broadcast(weighed), "term").groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
 
