@@ -62,6 +62,8 @@ def layout(size: int, percent: int, ratio: float = 1.4) -> tuple[int, int, int,
     return band, low, h, h + 1 + (h and 1 + (h + 1) // 12)
 
 
+#: Turns in which each document of an open bucket meets one leader, before members meet each other.
+STARS = 3
 #: Independent ways to cut the universe into segments; one after another for sets whose codes crowd in few segments.
 WAYS = 4
 
@@ -265,7 +267,7 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     that links reach. Candidates come from equal signatures of universe segments (see signatures); each
     is verified on both whole sets, so the result is exact up to collisions of 64-bit shingle codes
     inside a pair. Groups of near copies are not expanded: every member is first verified against the
-    first member of its buckets, and then only members of different components are compared. Of the components in a bucket first
+    first member of its buckets, then against leaders drawn from them, and then only members of different components are compared. Of the components in a bucket first
     the delegates (the smallest ids) meet: parity maps have a metric, so with the farthest member of each from its delegate known
     one row a component tells whether it has a partner there; members of those that do are compared if their sizes and parity maps
     allow it (in the condition of the join, so other pairs are never rows) and they share enough segments.
@@ -345,9 +347,23 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
         star = buckets.where("pivot <> doc_id").groupBy(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).agg(F.count("*").alias("c"))
         best = star.groupBy("b").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a")).select("a", "b")
         links = cut(links.unionByName(verified(best)).distinct())
-        member = placed(buckets.select("sig", "doc_id"), components(links))
-        mixed = member.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-        member = cut(member.join(mixed.select("sig"), "sig", "left_semi"))
+        turn = 0
+        while True:
+            member = placed(buckets.select("sig", "doc_id"), components(links))
+            mixed = member.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+            member = cut(member.join(mixed.select("sig"), "sig", "left_semi"))
+            if turn == STARS or member.isEmpty():
+                break
+            # one pair a document: with the leader, drawn anew each turn, of a bucket that it shares with another component
+            lead = member.groupBy("sig").agg(F.min_by(F.struct("doc_id", "comp"), F.xxhash64("doc_id", F.lit(turn))).alias("lead"))
+            met = member.join(lead, "sig").where(F.col("comp") != F.col("lead.comp")).groupBy(F.col("doc_id").alias("b"), F.col("lead.doc_id").alias("a")).agg(F.count(F.lit(1)).alias("c"))
+            near = met.join(own.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba")), "a").join(own.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb")), "b")
+            near = near.where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (apart("ba", "bb") <= most("na", "nb")))
+            new = verified(near.groupBy("b").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a")).select("a", "b"))
+            if new.isEmpty():
+                break
+            links = cut(links.unionByName(new).distinct())
+            turn += 1
         crowd = cut(member.groupBy("sig", "comp").agg(F.first("comp").alias("one")).groupBy("sig").count().where(F.col("count") > hot).select("sig"))
         met = member.join(crowd, "sig", "left_semi").groupBy("doc_id").agg(F.count(F.lit(1)).alias("unused"))
         # a linked pair shares all but H of the smaller set's segments, less those that are not compared
