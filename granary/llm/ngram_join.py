@@ -63,7 +63,7 @@ def layout(size: int, percent: int, ratio: float = 1.4) -> tuple[int, int, int,
 
 
 #: Turns in which each document of an open bucket meets one leader, before members meet each other.
-STARS = 3
+STARS = 1
 #: Independent ways to cut the universe into segments; one after another for sets whose codes crowd in few segments.
 WAYS = 4
 
