@@ -357,9 +357,7 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
             # one pair a document: with the leader, drawn anew each turn, of a bucket that it shares with another component
             lead = member.groupBy("sig").agg(F.min_by(F.struct("doc_id", "comp"), F.xxhash64("doc_id", F.lit(turn))).alias("lead"))
             met = member.join(lead, "sig").where(F.col("comp") != F.col("lead.comp")).groupBy(F.col("doc_id").alias("b"), F.col("lead.doc_id").alias("a")).agg(F.count(F.lit(1)).alias("c"))
-            near = met.join(own.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba")), "a").join(own.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb")), "b")
-            near = near.where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (apart("ba", "bb") <= most("na", "nb")))
-            new = verified(near.groupBy("b").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a")).select("a", "b"))
+            new = verified(met.groupBy("b").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a")).select("a", "b"))
             if new.isEmpty():
                 break
             links = cut(links.unionByName(new).distinct())
