@@ -62,8 +62,8 @@ def layout(size: int, percent: int, ratio: float = 1.4) -> tuple[int, int, int,
     return band, low, h, h + 1 + (h and 1 + (h + 1) // 12)
 
 
-#: Turns in which each document of an open bucket meets one leader, before members meet each other.
-STARS = 1
+#: Turns in which each document of an open bucket meets one leader, before members meet each other; they cost disk, so none by default.
+STARS = 0
 #: Independent ways to cut the universe into segments; one after another for sets whose codes crowd in few segments.
 WAYS = 4
 
