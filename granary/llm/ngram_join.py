@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 from collections import OrderedDict
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +42,10 @@ def shingle_sets(texts: list[bytes], tokens: Tokeniser, k: int) -> list[np.ndarr
     return out
 
 
-@lru_cache(maxsize=4096)
+#: What layout has worked out. A plain function with its own table is sent to executors by value, a function that lru_cache has wrapped is not.
+_LAYOUTS: dict[tuple[int, int, float], tuple[int, int, int, int]] = {}
+
+
 def layout(size: int, percent: int, ratio: float = 1.4) -> tuple[int, int, int, int]:
     """Of a set's size: its band, the band's least size, the largest number of differing tokens H and the segments m.
 
@@ -51,6 +53,9 @@ def layout(size: int, percent: int, ratio: float = 1.4) -> tuple[int, int, int,
     answers for its own pairs and for partners above it, so H is taken for its largest sizes. m is H+1
     and a few spare segments: as many of a set's segments may be skipped (empty, or too frequent) at no loss.
     """
+    known = _LAYOUTS.get((size, percent, ratio))
+    if known:
+        return known
     low, band = 1, 0
     while True:
         high = max(low + 1, int(low * ratio) + 1)
@@ -59,7 +64,10 @@ def layout(size: int, percent: int, ratio: float = 1.4) -> tuple[int, int, int,
         low, band = high, band + 1
     a = high - 1
     h = (100 - percent) * (a + a * 100 // percent) // (100 + percent)
-    return band, low, h, h + 1 + (h and 1 + (h + 1) // 12)
+    if len(_LAYOUTS) >= 4096:
+        _LAYOUTS.clear()
+    _LAYOUTS[size, percent, ratio] = found = band, low, h, h + 1 + (h and 1 + (h + 1) // 12)
+    return found
 
 
 #: Turns in which each document of an open bucket meets one leader, before members meet each other; they cost disk, so none by default.
