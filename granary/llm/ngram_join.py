@@ -72,6 +72,8 @@ def layout(size: int, percent: int, ratio: float = 1.4) -> tuple[int, int, int,
 
 #: Turns in which each document of an open bucket meets one leader, before members meet each other; they cost disk, so none by default.
 STARS = 0
+#: Documents with at most so many open buckets carry the list of them, so that a pair is one row and not one in each bucket that it shares.
+LISTED = 128
 #: Independent ways to cut the universe into segments; one after another for sets whose codes crowd in few segments.
 WAYS = 4
 
@@ -340,11 +342,17 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
         reach = apart("p.db", "q.db") - F.col("p.far") - F.col("q.far") <= most("p.hi", "q.hi")
         # a row for each component of a bucket that has a partner there, not for each pair
         open_ = p.join(q, (F.col("p.sig") == F.col("q.sig")) & able & reach, "left_semi").select("sig", "comp")
-        full = cut(member.join(open_, ["sig", "comp"], "left_semi").join(own, "doc_id"))
+        full = member.join(open_, ["sig", "comp"], "left_semi")
+        shared = full.groupBy("doc_id").agg(F.collect_list("sig").alias("sigs")).select("doc_id", F.when(F.size("sigs") <= LISTED, F.col("sigs")).alias("sigs"))
+        full = cut(full.join(shared, "doc_id").join(own, "doc_id"))
         x, y = full.alias("x"), full.alias("y")
         fit = (F.col("x.comp") < F.col("y.comp")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & (apart("x.bits", "y.bits") <= most("x.n", "y.n"))
         need = F.when(F.col("x.n") <= F.col("y.n"), F.col("x.need")).otherwise(F.col("y.need")) - most("x.n", "y.n")
-        pairs = x.join(y, (F.col("x.sig") == F.col("y.sig")) & fit).groupBy(F.col("x.doc_id").alias("p"), F.col("y.doc_id").alias("q")).agg(F.count(F.lit(1)).alias("c"), F.first(need).alias("need")).where("c >= need")
+        # a row in one of the pair's buckets only, if it has enough of them; in all where a list is missing
+        both = F.array_intersect("x.sigs", "y.sigs")
+        once = both.isNull() | ((F.size(both) >= need) & (F.array_min(both) == F.col("x.sig")))
+        pairs = x.join(y, (F.col("x.sig") == F.col("y.sig")) & fit & once).groupBy(F.col("x.doc_id").alias("p"), F.col("y.doc_id").alias("q"))
+        pairs = pairs.agg(F.count(F.lit(1)).alias("c"), F.first(F.when(both.isNull(), need).otherwise(1)).alias("need")).where("c >= need")
         return pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
 
     def closed(buckets: DataFrame, links: DataFrame, skipped: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
