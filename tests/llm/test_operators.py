@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from granary.llm import contamination, imatch, linedup, mixing, ngram_join, pii_bootstrap, preference, pseudo_lm, quality_fm, sample, sql, tokens, toxicity_crf
@@ -107,8 +111,10 @@ def test_crowded_sets_lose_no_pair():
                 assert np.intersect1d(ngram_join.signatures(a, 85), ngram_join.signatures(b, 85)).size
 
 
-def test_one_bucket_of_many(spark):
+@pytest.mark.parametrize(("hot", "listed"), [(3, 128), (4096, 128), (4096, 5), (4096, 0)])
+def test_one_bucket_of_many(spark, monkeypatch, hot, listed):
     """A long passage that all documents share and two large groups of near copies, with signatures crowded from the first pass on."""
+    monkeypatch.setattr(ngram_join, "LISTED", listed)
     rng = random.Random(11)
     passage = words(rng, 40, 10_000)
     heads = [words(rng, 25, 10_000) for _ in range(2)]
@@ -118,10 +124,19 @@ def test_one_bucket_of_many(spark):
         if i < 160:
             own[rng.randrange(25)] = f"v{i}"
         texts.append(" ".join(own + passage))
-    got = {r.doc_id: r.component_id for r in ngram_join.ngram_jaccard_components(frame(spark, texts).repartition(6), hot=3).collect()}
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_jaccard_components(frame(spark, texts).repartition(6), hot=hot).collect()}
     assert [got[i] for i in range(len(texts))] == components_of(sets_of(texts, 4), 85)
 
 
+def test_functions_load_without_the_package(tmp_path):
+    """Executors have no copy of the package: what they run must load where it cannot be imported."""
+    made = [ngram_join._sets(4, 85), ngram_join._signatures_without(4, 85), ngram_join._where(4, 85), ngram_join._verify(4, 85)]
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    for run in made:
+        load = subprocess.run([sys.executable, "-c", "import pickle, sys; pickle.load(sys.stdin.buffer)"], input=cloudpickle.dumps(run), cwd=tmp_path, env=env, capture_output=True, check=False)
+        assert load.returncode == 0, load.stderr.decode()
+
+
 def test_ngram_null_ids_and_empty_table(spark):
     df = spark.createDataFrame([(None, "a b c d"), (1, "a b c d"), (2, "a b c d"), (2, "a b c d")], "doc_id long, text string")
     got = sorted(((r.doc_id is None, r.doc_id or 0), r.component_id) for r in ngram_join.ngram_jaccard_components(df).collect())
