@@ -165,6 +165,22 @@ def test_downsample(spark, n, most):
     assert got == want
 
 
+def test_downsample_orders(spark):
+    """Series of any order column, null series and null, equal and uneven places are numbered as one window would."""
+    values = [None, None, 0.0, 0.0, 1.0, 1.5, 2.0, 1e9, 1e9, 5e9] * 3
+    rows = spark.createDataFrame([(s, v, i) for s in ("a", None) for i, v in enumerate(values)] + [("one", None, 1)], "series string, v double, t long")
+    forms = {"double": "v", "timestamp": "timestamp_seconds(v)", "date": "date_add(date'1970-01-01', cast(v / 1e7 as int))", "string": "cast(v as string)"}
+    for form in forms.values():
+        table = rows.selectExpr("series", f"{form} as v", "t")
+        got = sorted((r.series or "", r.point, r.t) for r in budget.downsampled(table, "series", ["v", "t"], 7, 5).collect())
+        want = []
+        for s in ("", "a"):
+            order = [r.t for r in table.where("series = 'a'").orderBy("v", "t").collect()]
+            step = (len(order) - 1) / 6
+            want += [(s, i, order[0 if i == 0 else len(order) - 1 if i == 6 else int(i * step + 0.5)]) for i in range(7)]
+        assert got == [*want, ("one", 0, 1)]
+
+
 def test_capped(spark):
     got = budget.capped(spark.range(87), [F.asc("id")], 3)
     rows = got.withColumn("note", budget.spill_note("alerts", 3)).collect()
