@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from . import sql
 from .common import read
 from .contamination import contaminated
+from .drake import fixed_point, drake_means
+from .filter_audit import filter_audit
 from .imatch import edited_likeness
+from .license_index import base_places, license_scan
 from .linedup import dedup_lines
 from .mixing import mix
 from .ngram_join import ngram_jaccard_components
@@ -66,6 +69,26 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_likeness(read(spark, sf_dir, "documents"))
 
 
+def op11_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan(read(spark, sf_dir, "documents"))
+    starts = F.transform(base_places(F.col("places")), lambda p: p["start"])
+    named = lambda places: F.array_join(F.array_sort(F.array_distinct(F.transform(places, lambda p: p["label"]))), ",")
+    return found.select(
+        "doc_id", "n_words", F.size(starts).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        named(base_places(F.col("places"))).alias("base_labels"), named(F.col("places")).alias("labels"), F.coalesce(F.array_max(F.transform("places", lambda p: p["score"])), F.lit(0.0)).alias("score"),
+    )
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op13_drake_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = fixed_point(read(spark, sf_dir, "embeddings"), width=64, scale=64)
+    found = drake_means(vectors, clusters=16, rounds=3)
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .license_index import WORDINGS
+
 _WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
 #: Weights 1, 2, 3 in turn, at most three times a source; whole copies, then the order sample up to the word budget.
@@ -71,3 +73,71 @@ edge AS MATERIALIZED (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
 reach AS (SELECT a AS node, a AS root FROM edge UNION SELECT e.b, r.root FROM reach r JOIN edge e ON e.a = r.node WHERE e.b > r.root)
 SELECT n.doc_id, n.n AS n_shingles, coalesce(least(min(r.root), n.doc_id), n.doc_id) AS component_id FROM n LEFT JOIN reach r ON r.node = n.doc_id GROUP BY n.doc_id, n.n
 """
+
+#: Flags of every document, every order of the filters against each part's flags, and the sums over all orders.
+ORACLE["op12_filter_audit"] = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+flag AS (SELECT doc_id, part, CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END || CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 2 * length(t) THEN 'C' ELSE '' END
+  || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS fails FROM d),
+known AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
+cell AS MATERIALIZED (SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE quality = 1) AS good, count(*) FILTER (WHERE toxic = 1) AS toxic FROM flag LEFT JOIN known USING (doc_id) GROUP BY part, fails),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a JOIN l b ON b.x <> a.x JOIN l c ON c.x NOT IN (a.x, b.x) JOIN l d ON d.x NOT IN (a.x, b.x, c.x) JOIN l e ON e.x NOT IN (a.x, b.x, c.x, d.x)),
+steps AS (SELECT filter_order, step, substr(filter_order, step, 1) AS own, substr(filter_order, 1, step - 1) AS before FROM orders, range(1, 6) r(step)),
+met AS (SELECT part, filter_order, step, own, n, good, toxic, fails, contains(fails, own) AS has, before <> '' AND regexp_matches(fails, '[' || before || '.]') AS gone FROM cell, steps),
+told AS (SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (WHERE NOT has AND NOT gone), 0) AS kept, coalesce(sum(n) FILTER (WHERE has AND NOT gone), 0) AS removed, coalesce(sum(n) FILTER (WHERE has AND gone), 0) AS redundant,
+  coalesce(sum(n) FILTER (WHERE fails = own), 0) AS unique_fails, coalesce(sum(good) FILTER (WHERE has AND NOT gone), 0) AS good_lost, coalesce(sum(toxic) FILTER (WHERE has AND NOT gone), 0) AS toxic_lost FROM met GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM told
+"""
+
+
+def _values(rows) -> str:
+    return "VALUES " + ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x).lower() for x in r) + ")" for r in rows)
+
+
+def _license_sql() -> str:
+    """Every word of every document at its place; beginnings by counting looked-up words, keys and scores by joins with the words in place."""
+    wording = [(t, x.label, x.base, x.rare, x.least, x.slack) for t, x in enumerate(WORDINGS)]
+    word = [(t, q, w) for t, x in enumerate(WORDINGS) for q, w in enumerate(x.words)]
+    key = [(t, k, f" {x.text} ".split(f" {phrase} ")[0].count(" ") + i, i, w) for t, x in enumerate(WORDINGS) for k, phrase in enumerate(x.keys or (x.text,)) for i, w in enumerate(phrase.split())]
+    return rf"""
+WITH wording(t, label, base, rare, least, slack) AS ({_values(wording)}), word(t, q, w) AS ({_values(word)}), key(t, k, q, i, w) AS ({_values(key)}),
+d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+tok AS MATERIALIZED (SELECT r, w, p FROM (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS p FROM d) WHERE w IN (SELECT w FROM word)),
+df AS (SELECT w, count(DISTINCT r) AS n FROM tok GROUP BY w),
+idf AS (SELECT w, n, round(ln(((SELECT count(*) FROM d) + 1) / (coalesce(n, 0) + 1)::DOUBLE), 6) AS idf FROM (SELECT DISTINCT w FROM word) LEFT JOIN df USING (w)),
+live AS (SELECT t FROM key LEFT JOIN df USING (w) GROUP BY t HAVING count(*) = count(n)),
+asked AS (SELECT t, q, w FROM (SELECT t, q, w, row_number() OVER (PARTITION BY t ORDER BY idf DESC, q) AS i FROM word JOIN live USING (t) JOIN idf USING (w) WHERE n > 0) JOIN wording USING (t) WHERE i <= rare),
+begins AS (SELECT r, t, p - q AS s FROM tok JOIN asked USING (w) JOIN wording USING (t) GROUP BY r, t, s, least HAVING count(*) >= least),
+held AS (SELECT r, b.t, s, k, shift FROM begins b JOIN wording USING (t) JOIN range(-100, 101) g(shift) ON abs(shift) <= slack JOIN key ON key.t = b.t JOIN tok USING (r, w) WHERE p = s + key.q + shift GROUP BY r, b.t, s, k, shift HAVING count(*) = (SELECT count(*) FROM key y WHERE y.t = b.t AND y.k = any_value(key.k))),
+verified AS (SELECT r, t, s FROM held GROUP BY r, t, s HAVING count(DISTINCT k) = (SELECT count(DISTINCT k) FROM key y WHERE y.t = held.t)),
+inside AS (SELECT v.r, v.t, s, sum(idf) AS matched FROM verified v JOIN word ON word.t = v.t JOIN tok ON tok.r = v.r AND tok.w = word.w AND p = s + q JOIN idf ON idf.w = word.w GROUP BY ALL),
+place AS (SELECT r, label, base, s, CASE WHEN whole > 0 THEN round(matched / whole, 6) WHEN base THEN 1.0 ELSE 0.0 END AS score FROM inside JOIN wording USING (t) JOIN (SELECT t, sum(idf) AS whole FROM word JOIN idf USING (w) GROUP BY t) USING (t))
+SELECT doc_id, CAST(any_value(len(ws)) AS BIGINT) AS n_words, count(*) FILTER (WHERE base) AS n_base, CAST(min(s) FILTER (WHERE base) AS BIGINT) AS first_word, CAST(max(s) FILTER (WHERE base) AS BIGINT) AS last_word,
+  coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base), '') AS base_labels, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels, CAST(coalesce(max(score), 0.0) AS DOUBLE) AS score FROM d LEFT JOIN place USING (r) GROUP BY r, doc_id
+"""
+
+
+ORACLE["op11_license_index"] = _license_sql()
+
+
+def _means_sql(clusters: int, rounds: int) -> str:
+    """Every distance in every round."""
+    steps = []
+    for i in range(rounds + 1):
+        apart = "list_sum(list_transform(list_zip(v, c), lambda x: (x[1] - x[2]) * (x[1] - x[2])))"
+        steps.append(f"a{i} AS MATERIALIZED (SELECT vec_id, v, nearest.d AS distance, nearest.k AS k FROM (SELECT vec_id, any_value(v) AS v, min(struct_pack(d := {apart}, k := k)) AS nearest FROM v, c{i} GROUP BY vec_id))")
+        if i < rounds:
+            steps.append(f"""m{i} AS (SELECT k, list(f ORDER BY place) AS c FROM (SELECT k, place, (s - ((s % n) + n) % n) // n AS f FROM (SELECT k, place, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (SELECT k, unnest(v) AS x, generate_subscripts(v, 1) AS place FROM a{i}) GROUP BY k, place)) GROUP BY k),
+c{i + 1} AS MATERIALIZED (SELECT k, coalesce(m{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN m{i} USING (k))""")
+    fit = "len(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x::DOUBLE)))"
+    return f"""
+WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * x::DOUBLE) AS BIGINT)) AS v FROM embeddings WHERE {fit}),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS k, v AS c FROM (SELECT sha256('1:' || vec_id) AS h, v FROM v ORDER BY h LIMIT {clusters})),
+{", ".join(steps)}
+SELECT vec_id, CAST(k AS INTEGER) AS cluster, CAST(distance AS BIGINT) AS distance, CAST(sum(distance) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} USING (k)
+"""
+
+
+ORACLE["op13_drake_means"] = _means_sql(16, 3)
