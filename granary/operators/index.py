@@ -1,15 +1,11 @@
-"""Stored indexes: postings for BM25, cells for approximate vector search. Both are tables that are built once and read by every search."""
+"""Stored keyword indexes: postings for BM25 as a table that is built once and read by every search."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .retrieve import analysed, cosine, in_blocks, l2, top_k
+from .retrieve import analysed, in_blocks, top_k
 
 # Keyword index: a row a document (term null, dl its length) and a row a document and term.
 
@@ -76,72 +72,6 @@ def index_search(index: DataFrame, queries: DataFrame, k: int = 10, k1: float =
     return top_k(in_blocks(terms, block), k, "score", False, "id")
 
 
-# Vector index: every row has a cell, the nearest of a set of centres.
-
-
-def centres(vectors: DataFrame, cells: int, vec_col: str = "embedding", id_col: str = "vec_id", sample: int = 20_000, rounds: int = 12, seed: int = 3) -> np.ndarray:
-    """Centres by k-means on at most `sample` rows (a stated bound), those with the smallest hashes of their ids; every row is indexed all the same."""
-    n = max(1, vectors.count())
-    share = min(1.0, 1.2 * sample / n)
-    own = vectors.where(F.col(vec_col).isNotNull()).where(F.pmod(F.xxhash64(id_col, F.lit(seed)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).select(id_col, vec_col)
-    rows = own.orderBy(F.xxhash64(id_col, F.lit(seed)), id_col).limit(sample).toPandas()
-    x = np.stack([np.asarray(v, np.float32) for v in rows[vec_col]]) if len(rows) else np.zeros((1, 1), np.float32)
-    rng = np.random.default_rng(seed)
-    c = x[rng.permutation(len(x))[: min(cells, len(x))]].copy()
-    for _ in range(rounds):
-        near = _nearest(x, c, 1)[:, 0]
-        for i in range(len(c)):
-            own_rows = x[near == i]
-            if len(own_rows):
-                c[i] = own_rows.mean(0)
-    return c
-
-
-def _nearest(x: np.ndarray, c: np.ndarray, k: int) -> np.ndarray:
-    d = (x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)[None]
-    return np.argsort(d, axis=1, kind="stable")[:, :k]
-
-
-def _celled(rows: DataFrame, c: np.ndarray, vec_col: str, k: int) -> DataFrame:
-    """rows with cells: the k nearest centres of each vector, by Arrow batches."""
-    names = rows.columns
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                x = np.stack([np.asarray(v, np.float32) for v in pdf[vec_col]])
-                yield pdf[names].assign(cells=list(_nearest(x, c, min(k, len(c))).astype(np.int32)))
-
-    types = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
-    return rows.mapInPandas(run, types + ", cells array<int>")
-
-
-def vector_index(vectors: DataFrame, c: np.ndarray, vec_col: str = "embedding") -> DataFrame:
-    """vectors with their cell. Written with partitionBy("cell"), a search reads the cells that it probes only."""
-    rows = _celled(vectors.where(F.col(vec_col).isNotNull()), c, vec_col, 1)
-    return rows.withColumn("cell", F.get("cells", F.lit(0))).drop("cells")
-
-
-def probed_search(index: DataFrame, c: np.ndarray, queries: DataFrame, k: int = 10, probes: int = 8, metric: str = "l2", id_col: str = "vec_id", vec_col: str = "embedding", skip_self: bool = False) -> DataFrame:
-    """(query_id, id, score, rank): the nearest rows of the `probes` cells next to each query; approximate, see recall_of."""
-
-    def block(some: DataFrame) -> DataFrame:
-        asked = _celled(some.select("query_id", "query_vec"), c, "query_vec", probes).select("query_id", "query_vec", F.explode("cells").alias("cell"))
-        pairs = index.select(F.col(id_col).alias("id"), F.col(vec_col).alias("_v"), "cell").join(F.broadcast(asked), "cell")
-        if skip_self:
-            pairs = pairs.where("id <> query_id")
-        score = l2(F.col("_v"), F.col("query_vec")) if metric == "l2" else cosine(F.col("_v"), F.col("query_vec"))
-        return top_k(pairs.select("query_id", "id", F.round(score, 6).alias("score")), k, "score", metric == "l2", "id")
-
-    return in_blocks(queries, block)
-
-
-def recall_of(found: DataFrame, exact: DataFrame) -> DataFrame:
-    """(recall): the share of the exact search's hits that are found."""
-    hits = found.select("query_id", "id").distinct().withColumn("_f", F.lit(1))
-    return exact.join(hits, ["query_id", "id"], "left").agg((F.count("_f") / F.count(F.lit(1))).alias("recall"))
-
-
 def written_vectors(rows: DataFrame, path: str, mode: str = "append") -> None:
     """Vectors, contents and metadata as files by cell; a commit is atomic, so there is nothing to flush."""
     (rows.write.mode(mode).partitionBy("cell") if "cell" in rows.columns else rows.write.mode(mode)).parquet(path)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import digest, unfenced
-from .retrieve import beside, cosine, in_blocks
+from .retrieve import cosine, nearest
 
 # Kinds of memories.
 TYPES = ("FACT", "PREFERENCE", "DECISION", "EPISODE", "KNOWLEDGE")
@@ -69,21 +69,18 @@ def composite(semantic: Column, recent: Column, importance: Column) -> Column:
 def recall(store: DataFrame, queries: DataFrame, now: Column, limit: int = 10, semantic: float = 0.55, least: float = 0.3, half_life: float = 30.0, overfetch: int = 3) -> DataFrame:
     """(query_id, memory_id, semantic, recency, composite, rank): what queries (query_id, query_vec) recall from active rows.
 
-    The `limit * overfetch` most similar rows are scored; those under either limit go, whatever the other says.
-    Queries go to every task, in blocks of a bounded number.
+    The `limit * overfetch` most similar rows are scored; those under either limit go, whatever the other says. The most similar rows come from one
+    matrix product a batch, see retrieve.nearest.
     """
-
-    def block(some: DataFrame) -> DataFrame:
-        rows = store.where("status = 1").join(beside(some)).withColumn("semantic", cosine(F.col("embedding"), F.col("query_vec")))
-        w = Window.partitionBy("query_id").orderBy(F.desc("semantic"), "memory_id")
-        near = rows.withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= limit * overfetch)
-        near = near.withColumn("recency", recency(F.col("created_at"), now, half_life))
-        near = near.withColumn("composite", composite(F.col("semantic"), F.col("recency"), F.col("importance"))).where((F.col("semantic") >= semantic) & (F.col("composite") >= least))
-        w = Window.partitionBy("query_id").orderBy(F.desc("composite"), "memory_id")
-        out = near.withColumn("rank", (F.row_number().over(w) - 1).cast("long")).where(F.col("rank") < limit)
-        return out.select("query_id", "memory_id", F.round("semantic", 6).alias("semantic"), F.round("recency", 6).alias("recency"), F.round("composite", 6).alias("composite"), "rank")
-
-    return in_blocks(queries, block)
+    active = store.where("status = 1").select("memory_id", "embedding", "created_at", "importance")
+    rows = nearest(active, queries, limit * overfetch, "cosine", "memory_id", "embedding").withColumnRenamed("score", "semantic")
+    w = Window.partitionBy("query_id").orderBy(F.desc("semantic"), "memory_id")
+    near = rows.withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= limit * overfetch)
+    near = near.withColumn("recency", recency(F.col("created_at"), now, half_life))
+    near = near.withColumn("composite", composite(F.col("semantic"), F.col("recency"), F.col("importance"))).where((F.col("semantic") >= semantic) & (F.col("composite") >= least))
+    w = Window.partitionBy("query_id").orderBy(F.desc("composite"), "memory_id")
+    out = near.withColumn("rank", (F.row_number().over(w) - 1).cast("long")).where(F.col("rank") < limit)
+    return out.select("query_id", "memory_id", F.round("semantic", 6).alias("semantic"), F.round("recency", 6).alias("recency"), F.round("composite", 6).alias("composite"), "rank")
 
 
 def recent_without_vectors(store: DataFrame, tenant: str, user: str, prefix: str | None, now: Column, embed, query: str, limit: int = 10, overfetch: int = 3, **limits) -> DataFrame:

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,11 +33,6 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(same, F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))))
 
 
-def beside(queries: DataFrame) -> DataFrame:
-    """queries, broadcast: at most MOST_QUERIES of them, see in_blocks."""
-    return F.broadcast(queries)
-
-
 def in_blocks(queries: DataFrame, search, key: str = "query_id") -> DataFrame:
     """search(block) where a block of queries has a bounded size, unioned over as many blocks as there must be."""
     n = queries.count()
@@ -58,20 +56,94 @@ def top_k(rows: DataFrame, k: int, score: str, ascending: bool, tie: str, group:
 def vector_search(corpus: DataFrame, queries: DataFrame, k: int = 10, metric: str = "l2", id_col: str = "vec_id", vec_col: str = "embedding", skip_self: bool = False) -> DataFrame:
     """(query_id, id, score, rank): exact nearest rows of corpus for queries (query_id, query_vec).
 
-    The score is the distance for l2 (smaller is better), the similarity for cosine; rows whose vector is null have none.
-    Queries go to every task, in blocks of a bounded number; scope filters belong on corpus and are pushed to its scan.
+    The score is the distance for l2 (smaller is better), the similarity for cosine, to six digits; a row or query whose vector is null, or whose
+    similarity is not defined, has none. Scope filters belong on corpus and are pushed to its scan.
+    """
+    rows = corpus.select(F.col(id_col).alias("id"), F.col(vec_col).alias("_v"))
+    return top_k(nearest(rows, queries, k, metric, "id", "_v", skip_self, 6), k, "score", metric == "l2", "id")
+
+
+def vectors_of(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """A matrix of an Arrow column of lists without nulls; lists of different lengths are an error."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    sizes = set(pc.list_value_length(column).to_pylist()) if len(column) else {0}
+    if len(sizes) > 1:
+        raise ValueError(f"vectors differ in length: {sorted(sizes)}")
+    return values.reshape(len(column), -1) if len(column) else values.reshape(0, 0)
+
+
+def nearest(rows: DataFrame, queries: DataFrame, k: int, metric: str, id_col: str, vec_col: str, skip_self: bool = False, digits: int | None = None) -> DataFrame:
+    """rows without their vectors but with query_id and score: of each batch of rows those that can be among the k best of a query, ties by id included.
+
+    A batch meets a block of queries in one matrix product, which tells which pairs can count; only their scores are then worked out one by one. Each batch
+    leaves k rows a query, whatever the number of rows alike, so neither pairs nor vectors are shuffled; the caller ranks what is left. Queries go to the tasks
+    in blocks of a bounded number.
     """
+    kept = rows.where(F.col(vec_col).isNotNull())
+    others = [c for c in rows.columns if c != vec_col]
 
     def block(some: DataFrame) -> DataFrame:
-        pairs = corpus.select(F.col(id_col).alias("id"), F.col(vec_col).alias("_v")).where("_v is not null").join(beside(some))
-        if skip_self:
-            pairs = pairs.where("id <> query_id")
-        score = l2(F.col("_v"), F.col("query_vec")) if metric == "l2" else cosine(F.col("_v"), F.col("query_vec"))
-        return top_k(pairs.select("query_id", "id", F.round(score, 6).alias("score")), k, "score", metric == "l2", "id")
+        asked = some.select("query_id", "query_vec").where("query_vec is not null").toArrow()
+        ids, q = asked["query_id"].combine_chunks(), vectors_of(asked["query_vec"])
+
+        def run(batches):
+            for b in batches:
+                if b.num_rows and len(q):
+                    x = vectors_of(b.column(vec_col))
+                    if x.shape[1] != q.shape[1]:
+                        raise ValueError(f"vectors differ in length: {x.shape[1]} and {q.shape[1]}")
+                    own = b.column(id_col)
+                    for i in range(0, len(q), _TOGETHER):
+                        some_ids = ids[i : i + _TOGETHER]
+                        at, row, score = _best_pairs(x, q[i : i + _TOGETHER], k, metric, own, some_ids if skip_self else None, digits)
+                        yield pa.RecordBatch.from_arrays([some_ids.take(pa.array(at)), *[b.column(c).take(pa.array(row)) for c in others], pa.array(score)], names=["query_id", *others, "score"])
+
+        types = ", ".join(f"`{c}` {t}" for c, t in [("query_id", some.schema["query_id"].dataType.simpleString()), *[x for x in rows.dtypes if x[0] in others], ("score", "double")])
+        return kept.mapInArrow(run, types)
 
     return in_blocks(queries.select("query_id", "query_vec"), block)
 
 
+#: So many queries are in one product, which bounds its size.
+_TOGETHER = 256
+#: A pair whose score by matrix products is this near to the k-th best one is worked out again; the error of such a score is far smaller.
+_NEAR = 1e-5
+
+
+def _best_pairs(x: np.ndarray, q: np.ndarray, k: int, metric: str, own: pa.Array, asked: pa.Array | None, digits: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score) of pairs that can be among the k best of x for each row of q; asked: ids of queries whose own row does not count."""
+    with np.errstate(all="ignore"):
+        if metric == "l2":
+            rough = np.sqrt(np.maximum((q * q).sum(1)[:, None] - 2 * q @ x.T + (x * x).sum(1)[None], 0))
+        else:
+            rough = -(q @ x.T) / np.sqrt((q * q).sum(1)[:, None] * (x * x).sum(1)[None])
+    rough[~np.isfinite(rough)] = np.inf
+    if asked is not None:
+        names = pc.index_in(own, asked)
+        same = np.flatnonzero(pc.is_valid(names).to_numpy(zero_copy_only=False))
+        rough[names.take(pa.array(same)).to_numpy(zero_copy_only=False), same] = np.inf
+    limit = np.partition(rough, k - 1, axis=1)[:, k - 1] if rough.shape[1] > k else np.full(len(q), np.inf)
+    scale = np.maximum(np.abs(np.where(np.isfinite(limit), limit, 0)), 1)
+    at, row = np.nonzero((rough <= (limit + _NEAR * scale)[:, None]) & np.isfinite(rough))
+    with np.errstate(all="ignore"):
+        score = np.concatenate([_scores(x[row[i : i + 50_000]], q[at[i : i + 50_000]], metric) for i in range(0, len(at), 50_000)]) if len(at) else np.zeros(0)
+    if digits is not None:
+        score = np.copysign(np.floor(np.abs(score) * 10**digits + 0.5) / 10**digits, score) + 0.0
+    place = np.empty(len(own), np.int64)
+    place[pc.sort_indices(own).to_numpy()] = np.arange(len(own))
+    order = np.lexsort((place[row], score if metric == "l2" else -score, at))
+    first = np.searchsorted(at[order], np.arange(len(q)))
+    order = order[np.arange(len(order)) - first[at[order]] < k]
+    return at[order], row[order], score[order]
+
+
+def _scores(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
+    if metric == "l2":
+        return np.sqrt(((x - q) ** 2).sum(1))
+    return (x * q).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((q * q).sum(1)))
+
+
 def analysed(text: Column) -> Column:
     """Lower-cased words; CJK ideographs stand alone. Texts without ideographs are split at what is no letter or digit, which costs less."""
     low = F.lower(F.coalesce(text, F.lit("")))

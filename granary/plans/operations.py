@@ -169,19 +169,6 @@ def stored_metadata(spark, sf_dir):
     return d.select("doc_id", m.alias("m")).select("doc_id", F.try_element_at("m", F.lit("lang")).alias("lang"), F.try_element_at("m", F.lit("source")).alias("source"), F.try_element_at("m", F.lit("_x")).alias("hidden"))
 
 
-@query("probed_search")
-def probed_search(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    c = index.centres(e, 16)
-    return index.probed_search(index.vector_index(e, c), c, _query_vectors(spark, sf_dir), K, 12, skip_self=True)
-
-
-@query("probed_recall", "SELECT true AS enough")
-def probed_recall(spark, sf_dir):
-    found = index.recall_of(probed_search(spark, sf_dir), _vector(spark, sf_dir, "l2"))
-    return found.select((F.col("recall") >= 0.9).alias("enough"))
-
-
 @query("fuzzy_terms", r"WITH v AS (SELECT DISTINCT unnest(regexp_extract_all(lower(p_name), '[\p{L}\p{N}_]+')) AS term FROM part), q AS (SELECT p_partkey AS query_id, substr(lower(regexp_extract(p_name, '[\p{L}\p{N}_]+')), 2) AS asked FROM part WHERE p_partkey % 20 = 0) SELECT DISTINCT query_id, asked, term FROM q JOIN v ON damerau_levenshtein(asked, term) <= CASE WHEN length(asked) <= 2 THEN 0 WHEN length(asked) <= 5 THEN 1 ELSE 2 END WHERE asked <> ''")
 def fuzzy_terms(spark, sf_dir):
     p = table(spark, sf_dir, "part")
