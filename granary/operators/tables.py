@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,6 +32,23 @@ def written(df: DataFrame, name: str = "table", by: list[str] | None = None) ->
     return df.sparkSession.read.schema(df.schema).parquet(path) if not by else df.sparkSession.read.parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def removed(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def join_counted(rows: DataFrame, keyed: DataFrame, on: list[str], count: str, how: str = "inner", hot: int = 10_000, most: int = 1000) -> DataFrame:
+    """rows joined to keyed, which has one row a key and tells in `count` how many rows have that key.
+
+    Keys with at least `hot` rows (the `most` most frequent ones at most, whatever the size) are broadcast, so that such a key's rows stay where they are; the other
+    keys, none of which has many rows, meet in a shuffle. No row is lost.
+    """
+    top = keyed.where(F.col(count) >= hot).orderBy(F.desc(count), *on).limit(most)
+    few = F.broadcast(written(top.select(*on), "hot"))
+    apart = rows.join(few, on, "left_semi").join(F.broadcast(keyed.join(few, on, "left_semi")), on, how)
+    return rows.join(few, on, "left_anti").join(keyed.join(few, on, "left_anti"), on, how).unionByName(apart)
