@@ -38,15 +38,14 @@ def split_duplicates(new: DataFrame, existing: DataFrame | None, keys: list[str]
     valid = F.lit(True)
     for k in keys:
         valid = valid & F.col(k).isNotNull()
-    # the first of each content by an aggregation: a content with very many copies is a row a task, and only contents with copies are joined
-    first = new.where(valid).groupBy("content_hash", *keys).agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("content_hash", *keys, "_first")
-    rows = new.join(first, ["content_hash", *keys], "left").select(*new.columns, "_first").withColumn("_valid", valid)
-    rows = rows.withColumn("duplicate_of_batch", F.col("_valid") & F.coalesce(F.col(order) > F.col("_first"), F.lit(False))).drop("_first")
-    if existing is None:
-        return rows.withColumn("duplicate", F.col("duplicate_of_batch")).drop("_valid")
-    known = existing.where("deleted_flag = 0").select("content_hash", *keys).distinct().withColumn("_known", F.lit(True))
-    rows = rows.join(known, ["content_hash", *keys], "left")
-    return rows.withColumn("duplicate", F.col("_valid") & (F.col("duplicate_of_batch") | F.coalesce("_known", F.lit(False)))).drop("_known", "_valid")
+    # one row a content: only these are compared with what is stored, and meet their own rows by `order`, so rows of one content never meet
+    first = new.where(valid).groupBy("content_hash", *keys).agg(F.min(order).alias(order)).withColumn("_known", F.lit(False))
+    if existing is not None:
+        known = existing.where("deleted_flag = 0").select("content_hash", *keys).distinct().withColumn("_live", F.lit(True))
+        first = first.join(known, ["content_hash", *keys], "left").withColumn("_known", F.coalesce("_live", "_known"))
+    rows = new.withColumn("_valid", valid).join(first.select(order, "_known"), order, "left").select(*new.columns, "_valid", "_known")
+    rows = rows.withColumn("duplicate_of_batch", F.col("_valid") & F.col("_known").isNull())
+    return rows.withColumn("duplicate", F.col("_valid") & F.coalesce("_known", F.lit(True))).drop("_known", "_valid")
 
 
 def deduplicated(docs: DataFrame, order: str = "doc_id", text: str = "text") -> DataFrame:

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import digest, unfenced
-from .retrieve import cosine, nearest
+from .near import classes, near_join
+from .retrieve import nearest
+from .tables import written
 
 # Kinds of memories.
 TYPES = ("FACT", "PREFERENCE", "DECISION", "EPISODE", "KNOWLEDGE")
@@ -36,19 +38,26 @@ def conflicts(new: DataFrame, store: DataFrame, decide, similar: float = 0.7, ce
     """new with old_id and action where a stored memory of the same owner is nearly the same.
 
     Of the nearest stored rows over `similar` the first over `certain` decides, and the nearest one is the first. It gets a decision by `decide`, a
-    function that adds action (UPDATE, DELETE, KEEP, MERGE) to a DataFrame. Without such a row action is ADD.
+    function that adds action (UPDATE, DELETE, KEEP, MERGE) to a DataFrame. Without such a row action is ADD. An owner's rows are not all compared: see near.near_join.
     """
-    pairs = new.alias("n").join(store.where("status = 1").alias("s"), (F.col("n.tenant_id") == F.col("s.tenant_id")) & (F.col("n.user_id") == F.col("s.user_id")))
-    scored = pairs.select(F.col("n.memory_id").alias("memory_id"), F.col("s.memory_id").alias("old_id"), F.col("n.content").alias("content"), F.col("s.content").alias("old_content"), cosine(F.col("n.embedding"), F.col("s.embedding")).alias("sim")).where(F.col("sim") > similar)
+    owner = ["tenant_id", "user_id"]
+    side = lambda df: df.select(F.col("memory_id").alias("id"), F.col("embedding").alias("v"), *owner)
+    pairs, _ = near_join(side(new), side(store.where("status = 1")), owner, similar)
+    texts = lambda df, name, content: df.select(F.col("memory_id").alias(name), F.col("content").alias(content))
+    scored = pairs.select(F.col("left_id").alias("memory_id"), F.col("right_id").alias("old_id"), "sim")
     w = Window.partitionBy("memory_id").orderBy(F.desc("sim"), "old_id")
     best = scored.withColumn("_i", F.row_number().over(w)).where((F.col("_i") == 1) & (F.col("sim") > certain))
-    decided = decide(best.drop("_i")).select("memory_id", "old_id", "action")
+    best = best.drop("_i").join(texts(new, "memory_id", "content"), "memory_id").join(texts(store.where("status = 1"), "old_id", "old_content"), "old_id")
+    decided = decide(best.select("memory_id", "old_id", "content", "old_content", "sim")).select("memory_id", "old_id", "action")
     return new.join(decided, "memory_id", "left").withColumn("action", F.coalesce("action", F.lit("ADD")))
 
 
 def resolved(store: DataFrame, decided: DataFrame) -> DataFrame:
-    """The store after decisions: UPDATE replaces the old content, DELETE drops the old row and adds the new, KEEP drops the new one, others add it."""
-    update = decided.where("action = 'UPDATE'").select(F.col("old_id").alias("memory_id"), F.col("content").alias("_c")).dropDuplicates(["memory_id"])
+    """The store after decisions: UPDATE replaces the old content, DELETE drops the old row and adds the new, KEEP drops the new one, others add it.
+
+    Of several rows that update one the largest memory_id counts; a row that is both updated and deleted goes.
+    """
+    update = decided.where("action = 'UPDATE'").groupBy(F.col("old_id").alias("memory_id")).agg(F.max_by("content", "memory_id").alias("_c"))
     gone = decided.where("action = 'DELETE'").select(F.col("old_id").alias("memory_id")).distinct()
     kept = store.join(gone, "memory_id", "left_anti").join(update, "memory_id", "left")
     kept = kept.withColumn("content_hash", F.when(F.col("_c").isNotNull(), digest(F.col("_c"))).otherwise(F.col("content_hash"))).withColumn("content", F.coalesce("_c", "content")).drop("_c")
@@ -115,45 +124,80 @@ def recalled_lines(hits: DataFrame, texts: DataFrame) -> DataFrame:
 def without_duplicates(store: DataFrame) -> DataFrame:
     """Active rows with one content and scope: the newest stays active, the others get status 0.
 
-    The newest of each is found by an aggregation, so a content with very many copies is a row a task; only contents that have copies are joined back.
+    The newest of each is found by an aggregation and meets its own row by memory_id, which tells rows apart; rows of one content never meet. Rows without a hash or scope stay.
     """
-    newest = store.where("status = 1").groupBy("content_hash", "scope").agg(F.max(F.struct("created_at", "memory_id")).alias("_top"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("content_hash", "scope", "_top")
-    rows = store.join(newest, ["content_hash", "scope"], "left").select(*store.columns, "_top")
-    older = (F.col("status") == 1) & F.col("_top").isNotNull() & (F.struct("created_at", "memory_id") < F.col("_top"))
-    return rows.withColumn("status", F.when(older, 0).otherwise(F.col("status"))).drop("_top")
+    known = (F.col("status") == 1) & F.col("content_hash").isNotNull() & F.col("scope").isNotNull()
+    newest = store.where(known).groupBy("content_hash", "scope").agg(F.max(F.struct("created_at", "memory_id")).alias("_top")).select(F.col("_top")["memory_id"].alias("memory_id"), F.lit(True).alias("_newest"))
+    rows = store.join(newest, "memory_id", "left")
+    return rows.withColumn("status", F.when(known & F.col("_newest").isNull(), 0).otherwise(F.col("status"))).select(*store.columns)
+
+
+def _vectors(store: DataFrame, keys: list[str]) -> DataFrame:
+    return written(store.where("status = 1").select(F.col("memory_id").alias("id"), F.col("embedding").alias("v"), *keys).where("v is not null"), "vectors")
 
 
-def near_pairs(store: DataFrame, keys: list[str], similar: float = 0.9, tiles: int = 8) -> DataFrame:
-    """(a, b, sim) of active rows with equal keys whose embeddings are over `similar`, each pair once.
+def near_pairs(store: DataFrame, keys: list[str], similar: float = 0.9) -> DataFrame:
+    """(a, b, sim) of active rows with equal keys whose embeddings are over `similar`: every pair once, a < b; exact, see near.near_join."""
+    rows = _vectors(store, keys)
+    return near_join(rows, rows, keys, similar, itself=True)[0].select(F.col("left_id").alias("a"), F.col("right_id").alias("b"), "sim")
 
-    The comparison is exact. The rows of a key are dealt into `tiles` by a hash of the id, and every two tiles meet in a key of their own,
-    so an owner with very many rows is spread over tiles * (tiles + 1) / 2 tasks; a pair is a row only if it is over `similar`.
+
+def near_links(store: DataFrame, keys: list[str], similar: float = 0.9) -> DataFrame:
+    """(a, b, sim) like near_pairs, but rows with one embedding are not expanded into all pairs.
+
+    Rows with one embedding are a class: each meets the smallest id of its class, which alone meets other classes. No link between different embeddings is lost,
+    and a class of n rows makes n - 1 pairs.
     """
-    rows = store.where("status = 1").select("memory_id", "embedding", *keys).withColumn("_t", F.pmod(F.xxhash64("memory_id"), F.lit(tiles)).cast("int"))
-    x = rows.withColumn("_u", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))).select("*", F.least("_t", "_u").alias("_lo"), F.greatest("_t", "_u").alias("_hi")).alias("x")
-    y = rows.withColumn("_u", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))).select("*", F.least("_t", "_u").alias("_lo"), F.greatest("_t", "_u").alias("_hi")).alias("y")
-    sim = cosine(F.col("x.embedding"), F.col("y.embedding"))
-    same = (F.col("x.memory_id") < F.col("y.memory_id")) & (F.col("x._lo") == F.col("y._lo")) & (F.col("x._hi") == F.col("y._hi")) & (F.col("x._u") == F.col("y._t")) & (F.col("y._u") == F.col("x._t")) & (sim > similar)
-    for k in keys:
-        same = same & (F.col(f"x.{k}") == F.col(f"y.{k}"))
-    return x.join(y, same).select(F.col("x.memory_id").alias("a"), F.col("y.memory_id").alias("b"), sim.alias("sim"))
+    rows = _vectors(store, keys)
+    member = written(classes(rows, keys), "classes")
+    alone = rows.join(member.where("id = representative").select("id"), "id", "left_semi")
+    pairs, _ = near_join(alone, alone, keys, similar, itself=True)
+    same = member.where("id <> representative").select(F.col("representative").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("sim")) if similar < 1 else None
+    out = pairs.select(F.col("left_id").alias("a"), F.col("right_id").alias("b"), "sim")
+    return out if same is None else out.unionByName(same)
 
 
-def consolidated(store: DataFrame, now: Column, decide=None, keys: tuple[str, ...] = ("tenant_id", "user_id")) -> tuple[DataFrame, DataFrame]:
+def merged_into(pairs: DataFrame) -> DataFrame:
+    """(a, b): which row takes up which, of pairs (a, b) with a < b that are to be merged.
+
+    As if rows were visited by their ids: a row that has not been taken up takes up its later neighbours that have not been, each once. So of a chain
+    a-b, b-c without a-c the rows a and c stay: c's neighbour b is gone when c's turn comes. Rounds settle all rows at once whose earlier neighbours are settled.
+    """
+    left, taken = written(pairs.select("a", "b").where("a < b").distinct(), "merges"), None
+    while not left.isEmpty():
+        stays = left.select("a").distinct().join(left.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        now = written(left.join(stays, "a", "left_semi"), "taken")
+        taken = now if taken is None else taken.unionByName(now)
+        gone = now.select("b").distinct()
+        left = written(left.join(gone, "b", "left_anti").join(gone.select(F.col("b").alias("a")), "a", "left_anti"), "merges")
+    first = pairs.select("a", "b").limit(0) if taken is None else taken
+    return first.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+
+
+def consolidated(store: DataFrame, now: Column, decide=None, keys: tuple[str, ...] = ("tenant_id", "user_id"), similar: float = 0.9) -> tuple[DataFrame, DataFrame]:
     """The store after duplicates, merges and expiry, and a report (duplicates, merged, expired) in one row.
 
-    Rows that the first step deletes are not merged any more. decide adds merge (boolean) to pairs; merged rows lose the later of a pair.
+    Rows that the first step deletes are not merged any more. decide adds merge (boolean) to near links (a, b, sim) and, if it likes, content: what a has to say after it has
+    taken up b. Which rows are taken up: see merged_into; of several contents for one row that of the largest b counts. Both steps' results are tables.
     """
-    deduped = without_duplicates(store)
-    duplicates = store.where("status = 1").count() - deduped.where("status = 1").count()
-    gone = None
+    deduped = written(without_duplicates(store), "deduped")
+    counted = lambda c, name: F.coalesce(F.count_if(c), F.lit(0)).alias(name)
+    out, merged = deduped, deduped.sparkSession.range(1).select(F.lit(0).cast("long").alias("merged"))
     if decide is not None:
-        gone = decide(near_pairs(deduped, list(keys))).where("merge").select(F.col("b").alias("memory_id")).distinct()
-        deduped = deduped.join(gone.withColumn("_g", F.lit(True)), "memory_id", "left").withColumn("status", F.when(F.col("_g"), 0).otherwise(F.col("status"))).drop("_g")
-    over = deduped.where(F.col("expires_at").isNotNull() & (F.col("expires_at") < now))
-    out = deduped.where(F.col("expires_at").isNull() | (F.col("expires_at") >= now))
-    report = store.sparkSession.createDataFrame([(duplicates, gone.count() if gone is not None else 0, over.count())], "duplicates long, merged long, expired long")
-    return out, report
+        decided = decide(near_links(deduped, list(keys), similar)).where("merge")
+        decided = written(decided if "content" in decided.columns else decided.withColumn("content", F.lit(None).cast("string")), "decided")
+        taken = written(merged_into(decided), "merged")
+        said = taken.join(decided.select("a", "b", "content"), ["a", "b"]).where("content is not null").groupBy("a").agg(F.max_by("content", "b").alias("_c"))
+        out = out.join(taken.select(F.col("b").alias("memory_id"), F.lit(True).alias("_gone")), "memory_id", "left").join(said.withColumnRenamed("a", "memory_id"), "memory_id", "left")
+        out = out.withColumn("status", F.when(F.col("_gone"), 0).otherwise(F.col("status")))
+        for name, value in (("content", F.col("_c")), ("content_hash", F.when(F.col("_c").isNotNull(), digest(F.col("_c"))))):
+            out = out.withColumn(name, F.coalesce(value, F.col(name))) if name in store.columns else out
+        out = written(out.select(*store.columns), "consolidated")
+        merged = taken.agg(F.count(F.lit(1)).alias("merged"))
+    was = store.agg(counted(F.col("status") == 1, "was"))
+    facts = deduped.agg(counted(F.col("status") == 1, "left"), counted(F.col("expires_at") < now, "expired"))
+    report = was.join(facts).join(merged).select((F.col("was") - F.col("left")).alias("duplicates"), "merged", "expired")
+    return out.where(F.col("expires_at").isNull() | (F.col("expires_at") >= now)), report
 
 
 def parsed_facts(replies: DataFrame, reply: str = "reply") -> DataFrame:

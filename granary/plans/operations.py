@@ -353,6 +353,35 @@ def memory_conflicts(spark, sf_dir):
     return got.select("memory_id", "old_id", "action")
 
 
+#: What new rows near to a stored one do, by their ids.
+_ACTIONS = ("UPDATE", "DELETE", "KEEP", "MERGE")
+
+
+@query("memory_resolved", f"""WITH p AS (SELECT n.vec_id AS memory_id, s.vec_id AS old_id, {_SIM} AS sim FROM embeddings n JOIN embeddings s ON n.label = s.label WHERE n.vec_id % 20 = 0 AND s.vec_id % 20 <> 0),
+b AS (SELECT memory_id, arg_max(old_id, struct_pack(sim := sim, o := -old_id)) AS old_id, max(sim) AS sim FROM p GROUP BY memory_id),
+d AS (SELECT vec_id AS memory_id, old_id, CASE WHEN old_id IS NULL THEN 'ADD' ELSE ({list(_ACTIONS)})[vec_id // 20 % 4 + 1] END AS action FROM embeddings LEFT JOIN (SELECT * FROM b WHERE sim > 0.3) ON memory_id = vec_id WHERE vec_id % 20 = 0)
+SELECT vec_id AS memory_id, 'm' || coalesce((SELECT max(memory_id) FROM d WHERE action = 'UPDATE' AND old_id = vec_id), vec_id) AS content FROM embeddings WHERE vec_id % 20 <> 0 AND vec_id NOT IN (SELECT old_id FROM d WHERE action = 'DELETE')
+UNION ALL SELECT memory_id, 'm' || memory_id FROM d WHERE action NOT IN ('UPDATE', 'KEEP')""")
+def memory_resolved(spark, sf_dir):
+    rows = _store(spark, sf_dir).withColumn("tenant_id", F.col("label")).withColumn("user_id", F.col("label")).withColumn("content", F.concat(F.lit("m"), F.col("memory_id").cast("string"))).withColumn("content_hash", T.digest(F.col("content")))
+    action = F.element_at(F.array(*[F.lit(x) for x in _ACTIONS]), (F.floor(F.col("memory_id") / 20) % 4 + 1).cast("int"))
+    old = rows.where("memory_id % 20 <> 0")
+    return memory.resolved(old, memory.conflicts(rows.where("memory_id % 20 = 0"), old, lambda d: d.withColumn("action", action), 0.2, 0.3)).select("memory_id", "content")
+
+
+@query("memory_merged", f"""WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) > 0.25 AND (a.vec_id + b.vec_id) % 3 <> 0),
+one AS (SELECT list_reduce(list_prepend(struct_pack(gone := []::STRUCT(a BIGINT, b BIGINT)[], a := 0::BIGINT, b := 0::BIGINT), list(struct_pack(gone := []::STRUCT(a BIGINT, b BIGINT)[], a := a, b := b) ORDER BY a, b)),
+  lambda s, x: struct_pack(gone := CASE WHEN list_contains(list_transform(s.gone, lambda g: g.b), x.a) OR list_contains(list_transform(s.gone, lambda g: g.b), x.b) THEN s.gone ELSE list_append(s.gone, struct_pack(a := x.a, b := x.b)) END, a := x.a, b := x.b)).gone AS gone FROM p),
+taken AS (SELECT g.a AS a, g.b AS b FROM (SELECT unnest(gone) AS g FROM one))
+SELECT vec_id AS memory_id, CASE WHEN vec_id IN (SELECT b FROM taken) THEN 0 ELSE 1 END AS status, coalesce('both ' || vec_id || ' ' || (SELECT max(b) FROM taken WHERE a = vec_id), 'm' || vec_id) AS content FROM embeddings""")
+def memory_merged(spark, sf_dir):
+    """Near memories of an owner with a decision for each pair; the SQL visits pairs one after another."""
+    rows = _store(spark, sf_dir).withColumn("content", F.concat(F.lit("m"), F.col("memory_id").cast("string"))).withColumn("content_hash", T.digest(F.col("content")))
+    rows = rows.withColumn("scope", F.lit("/")).withColumn("expires_at", F.lit(None).cast("timestamp_ntz"))
+    decide = lambda d: d.withColumn("merge", (F.col("a") + F.col("b")) % 3 != 0).withColumn("content", F.concat_ws(" ", F.lit("both"), "a", "b"))
+    return memory.consolidated(rows, F.lit(NOW).cast("timestamp_ntz"), decide, ("label",), 0.25)[0].select("memory_id", "status", "content")
+
+
 def _memories(spark, sf_dir) -> DataFrame:
     rows = ingest.hashed(table(spark, sf_dir, "documents"))
     return rows.select(F.col("doc_id").alias("memory_id"), "content_hash", F.col("source").alias("scope"), F.col("lang").alias("tenant_id"), F.col("source").alias("user_id"), F.lit(1).alias("status"), F.col("n_chars").alias("created_at"), F.when(F.col("doc_id") % 6 == 0, F.col("n_chars")).alias("expires_at"))

@@ -405,5 +405,5 @@ def test_near_pairs_by_tiles(spark):
 
     cos = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
     want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and cos(a[3], b[3]) > 0.95}
-    got = [(r.a, r.b) for r in memory.near_pairs(store, ["key"], 0.95, 3).collect()]
+    got = [(r.a, r.b) for r in memory.near_pairs(store, ["key"], 0.95).collect()]
     assert set(got) == want and len(got) == len(want)
