@@ -99,3 +99,30 @@ def embedded(rows: DataFrame, embed: Callable[[list[str]], list[list[float]]], t
 
     found = texts.mapInPandas(run, f"_t string, {out} array<float>")
     return rows.join(found, rows[text_col].eqNullSafe(found["_t"]), "left").drop("_t").withColumn(out, F.coalesce(out, F.array().cast("array<float>")))
+
+
+def embedded_or_failed(rows: DataFrame, embed: Callable[[list[str]], list[list[float]]], text_col: str = "content", size: int = 64) -> DataFrame:
+    """rows with embedding and error: `size` different texts a call; where a call fails each of its texts is asked alone, so only texts that have no vector keep an error.
+
+    Equal texts of one Arrow batch are one text of a call; rows are not moved for it. A blank text has an empty vector. Errors are cut to 500 characters. What embed does when a
+    provider fails (retries, another provider) is its own matter, see upload.Providers.
+    """
+
+    def ask(texts: list[str]) -> list[tuple[list[float], str | None]]:
+        try:
+            return [([float(x) for x in v], None) for v in embed(texts)]
+        except Exception as e:  # noqa: BLE001  a provider may fail in any way; the document is told
+            if len(texts) == 1:
+                return [([], (str(e) or type(e).__name__)[:500])]
+            return [one for t in texts for one in ask([t])]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            texts = [t if isinstance(t, str) else "" for t in pdf[text_col]]
+            asked = list(dict.fromkeys(t for t in texts if t.strip()))
+            known = dict(zip(asked, [one for i in range(0, len(asked), size) for one in ask(asked[i : i + size])], strict=True))
+            found = [known.get(t, ([], None)) for t in texts]
+            yield pdf.assign(embedding=[f[0] for f in found], error=[f[1] for f in found])
+
+    types = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
+    return rows.mapInPandas(run, f"{types}, embedding array<float>, error string")

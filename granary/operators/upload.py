@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..sources.documents import parsed
 from .chunk import chunked
-from .ingest import empty_reason, embedded, hashed, split_duplicates, validated
 from .index import keyword_index
+from .ingest import embedded, embedded_or_failed, empty_reason, hashed, split_duplicates, validated
+from .tables import written
 
 # States of a document.
 PROCESSING, SUCCESS, WARNING, FAILED, REJECTED = "processing", "success", "warning", "failed", "rejected"
@@ -21,24 +22,31 @@ def upload(files: DataFrame, existing: DataFrame | None, chunker: Callable, embe
     """Tables that follow from files (doc_id, file_name, mime_type, content, scope columns): status, chunks, vectors and postings.
 
     Every file has a status row first (processing). A file that does not pass validation, or whose bytes a live document of its scope or an earlier
-    file has, is rejected with its reason before anything is written. One that cannot be parsed is failed, with up to 500 characters of why; one
-    without chunks is a warning with its reason (success in the basic variant).
+    file has, is rejected with its reason before anything is written. One that cannot be parsed, or of which a chunk gets no vector, is failed, with up to 500
+    characters of why, and leaves no chunks; one without chunks is a warning with its reason (success in the basic variant). Files are parsed and texts embedded once:
+    both are tables of the shared folder.
     """
     checked = split_duplicates(hashed(validated(files, most_mb), "content", None), existing, list(scope), "doc_id")
     reason = F.coalesce("reject_reason", F.when(F.col("duplicate"), "duplicate"))
-    started = checked.withColumn("message", reason).withColumn("status", F.when(reason.isNull(), PROCESSING).otherwise(REJECTED))
-    ready = started.where(F.col("status") == PROCESSING).select("doc_id", "file_name", "mime_type", "content")
-    texts = parsed(ready).select("doc_id", F.col("text_content").alias("text"), "sections", F.substring(F.col("metadata")["error"], 1, 500).alias("error"))
-    chunks = chunked(texts.where("error is null"), chunker, sections_col="sections")
-    chunks = chunks.join(files.select("doc_id", *scope), "doc_id")
-    vectors = embedded(chunks, embed)
-    postings = keyword_index(chunks, "chunk_id", "content")
-    n = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunk_count"))
-    done = texts.join(n, "doc_id", "left").withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0)))
-    none = (F.col("chunk_count") == 0) & F.lit(not basic)
-    done = done.select("doc_id", "chunk_count", F.when(F.col("error").isNotNull(), FAILED).when(none, WARNING).otherwise(SUCCESS).alias("_s"), F.when(F.col("error").isNotNull(), F.col("error")).when(none, F.substring(empty_reason(F.col("text")), 1, 500)).alias("_m"))
-    status = started.join(done, "doc_id", "left").select("doc_id", "file_name", *scope, "content_hash", F.coalesce("_s", "status").alias("status"), F.coalesce("_m", "message").alias("message"), F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"))
-    return {"started": started.select("doc_id", "status"), "status": status, "chunks": chunks, "vectors": vectors, "postings": postings}
+    judged = checked.withColumn("message", reason).withColumn("status", F.when(reason.isNull(), PROCESSING).otherwise(REJECTED))
+    started = written(judged.select("doc_id", "file_name", *scope, "content_hash", "status", "message"), "started")
+    ready = files.join(started.where(F.col("status") == PROCESSING).select("doc_id"), "doc_id", "left_semi").select("doc_id", *scope, "file_name", "mime_type", "content")
+    done, chunks = processed(ready, chunker, embed, list(scope), basic)
+    status = started.join(done, "doc_id", "left").select("doc_id", "file_name", *scope, "content_hash", F.coalesce("done_status", "status").alias("status"), F.coalesce("done_message", "message").alias("message"), F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"))
+    return {"started": started.select("doc_id", "status"), "status": status, "chunks": chunks.drop("embedding"), "vectors": chunks, "postings": keyword_index(chunks, "chunk_id", "content")}
+
+
+def processed(ready: DataFrame, chunker: Callable, embed: Callable[[list[str]], list[list[float]]], scope: list[str], basic: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, done_status, done_message, chunk_count) of accepted files, and the chunks with their vectors of those that succeeded; see upload."""
+    texts = written(parsed(ready).select("doc_id", *scope, F.col("text_content").alias("text"), "sections", F.substring(F.col("metadata")["error"], 1, 500).alias("parse_error")), "texts")
+    chunks = chunked(texts.where("parse_error is null"), chunker, sections_col="sections")
+    vectors = written(embedded_or_failed(chunks, embed), "embedded")
+    n = vectors.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("error").alias("embed_error"))
+    rows = texts.join(n, "doc_id", "left").withColumn("error", F.coalesce("parse_error", "embed_error"))
+    bad, none = F.col("error").isNotNull(), F.col("n").isNull() & F.lit(not basic)
+    done = rows.select("doc_id", *scope, F.when(bad, FAILED).when(none, WARNING).otherwise(SUCCESS).alias("done_status"), F.when(bad, F.col("error")).when(none, F.substring(empty_reason(F.col("text")), 1, 500)).alias("done_message"), F.when(bad, 0).otherwise(F.coalesce("n", F.lit(0))).cast("long").alias("chunk_count"))
+    good = done.where(F.col("done_status") == SUCCESS).select("doc_id", *scope)
+    return done.drop(*scope), vectors.drop("error").join(good, "doc_id")
 
 
 def without_upload(tables: dict[str, DataFrame], doc_id, documents: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import budget, evaluate, graph, index, ingest, logs, memory, retrieve, search, upload
+from ..operators.tables import new_path
 from ..sources import documents as sources
 from ..sources import monitoring
+from ..streaming.uploads import current_status, start_uploads
 from .catalog import query
 from .queries import _BM25, _VEC, EACH, K, NOW, _keyword, _query_vectors, _store, _vector, table
 
@@ -101,6 +103,25 @@ def upload_status(spark, sf_dir):
     return out.select("doc_id", F.when(parsed, "parsed").otherwise(F.col("status")).alias("status"), F.when(F.col("status") == upload.REJECTED, F.col("message")).alias("message"))
 
 
+@query("upload_stream", r"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, row_number() OVER (PARTITION BY coalesce(text, ''), coalesce(source, '') ORDER BY doc_id) > 1 AS copy FROM documents),
+n AS (SELECT *, length(regexp_replace(t, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g')) AS n FROM d)
+SELECT doc_id, CASE WHEN t = '' OR copy THEN 'rejected' WHEN n = 0 THEN 'warning' WHEN contains(t, 'ß') THEN 'failed' ELSE 'success' END AS status, CASE WHEN t = '' THEN 'empty' WHEN copy THEN 'duplicate' WHEN n = 0 THEN 'empty' WHEN contains(t, 'ß') THEN 'no vector' END AS message FROM n""")
+def upload_stream(spark, sf_dir):
+    """documents as a stream of uploads with a status each; texts with a certain letter get no vector."""
+    store = new_path(spark, "uploads")
+
+    def embed(texts):
+        if any("ß" in t for t in texts):
+            raise RuntimeError("no vector")
+        return [[float(len(t))] for t in texts]
+
+    d = table(spark, sf_dir, "documents")
+    rows = spark.readStream.schema(d.schema).parquet(f"{sf_dir}/documents.parquet*")
+    files = rows.select("doc_id", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("file_name"), F.lit(None).cast("string").alias("mime_type"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    start_uploads(files, f"{store}/store", f"{store}/checkpoint", _chunker, embed, ("source",)).awaitTermination()
+    return current_status(spark, f"{store}/store").select("doc_id", "status", "message")
+
+
 @query("document_status", r"SELECT doc_id, CASE WHEN n < 20 THEN 'warning' ELSE 'success' END AS status, CASE WHEN n < 20 THEN 0 ELSE 1 END AS chunk_count FROM (SELECT doc_id, length(regexp_replace(coalesce(text, ''), '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g')) AS n FROM documents)")
 def document_status(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
