@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from . import fuse
 from .evaluate import guarded
 from .retrieve import multi_path, rerank, traced
+from .tables import written
 
 #: Most queries of a batch.
 BATCH = 10
@@ -33,34 +37,68 @@ def rewritten(queries: DataFrame, model: Callable[[str], str | None] | None, tex
     return kept.mapInPandas(run, kept.schema)
 
 
-def searched(queries: DataFrame, paths: list[Callable[[DataFrame], DataFrame]], k: int = 10, model=None, scorer=None, rrf_k: int = 60, fused_k: int = 10) -> tuple[DataFrame, DataFrame]:
+def ran(spark: SparkSession, tasks: dict[str, Callable[[], DataFrame]], seconds: float | None = None, at_once: int = 8) -> dict[str, tuple[DataFrame | None, int, float, str | None]]:
+    """For each task its result as a table, its rows, its seconds and why it has none: tasks run side by side, each to its end, so that rows that fail fail here.
+
+    Rows are counted as they are written (observe), not by a second run. A task that is not done after `seconds` is cancelled and counts as failed; the others' results stay.
+    """
+
+    def one(name: str, tag: str) -> tuple[DataFrame, int]:
+        spark.sparkContext.addJobTag(tag)
+        try:
+            seen = Observation()
+            return written(tasks[name]().observe(seen, F.count(F.lit(1)).alias("n")), "stage"), seen.get["n"]
+        finally:
+            spark.sparkContext.removeJobTag(tag)
+
+    out: dict[str, tuple[DataFrame | None, int, float, str | None]] = {}
+    pool = ThreadPoolExecutor(at_once)
+    begun = time.perf_counter()
+    tags = {name: f"search-{uuid.uuid4().hex}" for name in tasks}
+    waiting = {name: pool.submit(inheritable_thread_target(spark)(one), name, tags[name]) for name in tasks}
+    for name, task in waiting.items():
+        try:
+            table, n = task.result(None if seconds is None else max(0.0, begun + seconds - time.perf_counter()))
+            out[name] = table, n, time.perf_counter() - begun, None
+        except TimeoutError:
+            task.cancel()
+            spark.sparkContext.cancelJobsWithTag(tags[name])
+            out[name] = None, 0, time.perf_counter() - begun, f"not done after {seconds:g} s"
+        except Exception as e:  # noqa: BLE001  whatever a path fails with, the others' hits stay
+            out[name] = None, 0, time.perf_counter() - begun, (str(e) or type(e).__name__)[:500]
+    pool.shutdown(wait=False, cancel_futures=True)
+    return out
+
+
+def searched(queries: DataFrame, paths: dict[str, Callable[[DataFrame], DataFrame]] | list[Callable[[DataFrame], DataFrame]], k: int = 10, model=None, scorer=None, rrf_k: int = 60, fused_k: int = 10, seconds: float | None = None) -> tuple[DataFrame, DataFrame]:
     """(hits, stages): rewriting, paths, fusion, rerank and lost-in-the-middle order for a set of queries.
 
-    paths: functions from queries (query_id, text, ...) to (query_id, id, score, rank); one that fails counts as empty.
-    hits: (query_id, id, score, rank, position). stages: (stage, hits, seconds) of each step, which are worked out here.
+    paths: functions from queries (query_id, text, ...) to (query_id, id, score, rank), by name. They run side by side; one that fails, when it is planned or while it runs, or that is not
+    done after `seconds`, is left out and the others' hits stay. hits: (query_id, id, score, rank, position), none if no path has an end.
+    stages: (stage, hits, seconds, error), one for each path too. Each stage's result is a table that the next one reads, so nothing is worked out twice.
     """
     spark, marks = queries.sparkSession, []
 
-    def timed(stage: str, f) -> DataFrame:
-        start = time.perf_counter()
-        out = f()
-        marks.append((stage, out.count(), time.perf_counter() - start))
-        return out
-
-    asked = timed("rewrite", lambda: rewritten(queries, model))
-    lists = []
-    for path in paths:
-        try:
-            lists.append(path(asked).select("query_id", "id", "score", "rank"))
-        except Exception:  # noqa: BLE001  a path that fails leaves the others' hits
-            continue
-    empty = spark.createDataFrame([], "query_id long, id long, score double, rank long, position long")
+    def stage(name: str, f: Callable[[], DataFrame]) -> DataFrame:
+        table, n, took, error = ran(spark, {name: f})[name]
+        marks.append((name, n, took, error))
+        if table is None:
+            raise RuntimeError(error)
+        return table
+
+    asked = stage("rewrite", lambda: rewritten(queries, model))
+    named = paths if isinstance(paths, dict) else {f"path {i}": p for i, p in enumerate(paths)}
+    shaped = lambda path: path(asked).select("query_id", "id", F.col("score").cast("double").alias("score"), F.col("rank").cast("long").alias("rank"))
+    found = ran(spark, {name: lambda p=p: shaped(p) for name, p in named.items()}, seconds)
+    marks += [(name, n, took, error) for name, (_, n, took, error) in found.items()]
+    lists = [table for table, *_ in found.values() if table is not None]
+    told = lambda: spark.createDataFrame(marks, "stage string, hits long, seconds double, error string")
     if not lists:
-        return empty, spark.createDataFrame(marks, "stage string, hits long, seconds double")
-    found = timed("retrieve", lambda: multi_path(lists, lambda u, more: fuse.reciprocal_rank(u, rrf_k, limit=None, payload=more), k, fused_k))
-    best = timed("rerank", lambda: rerank(found, k, scorer))
-    placed = timed("order", lambda: fuse.lost_in_the_middle(best))
-    return placed, spark.createDataFrame(marks, "stage string, hits long, seconds double")
+        return spark.createDataFrame([], "query_id long, id long, score double, rank long, position long"), told()
+    fused = stage("retrieve", lambda: multi_path(lists, lambda u, more: fuse.reciprocal_rank(u, rrf_k, limit=None, payload=more), k, fused_k))
+    best = stage("rerank", lambda: rerank(fused, k, scorer))
+    placed = stage("order", lambda: fuse.lost_in_the_middle(best))
+    return placed, told()
 
 
 def detailed(paths: dict[str, DataFrame], k: int = 10, rrf_k: int = 60) -> DataFrame:
@@ -82,17 +120,24 @@ def searched_with_trace(hits: DataFrame, texts: DataFrame, tenant: str, owner: s
     return traced(hits, texts, "rerank" if reranked else "hybrid").withColumn("tenant_id", F.lit(tenant)).withColumn("owner_user_id", F.lit(owner)).withColumn("create_time", now)
 
 
-def batch_search(queries: DataFrame, search: Callable[[DataFrame], DataFrame], order: str = "query_id", most: int = BATCH) -> tuple[DataFrame, DataFrame]:
-    """(hits, outcomes): the first `most` queries in their order; a row a query that tells its hits or its error.
+def batch_search(queries: DataFrame, search: Callable[[DataFrame], DataFrame], order: str = "query_id", most: int = BATCH, seconds: float | None = 15.0) -> tuple[DataFrame, DataFrame]:
+    """(hits, outcomes): the first `most` queries in their order; a row a query (query_id, hits, error).
 
-    The limit is the batch's own rule; a blank query is an error of its own and does not stop the others.
+    The limit is the batch's own rule. Each query is a search of its own, side by side with the others: one that is blank, fails or is not done after `seconds` has its error and does not
+    stop the others.
     """
-    first = queries.orderBy(order).limit(most)
-    blank = F.col("text").isNull() | (F.btrim("text") == "")
-    hits = search(first.where(~blank))
-    counted = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"))
-    outcomes = first.join(counted, "query_id", "left").select("query_id", F.coalesce("hits", F.lit(0)).alias("hits"), F.when(blank, "blank query").alias("error"))
-    return hits, outcomes
+    spark = queries.sparkSession
+    first = queries.orderBy(order).limit(most).collect()
+    one = lambda r: spark.createDataFrame([r], queries.schema)
+    asked = {str(i): r for i, r in enumerate(first) if r["text"] is not None and r["text"].strip()}
+    found = ran(spark, {i: lambda r=r: search(one(r)) for i, r in asked.items()}, seconds, most)
+    told = [(r["query_id"], *(found[str(i)][1::2] if str(i) in asked else (0, "blank query"))) for i, r in enumerate(first)]
+    hits = None
+    for table, *_ in found.values():
+        if table is not None:
+            hits = table if hits is None else hits.unionByName(table)
+    kind = queries.schema["query_id"].dataType.simpleString()
+    return search(queries.limit(0)) if hits is None else hits, spark.createDataFrame(told, f"query_id {kind}, hits long, error string")
 
 
 # Kinds of reports.

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import budget, evaluate, graph, index, ingest, logs, memory, retrieve, search, upload
+from ..operators import budget, evaluate, graph, index, ingest, logs, memory, postings, retrieve, search, upload
 from ..operators.tables import new_path
 from ..sources import documents as sources
 from ..sources import monitoring
@@ -219,13 +219,29 @@ hits AS (SELECT query_id, id, CASE WHEN s THEN score ELSE own_score END AS score
 
 @query("composed_search", f"WITH {_VEC}, {_BM25}, {_FUSED}, best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) - 1 AS r, count(*) OVER (PARTITION BY query_id) AS n FROM hits) SELECT query_id, id, score, rank, CASE WHEN least(n, 6) <= 2 THEN r WHEN r % 2 = 0 THEN r // 2 ELSE least(n, 6) - 1 - (r - 1) // 2 END AS position FROM best WHERE r < 6")
 def composed_search(spark, sf_dir):
+    return _composed(spark, sf_dir)[0].select("query_id", "id", "score", "rank", "position")
+
+
+def _composed(spark, sf_dir):
+    """A search over two paths that work, one that fails when it is planned and one whose rows fail."""
     asked = table(spark, sf_dir, "embeddings").where(F.col("vec_id") % EACH == 0).select(F.col("vec_id").alias("query_id"), F.lit("text").alias("text"))
 
     def broken(q):
         raise RuntimeError("a path that fails")
 
-    paths = [lambda q: _vector(spark, sf_dir, "l2"), lambda q: _keyword(spark, sf_dir), broken]
-    return search.searched(asked, paths, 6, fused_k=10)[0].select("query_id", "id", "score", "rank", "position")
+    def failing(q):
+        return q.select("query_id", F.lit(1).cast("long").alias("id"), F.raise_error(F.lit("a row that fails")).cast("double").alias("score"), F.lit(0).cast("long").alias("rank"))
+
+    paths = {"vector": lambda q: _vector(spark, sf_dir, "l2"), "keyword": lambda q: _keyword(spark, sf_dir), "broken": broken, "failing": failing}
+    return search.searched(asked, paths, 6, fused_k=10)
+
+
+@query("composed_stages", f"""WITH {_VEC}, {_BM25}, {_FUSED}, n AS (SELECT query_id, count(*) AS n FROM hits GROUP BY query_id)
+SELECT 'rewrite' AS stage, (SELECT count(*) FROM q) AS hits, CAST(NULL AS VARCHAR) AS error UNION ALL SELECT 'vector', (SELECT count(*) FROM l2), NULL UNION ALL SELECT 'keyword', (SELECT count(*) FROM bm), NULL UNION ALL SELECT 'broken', 0, 'a path that fails'
+UNION ALL SELECT 'failing', 0, 'a row that fails' UNION ALL SELECT 'retrieve', (SELECT CAST(sum(CASE WHEN s THEN n ELSE least(n, 6) END) AS BIGINT) FROM n JOIN several USING (query_id)), NULL UNION ALL SELECT 'rerank', (SELECT CAST(sum(least(n, 6)) AS BIGINT) FROM n), NULL UNION ALL SELECT 'order', (SELECT CAST(sum(least(n, 6)) AS BIGINT) FROM n), NULL""")
+def composed_stages(spark, sf_dir):
+    said = F.regexp_extract("error", "a (path|row) that fails", 0)
+    return _composed(spark, sf_dir)[1].select("stage", "hits", said.alias("error"))
 
 
 @query("detailed_search", f"WITH {_VEC}, {_BM25}, {_FUSED} SELECT query_id, 'vector' AS path, id, score, rank FROM l2 UNION ALL SELECT query_id, 'keyword', id, score, rank FROM bm UNION ALL SELECT query_id, 'fused', id, score, rank FROM hits")
@@ -233,10 +249,21 @@ def detailed_search(spark, sf_dir):
     return search.detailed({"vector": _vector(spark, sf_dir, "l2"), "keyword": _keyword(spark, sf_dir)}, K)
 
 
-@query("batch_search", "WITH q AS (SELECT conv_id AS query_id, CASE WHEN conv_id % 4 = 1 THEN ' ' ELSE 'x' END AS text FROM (SELECT DISTINCT conv_id FROM conversations) ORDER BY conv_id LIMIT 10) SELECT query_id, CASE WHEN text = ' ' THEN 0 ELSE 1 END AS hits, CASE WHEN text = ' ' THEN 'blank query' END AS error FROM q")
+@query("batch_search", f"""WITH {_BM25.replace(f"WHERE item_id % {EACH} = 0", "WHERE item_id IN (SELECT item_id FROM benchmark ORDER BY item_id LIMIT 10) AND item_id % 4 = 0")}
+SELECT item_id AS query_id, CASE WHEN item_id % 4 = 0 THEN (SELECT count(*) FROM bm WHERE query_id = item_id) ELSE 0 END AS hits, CASE item_id % 4 WHEN 1 THEN 'blank query' WHEN 2 THEN 'odd query' WHEN 3 THEN 'a row that fails' END AS error FROM benchmark ORDER BY item_id LIMIT 10""")
 def batch_search(spark, sf_dir):
-    q = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("query_id")).distinct().withColumn("text", F.when(F.col("query_id") % 4 == 1, " ").otherwise("x"))
-    return search.batch_search(q, lambda own: own.select("query_id", F.lit(1).alias("id")))[1].select("query_id", F.col("hits").cast("int").alias("hits"), "error")
+    """Keyword searches of a batch, of which some are blank, some fail when they are planned and some while they run."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.when(F.col("item_id") % 4 == 1, " ").otherwise(F.col("text")).alias("text"))
+
+    def keyword(one):
+        asked = one.first()
+        if asked is not None and asked.query_id % 4 == 2:
+            raise ValueError("odd query")
+        found = postings.whole_search(postings.stored_postings(spark, f"{sf_dir}/documents.parquet"), one, K)
+        return found if asked is None or asked.query_id % 4 == 0 else found.withColumn("score", F.raise_error(F.lit("a row that fails")).cast("double"))
+
+    outcomes = search.batch_search(items, keyword, seconds=None)[1]
+    return outcomes.select("query_id", "hits", F.regexp_extract("error", "blank query|odd query|a row that fails", 0).alias("error"))
 
 
 @query("rewritten_queries", "SELECT item_id AS query_id, text AS asked, CASE WHEN length(text) % 2 = 0 THEN text ELSE 'about ' || length(text) END AS text FROM benchmark")
