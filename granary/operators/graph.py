@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .retrieve import vector_search
+from .tables import written
+
 
 def chunk_context(chunks: DataFrame, doc: str, order: str, text: str, n: int = 200) -> DataFrame:
     """chunks with context: n characters of the chunk before, and after ' ... ' n of the one behind."""
@@ -48,16 +51,30 @@ def save_relations(edges: DataFrame, rows: DataFrame, vertices: DataFrame, order
     return both.withColumn("_i", F.row_number().over(w)).where("_i = 1").drop("_i", "_new")
 
 
-def k_hop(edges: DataFrame, centres: DataFrame, depth: int) -> DataFrame:
+#: A vertex with more neighbours is a hub; the largest ones are told apart, so many at most.
+HUB, HUBS = 10_000, 100_000
+
+
+def k_hop(edges: DataFrame, centres: DataFrame, depth: int, hub: int = HUB) -> DataFrame:
     """(centre, node, hops): nodes within `depth` undirected steps of each centre, with the fewest steps.
 
-    The joins are unrolled; a step joins only the nodes that the one before has added.
+    The steps are unrolled; each goes on only from the nodes that the one before has added. A hub's neighbours lie in parts of about `hub` rows, by a hash of the neighbour, and what reaches
+    a hub goes to each part, so no task gets all of them. Hubs (entity and number of parts) are a small table that is broadcast: at most HUBS of those with most neighbours.
     """
     both = edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("b")).union(edges.select("target_id", "source_id")).distinct()
+    large = both.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hub).orderBy(F.desc("n"), "a").limit(HUBS)
+    hubs = written(large.select("a", F.ceil(F.col("n") / hub).cast("int").alias("parts")), "hubs")
+    split = not hubs.isEmpty()
+    if split:
+        both = both.join(F.broadcast(hubs), "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
     seen = centres.select(F.col("entity_id").alias("centre"), F.col("entity_id").alias("node"), F.lit(0).alias("hops")).distinct()
     front = seen
     for hop in range(1, depth + 1):
-        reached = front.join(both, front["node"] == both["a"]).select("centre", F.col("b").alias("node")).distinct()
+        ahead, on = front.select("centre", F.col("node").alias("a")), ["a"]
+        if split:
+            ahead = ahead.join(F.broadcast(hubs), "a", "left").select("centre", "a", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+            on = ["a", "part"]
+        reached = ahead.join(both, on).select("centre", F.col("b").alias("node")).distinct()
         front = reached.join(seen.select("centre", "node"), ["centre", "node"], "left_anti").withColumn("hops", F.lit(hop))
         seen = seen.unionByName(front)
     return seen
@@ -101,16 +118,24 @@ def described(entities: DataFrame) -> Column:
     return F.format_string("%s(%s)", "name", "type")
 
 
+def vector_matches(entities: DataFrame, queries: DataFrame, k: int, skip_self: bool = False) -> DataFrame:
+    """(query_id, entity_id, score, rank): the entities (entity_id, embedding) whose vectors are most similar to a query's (query_id, query_vec)."""
+    return vector_search(entities, queries, k, "cosine", "entity_id", "embedding", skip_self).withColumnRenamed("id", "entity_id")
+
+
 def graph_search(entities: DataFrame, edges: DataFrame, matches: DataFrame, depth: int = 1, kind: str | None = None) -> DataFrame:
     """(query_id, content, score): one hit a query, the neighbourhood of its matches as name(type), name(type).
 
-    A type filter applies before anything is cut. Neighbours of several matches count once; the score is 0.5 where none is given.
+    A type filter applies before anything is cut. Neighbours of several matches count once. The score is that of the best match, 0.5 where matches have none.
     """
     chosen = matches.join(entities.where(F.col("type") == kind).select("entity_id"), "entity_id", "left_semi") if kind else matches
     near = k_hop(edges, chosen.select("entity_id").distinct(), depth)
     mine = chosen.select("query_id", F.col("entity_id").alias("centre")).join(near, "centre").select("query_id", F.col("node").alias("entity_id")).distinct()
     text = mine.join(entities.select("entity_id", described(entities).alias("d")), "entity_id")
-    return text.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("entity_id", "d"))), lambda x: x["d"]), ", ").alias("content")).withColumn("score", F.lit(0.5))
+    hits = text.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("entity_id", "d"))), lambda x: x["d"]), ", ").alias("content"))
+    if "score" not in matches.columns:
+        return hits.withColumn("score", F.lit(0.5))
+    return hits.join(chosen.groupBy("query_id").agg(F.coalesce(F.max("score"), F.lit(0.5)).alias("score")), "query_id")
 
 
 def counts(entities: DataFrame, edges: DataFrame) -> DataFrame:

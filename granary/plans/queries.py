@@ -420,21 +420,37 @@ def _edges(spark, sf_dir):
     return c.unionByName(n)
 
 
-@query("khop_subgraph", """WITH RECURSIVE e AS (SELECT 'c' || c_custkey AS a, 'n' || c_nationkey AS b FROM customer UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation),
-u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-w AS (SELECT * FROM (VALUES ('n3', 'n3', 0), ('c1', 'c1', 0)) t(centre, node, hops) UNION SELECT centre, b, hops + 1 FROM w JOIN u ON a = node WHERE hops < 2)
+_CUSTOMERS = f"""e AS (SELECT 'c' || c_custkey AS a, 'n' || c_nationkey AS b FROM customer UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation),
+u AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e), q AS (SELECT 'c' || c_custkey AS centre FROM customer WHERE c_custkey % {EACH} = 0)"""
+
+
+def _centres(spark, sf_dir):
+    return table(spark, sf_dir, "customer").where(F.col("c_custkey") % EACH == 0).select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("entity_id"))
+
+
+@query("khop_subgraph", f"""WITH RECURSIVE {_CUSTOMERS}, w AS (SELECT centre, centre AS node, 0 AS hops FROM q UNION SELECT centre, b, hops + 1 FROM w JOIN u ON a = node WHERE hops < 2)
 SELECT centre, node, CAST(min(hops) AS INTEGER) AS hops FROM w GROUP BY 1, 2""")
 def khop_subgraph(spark, sf_dir):
-    centres = spark.createDataFrame([("n3",), ("c1",)], "entity_id string")
-    return graph.k_hop(_edges(spark, sf_dir), centres, 2)
+    """Nations are hubs of the customers' graph."""
+    return graph.k_hop(_edges(spark, sf_dir), _centres(spark, sf_dir), 2, hub=500)
 
 
-@query("subgraph_edges", """WITH e AS (SELECT 'c' || c_custkey AS a, 'n' || c_nationkey AS b FROM customer UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation), near AS (SELECT 'n3' AS node UNION SELECT b FROM e WHERE a = 'n3' UNION SELECT a FROM e WHERE b = 'n3')
-SELECT a AS source_id, b AS target_id FROM e WHERE a IN (SELECT node FROM near) AND b IN (SELECT node FROM near)""")
+@query("subgraph_edges", f"""WITH {_CUSTOMERS}, near AS (SELECT centre, centre AS node FROM q UNION SELECT centre, b FROM q JOIN u ON a = centre)
+SELECT x.centre, e.a AS source_id, e.b AS target_id FROM e JOIN near x ON x.node = e.a JOIN near y ON y.node = e.b AND y.centre = x.centre""")
 def subgraph_edges(spark, sf_dir):
     edges = _edges(spark, sf_dir)
-    nodes = graph.k_hop(edges, spark.createDataFrame([("n3",)], "entity_id string"), 1)
-    return graph.subgraph_edges(edges, nodes).select("source_id", "target_id")
+    return graph.subgraph_edges(edges, graph.k_hop(edges, _centres(spark, sf_dir), 1)).select("centre", "source_id", "target_id")
+
+
+@query("graph_search_vectors", f"""WITH {_VEC}, m AS (SELECT query_id, id, score FROM cos WHERE rank < 3), near AS (SELECT query_id, id FROM m UNION SELECT query_id, vec_id FROM m JOIN embeddings ON vec_id IN (id - 1, id + 1)),
+text AS (SELECT query_id, string_agg('m' || vec_id || '(' || label || ')', ', ' ORDER BY vec_id) AS content FROM near JOIN embeddings ON vec_id = id GROUP BY query_id)
+SELECT query_id, content, score FROM text JOIN (SELECT query_id, max(score) AS score FROM m GROUP BY query_id) USING (query_id)""")
+def graph_search_vectors(spark, sf_dir):
+    """Centres by their vectors; every entity is linked to the next one."""
+    e = table(spark, sf_dir, "embeddings")
+    entities = e.select(F.col("vec_id").alias("entity_id"), F.concat(F.lit("m"), F.col("vec_id").cast("string")).alias("name"), F.col("label").cast("string").alias("type"), "embedding")
+    edges = e.select(F.col("vec_id").alias("source_id"), (F.col("vec_id") + 1).alias("target_id"))
+    return graph.graph_search(entities, edges, graph.vector_matches(entities, _query_vectors(spark, sf_dir), 3, skip_self=True))
 
 
 @query("answer_quality", "SELECT doc_id, round(0.4::DOUBLE * quality + 0.4::DOUBLE * (doc_id % 10) / 10.0::DOUBLE + 0.2::DOUBLE * (1 - toxic), 6) AS overall, round(0.4::DOUBLE * quality + 0.4::DOUBLE * (doc_id % 10) / 10.0::DOUBLE + 0.2::DOUBLE * (1 - toxic), 6) >= 0.6 AND toxic < 0.3 AS acceptable FROM labels")
