@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import posixpath
 import re
 import zipfile
 from collections.abc import Iterator
@@ -188,9 +189,15 @@ def parse_html(text: str) -> dict:
 
 
 def parse_docx(content: bytes) -> dict:
-    """Paragraphs under headings; a heading's text is the title only; table cells stand in a row with tabs between."""
+    """Paragraphs under headings; a heading's text is the title only; table cells stand in a row with tabs between.
+
+    A heading is what has a style named heading and a number, title (level 1) or subtitle (level 2); names come from the file's styles, else the style's id stands for its name.
+    """
     w = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-    body = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(content)).read("word/document.xml")).find(f"{w}body")
+    z = zipfile.ZipFile(io.BytesIO(content))
+    body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{w}body")
+    styles = ElementTree.fromstring(z.read("word/styles.xml")).iter(f"{w}style") if "word/styles.xml" in z.namelist() else []
+    named = {s.get(f"{w}styleId"): s.find(f"{w}name").get(f"{w}val", "") for s in styles if s.find(f"{w}name") is not None}
     said = lambda e: "".join(t.text or "" for t in e.iter(f"{w}t"))
     sections, title, level, lines, every = [], None, 0, [], []
 
@@ -201,12 +208,15 @@ def parse_docx(content: bytes) -> dict:
     for e in body if body is not None else []:
         if e.tag == f"{w}p":
             style = e.find(f"{w}pPr/{w}pStyle")
-            m = re.match(r"(?i)heading\s*(\d)", style.get(f"{w}val", "") if style is not None else "")
+            own = style.get(f"{w}val", "") if style is not None else ""
+            own = named.get(own, own)
+            m = re.match(r"(?i)heading\s*(\d)", own)
+            depth = int(m[1]) if m else {"title": 1, "subtitle": 2}.get(own.lower(), 0)
             t = said(e).strip()
             every.append(t)
-            if m and t:
+            if depth and t:
                 close()
-                title, level, lines = t, int(m[1]), []
+                title, level, lines = t, depth, []
             elif t:
                 lines.append(t)
         elif e.tag == f"{w}tbl":
@@ -220,16 +230,22 @@ def parse_docx(content: bytes) -> dict:
 
 
 def parse_xlsx(content: bytes) -> dict:
-    """A section a sheet: its name, then a line a row with tabs between the cells that are not blank."""
+    """A section a sheet, in the workbook's order: its name, then a line a row with tabs between the cells that are not blank.
+
+    The workbook's relationships tell a sheet's file; without them the n-th sheet is in the n-th file.
+    """
+    r = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
     n = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
     z = zipfile.ZipFile(io.BytesIO(content))
     names = z.namelist()
     shared = ["".join(t.text or "" for t in si.iter(f"{n}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in names else []
-    sheets = [s.get("name") for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{n}sheet")]
+    sheets = [(s.get("name"), s.get(f"{r}id")) for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{n}sheet")]
+    told = ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels")) if "xl/_rels/workbook.xml.rels" in names else []
+    files = {x.get("Id"): posixpath.normpath(posixpath.join("/xl", x.get("Target", ""))).lstrip("/") for x in told}
     sections = []
-    for i, name in enumerate(sheets):
+    for i, (name, relation) in enumerate(sheets):
         lines = [f"Sheet: {name}"]
-        path = f"xl/worksheets/sheet{i + 1}.xml"
+        path = files.get(relation, f"xl/worksheets/sheet{i + 1}.xml")
         for row in ElementTree.fromstring(z.read(path)).iter(f"{n}row") if path in names else []:
             cells = []
             for c in row.iter(f"{n}c"):

@@ -6,7 +6,7 @@ import os
 
 import pytest
 
-from granary.plans import catalog, chunks, keywords, operations, queries, statements, vectors  # noqa: F401  register
+from granary.plans import catalog, chunks, keywords, office, operations, queries, statements, vectors  # noqa: F401  register
 
 from .oracle import connect, rows_of_duck, rows_of_spark
 
