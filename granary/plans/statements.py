@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import budget, ingest, memory, relational
@@ -78,6 +78,11 @@ def _add(name: str, view: str, sql: str, rows, make) -> None:
 _SCOPE = "tenant_id = 't1' AND owner_user_id = 'u1'"
 
 
+def _placed(df: DataFrame, *columns: str) -> DataFrame:
+    """An ordered, scoped list with each row's place in it, so that the order is compared too."""
+    return df.select(*columns, F.monotonically_increasing_id().alias("_m")).select(*columns, (F.row_number().over(Window.orderBy("_m")) - 1).cast("long").alias("place"))
+
+
 def _mine(df: DataFrame) -> DataFrame:
     return relational.scoped(df, "t1", "u1")
 
@@ -99,7 +104,7 @@ _add("audit_count", _AUDIT, "SELECT count(*) AS n FROM audit WHERE user_id = 7 A
 
 # chat history
 _add("chat_insert", _CHAT, "SELECT id, text FROM chat UNION ALL SELECT id + 50, text FROM chat WHERE role = 'system'", _chat, lambda c: relational.inserted(c, c.where("role = 'system'").withColumn("id", F.col("id") + 50)).select("id", "text"))
-_add("chat_by_scope", _CHAT, f"SELECT id, create_time FROM chat WHERE {_SCOPE} ORDER BY create_time, id", _chat, lambda c: relational.oldest_first(_mine(c), "create_time", "id").select("id", "create_time"))
+_add("chat_by_scope", _CHAT, f"SELECT id, create_time, row_number() OVER (ORDER BY create_time, id) - 1 AS place FROM chat WHERE {_SCOPE}", _chat, lambda c: _placed(relational.oldest_first(_mine(c), "create_time", "id"), "id", "create_time"))
 _add("chat_by_id", _CHAT, "SELECT * FROM chat WHERE id = 101", _chat, lambda c: relational.point(c, id=101))
 _add("chat_by_id_scoped", _CHAT, f"SELECT id FROM chat WHERE id = 101 AND {_SCOPE}", _chat, lambda c: relational.point(_mine(c), id=101).select("id"))
 _add("chat_delete_scope", _CHAT, f"SELECT id FROM chat WHERE NOT ({_SCOPE})", _chat, lambda c: relational.deleted(c, (F.col("tenant_id") == "t1") & (F.col("owner_user_id") == "u1")).select("id"))
@@ -126,10 +131,10 @@ def _our(df: DataFrame, owner: str = "owner_user_id") -> DataFrame:
 
 
 _add("doc_insert", _DOCS, "SELECT document_id, status FROM docs UNION ALL SELECT document_id + 1000000000, 'processing' FROM docs WHERE deleted_flag = 1", _docs, lambda x: relational.inserted(x, x.where("deleted_flag = 1").withColumn("document_id", F.col("document_id") + 1000000000).withColumn("status", F.lit(None).cast("string")), {"status": F.lit("processing")}).select("document_id", "status"))
-_add("docs_by_scope", _DOCS, f"SELECT document_id FROM docs WHERE {_DOC_SCOPE} AND deleted_flag = 0", _docs, lambda x: relational.newest_first(relational.live(_our(x)), "create_time").select("document_id"))
+_add("docs_by_scope", _DOCS, f"SELECT document_id, row_number() OVER (ORDER BY create_time DESC, document_id DESC) - 1 AS place FROM docs WHERE {_DOC_SCOPE} AND deleted_flag = 0", _docs, lambda x: _placed(relational.newest_first(relational.live(_our(x)), "create_time", "document_id"), "document_id"))
 _add("docs_by_scope_kb", _DOCS, f"SELECT document_id FROM docs WHERE {_DOC_SCOPE} AND deleted_flag = 0 AND knowledge_base_id = 3", _docs, lambda x: relational.newest_first(relational.point(relational.live(_our(x)), knowledge_base_id=3), "create_time").select("document_id"))
-_add("doc_by_id", _DOCS, "SELECT * FROM docs WHERE document_id = 11 AND deleted_flag = 0", _docs, lambda x: relational.point(relational.live(x), document_id=11))
-_add("doc_by_id_scoped", _DOCS, f"SELECT document_id FROM docs WHERE document_id = 11 AND deleted_flag = 0 AND {_DOC_SCOPE}", _docs, lambda x: relational.point(relational.live(_our(x)), document_id=11).select("document_id"))
+_add("doc_by_id", _DOCS, "SELECT * FROM docs WHERE document_id = 21 AND deleted_flag = 0", _docs, lambda x: relational.point(relational.live(x), document_id=21))
+_add("doc_by_id_scoped", _DOCS, f"SELECT document_id FROM docs WHERE document_id = 21 AND deleted_flag = 0 AND {_DOC_SCOPE}", _docs, lambda x: relational.point(relational.live(_our(x)), document_id=21).select("document_id"))
 _add("doc_status_update", _DOCS, "SELECT document_id, CASE WHEN document_id = 11 THEN 'failed' ELSE status END AS status, CASE WHEN document_id = 11 THEN 'broken' ELSE error_message END AS error_message FROM docs", _docs, lambda x: relational.updated(x, F.col("document_id") == 11, status="failed", error_message="broken").select("document_id", "status", "error_message"))
 _add("doc_soft_delete", _DOCS, f"SELECT document_id, CASE WHEN {_DOC_SCOPE} THEN 1 ELSE deleted_flag END AS deleted_flag FROM docs", _docs, lambda x: relational.soft_deleted(x, (F.col("tenant_id") == "en") & (F.col("owner_user_id") == "src1")).select("document_id", "deleted_flag"))
 _add("doc_count_by_hash", _DOCS, f"SELECT content_hash, count(*) AS n FROM docs WHERE deleted_flag = 0 AND {_DOC_SCOPE} GROUP BY content_hash", _docs, lambda x: relational.live(_our(x)).groupBy("content_hash").agg(F.count(F.lit(1)).alias("n")))
@@ -156,7 +161,7 @@ _add("kb_soft_delete", _KBS, f"SELECT kb_id, CASE WHEN kb_id = 16 AND {_SCOPE} T
 
 # traces
 _add("trace_insert", _TRACES, "SELECT trace_id FROM traces UNION ALL SELECT trace_id + 1000000000 FROM traces WHERE agent_id = 'error'", _traces, lambda x: relational.inserted(x, x.where("agent_id = 'error'").withColumn("trace_id", F.col("trace_id") + 1000000000)).select("trace_id"))
-_add("trace_by_id", _TRACES, f"SELECT trace_id FROM traces WHERE trace_id = 5 AND {_SCOPE} LIMIT 1", _traces, lambda x: relational.first_by(relational.point(_mine(x), trace_id=5), [F.asc("trace_id")]).select("trace_id"))
+_add("trace_by_id", _TRACES, f"SELECT trace_id, agent_id FROM traces WHERE trace_id = (SELECT min(trace_id) FROM traces WHERE {_SCOPE}) AND {_SCOPE} LIMIT 1", _traces, lambda x: relational.first_by(relational.point(_mine(x), trace_id=_mine(x).agg(F.min("trace_id")).first()[0]), [F.asc("trace_id")]).select("trace_id", "agent_id"))
 _add("traces_by_session", _TRACES, f"SELECT trace_id, create_time FROM traces WHERE session_id = 'session-1' AND {_SCOPE} ORDER BY create_time, trace_id", _traces, lambda x: relational.oldest_first(relational.point(_mine(x), session_id="session-1"), "create_time", "trace_id").select("trace_id", "create_time"))
 _add("trace_admin_page", _TRACES, "SELECT trace_id FROM traces WHERE tenant_id = 't1' AND agent_id = 'click' AND create_time >= TIMESTAMP '2024-01-03' ORDER BY create_time DESC, trace_id DESC LIMIT 100 OFFSET 100", _traces, lambda x: relational.page_of(relational.matching(x, {"tenant_id": relational.admin_tenant(" ", "t1"), "owner_user_id": None, "agent_id": "click"}, ("create_time", "2024-01-03")), [F.desc("create_time"), F.desc("trace_id")], 2, 1000).select("trace_id"))
 _add("trace_admin_count", _TRACES, "SELECT count(*) AS n FROM traces WHERE tenant_id = 't1' AND agent_id = 'click'", _traces, lambda x: relational.count_matching(x, F.col("tenant_id") == "t1", F.col("agent_id") == "click"))
@@ -181,7 +186,7 @@ def _own(df: DataFrame) -> DataFrame:
 
 _add("memory_insert", _MEMORY, "SELECT memory_id, scope, status FROM memory UNION ALL SELECT memory_id + 1000000000, '/', 1 FROM memory WHERE status = 0", _memory, lambda x: relational.insert_memory(x, x.where("status = 0").select((F.col("memory_id") + 1000000000).alias("memory_id"), F.lit(None).cast("string").alias("scope"), "tenant_id", "user_id", "content_hash", F.lit(None).cast("int").alias("status")), F.lit(None).cast("long")).select("memory_id", "scope", "status"))
 _add("memory_by_id", _MEMORY, "SELECT memory_id FROM memory WHERE memory_id = 21 AND status = 1 LIMIT 1", _memory, lambda x: relational.first_by(relational.point(x, memory_id=21, status=1), [F.asc("memory_id")]).select("memory_id"))
-_add("memory_by_owner", _MEMORY, f"SELECT memory_id FROM memory WHERE {_M} AND status = 1", _memory, lambda x: relational.newest_first(_own(x), "created_at").select("memory_id"))
+_add("memory_by_owner", _MEMORY, f"SELECT memory_id, row_number() OVER (ORDER BY created_at DESC, memory_id DESC) - 1 AS place FROM memory WHERE {_M} AND status = 1", _memory, lambda x: _placed(relational.newest_first(_own(x), "created_at", "memory_id"), "memory_id"))
 _add("memory_by_scope", _MEMORY, "SELECT memory_id FROM memory WHERE starts_with(scope, '/en/1') AND status = 1", _memory, lambda x: relational.scope_prefix(x.where("status = 1"), "scope", "/en/1").select("memory_id"))
 _add("memory_recent", _MEMORY, f"SELECT memory_id FROM memory WHERE {_M} AND status = 1 AND starts_with(scope, '/en') ORDER BY created_at DESC, memory_id DESC LIMIT 5", _memory, lambda x: relational.recent(relational.scope_prefix(_own(x), "scope", "/en"), 5).select("memory_id"))
 _add("memory_hash_count", _MEMORY, "SELECT count(*) AS n FROM memory WHERE status = 1 AND scope = '/en/1' AND content_hash = (SELECT content_hash FROM memory WHERE memory_id = 21)", _memory, lambda x: relational.count_matching(x.join(relational.point(x, memory_id=21).select("content_hash"), "content_hash", "left_semi"), F.col("status") == 1, F.col("scope") == "/en/1"))
