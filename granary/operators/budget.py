@@ -87,6 +87,10 @@ def downsampled(points: DataFrame, series: str, order: Sequence[str], most: int
     kind = dict(points.dtypes)[order[0]]
     if kind in ("tinyint", "smallint", "int", "bigint", "float", "double", "timestamp") or kind.startswith("decimal"):
         at = F.col(order[0]).cast("double")
+    elif kind == "timestamp_ntz":
+        # as it stands, without a time zone that could turn hours back
+        t = F.col(order[0])
+        at = F.unix_date(t.cast("date")) * F.lit(86400.0) + F.hour(t) * 3600 + F.minute(t) * 60 + F.extract(F.lit("SECOND"), t).cast("double")
     else:
         at = F.unix_date(order[0]).cast("double") if kind == "date" else F.lit(0.0)
     facts = points.groupBy(F.col(series).alias("_s")).agg(F.count(F.lit(1)).alias("_n"), F.min(at).alias("_lo"), F.max(at).alias("_hi"))

@@ -20,17 +20,15 @@ def chunk_context(chunks: DataFrame, doc: str, order: str, text: str, n: int = 2
 def merge_entities(entities: DataFrame, order: str) -> DataFrame:
     """One entity for each (name, type): the first one's id and description (the first that is not null), properties of all, later ones on top.
 
-    Properties are merged as sorted entries, the last of a key wins.
+    A property's last value comes from an aggregation by its key, pre-aggregated in each task, so an entity that is told of very often is a row a task and key.
     """
-    keyed = entities.groupBy("name", "type").agg(
-        F.min_by("entity_id", order).alias("entity_id"),
-        F.min(F.when(F.col("description").isNotNull(), F.struct(F.col(order).alias("o"), F.col("description").alias("d")))).alias("_d"),
-        F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.map_entries(F.coalesce("properties", F.expr("map()").cast("map<string,string>"))).alias("p")))).alias("_p"),
-    )
-    entries = F.flatten(F.transform("_p", lambda x: x["p"]))
-    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
-    merged = F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"]))
-    return keyed.select("entity_id", "name", "type", F.col("_d.d").alias("description"), merged.alias("properties"))
+    described_ = F.min(F.when(F.col("description").isNotNull(), F.struct(F.col(order).alias("o"), F.col("description").alias("d"))))
+    keyed = entities.groupBy("name", "type").agg(F.min_by("entity_id", order).alias("entity_id"), described_.alias("_d"))
+    said = entities.select("name", "type", F.col(order).alias("_o"), F.explode("properties").alias("_k", "_v"))
+    last = said.groupBy("name", "type", "_k").agg(F.max(F.struct("_o", "_v"))["_v"].alias("_v"))
+    merged = last.groupBy(F.col("name").alias("_name"), F.col("type").alias("_type")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("_k", "_v")))).alias("properties"))
+    rows = keyed.join(merged, keyed["name"].eqNullSafe(merged["_name"]) & keyed["type"].eqNullSafe(merged["_type"]), "left")
+    return rows.select("entity_id", "name", "type", F.col("_d.d").alias("description"), F.coalesce("properties", F.expr("cast(map() as map<string, string>)")).alias("properties"))
 
 
 def resolve_relations(relations: DataFrame, entities: DataFrame, order: str, default_document: str | None = None) -> DataFrame:

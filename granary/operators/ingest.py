@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import digest, extension, trimmed
+from .tables import join_counted, written
 
 # What may be uploaded.
 EXTENSIONS = ("txt", "md", "markdown", "mdown", "mkd", "pdf", "doc", "docx", "html", "htm", "csv", "xls", "xlsx")
@@ -84,7 +85,8 @@ def embedded(rows: DataFrame, embed: Callable[[list[str]], list[list[float]]], t
 
     Distinct texts are embedded and joined back, so a repeated text costs one call wherever it stands.
     """
-    texts = rows.select(F.col(text_col).alias("_t")).where("_t is not null").distinct()
+    keyed = rows.withColumn("_h", F.sha2(F.col(text_col).cast("binary"), 256))
+    texts = keyed.where("_h is not null").groupBy("_h").agg(F.first(text_col).alias("_t"), F.count(F.lit(1)).alias("_n"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -95,10 +97,11 @@ def embedded(rows: DataFrame, embed: Callable[[list[str]], list[list[float]]], t
                 part = asked[i : i + size]
                 for j, v in zip(part, embed([all_[j] for j in part]), strict=True):
                     vectors[j] = [float(x) for x in v]
-            yield pd.DataFrame({"_t": all_, out: vectors})
+            yield pd.DataFrame({"_h": pdf["_h"], "_n": pdf["_n"], out: vectors})
 
-    found = texts.mapInPandas(run, f"_t string, {out} array<float>")
-    return rows.join(found, rows[text_col].eqNullSafe(found["_t"]), "left").drop("_t").withColumn(out, F.coalesce(out, F.array().cast("array<float>")))
+    found = written(texts.mapInPandas(run, f"_h string, _n long, {out} array<float>"), "embedded")
+    # rows meet vectors by the hash; those of a text with very many copies stay where they are
+    return join_counted(keyed, found, ["_h"], "_n", "left").select(*rows.columns, F.coalesce(out, F.array().cast("array<float>")).alias(out))
 
 
 def embedded_or_failed(rows: DataFrame, embed: Callable[[list[str]], list[list[float]]], text_col: str = "content", size: int = 64) -> DataFrame:

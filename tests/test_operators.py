@@ -407,3 +407,35 @@ def test_near_pairs_by_tiles(spark):
     want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and cos(a[3], b[3]) > 0.95}
     got = [(r.a, r.b) for r in memory.near_pairs(store, ["key"], 0.95).collect()]
     assert set(got) == want and len(got) == len(want)
+
+
+def test_a_long_series_of_local_times_has_many_spans(spark):
+    """Points of one series are numbered in spans: no task of the ranking window gets all of them."""
+    rows = spark.range(3000).select(F.lit("s").alias("series"), F.timestamp_add("SECOND", (F.col("id") * 37) % 3000, F.lit("2024-03-31 01:30:00").cast("timestamp_ntz")).alias("ts"), "id")
+    got = budget.downsampled(rows, "series", ["ts", "id"], 20)
+    ordered = sorted(((r.id * 37) % 3000, r.id) for r in rows.collect())
+    want = {int(p * (2999 / 19) + 0.5) if 0 < p < 19 else 0 if p == 0 else 2999 for p in range(20)}
+    assert sorted(r.id for r in got.collect()) == sorted(ordered[i][1] for i in want)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "unix_date" in plan
+
+
+def test_properties_of_an_entity_that_is_told_of_often(spark):
+    rows = [(i, "n", None if i % 2 else "t", f"d{i}" if i == 3 else None, {f"k{i % 3}": str(i)} if i % 5 else None) for i in range(30)]
+    df = spark.createDataFrame(rows, "entity_id long, name string, type string, description string, properties map<string, string>")
+    got = {r.type: (r.entity_id, r.description, r.properties) for r in graph.merge_entities(df, "entity_id").collect()}
+    want = {}
+    for i, _, t, d, p in rows:
+        e, old, props = want.get(t, (i, None, {}))
+        want[t] = (e, old or d, {**props, **(p or {})})
+    assert got == want
+
+
+def test_a_text_with_very_many_copies_is_embedded_once(spark):
+    def embed(texts):
+        return [[float(len(t)), float(len(set(texts)) == len(texts))] for t in texts]
+
+    rows = spark.range(12_000).select("id", F.when(F.col("id") < 11_000, "copy").when(F.col("id") == 11_000, None).otherwise(F.col("id").cast("string")).alias("content"))
+    got = ingest.embedded(rows, embed)
+    assert got.count() == 12_000 and got.where("get(embedding, 0) = 4 and get(embedding, 1) = 1").count() == 11_000
+    assert got.where("content is null").first().embedding == []
