@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,14 +29,15 @@ def stored_metadata(metadata: Column) -> Column:
     return F.transform_keys(kept, lambda k, v: name(k))
 
 
-def keyword_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", metadata: Column | None = None) -> DataFrame:
-    """Postings of docs (id, term, tf, dl, metadata): one pass that counts each document's terms in its own task.
+def keyword_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", metadata: Column | None = None, analyser: Callable[[Column], Column] = analysed) -> DataFrame:
+    """Postings of docs (id, term, tf, dl, metadata): one pass that counts each document's terms in its own task. analyser: from a text to its terms; see segment.spaced for texts
+    whose ideographs were cut into words.
 
     The row without a term stands for the document, so N and the mean length are sums over the index. Texts are not needed afterwards. Written with
     partitions or buckets by term, a search reads its own terms only.
     """
     meta = F.lit(None).cast("map<string,string>") if metadata is None else stored_metadata(metadata)
-    own = docs.select(F.col(id_col).alias("id"), analysed(F.col(text_col)).alias("words"), meta.alias("metadata"))
+    own = docs.select(F.col(id_col).alias("id"), analyser(F.col(text_col)).alias("words"), meta.alias("metadata"))
     terms = own.select("id", F.size("words").alias("dl"), F.explode("words").alias("term")).groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     whole = own.select("id", F.lit(None).cast("string").alias("term"), F.lit(None).cast("long").alias("tf"), F.size("words").alias("dl"), "metadata")
     return whole.unionByName(terms.select("id", "term", "tf", "dl", F.lit(None).cast("map<string,string>").alias("metadata")))

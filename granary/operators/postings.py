@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -46,14 +47,14 @@ def open_postings(spark: SparkSession, path: str) -> Postings:
     return Postings(path, *[spark.read.schema(kinds[x]).parquet(f"{path}/{x}") for x in ("terms", "lexicon", "blocks")], stats.documents, stats.shelves)
 
 
-def build_postings(docs: DataFrame, path: str | None = None, k1: float = 1.2, b: float = 0.75, size: int = BLOCK, shelves: int = SHELVES, slots: int = 4, id_col: str = "doc_id", text_col: str = "text") -> Postings:
+def build_postings(docs: DataFrame, path: str | None = None, k1: float = 1.2, b: float = 0.75, size: int = BLOCK, shelves: int = SHELVES, slots: int = 4, id_col: str = "doc_id", text_col: str = "text", analyser: Callable[[Column], Column] = analysed) -> Postings:
     """Reads texts once. A frequent term's postings are spread over tasks: its number of blocks is broadcast, and each block is a group of its own.
 
     Each table has `shelves` partitions of at most `slots` files each, whatever the number of tasks; more postings want more slots.
     """
     spark = docs.sparkSession
     path = path or new_path(spark, "postings")
-    rows = written(keyword_index(docs, id_col, text_col).select("id", "term", "tf", "dl"), "counted")
+    rows = written(keyword_index(docs, id_col, text_col, analyser=analyser).select("id", "term", "tf", "dl"), "counted")
     stats = rows.where("term is null").agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("mean")).withColumns({"shelves": F.lit(shelves), "id_type": F.lit(dict(rows.dtypes)["id"])})
     stats.coalesce(1).write.parquet(f"{path}/stats")
     mean = spark.read.parquet(f"{path}/stats").first().mean or 1.0
@@ -96,9 +97,9 @@ def _part(id_: Column, blocks: Column) -> Column:
     return F.pmod(F.xxhash64(id_), blocks)
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
-    """(query_id, term, boost): a query's words, each once."""
-    return queries.select("query_id", F.explode(F.array_distinct(analysed(F.col("text")))).alias("term"), F.lit(1.0).alias("boost"))
+def query_terms(queries: DataFrame, analyser: Callable[[Column], Column] = analysed) -> DataFrame:
+    """(query_id, term, boost): a query's words, each once. The index and its queries need one analyser."""
+    return queries.select("query_id", F.explode(F.array_distinct(analyser(F.col("text")))).alias("term"), F.lit(1.0).alias("boost"))
 
 
 def known_terms(index: Postings, asked: DataFrame) -> DataFrame:

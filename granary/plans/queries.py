@@ -486,3 +486,11 @@ def sliding_counts(spark, sf_dir):
     from ..streaming.ingest import windowed_counts
 
     return windowed_counts(table(spark, sf_dir, "events"))
+
+
+@query("sliding_windows", "SELECT start - half * INTERVAL 30 MINUTE AS start, event_type, count(*) AS n FROM (SELECT date_trunc('hour', ts) + (extract(minute FROM ts) // 30) * INTERVAL 30 MINUTE AS start, event_type FROM events), range(2) h(half) GROUP BY ALL")
+def sliding_windows(spark, sf_dir):
+    """Windows of an hour that begin every half hour."""
+    from ..streaming.ingest import windowed_counts
+
+    return windowed_counts(table(spark, sf_dir, "events"), slide="30 minutes")

@@ -44,6 +44,6 @@ def chunker_of(chunker: Callable) -> Callable:
     return lambda text, sections, name: chunker(text, sections, name)
 
 
-def windowed_counts(events: DataFrame, time: str = "ts", key: str = "event_type", late: str = "10 minutes", size: str = "1 hour") -> DataFrame:
-    """Counts of a time window and key; rows that come over `late` after the newest are left out. For streams and tables alike."""
-    return events.withWatermark(time, late).groupBy(F.window(time, size).alias("w"), key).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), key, "n")
+def windowed_counts(events: DataFrame, time: str = "ts", key: str = "event_type", late: str = "10 minutes", size: str = "1 hour", slide: str | None = None) -> DataFrame:
+    """Counts of a time window and key; a window begins every `slide`, else where the one before ends. In a stream rows that come over `late` after the newest are left out."""
+    return events.withWatermark(time, late).groupBy(F.window(time, size, slide).alias("w"), key).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), key, "n")
