@@ -170,13 +170,16 @@ def lean(run):
     return wrapped
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, few: int = 100_000) -> DataFrame:
     """(node, component) of the graph of edges (a, b): component is the smallest node that links reach.
 
     Every round hooks each root to the smallest neighbouring label and then halves the paths, so
     paths of any length take a logarithmic number of rounds; the state is a table, never on the driver.
+    At most `few` edges are one partition, so that rounds over a small graph are not dealt to hundreds of tasks each; more are shuffled.
     """
     both = cut(edges.select("a", "b").where("a <> b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b")).distinct())
+    if both.count() <= few:
+        both = both.coalesce(1)
     label = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")))
     while True:
         to = label.select(F.col("node").alias("b"), F.col("component").alias("lb"))
