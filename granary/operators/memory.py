@@ -65,6 +65,22 @@ def resolved(store: DataFrame, decided: DataFrame) -> DataFrame:
     return kept.select(*store.columns).unionByName(added, allowMissingColumns=True).select(*store.columns)
 
 
+def remembered(store: DataFrame, new: DataFrame, decide, order: str = "memory_id", **limits: float) -> tuple[DataFrame, DataFrame]:
+    """(store, decided): what a call adds, in one flow. new: memory_id, content, embedding, tenant_id, user_id, scope and the store's other columns.
+
+    First rows go whose content the same owner has in the same scope, and later ones of equal rows; the others get their decisions (see conflicts). Of those that would be stored (ADD, DELETE,
+    MERGE) rows go whose content the owner has in any scope: action SEEN. The rest is done by resolved. decided has a row for each row that passed the first check.
+    """
+    owner = ["tenant_id", "user_id"]
+    first = written(unseen(new, store, [*owner, "scope"], order), "unseen")
+    decided = written(conflicts(first, store, decide, **limits), "decided")
+    known = store.where("status = 1").select("content_hash", *owner).distinct().withColumn("_known", F.lit(True))
+    seen = F.coalesce("_known", F.lit(False)) & ~F.col("action").isin("UPDATE", "KEEP")
+    told = decided.join(known, ["content_hash", *owner], "left").withColumn("action", F.when(seen, "SEEN").otherwise(F.col("action"))).drop("_known")
+    told = written(told.select(*decided.columns), "told")
+    return resolved(store, told.where("action <> 'SEEN'")), told
+
+
 def recency(created: Column, now: Column, half_life: float = 30.0) -> Column:
     """0.5 ^ (whole days / half-life); a day is 86400 seconds, not a date."""
     days = F.timestamp_diff("DAY", created, now)

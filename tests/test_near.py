@@ -115,3 +115,18 @@ def test_copies_of_one_content_do_not_meet(spark):
     assert got.where("duplicate").count() == 3001 and got.where("duplicate_of_batch").count() == 2999
     kept = memory.without_duplicates(rows.select(F.col("doc_id").alias("memory_id"), "content_hash", "scope", F.lit(1).alias("status"), F.col("doc_id").alias("created_at")))
     assert [r.memory_id for r in kept.where("status = 1 and content_hash = 'x'").collect()] == [2999] and kept.where("status = 0").count() == 2999
+
+
+def test_a_call_of_remembering(spark):
+    """Equal in the scope: gone at once; near: a decision; equal in another scope: seen by the second check; else added."""
+    import hashlib
+
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    schema = "memory_id long, content string, content_hash string, embedding array<double>, tenant_id string, user_id string, scope string, status int"
+    row = lambda i, text, angle, scope="/", user="u", status=1: (i, text, digest(text), [float(np.cos(angle)), float(np.sin(angle))], "t", user, scope, status)
+    old = spark.createDataFrame([row(1, "one", 0.0), row(2, "two", 2.0), row(3, "three", 4.0, "/a"), row(4, "gone", 5.0, status=0)], schema)
+    new = spark.createDataFrame([row(10, "one", 0.0), row(11, "one again", 0.05), row(12, "two more", 2.05), row(13, "three", 1.0), row(14, "new", 3.0), row(15, "new", 3.0), row(16, "gone", 5.0), row(17, "one", 0.0, user="other")], schema)
+    decide = lambda d: d.withColumn("action", F.when(F.col("old_id") == 1, "UPDATE").otherwise("DELETE"))
+    store, told = memory.remembered(old, new, decide)
+    assert {r.memory_id: (r.action, r.old_id) for r in told.collect()} == {11: ("UPDATE", 1), 12: ("DELETE", 2), 13: ("SEEN", None), 14: ("ADD", None), 16: ("ADD", None), 17: ("ADD", None)}
+    assert {(r.memory_id, r.content) for r in store.collect()} == {(1, "one again"), (3, "three"), (4, "gone"), (12, "two more"), (14, "new"), (16, "gone"), (17, "one")}

@@ -102,6 +102,13 @@ def test_index_does_not_depend_on_partitions(spark, built):
     assert (again.centres == quantiser.centres).all() and (again.books == quantiser.books).all()
 
 
+def test_an_index_learnt_from_a_share_has_every_row(spark, built):
+    x, df, _, _ = built
+    few = vectors.trained(df, parts=4, codes=32, sample=150)
+    assert (few.centres == vectors.trained(df.repartition(3), parts=4, codes=32, sample=150).centres).all() and len(few.centres) <= 25
+    assert vectors.build_index(df, few).table(spark, "codes").count() == len(x)
+
+
 def test_shelves_that_are_not_probed_are_not_read(spark, built):
     x, df, quantiser, index = built
     one = asked(df).limit(1)
