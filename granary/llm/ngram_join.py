@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch, beside, components, cut, join_unique, lean, mix, slices, texts_of
+from .common import batch, beside, checkpoints, components, cut, delete, join_unique, lean, mix, shared_folder, slices, texts_of
 from .tokens import Tokeniser
 
 _U = np.uint64
@@ -429,13 +429,19 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, small: int = 100
     """docs with their own columns, of each component only the document with the smallest id.
 
     Documents without words and rows with a null id stay; of repeated rows one stays. The ids that
-    go are broadcast only if there are at most `small` of them.
+    go are broadcast only if there are at most `small` of them. What the join has checkpointed is deleted when the ids are known; no other
+    operator of the session may make checkpoints meanwhile.
     """
+    spark = docs.sparkSession
+    shared_folder(spark)
+    before = checkpoints(spark)
     found = ngram_jaccard_components(docs, k=k, percent=percent)
+    made = checkpoints(spark) - before
     gone = cut(found.where("component_id <> doc_id").select("doc_id").distinct())
     beside = F.broadcast if gone.count() <= small else (lambda x: x)
     kept = docs.join(beside(gone), "doc_id", "left_anti").select(*docs.columns)
     twice = cut(found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
+    delete(spark, made)
     if twice.isEmpty():
         return kept
     # rows that share an id: one of those that are wholly alike
