@@ -6,6 +6,7 @@ import math
 import random
 import re
 from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -93,6 +94,15 @@ def test_stored_index_follows_its_table(spark, tmp_path):
     assert second.path != first.path and second.documents == 2 and {r.term for r in second.terms.collect()} == {"one", "two", "three"}
 
 
+def test_searches_side_by_side_build_one_index(spark, tmp_path, monkeypatch):
+    source, made, build = f"{tmp_path}/documents.parquet", [], postings.build_postings
+    spark.createDataFrame([(1, "one two")], "doc_id long, text string").write.parquet(source)
+    monkeypatch.setattr(postings, "build_postings", lambda *a, **b: made.append(build(*a, **b)) or made[-1])
+    with ThreadPoolExecutor(4) as pool:
+        paths = set(pool.map(lambda _: postings.stored_postings(spark, source).path, range(4)))
+    assert len(paths) == len(made) == 1
+
+
 def test_index_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     q = spark.createDataFrame([(1, "a b")], "query_id long, text string")
