@@ -55,6 +55,31 @@ def test_large_groups_meet_tile_by_tile(spark, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == {p for p in all_pairs(x, x, 0.999) if p[0] < p[1]}
 
 
+def test_a_wide_reach_takes_fewer_pivots(spark, monkeypatch):
+    """Random directions and a reach over half the sphere: a row would have a place in nearly every cell."""
+    x = np.random.default_rng(3).normal(size=(1000, 32))
+    df, placed, made = side(spark, x), near._placed, []
+
+    def kept(rows, pivots, *more, **options):
+        out = placed(rows, pivots, *more, **options)
+        if more[1] is not None and not options:
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(near, "_placed", kept)
+    pairs, _ = near.near_join(df, df, ["owner"], 0.35, itself=True)
+    got = [(r.left_id, r.right_id) for r in pairs.collect()]
+    assert len(got) == len(set(got)) and set(got) == {p for p in all_pairs(x, x, 0.35) if p[0] < p[1]}
+    assert made[0] <= near.COPIES * 1000
+
+
+def test_pairs_leave_a_task_in_batches(spark, monkeypatch):
+    monkeypatch.setattr(near, "BATCH", 100)
+    x = np.ones((200, 4)) + 0.001 * np.random.default_rng(4).normal(size=(200, 4))
+    df = side(spark, x)
+    assert near.near_join(df, df, ["owner"], 0.9, itself=True)[0].distinct().count() == 200 * 199 // 2
+
+
 def test_rows_without_pairs(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0], 1), (2, None, 1), (3, [0.0, 0.0], 1), (4, [1.0, 0.1], None), (5, [1.0, 0.1], 1)], "id long, v array<double>, owner long")
     assert [(r.left_id, r.right_id) for r in near.near_join(df, df, ["owner"], 0.9, itself=True)[0].collect()] == [(1, 5)]
