@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from granary.operators import fuzzy, postings, retrieve
+from granary.operators.index import keyword_index
 from granary.operators.tables import join_counted, written
 
 
@@ -94,6 +95,15 @@ def test_stored_index_follows_its_table(spark, tmp_path):
     assert second.path != first.path and second.documents == 2 and {r.term for r in second.terms.collect()} == {"one", "two", "three"}
 
 
+def test_words_are_counted_inside_their_row(spark):
+    docs = {1: "b a b. A", 2: "", 3: None, 4: "one", 5: "x y z x"}
+    rows = keyword_index(spark.createDataFrame(list(docs.items()), "doc_id long, text string"))
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    got = {(r.id, r.term): (r.tf, r.dl) for r in rows.collect()}
+    want = {(i, w): (n, len(words(t))) for i, t in docs.items() for w, n in Counter(words(t)).items()}
+    assert got == want | {(i, None): (None, len(words(t))) for i, t in docs.items()}
+
+
 def test_searches_side_by_side_build_one_index(spark, tmp_path, monkeypatch):
     source, made, build = f"{tmp_path}/documents.parquet", [], postings.build_postings
     spark.createDataFrame([(1, "one two")], "doc_id long, text string").write.parquet(source)
