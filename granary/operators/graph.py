@@ -95,18 +95,29 @@ def by_type(entities: DataFrame, kind: str, limit: int) -> DataFrame:
     return entities.where(F.col("type") == kind).orderBy("entity_id").limit(limit)
 
 
+def word_matches(entities: DataFrame, words: DataFrame, k: int, grams: int = 3) -> DataFrame:
+    """(word, entity_id): for each of words (word), each there once, the k smallest ids of entities whose name contains it.
+
+    A name that contains a word has the word's first `grams` letters (all of a shorter one) somewhere, so candidates come from an equi-join of letter groups, and contains is checked
+    on them only. Of entities with one name, and of those of one word, only the k smallest ids go on, which each task sees to before rows are shuffled.
+    """
+    smallest = lambda rows, by: rows.withColumn("_i", F.dense_rank().over(Window.partitionBy(by).orderBy("entity_id"))).where(F.col("_i") <= k).drop("_i")
+    places = F.sequence(F.lit(1), F.greatest(F.length("name"), F.lit(1)))
+    parts = F.flatten(F.transform(places, lambda i: F.transform(F.sequence(F.lit(1), F.lit(grams)), lambda n: F.substring("name", i, n))))
+    named = smallest(entities.select("entity_id", "name"), "name").select("entity_id", "name", F.explode(F.array_distinct(parts)).alias("gram"))
+    hits = named.join(words.select("word", F.substring("word", 1, grams).alias("gram")), "gram").where(F.contains(F.col("name"), F.col("word")))
+    return smallest(hits.select("word", "entity_id"), "word").distinct()
+
+
 def text_matches(entities: DataFrame, queries: DataFrame, k: int, grams: int = 3) -> DataFrame:
     """(query_id, entity_id, rank): entities whose name contains the whole query, then those that contain a word of it longer than one letter.
 
-    An entity stands at its first match; words in order, then ids. A name that contains a word has the word's first `grams` letters (all of a
-    shorter one) somewhere, so candidates come from an equi-join of letter groups, and contains is checked on them only.
+    An entity stands at its first match; words in order, then ids. Words that queries share are looked for once, see word_matches. The k smallest ids of each word will do: what stands
+    before one of a query's k best by a smaller id of the same word is among the k best itself.
     """
     words = F.filter(F.split(F.col("text"), r"\s+"), lambda w: F.length(w) > 1)
-    asked = queries.select("query_id", F.posexplode(F.concat(F.array("text"), words)).alias("at", "word")).where("word <> ''").withColumn("gram", F.substring("word", 1, grams))
-    places = F.sequence(F.lit(1), F.greatest(F.length("name"), F.lit(1)))
-    parts = F.flatten(F.transform(places, lambda i: F.transform(F.sequence(F.lit(1), F.lit(grams)), lambda n: F.substring("name", i, n))))
-    named = entities.select("entity_id", "name", F.explode(F.array_distinct(parts)).alias("gram"))
-    hits = named.join(asked, "gram").where(F.contains(F.col("name"), F.col("word")))
+    asked = queries.select("query_id", F.posexplode(F.concat(F.array("text"), words)).alias("at", "word")).where("word <> ''")
+    hits = asked.join(word_matches(entities, asked.select("word").distinct(), k, grams), "word")
     first = hits.groupBy("query_id", "entity_id").agg(F.min("at").alias("at"))
     w = Window.partitionBy("query_id").orderBy("at", "entity_id")
     return first.withColumn("rank", (F.row_number().over(w) - 1).cast("long")).where(F.col("rank") < k).select("query_id", "entity_id", "rank")

@@ -259,6 +259,22 @@ def test_graph(spark):
     assert [r.entity_id for r in found] == [1, 2]
 
 
+def test_words_keep_their_smallest_ids(spark):
+    """However many names contain a word, k ids of it go on; matches stay what comparing all gives."""
+    names = {i: f"{('red', 'blue')[i % 2]} {('ring', 'bolt', 'nut')[i % 3]} {i % 50}" for i in range(600)}
+    ents = spark.createDataFrame(list(names.items()), "entity_id long, name string")
+    texts = {i: f"{('bolt', 'red', 'ue ri', 'none')[i % 4]} {i} nut" for i in range(80)}
+    kept = graph.word_matches(ents, spark.createDataFrame([("red",), ("bolt",), ("none",)], "word string"), 4).collect()
+    assert sorted((r.word, r.entity_id) for r in kept) == sorted((w, i) for w in ("red", "bolt") for i in [j for j in names if w in names[j]][:4])
+    got = {(r.query_id, r.entity_id): r["rank"] for r in graph.text_matches(ents, spark.createDataFrame(list(texts.items()), "query_id long, text string"), 4).collect()}
+    want = {}
+    for q, t in texts.items():
+        asked = [t, *[w for w in t.split() if len(w) > 1]]
+        at = sorted((min(p for p, w in enumerate(asked) if w in n), i) for i, n in names.items() if any(w in n for w in asked))
+        want |= {(q, i): r for r, (_, i) in enumerate(at[:4])}
+    assert got == want
+
+
 def test_evaluate(spark):
     rows = spark.createDataFrame([(0.9, 0.8, 0.1), (0.9, 0.8, 0.3)], "faithful double, relevant double, hallucinated double")
     assert [(r.overall, r.acceptable) for r in evaluate.answer_quality(rows).collect()] == [(0.86, True), (0.82, False)]
