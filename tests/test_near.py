@@ -127,6 +127,12 @@ def test_merges_equal_one_by_one_visits(spark):
     assert {(r.a, r.b) for r in memory.merged_into(spark.createDataFrame(long, "a long, b long")).collect()} == {(i, i + 1) for i in range(0, 9, 2)}
 
 
+def test_a_row_is_taken_up_by_the_first_that_stays(spark):
+    """3 is settled a round after 4, and takes up 5 before 4 does."""
+    pairs = spark.createDataFrame([(1, 2), (2, 3), (3, 5), (4, 5)], "a long, b long")
+    assert {(r.a, r.b) for r in memory.merged_into(pairs).collect()} == {(1, 2), (3, 5)}
+
+
 def test_without_a_decision_nothing_is_merged(spark):
     out, report = memory.consolidated(store(spark, np.ones((3, 2))), F.lit(0))
     assert out.where("status = 1").count() == 3 and tuple(report.first()) == (0, 0, 0)
