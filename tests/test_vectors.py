@@ -134,6 +134,16 @@ def test_neighbour_graph(spark):
     assert all(abs(scores[r.query_id, r.id] - r.score) < 1e-9 for r in found.collect())
 
 
+def test_a_checked_walk_is_exact(spark):
+    """Random directions, a narrow walk over few links: it misses hits, which the check adds."""
+    df = frame(spark, np.random.default_rng(5).normal(size=(600, 16)), [(9000, None), (9001, [0.0] * 16)])
+    walk = neighbours.graph_walk(df, neighbours.linked(neighbours.neighbour_graph(df, 3), 3), asked(df), 12, 2, entries=8, skip_self=True)
+    rows = lambda x: {(r.query_id, r.id, r.score, r.rank) for r in x.collect()}
+    want = rows(retrieve.vector_search(df, asked(df), 5, "cosine", skip_self=True))
+    assert rows(neighbours.nearest_of(walk, 5, skip_self=True)) != want
+    assert rows(neighbours.checked(walk, df, asked(df), 5, skip_self=True)) == want
+
+
 def test_neighbours_of_rows_alike_and_of_none(spark):
     x = np.ones((300, 4))
     x[200:] = np.random.default_rng(1).normal(size=(100, 4))
