@@ -152,3 +152,14 @@ def test_neighbours_of_rows_alike_and_of_none(spark):
     assert graph.count() == 1200
     none = neighbours.neighbour_graph(df.limit(0), 4)
     assert none.count() == 0 and neighbours.graph_walk(df.limit(0), neighbours.linked(none, 4), asked(df), 8, 4).count() == 0
+
+
+def test_queries_meet_codes_in_parts(spark, monkeypatch):
+    """The candidates do not depend on how many queries meet a batch at once, and no more pairs than these queries' are held."""
+    df = frame(spark, clustered(500))
+    index = vectors.build_index(df, vectors.trained(df, cells=10, parts=4, codes=16))
+    rows = lambda: {tuple(r) for r in vectors.candidates(index, asked(df), 5, 12, skip_self=True).collect()}
+    monkeypatch.setattr(vectors, "TOGETHER", 10_000)
+    whole = rows()
+    monkeypatch.setattr(vectors, "TOGETHER", 3)
+    assert rows() == whole and len(whole) == 12 * asked(df).count()
