@@ -455,3 +455,12 @@ def test_a_text_with_very_many_copies_is_embedded_once(spark):
     got = ingest.embedded(rows, embed)
     assert got.count() == 12_000 and got.where("get(embedding, 0) = 4 and get(embedding, 1) = 1").count() == 11_000
     assert got.where("content is null").first().embedding == []
+
+
+def test_long_texts_leave_in_pieces():
+    import pandas as pd
+
+    from granary.functions.text import pieces
+
+    pdf = pd.DataFrame({"i": range(7), "text": ["a" * 4, None, "b" * 7, b"c" * 30, "", "d", "e"]})
+    assert [p["i"].tolist() for p in pieces(pdf, "text", 10)] == [[0, 1], [2], [3], [4, 5, 6]] and list(pieces(pdf[:0], "text")) == []
