@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,32 +126,42 @@ def _following(keys: DataFrame, width: int) -> DataFrame:
     return inner.join(after, "range", "left").select("key", F.coalesce("next", "after").alias("next"))
 
 
-def with_next(docs: DataFrame, columns: list[str], id_col: str = "doc_id", width: int = 512, small: int = 50_000, task: int = 32_000_000) -> DataFrame:
+def with_next(docs: DataFrame, columns: list[str], id_col: str = "doc_id", width: int = 512, small: int = 50_000, task: int = 32_000_000, later: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """docs with next_<c> for each column c: the value in the next row by descending id, after the last row the first.
 
-    Texts move once, to the range of ids that they belong to (`width` values), ranges being dealt to as many tasks as give each about `task` characters; only the
-    rows at the end of a range get theirs by a join. Rows with one id stand in the order of their text. Rows with a null id are
-    their own next row. Columns of docs named next_<c> are replaced, others stay whatever their names.
+    Each row moves once and whole, to the range of ids that it belongs to (`width` values), ranges being dealt to as many tasks as give each about `task` characters;
+    a copy of the row behind a range's end goes along with it, so nothing moves again. Rows with one id stand in the order of their text. Rows with a null id are
+    their own next row. Columns of docs named next_<c> are replaced, others stay whatever their names. later: adds columns to rows that have moved, which
+    `columns` may name (it keeps the columns _key and _range, by which rows lie); so they are worked out once a row and not moved.
     """
     docs = docs.drop(*[f"next_{c}" for c in columns])
     names = docs.columns
     text = [c for c, t in docs.dtypes if t == "string" and c in columns]
     size = sum((F.coalesce(F.length(F.col(c)), F.lit(0)) for c in text), F.lit(64))
-    carried = docs.select(F.struct(*names).alias("own"), F.col(id_col).cast("long").alias("key"), F.struct(*columns).alias("want"), F.struct(F.lit(0), *text).alias("tie"))
-    known = carried.where("key is not null").withColumn("range", F.floor(F.col("key") / width).cast("long"))
+    of_own = lambda some: [F.col("own")[c].alias(c) for c in some]
+    carried = docs.select(F.struct(*names).alias("own"), F.col(id_col).cast("long").alias("key"))
+    carried = carried.withColumn("range", F.floor(F.col("key") / width).cast("long"))
+    known = carried.where("key is not null")
     tops = docs.where(F.col(id_col).isNotNull()).groupBy(F.floor(F.col(id_col) / width).cast("long").alias("range")).agg(F.max(F.col(id_col).cast("long")).alias("top"), F.sum(size).alias("size"))
     tops = cut(tops)
     parts = int(max(1, -(-(tops.agg(F.sum("size")).first()[0] or 0) // task)))
-    w = Window.partitionBy("range").orderBy(F.desc("key"), "tie")
-    inner = known.repartition(parts, "range").withColumn("next", F.lead("want").over(w))
     links = _following(tops.select(F.col("range").alias("key")), 2048).select(F.col("key").alias("range"), F.col("next").alias("below"))
     first = tops.agg(F.max("top").alias("first"))
     ends = links.join(tops.select(F.col("range").alias("below"), F.col("top").alias("after")), "below", "left").select("range", F.coalesce("after", first.scalar()).alias("key"))
     ends = cut(ends)
-    heads = known.select("key", "want").join(beside(ends, small), "key").groupBy("range").agg(F.min("want").alias("head"))
-    # the heads hold texts: a join that Spark plans by their size
-    out = inner.join(heads, "range", "left").select("own", F.coalesce("next", "head").alias("next"))
-    out = out.unionByName(carried.where("key is null").select("own", F.col("want").alias("next")))
+    heads = known.select("own", "key").join(beside(ends, small), "key").groupBy("range").agg(F.min_by("own", F.struct(*of_own(c for c in columns if c in names))).alias("own"))
+
+    def added(rows: DataFrame) -> DataFrame:
+        if later is not None:
+            rows = later(rows.select("own.*", F.col("key").alias("_key"), F.col("range").alias("_range")))
+            rows = rows.select(F.struct(*[c for c in rows.columns if c not in ("_key", "_range")]).alias("own"), F.col("_key").alias("key"), F.col("_range").alias("range"))
+        return rows.withColumn("want", F.struct(*of_own(columns)))
+
+    # the row from behind the end has no key, which stands last
+    moved = known.unionByName(heads.select("own", F.lit(None).cast("long").alias("key"), "range")).repartition(parts, "range")
+    w = Window.partitionBy("range").orderBy(F.desc("key"), F.struct(F.lit(0), *of_own(text)))
+    out = added(moved).withColumn("next", F.lead("want").over(w)).where("key is not null").select("own", "next")
+    out = out.unionByName(added(carried.where("key is null")).select("own", F.col("want").alias("next")))
     return out.select("own.*", *[F.col(f"next.{c}").alias(f"next_{c}") for c in columns])
 
 
@@ -163,8 +175,8 @@ def edited_likeness(docs: DataFrame, low: float = 0.0005, high: float = 0.08) ->
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text"))
     band = lexicon(rows, "text", low, high).scalar()
-    own = rows.withColumn("_band", band).select("doc_id", "text", F.explode(F.array(fingerprint(F.col("text"), F.col("_band")))).alias("fingerprint"))
-    both = with_next(own, ["text", "fingerprint"])
+    own = lambda d: d.withColumn("_band", band).select("doc_id", "text", "_key", "_range", F.explode(F.array(fingerprint(F.col("text"), F.col("_band")))).alias("fingerprint"))
+    both = with_next(rows, ["text", "fingerprint"], later=own)
     n = F.length("text")
     part = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - part), F.substring(F.col("next_text"), F.lit(1), part))

@@ -293,6 +293,24 @@ def test_next_document(spark, monkeypatch):
     assert got[3].fingerprint == got[70_000_000].fingerprint and got[3].fingerprint != got[7].fingerprint
 
 
+def test_a_row_moves_once_to_meet_its_next(spark):
+    rng = random.Random(4)
+    texts = [rng.randbytes(10_000).hex() for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").localCheckpoint()
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    written = lambda: spark._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        begun = written()
+        got = imatch.with_next(df, ["text"], width=20, task=500_000).collect()
+        moved = written() - begun
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    assert {r.doc_id: r.next_text for r in got} == {i: texts[(i - 1) % 200] for i in range(200)}
+    # every text once, and twice the ten behind the ends of ranges
+    assert moved < 1.2 * sum(map(len, texts))
+
+
 def test_following_by_ranges(spark):
     ids = [5, 1, 900, 901, 12_345, -70, 64]
     got = {r.key: r.next for r in imatch._following(spark.createDataFrame([(i,) for i in ids], "key long"), 3).collect()}
