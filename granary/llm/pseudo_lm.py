@@ -33,6 +33,16 @@ def depth_of(words: int) -> int:
     return min(BITS, max(1, int(np.log2(words + 1) / 3)))
 
 
+def _firsts(x: np.ndarray) -> np.ndarray:
+    """Where a new value begins in sorted values."""
+    return np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+
+
+def _summed(x: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the rows of x from each of `first` to the next; an even number of floats is summed in pairs, as complex numbers."""
+    return np.add.reduceat(x.view(np.complex64), first, axis=0).view(np.float32) if x.shape[1] % 2 == 0 else np.add.reduceat(x, first, axis=0)
+
+
 class Vocabulary:
     """Classes, leaves and shares of words, from counts over the whole corpus.
 
@@ -50,13 +60,27 @@ class Vocabulary:
         self.leaf_total = total
         order = np.argsort(codes)
         rank = np.arange(len(codes))
-        self.codes, self.rank = codes[order], rank[order]
+        self.codes, self.rank, self.starts = codes[order], rank[order], None
         self.log = np.where(rank < own, 0.0, np.log(counts / total[leaf]))[order]
         self.equal = np.log((rest[:, 0] + 1.0) / (rest[:, 1] + 1.0))
         self.other = self.equal - np.log(total)
         mass = np.concatenate((counts[:own] + 1.0, np.ones(self.first - own), total.reshape(self.shared, -1).sum(1)))
         self.unigram = np.log(mass / mass.sum())
 
+    def find(self, codes: np.ndarray) -> np.ndarray:
+        """Where codes stand among the listed ones (of which there are some); any place for a code that is not listed."""
+        if self.starts is None:
+            # codes are spread evenly, so their first bits lead to within a few places
+            self.starts = np.searchsorted(self.codes, np.arange(1 << 16, dtype=_U) << _U(48)).astype(np.int32)
+        last = len(self.codes) - 1
+        at = np.minimum(np.take(self.starts, (codes >> _U(48)).astype(np.int64)), last)
+        behind = np.flatnonzero(np.take(self.codes, at) < codes)
+        while len(behind):
+            at[behind] += 1
+            behind = behind[at[behind] <= last]
+            behind = behind[(self.codes[at[behind]] < codes[behind]) & (self.codes[at[behind]] >> _U(48) == codes[behind] >> _U(48))]
+        return np.minimum(at, last)
+
     def entries(self, texts: list[bytes], tokens: Tokeniser) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(class, leaf or -1, row as context, ln P(word | class and leaf)) of each word of texts, and the texts' bounds."""
         codes, bounds, _ = tokens.codes(texts)
@@ -64,7 +88,7 @@ class Vocabulary:
         log, cls = self.other[leaf], self.first + (leaf >> self.depth)
         context = CONTEXT[0] + (codes >> _U(20)).astype(np.int64) % CONTEXT[1]
         if len(self.codes) and len(codes):
-            at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+            at = self.find(codes)
             known = np.flatnonzero(self.codes[at] == codes)
             rank = self.rank[at[known]]
             log[known] = self.log[at[known]]
@@ -122,67 +146,99 @@ class Network:
         way = leaf & ((1 << d) - 1)
         return (leaf >> d << d) + ((1 << j) | (way >> (d - j))), (way >> (d - 1 - j)) & 1
 
+    def hidden_of(self, a: np.ndarray) -> np.ndarray:
+        """The hidden layer of rows of windows."""
+        h = np.take(self.e[0], a[:, 0], axis=0)
+        h += self.b
+        for p in range(1, len(WINDOW)):
+            h += np.take(self.e[p], a[:, p], axis=0)
+        return np.tanh(h, out=h)
+
+    def logits(self, h: np.ndarray) -> np.ndarray:
+        """Logits of all classes up to a number a row of h, a row a class, so that steps over the classes go along whole rows."""
+        z = self.w.T @ h.T
+        z += self.u[:, None]
+        # no element of h is above 1; small logits need no shift to be raised
+        if not np.abs(self.w).sum(0).max() + np.abs(self.u).max() < 60:
+            z -= z.max(0)
+        return z
+
     def log_probabilities(self, x: np.ndarray, y: np.ndarray, leaf: np.ndarray) -> np.ndarray:
         """ln P(class y and leaf | window x) for each row."""
         out = np.empty(len(y))
+        # each leaf's weights and bias at each step on its way, with the sign of the branch that is not taken
+        ways = []
+        for j in range(self.depth):
+            node, right = self.node(np.arange(len(self.t)), j)
+            sign = (1 - 2 * right).astype(np.float32)
+            ways.append((np.take(self.t, node, axis=0) * sign[:, None], self.c[node] * sign))
         for i in range(0, len(y), 4096):
             a, t, f = x[i : i + 4096], y[i : i + 4096], leaf[i : i + 4096]
-            h = self.b + self.e[0][a[:, 0]]
-            for p in range(1, len(WINDOW)):
-                h += self.e[p][a[:, p]]
-            np.tanh(h, out=h)
-            z = h @ self.w + self.u
-            z -= z.max(1)[:, None]
-            picked = z[np.arange(len(t)), t]
+            h = self.hidden_of(a)
+            z = self.logits(h)
+            picked = z[t, np.arange(len(t))]
             np.exp(z, out=z)
-            got = (picked - np.log(z.sum(1))).astype(float)
+            got = (picked - np.log(z.sum(0))).astype(float)
             below = np.flatnonzero(f >= 0)
-            g, own = h[below], f[below]
-            for j in range(self.depth):
-                node, right = self.node(own, j)
-                s = np.einsum("nh,nh->n", g, self.t[node]) + self.c[node]
-                got[below] -= np.log1p(np.exp(-np.clip(np.where(right, s, -s), -30, 30)))
+            g, own = np.take(h, below, axis=0), f[below]
+            # 1 / P of all choices so far: at most 16 factors of at most 1 + e^30
+            inverse = np.ones(len(below))
+            for weight, bias in ways:
+                s = np.einsum("nh,nh->n", g, np.take(weight, own, axis=0))
+                s += np.take(bias, own)
+                np.exp(np.minimum(s, np.float32(30), out=s), out=s)
+                inverse *= 1.0 + s.astype(float)
+            got[below] -= np.log(inverse)
             out[i : i + 4096] = got
         return out
 
     def train(self, x: np.ndarray, y: np.ndarray, leaf: np.ndarray, state: list[np.ndarray], turn: int, rate: float = 0.05, size: int = 2048) -> int:
         """One pass of Adagrad over the rows; state holds the sums of squares. Of the trees each step trains one level, in turn; returns the turn."""
+        rows = sum(CONTEXT) + 1
+        # nodes and rows in few bits: short numbers are sorted by their digits
+        small, places = np.min_scalar_type(len(self.t)), (np.arange(len(WINDOW)) * rows).astype(np.uint16)
+        x = x.astype(np.uint16)
         for i in range(0, len(y), size):
             a, t, f = x[i : i + size], y[i : i + size], leaf[i : i + size]
             n = len(t)
-            h = np.tanh(self.b + sum(self.e[p][a[:, p]] for p in range(len(WINDOW))))
-            z = h @ self.w + self.u
-            z = np.exp(z - z.max(1, keepdims=True))
-            z /= z.sum(1, keepdims=True)
-            z[np.arange(n), t] -= 1
-            z /= np.float32(np.sqrt(n))
-            dh = z @ self.w.T
+            h = self.hidden_of(a)
+            z = self.logits(h)
+            np.exp(z, out=z)
+            share = np.float32(1 / np.sqrt(n))
+            z *= share / z.sum(0)
+            z[t, np.arange(n)] -= share
+            dh = z.T @ self.w.T
             below = np.flatnonzero(f >= 0)
             node, right = self.node(f[below], turn % self.depth)
             turn += 1
-            order = np.argsort(node, kind="stable")
+            order = np.argsort(node.astype(small), kind="stable")
             below, node, right = below[order], node[order], right[order]
-            g = h[below]
-            s = np.einsum("nh,nh->n", g, self.t[node]) + self.c[node]
+            g, way = np.take(h, below, axis=0), np.take(self.t, node, axis=0)
+            s = np.einsum("nh,nh->n", g, way) + self.c[node]
             err = ((1 / (1 + np.exp(-np.clip(s, -30, 30))) - right) / np.sqrt(n)).astype(np.float32)
-            dh[below] += err[:, None] * self.t[node]
+            way *= err[:, None]
+            dh[below] += way
             if len(node):
-                first = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
+                first = _firsts(node)
                 used = node[first]
-                for name, d in (("t", np.add.reduceat(g * err[:, None], first, axis=0)), ("c", np.add.reduceat(err, first))):
+                g *= err[:, None]
+                for name, d in (("t", _summed(g, first)), ("c", np.add.reduceat(err, first))):
                     k = self.PARTS.index(name)
-                    state[k][used] += d * d
-                    getattr(self, name)[used] -= rate * d / np.sqrt(state[k][used])
+                    squares = state[k][used] + d * d
+                    state[k][used] = squares
+                    getattr(self, name)[used] -= rate * d / np.sqrt(squares)
             dh *= 1 - h * h
-            for p in range(len(WINDOW)):
-                # the rows of dh are summed by the word at this place
-                order = np.argsort(a[:, p], kind="stable")
-                own = a[order, p]
-                first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-                d, used = np.add.reduceat(dh[order], first, axis=0), own[first]
-                state[0][p, used] += d * d
-                self.e[p, used] -= rate * d / np.sqrt(state[0][p, used])
-            for k, (name, d) in enumerate((("b", dh.sum(0)), ("w", h.T @ z), ("u", z.sum(0))), 1):
+            # the rows of dh are summed by the word at each place; one that is nowhere gets 0
+            own = (a + places).T.ravel()
+            order = np.argsort(own, kind="stable")
+            own = own[order]
+            first = _firsts(own)
+            d = np.zeros((len(WINDOW) * rows, self.hidden), np.float32)
+            d[own[first]] = _summed(np.take(dh, order % n, axis=0), first)
+            d = d.reshape(self.e.shape)
+            state[0] += d * d
+            self.e -= rate * d / np.sqrt(state[0])
+            for k, (name, d) in enumerate((("b", dh.sum(0)), ("w", h.T @ z.T), ("u", z.sum(1))), 1):
                 state[k] += d * d
                 getattr(self, name)[...] -= rate * d / np.sqrt(state[k])
         return turn
@@ -244,7 +300,7 @@ def rare_gains(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary) -> Da
                 codes, bounds, _ = tokens.codes(texts[i:j])
                 rare = np.ones(len(codes), bool)
                 if len(vocabulary.codes) and len(codes):
-                    rare = vocabulary.codes[np.minimum(np.searchsorted(vocabulary.codes, codes), len(vocabulary.codes) - 1)] != codes
+                    rare = vocabulary.codes[vocabulary.find(codes)] != codes
                 # a word that is several times in a text is one row
                 owner, codes = np.repeat(np.arange(j - i), np.diff(bounds))[rare], codes[rare]
                 order = np.lexsort((codes, owner))
@@ -257,7 +313,7 @@ def rare_gains(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary) -> Da
     spark = docs.sparkSession
     equal = F.broadcast(spark.createDataFrame(pd.DataFrame({"leaf": np.arange(len(vocabulary.equal)), "equal": vocabulary.equal}), "leaf int, equal double"))
     gain = counts.withColumn("leaf", F.shiftright("place", BITS - vocabulary.depth)).join(equal, "leaf").select("code", (F.log("n") - F.col("equal")).alias("gain"))
-    summed = keyed.mapInArrow(lean(run), "key long, code long, times int").join(gain, "code").groupBy("key").agg(F.sum(F.col("times") * F.col("gain")).alias("gain"))
+    summed = keyed.mapInArrow(lean(run), "key long, code long, times int").join(gain.hint("shuffle_hash"), "code").groupBy("key").agg(F.sum(F.col("times") * F.col("gain")).alias("gain"))
     # copies of a text have summed theirs into one row
     return summed.join(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("copies")), "key").select("key", (F.col("gain") / F.col("copies")).alias("gain"))
 

@@ -637,6 +637,55 @@ def test_words_that_are_not_listed_have_their_own_counts(spark):
         assert b.sum() + gains[keys[i]] == pytest.approx(a.sum(), abs=1e-6)
 
 
+def test_listed_words_are_found_by_their_first_bits():
+    rng = np.random.default_rng(5)
+    # many codes with the same 16 bits, both ends of the range, and codes that are not listed
+    codes = np.unique(np.concatenate((rng.integers(0, 1 << 64, 300, np.uint64), np.uint64(7 << 48) + rng.integers(0, 99, 40).astype(np.uint64), np.array([0, (1 << 64) - 1], np.uint64))))
+    for listed in (codes, codes[::2], codes[:1]):
+        v = pseudo_lm.Vocabulary(listed, np.ones(len(listed)), 2, np.zeros((4, 2)), 4, 1)
+        assert np.array_equal(v.codes[v.find(codes)] == codes, np.isin(codes, listed))
+
+
+@pytest.mark.parametrize("hidden", [5, 6])
+def test_a_step_of_training_follows_the_gradient(hidden):
+    rng = np.random.default_rng(7)
+    codes = rng.integers(0, 1 << 64, 50, np.uint64)
+    v = pseudo_lm.Vocabulary(codes, np.arange(50.0, 0, -1), 4, np.zeros((16, 2)), 6, 3)
+    n, rows = 40, sum(pseudo_lm.CONTEXT) + 1
+    x, y = rng.integers(0, rows, (n, 4)), rng.integers(0, 6, n)
+    x[:, 1] = 3
+    leaf = np.where(y < 4, -1, (y - 4 << 3) + rng.integers(0, 8, n))
+    net = pseudo_lm.Network(v, hidden)
+    net.t += rng.normal(0, 0.3, net.t.shape).astype(np.float32)
+    old = {k: getattr(net, k).astype(float) for k in net.PARTS}
+    net.train(x, y, leaf, net.fresh_state(), 1)
+    grads = {k: np.zeros_like(g) for k, g in old.items()}
+    for i in range(n):
+        h = np.tanh(old["b"] + sum(old["e"][p][x[i, p]] for p in range(4)))
+        z = np.exp(h @ old["w"] + old["u"])
+        z = z / z.sum() - (np.arange(6) == y[i])
+        dh = old["w"] @ z
+        grads["u"] += z
+        grads["w"] += np.outer(h, z)
+        if leaf[i] >= 0:
+            node, right = (leaf[i] >> 3 << 3) + (2 | (leaf[i] & 7) >> 2), (leaf[i] >> 1) & 1
+            err = 1 / (1 + np.exp(-(h @ old["t"][node] + old["c"][node]))) - right
+            grads["t"][node] += err * h
+            grads["c"][node] += err
+            dh = dh + err * old["t"][node]
+        dh = dh * (1 - h * h)
+        grads["b"] += dh
+        for p in range(4):
+            grads["e"][p][x[i, p]] += dh
+    for k in net.PARTS:
+        g = grads[k] / np.sqrt(n)
+        assert getattr(net, k) == pytest.approx(old[k] - 0.05 * g / np.sqrt(0.1 + g * g), abs=1e-5)
+    # large logits are shifted, so that none is too large to be raised
+    small = net.log_probabilities(x, y, leaf)
+    net.u += 500
+    assert net.log_probabilities(x, y, leaf) == pytest.approx(small, abs=1e-3)
+
+
 def benchmark_texts(rng):
     return [" ".join(words(rng, rng.randrange(16, 60), 2000)) + ". " + " ".join(words(rng, 4, 2000)) + "." for _ in range(20)]
 
