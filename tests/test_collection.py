@@ -90,3 +90,29 @@ def test_neighbourhoods_around_hubs(spark):
     centres = spark.createDataFrame([(c,) for c in (0, 5, 77, 203, 999)], "entity_id long")
     for hub in (10, 10_000):
         assert {tuple(r) for r in graph.k_hop(edges, centres, 3, hub).collect()} == want
+
+
+def test_neighbourhoods_of_centres_with_one_neighbour_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(graph, "PAIRS", 100)
+    pairs = [(0, i) for i in range(1, 60)] + [(60, 61), (62, 62), (63, 63), (63, 0), (64, 0), (64, None), (65, None), (None, 0)]
+    edges = spark.createDataFrame(pairs + pairs[:5], "source_id long, target_id long")
+    near: dict[int | None, set[int | None]] = {}
+    for a, b in pairs:
+        for x, y in ((a, b), (b, a)):
+            if x is not None:
+                near.setdefault(x, set()).add(y)
+    ids = [*range(0, 66), 999]
+    centres = spark.createDataFrame([(c,) for c in ids + ids[:9]], "entity_id long")
+    for depth in (0, 1, 2, 3):
+        want = []
+        for c in ids:
+            seen, front = {c: 0}, [c]
+            for hop in range(1, depth + 1):
+                front = [b for b in {b for a in front for b in near.get(a, ())} if b not in seen]
+                seen |= dict.fromkeys(front, hop)
+            want += [(c, n, h) for n, h in seen.items()]
+        for hub in (10, 10_000):
+            assert sorted(map(str, (tuple(r) for r in graph.k_hop(edges, centres, depth, hub).collect()))) == sorted(map(str, want))
+    leaves = graph.k_hop(edges, spark.createDataFrame([(c,) for c in range(1, 60)], "entity_id long"), 2, 10)
+    plan = leaves._jdf.queryExecution().sparkPlan().toString()
+    assert "HashAggregate" not in plan and leaves.count() == 59 * 63
