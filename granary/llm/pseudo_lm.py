@@ -16,6 +16,7 @@ from .tokens import Tokeniser
 _U = np.uint64
 #: Places of the window, relative to the predicted token.
 WINDOW = (-2, -1, 1, 2)
+REACH = max(abs(p) for p in WINDOW)
 #: Bits of a word's code that tell its way down the tree of its class, of which a vocabulary uses the first `depth`.
 BITS = 16
 #: Words that have an own row among the window's words, and rows that all others share.
@@ -38,9 +39,32 @@ def _firsts(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
 
 
-def _summed(x: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Sums of the rows of x from each of `first` to the next; an even number of floats is summed in pairs, as complex numbers."""
-    return np.add.reduceat(x.view(np.complex64), first, axis=0).view(np.float32) if x.shape[1] % 2 == 0 else np.add.reduceat(x, first, axis=0)
+def _fours(order: np.ndarray, first: np.ndarray, none: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, begin): the rows order[first[i]:first[i + 1]] of a sum in columns of four, filled up with `none`, and where each sum's columns begin."""
+    size = np.diff(first, append=len(order))
+    parts = size + 3 >> 2
+    begin = np.cumsum(parts) - parts
+    rows = np.full(4 * (begin[-1] + parts[-1]), none)
+    rows[np.arange(len(order)) + np.repeat(4 * begin - first, size)] = order
+    return np.ascontiguousarray(rows.reshape(-1, 4).T), begin
+
+
+def _summed(x: np.ndarray, rows: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Sums of rows of x as _fours tells them: whole blocks are added first, then an even number of floats is summed in pairs, as complex numbers."""
+    got = np.take(x, rows[0], axis=0)
+    for more in rows[1:]:
+        got += np.take(x, more, axis=0)
+    return np.add.reduceat(got.view(np.complex64), begin, axis=0).view(np.float32) if x.shape[1] % 2 == 0 else np.add.reduceat(got, begin, axis=0)
+
+
+def _stepped(x: np.ndarray, squares: np.ndarray, d: np.ndarray, rate: float) -> None:
+    """A step of Adagrad in place."""
+    square = d * d
+    squares += square
+    np.sqrt(squares, out=square)
+    np.divide(d, square, out=square)
+    square *= np.float32(rate)
+    x -= square
 
 
 class Vocabulary:
@@ -60,7 +84,7 @@ class Vocabulary:
         self.leaf_total = total
         order = np.argsort(codes)
         rank = np.arange(len(codes))
-        self.codes, self.rank, self.starts = codes[order], rank[order], None
+        self.codes, self.rank, self.starts, self.listed = codes[order], rank[order], None, None
         self.log = np.where(rank < own, 0.0, np.log(counts / total[leaf]))[order]
         self.equal = np.log((rest[:, 0] + 1.0) / (rest[:, 1] + 1.0))
         self.other = self.equal - np.log(total)
@@ -84,18 +108,25 @@ class Vocabulary:
     def entries(self, texts: list[bytes], tokens: Tokeniser) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(class, leaf or -1, row as context, ln P(word | class and leaf)) of each word of texts, and the texts' bounds."""
         codes, bounds, _ = tokens.codes(texts)
+        if not len(self.codes):
+            return *self._placed(codes), bounds
+        if self.listed is None:
+            # what listed words get is worked out once
+            cls, leaf, context, _ = self._placed(self.codes)
+            own, single = self.rank < CONTEXT[0], self.rank < self.first
+            context[own], cls[single], leaf[single] = self.rank[own], self.rank[single], -1
+            self.listed = cls, leaf, context, self.log
+        at = self.find(codes)
+        found = [np.take(x, at) for x in self.listed]
+        rare = np.flatnonzero(np.take(self.codes, at) != codes)
+        for x, new in zip(found, self._placed(codes[rare]), strict=True):
+            x[rare] = new
+        return *found, bounds
+
+    def _placed(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(class, leaf, row as context, ln P) of words that are not listed."""
         leaf = place_of(codes, self.shared) >> (BITS - self.depth)
-        log, cls = self.other[leaf], self.first + (leaf >> self.depth)
-        context = CONTEXT[0] + (codes >> _U(20)).astype(np.int64) % CONTEXT[1]
-        if len(self.codes) and len(codes):
-            at = self.find(codes)
-            known = np.flatnonzero(self.codes[at] == codes)
-            rank = self.rank[at[known]]
-            log[known] = self.log[at[known]]
-            context[known] = np.where(rank < CONTEXT[0], rank, context[known])
-            single = known[rank < self.first]
-            cls[single], leaf[single] = rank[rank < self.first], -1
-        return cls, leaf, context, log, bounds
+        return self.first + (leaf >> self.depth), leaf, CONTEXT[0] + (codes >> _U(20)).astype(np.int64) % CONTEXT[1], self.other[leaf]
 
 
 class Network:
@@ -132,13 +163,24 @@ class Network:
             at += x.size
         return self
 
-    def windows(self, context: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """The window's rows for each token; the row after the last one stands beyond a text's ends."""
+    def padded(self, context: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, at): the tokens' rows as a sequence and where they stand in it; the row after the last one stands beyond a text's ends."""
         size = np.diff(bounds)
-        at = np.arange(len(context)) + 2 * (np.repeat(np.arange(len(size)), size) + 1)
-        padded = np.full(len(context) + 2 * (len(size) + 1), sum(CONTEXT))
-        padded[at] = context
-        return np.stack([padded[at + p] for p in WINDOW], 1)
+        at = np.arange(len(context)) + REACH * (np.repeat(np.arange(len(size)), size) + 1)
+        places = np.full(len(context) + REACH * (len(size) + 1), sum(CONTEXT), np.uint16)
+        places[at] = context
+        return places, at
+
+    def windows(self, context: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """The window's rows for each token."""
+        places, at = self.padded(context, bounds)
+        return np.stack([places[at + p] for p in WINDOW], 1)
+
+    def apart(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of windows as a sequence in which each window has places of its own."""
+        places = np.full((len(x), 2 * REACH + 1), sum(CONTEXT), np.uint16)
+        places[:, [p + REACH for p in WINDOW]] = x
+        return places.ravel(), np.arange(len(x)) * (2 * REACH + 1) + REACH
 
     def node(self, leaf: np.ndarray, j) -> tuple[np.ndarray, np.ndarray]:
         """The node of level j on the way to a leaf, and the branch that is taken there."""
@@ -146,25 +188,33 @@ class Network:
         way = leaf & ((1 << d) - 1)
         return (leaf >> d << d) + ((1 << j) | (way >> (d - j))), (way >> (d - 1 - j)) & 1
 
-    def hidden_of(self, a: np.ndarray) -> np.ndarray:
-        """The hidden layer of rows of windows."""
-        h = np.take(self.e[0], a[:, 0], axis=0)
+    def layer(self, places: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The hidden layer of the tokens at `at`: what each place adds is looked up for the whole stretch and shifted."""
+        row = places[at[0] - REACH : at[-1] + REACH + 1]
+        n = len(row) - 2 * REACH
+        h = np.take(self.e[0], row[REACH + WINDOW[0] :][:n], axis=0)
         h += self.b
-        for p in range(1, len(WINDOW)):
-            h += np.take(self.e[p], a[:, p], axis=0)
+        for e, p in zip(self.e[1:], WINDOW[1:], strict=True):
+            h += np.take(e, row[REACH + p :][:n], axis=0)
+        if n > len(at):
+            h = np.take(h, at - at[0], axis=0)
         return np.tanh(h, out=h)
 
     def logits(self, h: np.ndarray) -> np.ndarray:
-        """Logits of all classes up to a number a row of h, a row a class, so that steps over the classes go along whole rows."""
-        z = self.w.T @ h.T
-        z += self.u[:, None]
+        """Logits of all classes up to a number a row of h."""
+        z = h @ self.w
+        z += self.u
         # no element of h is above 1; small logits need no shift to be raised
         if not np.abs(self.w).sum(0).max() + np.abs(self.u).max() < 60:
-            z -= z.max(0)
+            z -= z.max(1)[:, None]
         return z
 
     def log_probabilities(self, x: np.ndarray, y: np.ndarray, leaf: np.ndarray) -> np.ndarray:
         """ln P(class y and leaf | window x) for each row."""
+        return self.log_probabilities_along(*self.apart(x), y, leaf)
+
+    def log_probabilities_along(self, places: np.ndarray, at: np.ndarray, y: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+        """ln P(class y and leaf | window) for each token at `at`."""
         out = np.empty(len(y))
         # each leaf's weights and bias at each step on its way, with the sign of the branch that is not taken
         ways = []
@@ -172,13 +222,14 @@ class Network:
             node, right = self.node(np.arange(len(self.t)), j)
             sign = (1 - 2 * right).astype(np.float32)
             ways.append((np.take(self.t, node, axis=0) * sign[:, None], self.c[node] * sign))
+        ones = np.ones(self.w.shape[1], np.float32)
         for i in range(0, len(y), 4096):
-            a, t, f = x[i : i + 4096], y[i : i + 4096], leaf[i : i + 4096]
-            h = self.hidden_of(a)
+            t, f = y[i : i + 4096], leaf[i : i + 4096]
+            h = self.layer(places, at[i : i + 4096])
             z = self.logits(h)
-            picked = z[t, np.arange(len(t))]
+            picked = z[np.arange(len(t)), t]
             np.exp(z, out=z)
-            got = (picked - np.log(z.sum(0))).astype(float)
+            got = (picked - np.log(z @ ones)).astype(float)
             below = np.flatnonzero(f >= 0)
             g, own = np.take(h, below, axis=0), f[below]
             # 1 / P of all choices so far: at most 16 factors of at most 1 + e^30
@@ -187,60 +238,72 @@ class Network:
                 s = np.einsum("nh,nh->n", g, np.take(weight, own, axis=0))
                 s += np.take(bias, own)
                 np.exp(np.minimum(s, np.float32(30), out=s), out=s)
-                inverse *= 1.0 + s.astype(float)
+                s += 1
+                inverse *= s
             got[below] -= np.log(inverse)
             out[i : i + 4096] = got
         return out
 
     def train(self, x: np.ndarray, y: np.ndarray, leaf: np.ndarray, state: list[np.ndarray], turn: int, rate: float = 0.05, size: int = 2048) -> int:
-        """One pass of Adagrad over the rows; state holds the sums of squares. Of the trees each step trains one level, in turn; returns the turn."""
-        rows = sum(CONTEXT) + 1
-        # nodes and rows in few bits: short numbers are sorted by their digits
-        small, places = np.min_scalar_type(len(self.t)), (np.arange(len(WINDOW)) * rows).astype(np.uint16)
-        x = x.astype(np.uint16)
+        """train_along over rows of windows."""
+        return self.train_along(*self.apart(x), y, leaf, state, turn, rate, size)
+
+    def train_along(self, places: np.ndarray, at: np.ndarray, y: np.ndarray, leaf: np.ndarray, state: list[np.ndarray], turn: int, rate: float = 0.05, size: int = 2048) -> int:
+        """One pass of Adagrad over the tokens at `at`; state holds the sums of squares. Of the trees each step trains one level, in turn; returns the turn."""
+        k, ones = self.hidden, np.ones(self.w.shape[1], np.float32)
+        # each leaf's node and branch at each level; the last one stands for words without a leaf, at a node that no way has.
+        # Nodes in few bits: short numbers are sorted by their digits
+        small, levels = np.min_scalar_type(len(self.t)), []
+        for j in range(self.depth):
+            node, right = self.node(np.arange(len(self.t)), j)
+            levels.append((np.append(node, 0).astype(small), np.append(right, 0).astype(np.float32)))
         for i in range(0, len(y), size):
-            a, t, f = x[i : i + size], y[i : i + size], leaf[i : i + size]
+            where, t, f = at[i : i + size], y[i : i + size], leaf[i : i + size]
             n = len(t)
-            h = self.hidden_of(a)
+            share = np.float32(1 / np.sqrt(n))
+            h = self.layer(places, where)
             z = self.logits(h)
             np.exp(z, out=z)
-            share = np.float32(1 / np.sqrt(n))
-            z *= share / z.sum(0)
-            z[t, np.arange(n)] -= share
-            dh = z.T @ self.w.T
-            below = np.flatnonzero(f >= 0)
-            node, right = self.node(f[below], turn % self.depth)
+            z *= (share / (z @ ones))[:, None]
+            z[np.arange(n), t] -= share
+            dh = z @ self.w.T
+            node, right = (np.take(x, f) for x in levels[turn % self.depth])
             turn += 1
-            order = np.argsort(node.astype(small), kind="stable")
-            below, node, right = below[order], node[order], right[order]
-            g, way = np.take(h, below, axis=0), np.take(self.t, node, axis=0)
-            s = np.einsum("nh,nh->n", g, way) + self.c[node]
-            err = ((1 / (1 + np.exp(-np.clip(s, -30, 30))) - right) / np.sqrt(n)).astype(np.float32)
+            way = np.take(self.t, node, axis=0)
+            s = np.einsum("nh,nh->n", h, way)
+            s += np.take(self.c, node)
+            np.exp(np.clip(-s, -30, 30, out=s), out=s)
+            s += 1
+            err = (1 / s - right) * share
+            err[f < 0] = 0
             way *= err[:, None]
-            dh[below] += way
-            if len(node):
-                first = _firsts(node)
-                used = node[first]
-                g *= err[:, None]
-                for name, d in (("t", _summed(g, first)), ("c", np.add.reduceat(err, first))):
-                    k = self.PARTS.index(name)
-                    squares = state[k][used] + d * d
-                    state[k][used] = squares
-                    getattr(self, name)[used] -= rate * d / np.sqrt(squares)
+            dh += way
+            order = np.argsort(node, kind="stable")
+            node = node[order]
+            first = _firsts(node)
+            used = node[first]
+            rows = np.zeros((n + 1, k), np.float32)
+            np.multiply(h, err[:, None], out=rows[:n])
+            sums = (_summed(rows, *_fours(order, first, n)), np.add.reduceat(np.take(err, order), first))
+            for name, d in zip("tc", sums, strict=True):
+                squares = state[self.PARTS.index(name)]
+                got = squares[used] + d * d
+                squares[used] = got
+                getattr(self, name)[used] -= rate * d / np.sqrt(got)
             dh *= 1 - h * h
-            # the rows of dh are summed by the word at each place; one that is nowhere gets 0
-            own = (a + places).T.ravel()
-            order = np.argsort(own, kind="stable")
-            own = own[order]
-            first = _firsts(own)
-            d = np.zeros((len(WINDOW) * rows, self.hidden), np.float32)
-            d[own[first]] = _summed(np.take(dh, order % n, axis=0), first)
-            d = d.reshape(self.e.shape)
-            state[0] += d * d
-            self.e -= rate * d / np.sqrt(state[0])
-            for k, (name, d) in enumerate((("b", dh.sum(0)), ("w", h.T @ z.T), ("u", z.sum(1))), 1):
-                state[k] += d * d
-                getattr(self, name)[...] -= rate * d / np.sqrt(state[k])
+            # a word's row of each place gets the sum of dh that far from where the word stands; beyond the tokens, and in the last rows, dh is 0
+            row = places[where[0] - REACH : where[-1] + REACH + 1]
+            around = np.zeros((len(row) + 4 * REACH + 1, k), np.float32)
+            around[where - where[0] + 2 * REACH] = dh
+            order = np.argsort(row, kind="stable")
+            row = row[order]
+            first = _firsts(row)
+            rows, begin = _fours(order, first, len(row) + 2 * REACH)
+            d = np.zeros(self.e.shape, np.float32)
+            for place, p in zip(d, WINDOW, strict=True):
+                place[row[first]] = _summed(around, rows + (REACH - p), begin)
+            for name, d in (("e", d), ("b", np.ones(n, np.float32) @ dh), ("w", h.T @ z), ("u", np.ones(n, np.float32) @ z)):
+                _stepped(getattr(self, name), state[self.PARTS.index(name)], d, rate)
         return turn
 
     def fresh_state(self) -> list[np.ndarray]:
@@ -285,10 +348,11 @@ def vocabulary_of(counts: DataFrame, classes: int, own: int, listed: int) -> Voc
     return Vocabulary(top.code.to_numpy(np.int64).view(np.uint64), top.n.to_numpy(float), own, rest, classes, depth)
 
 
-def rare_gains(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+def rare_gains(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, keys: DataFrame | None = None) -> DataFrame:
     """(key, gain) by the hash of a text: what its words that are not listed have over equal shares, by their own counts.
 
     The counts stay a table that is joined by the word's code; words that would be hot keys are listed. Of a text with copies only one is looked up.
+    keys: the texts' hashes (key), where a table has them already.
     """
     schema = pa.schema([("key", pa.int64()), ("code", pa.int64()), ("times", pa.int32())])
 
@@ -303,7 +367,7 @@ def rare_gains(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary) -> Da
                     rare = vocabulary.codes[vocabulary.find(codes)] != codes
                 # a word that is several times in a text is one row
                 owner, codes = np.repeat(np.arange(j - i), np.diff(bounds))[rare], codes[rare]
-                order = np.lexsort((codes, owner))
+                order = np.argsort(codes + mix(owner))
                 owner, codes = owner[order], codes[order]
                 first = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (codes[1:] != codes[:-1])))) if len(codes) else np.zeros(0, np.int64)
                 yield batch(schema, [keys[i:j][owner[first]], codes[first].view(np.int64), np.diff(np.append(first, len(codes))).astype(np.int32)])
@@ -315,7 +379,7 @@ def rare_gains(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary) -> Da
     gain = counts.withColumn("leaf", F.shiftright("place", BITS - vocabulary.depth)).join(equal, "leaf").select("code", (F.log("n") - F.col("equal")).alias("gain"))
     summed = keyed.mapInArrow(lean(run), "key long, code long, times int").join(gain.hint("shuffle_hash"), "code").groupBy("key").agg(F.sum(F.col("times") * F.col("gain")).alias("gain"))
     # copies of a text have summed theirs into one row
-    return summed.join(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("copies")), "key").select("key", (F.col("gain") / F.col("copies")).alias("gain"))
+    return summed.join((keyed if keys is None else keys).groupBy("key").agg(F.count(F.lit(1)).alias("copies")), "key").select("key", (F.col("gain") / F.col("copies")).alias("gain"))
 
 
 def fit_network(docs: DataFrame, vocabulary: Vocabulary, tokens: int, hidden: int, per: int = 500_000, early: int = 16, seed: int = 13) -> Network:
@@ -361,7 +425,7 @@ def fit_network(docs: DataFrame, vocabulary: Vocabulary, tokens: int, hidden: in
                     net = net if start is None else net.set_flat(start.copy())
                     state = net.fresh_state()
                 c, leaf, context, _, bounds = vocabulary.entries(texts, split)
-                turn = net.train(net.windows(context, bounds), c, leaf, state, turn)
+                turn = net.train_along(*net.padded(context, bounds), c, leaf, state, turn)
                 n += len(c)
                 if ends:
                     v = (net.flat().astype(float) * n).astype(np.float32)
@@ -386,7 +450,7 @@ def fit_network(docs: DataFrame, vocabulary: Vocabulary, tokens: int, hidden: in
 def score_texts(texts: list[bytes], network: Network, tokens: Tokeniser) -> tuple[np.ndarray, np.ndarray]:
     """Tokens and summed ln P(token | both sides) of each text."""
     c, leaf, context, log, bounds = network.vocabulary.entries(texts, tokens)
-    p = np.concatenate(([0.0], np.cumsum(network.log_probabilities(network.windows(context, bounds), c, leaf) + log)))
+    p = np.concatenate(([0.0], np.cumsum(network.log_probabilities_along(*network.padded(context, bounds), c, leaf) + log)))
     return np.diff(bounds), p[bounds[1:]] - p[bounds[:-1]]
 
 
@@ -413,7 +477,8 @@ def pseudo_likelihood(docs: DataFrame, classes: int = 64, own: int = 48, listed:
                 yield batch(schema, [b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), *score_texts(texts[i:j], network, tokens)])
 
     scored = rows.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(lean(run), "doc_id long, key long, n_tokens long, pll double")
+    scored = cut(scored)
     # texts with many copies are keys with many rows
-    gains = cut(rare_gains(rows, counts, vocabulary))
-    scored = join_unique(cut(scored), gains, ["key"], "left").select("doc_id", "n_tokens", (F.col("pll") + F.coalesce("gain", F.lit(0.0))).alias("pll"))
+    gains = cut(rare_gains(rows, counts, vocabulary, scored.where("key is not null")))
+    scored = join_unique(scored, gains, ["key"], "left").select("doc_id", "n_tokens", (F.col("pll") + F.coalesce("gain", F.lit(0.0))).alias("pll"))
     return scored.withColumn("pll_mean", F.when(F.col("n_tokens") > 0, F.col("pll") / F.col("n_tokens")))

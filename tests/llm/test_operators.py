@@ -686,6 +686,20 @@ def test_a_step_of_training_follows_the_gradient(hidden):
     assert net.log_probabilities(x, y, leaf) == pytest.approx(small, abs=1e-3)
 
 
+def test_training_along_texts_equals_training_on_their_windows():
+    rng = np.random.default_rng(9)
+    v = pseudo_lm.Vocabulary(rng.integers(0, 1 << 64, 50, np.uint64), np.arange(50.0, 0, -1), 4, np.zeros((16, 2)), 6, 3)
+    # empty texts, texts of one word, and a step that ends inside a text
+    bounds = np.cumsum([0, 0, 1, 70, 0, 2, 33, 0])
+    n, y = bounds[-1], rng.integers(0, 6, bounds[-1])
+    context, leaf = rng.integers(0, sum(pseudo_lm.CONTEXT), n), np.where(y < 4, -1, (y - 4 << 3) + rng.integers(0, 8, n))
+    a, b = pseudo_lm.Network(v, 6), pseudo_lm.Network(v, 6)
+    windows = a.windows(context, bounds)
+    assert a.train_along(*a.padded(context, bounds), y, leaf, a.fresh_state(), 0, size=40) == b.train(windows, y, leaf, b.fresh_state(), 0, size=40) == 3
+    assert a.flat() == pytest.approx(b.flat(), abs=1e-5)
+    assert a.log_probabilities_along(*a.padded(context, bounds), y, leaf) == pytest.approx(b.log_probabilities(windows, y, leaf), abs=1e-4)
+
+
 def benchmark_texts(rng):
     return [" ".join(words(rng, rng.randrange(16, 60), 2000)) + ". " + " ".join(words(rng, 4, 2000)) + "." for _ in range(20)]
 
