@@ -85,6 +85,42 @@ def test_blocks_are_small_and_whole(spark, built):
     assert sorted(lexicon) == sorted({w for t in docs.values() for w in words(t)})
 
 
+def shuffled_rows(spark):
+    """Rows that stages have written for a shuffle so far."""
+    jvm = spark._jvm
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return {(x.stageId(), x.attemptId()): x.shuffleWriteRecords() for x in map(stages.apply, range(stages.size()))}
+
+
+def test_postings_are_shuffled_once_and_together(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 90}" for j in range(90))) for i in range(3000)], "doc_id long, text string").repartition(4)
+    docs = written(docs, "docs")
+    before = shuffled_rows(spark)
+    index = postings.build_postings(docs)
+    moved = sum(n for stage, n in shuffled_rows(spark).items() if stage not in before)
+    n = index.terms.agg(F.sum("df")).first()[0]
+    assert n > 50_000 and moved < n / 10
+
+
+@pytest.mark.parametrize("lane", [1, 40, 300])
+def test_lanes_and_shares_of_a_task_change_no_block(spark, built, lane, monkeypatch):
+    docs, df, index = built
+    monkeypatch.setattr(postings, "_WORDS", 500)
+    other = postings.build_postings(df, size=8, lane=lane)
+    for name in ("terms", "blocks", "lexicon"):
+        a, b = (getattr(x, name) for x in (index, other))
+        assert a.count() == b.count() and a.exceptAll(b).count() == 0
+    assert other.documents == index.documents == len(docs)
+
+
+def test_ids_may_be_texts(spark):
+    docs = {"b": "one two", "a\U0001f600": "two", "a\uffff": "two two three", "c": None}
+    index = postings.build_postings(spark.createDataFrame(list(docs.items()), "doc_id string, text string"))
+    got = {r.term: [h.id for h in r.hits] for r in index.blocks.collect()}
+    assert got == {"one": ["b"], "two": ["a\uffff", "a\U0001f600", "b"], "three": ["a\uffff"]} and index.documents == 4
+
+
 def test_stored_index_follows_its_table(spark, tmp_path):
     source = f"{tmp_path}/documents.parquet"
     spark.createDataFrame([(1, "one two")], "doc_id long, text string").write.parquet(source)
