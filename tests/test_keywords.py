@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import shutil
 from collections import Counter
 from concurrent.futures import ThreadPoolExecutor
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from granary.operators import fuzzy, postings, retrieve
 from granary.operators.index import keyword_index
 from granary.operators.tables import join_counted, written
+from granary.plans import catalog, operations  # noqa: F401  register the queries
 
 
 def words(text):
@@ -149,6 +151,31 @@ def test_searches_side_by_side_build_one_index(spark, tmp_path, monkeypatch):
     assert len(paths) == len(made) == 1
 
 
+def test_a_search_that_comes_alone_builds_no_index(spark, tmp_path):
+    for name in ("documents", "benchmark", "embeddings"):
+        shutil.copy(f"/root/testdata/sf0.001/{name}.parquet", tmp_path)
+    source = f"{tmp_path}/documents.parquet"
+    for name in ("composed_search", "detailed_search"):
+        alone = catalog.queries()[name](spark, str(tmp_path)).collect()
+        assert alone and postings.found_postings(spark, source) is None
+    postings.stored_postings(spark, source)
+    assert postings.found_postings(spark, source) is not None
+    assert sorted(catalog.queries()[name](spark, str(tmp_path)).collect()) == sorted(alone)
+
+
+def test_texts_are_read_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    docs = spark.createDataFrame([(i, f"w{i % 3} w{i % 5}") for i in range(60)], "doc_id long, text string").mapInArrow(seen, "doc_id long, text string")
+    q = spark.createDataFrame([(1, "w1 w4"), (2, "absent")], "query_id long, text string")
+    assert retrieve.bm25_search(docs, q, 5).count() == 5 and read.value == 60
+
+
 def test_index_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     q = spark.createDataFrame([(1, "a b")], "query_id long, text string")
