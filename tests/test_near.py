@@ -113,6 +113,20 @@ def test_a_chain_keeps_its_ends(spark):
     assert again[0] == hashlib.sha256(b"0+1").hexdigest()
 
 
+def test_each_copy_has_its_own_decisions(spark):
+    """Rows with one embedding are near to what any of them is near to, and a pair's decision is not that of another pair."""
+    angle = np.radians([90, 0, 0, 90, 110, 20, 20, 0, 35, 35])
+    rows = store(spark, np.stack([np.cos(angle), np.sin(angle)], axis=1))
+    decide = lambda d: d.withColumn("merge", (F.col("a") + F.col("b")) % 3 != 0)
+    out, report = memory.consolidated(rows, F.lit(0), decide, similar=0.9)
+    gone = set()
+    for a in range(len(angle)):
+        for b in range(a + 1, len(angle)):
+            if np.cos(angle[a] - angle[b]) > 0.9 and (a + b) % 3 and a not in gone and b not in gone:
+                gone.add(b)
+    assert {r.memory_id for r in out.where("status = 0").collect()} == gone and tuple(report.first()) == (0, len(gone), 0)
+
+
 def test_merges_equal_one_by_one_visits(spark):
     rng = np.random.default_rng(7)
     pairs = sorted({(int(a), int(b)) for a, b in rng.integers(0, 60, (120, 2)) if a < b})
