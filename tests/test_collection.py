@@ -116,3 +116,12 @@ def test_neighbourhoods_of_centres_with_one_neighbour_are_not_shuffled(spark, mo
     leaves = graph.k_hop(edges, spark.createDataFrame([(c,) for c in range(1, 60)], "entity_id long"), 2, 10)
     plan = leaves._jdf.queryExecution().sparkPlan().toString()
     assert "HashAggregate" not in plan and leaves.count() == 59 * 63
+
+
+def test_neighbourhoods_take_little_place_when_written(spark, tmp_path):
+    """Each of 1,801 leaves of a hub with all 6,000: the columns repeat themselves within a page, though runs of 1,801 do not end with a byte."""
+    edges = spark.range(1, 6001).select(F.lit("hub").alias("source_id"), F.concat(F.lit("leaf"), F.col("id").cast("string")).alias("target_id"))
+    centres = edges.limit(1801).select(F.col("target_id").alias("entity_id"))
+    graph.k_hop(edges, centres, 2).write.parquet(str(tmp_path / "near"))
+    assert spark.read.parquet(str(tmp_path / "near")).agg(F.count("*"), F.count_distinct("centre"), F.count_distinct("node"), F.sum("hops")).first()[:] == (1801 * 6001, 1801, 6001, 1801 * (1 + 2 * 5999))
+    assert sum(f.stat().st_size for f in (tmp_path / "near").glob("*.parquet")) < 0.3 * 1801 * 6001
