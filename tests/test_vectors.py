@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from granary.operators import memory, neighbours, retrieve, vectors
+from granary.operators import memory, neighbours, retrieve, tables, vectors
 
 SCHEMA = "vec_id long, embedding array<double>"
 
@@ -134,6 +136,18 @@ def test_neighbour_graph(spark):
     assert all(abs(scores[r.query_id, r.id] - r.score) < 1e-9 for r in found.collect())
 
 
+def test_a_round_of_a_walk_keeps_what_is_new_and_the_beam(spark):
+    """What has left the beam is not written again in later rounds."""
+    df = frame(spark, clustered(800))
+    links = tables.written(neighbours.linked(neighbours.neighbour_graph(df, 8), 8), "links")
+    folder = Path(tables.shared_folder(spark).removeprefix("file:"))
+    before = set(folder.glob("walk-*"))
+    walk = neighbours.graph_walk(df, links, asked(df), 8, 2, entries=64, skip_self=True)
+    rounds = [spark.read.parquet(str(p)).count() for p in set(folder.glob("walk-*")) - before]
+    assert len(rounds) > 3 and walk.count() == walk.select("query_id", "id").distinct().count()
+    assert sum(rounds) <= walk.count() + len(rounds) * asked(df).count() * 8
+
+
 def test_a_checked_walk_is_exact(spark):
     """Random directions, a narrow walk over few links: it misses hits, which the check adds."""
     df = frame(spark, np.random.default_rng(5).normal(size=(600, 16)), [(9000, None), (9001, [0.0] * 16)])
